@@ -12,9 +12,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from incognita.functions.tags import explode_elements
+from incognita import model
+from incognita.functions import masks
+from incognita.functions.tags import explode_elements, top_value
+from incognita.operators import dump, idpool, patch, pixels, report, screen
+from incognita.operators import registry_ops as reg
+from incognita.operators import scrub as scrub_ops
+from incognita.operators.scrub import output_path
 from incognita.plans import deidentify as deid
 from incognita.sources import fixtures as fx
+from incognita.sources import registry as registry_store
+from incognita.sources.tables import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -41,3 +49,309 @@ ELEMENT_OUT = ["top_tag", "item", "tag", "keyword", "vr", "value"]
 def q_deidentify(spark, sf_dir):
     run = fixture_run(spark, sf_dir)
     return explode_elements(run.output, "path", "out_path", "study_id")
+
+
+# ---- scan, screening ---------------------------------------------------------
+
+def _classified(spark, sf_dir):
+    return screen.classify(fx.headers(spark, sf_dir))
+
+
+@query
+def q_scan_inventory(spark, sf_dir):
+    h = fx.headers(spark, sf_dir).select("root", screen.parent_dir("path").alias("dir"))
+    return h.groupBy("root").agg(F.count(F.lit(1)).alias("n_files"),
+                                 F.countDistinct("dir").alias("n_dirs"))
+
+
+@query
+def q_output_path(spark, sf_dir):
+    return fx.headers(spark, sf_dir).select("path", output_path().alias("out_path"))
+
+
+@query
+def q_file_outcomes(spark, sf_dir):
+    return _classified(spark, sf_dir).select("path", "root", "outcome", "message")
+
+
+@query
+def q_tag_warnings(spark, sf_dir):
+    return screen.tag_warnings(_classified(spark, sf_dir))
+
+
+@query
+def q_study_uid(spark, sf_dir):
+    h = fx.headers(spark, sf_dir)
+    return h.select("path", screen.study_uid().alias("study_uid")).where(F.col("study_uid").isNotNull())
+
+
+@query
+def q_header_pivot(spark, sf_dir):
+    h = fx.headers(spark, sf_dir)
+    return h.select("path", *[top_value("elements", t, reg.NIL).alias(c) for c, t in PIVOT_TAGS.items()])
+
+
+PIVOT_TAGS = {
+    "patient_name": model.PATIENT_NAME, "patient_id": model.PATIENT_ID,
+    "accession_number": model.ACCESSION_NUMBER, "study_date": model.STUDY_DATE,
+    "study_time": model.STUDY_TIME, "study_uid": model.STUDY_INSTANCE_UID,
+    "study_description": model.STUDY_DESCRIPTION,
+}
+
+
+# ---- scrub rules, each alone -------------------------------------------------
+
+def _scrubbed(spark, sf_dir, expr):
+    h = fx.headers(spark, sf_dir).select("path", expr.alias("elements"))
+    return explode_elements(h, "path")
+
+
+@query
+def q_scrub_private(spark, sf_dir):
+    return _scrubbed(spark, sf_dir, scrub_ops.drop_private("elements"))
+
+
+@query
+def q_scrub_curves(spark, sf_dir):
+    return _scrubbed(spark, sf_dir, scrub_ops.drop_curves("elements"))
+
+
+@query
+def q_scrub_sequence(spark, sf_dir):
+    return _scrubbed(spark, sf_dir, scrub_ops.drop_tags("elements", [model.REQUEST_ATTRIBUTES_SEQUENCE]))
+
+
+@query
+def q_scrub_vr(spark, sf_dir):
+    return _scrubbed(spark, sf_dir, scrub_ops.replace_by_vr("elements"))
+
+
+@query
+def q_scrub_fixed(spark, sf_dir):
+    return _scrubbed(spark, sf_dir, scrub_ops.upsert_top_level(
+        "elements", model.FIXED_ASSIGNMENTS, F.lit(model.DEFAULT_PATIENT_ID), F.lit(model.DEFAULT_PATIENT_NAME)))
+
+
+# ---- registry ----------------------------------------------------------------
+
+@query
+def q_study_new(spark, sf_dir):
+    run = fixture_run(spark, sf_dir)
+    return run.new.select("study_uid", F.col("path").alias("first_path"))
+
+
+@query
+def q_study_lookup(spark, sf_dir):
+    run = fixture_run(spark, sf_dir)
+    ok = run.classified.where(F.col("outcome") == screen.OK).select("path", "study_uid")
+    idx = run.index.select("study_uid", "row_no", "study_id")
+    return reg.lookup(ok, idx, run.stats.bound).select("path", "study_uid", "row_no", "study_id")
+
+
+ASSIGN_COLS = ["study_uid", "k", "row_no", "study_id", "over_pool", "patient_name", "patient_id",
+               "accession_number", "study_date", "study_time", "study_description"]
+
+
+@query
+def q_study_assign(spark, sf_dir):
+    run = fixture_run(spark, sf_dir)
+    return run.assignments.select(*ASSIGN_COLS, F.col("path").alias("first_path"))
+
+
+@query
+def q_first_free_slot(spark, sf_dir):
+    front = _front(spark, sf_dir)
+    return reg.first_free_slot(fx.pool(spark, sf_dir), int(front["n_study_ids"]))
+
+
+@query
+def q_registry_index(spark, sf_dir):
+    return reg.registry_index(fx.pool_dup(spark, sf_dir)).select("study_uid", "row_no", "study_id")
+
+
+@query
+def q_registry_check(spark, sf_dir):
+    front = _front(spark, sf_dir)
+    return registry_store.check_slots(fx.pool_gap(spark, sf_dir), int(front["n_study_ids"]))
+
+
+COMMIT_COLS = ["row_no", "study_id", "patient_id", "study_uid", "patient_name", "accession_number",
+               "study_date", "study_time", "study_description"]
+
+
+@query
+def q_registry_commit(spark, sf_dir):
+    run = fixture_run(spark, sf_dir)
+    return reg.commit(fx.pool(spark, sf_dir), run.assignments).select(*COMMIT_COLS)
+
+
+@query
+def q_reidentify(spark, sf_dir):
+    run = fixture_run(spark, sf_dir)
+    committed = reg.commit(fx.pool(spark, sf_dir), run.assignments)
+    files = run.output.select("path", "study_id")
+    return reg.reidentify(files, committed, run.stats.bound).select(
+        "path", "study_id", "original_patient_id", "original_study_uid")
+
+
+INCREMENTAL_CUTOFF = "2024-01-16 00:00:00"
+
+
+@query
+def q_incremental_assign(spark, sf_dir):
+    """Two runs against one registry: files up to the cutoff, then all files."""
+    headers = fx.headers(spark, sf_dir)
+    ts = fx.inst(spark, sf_dir).select("path", "ts")
+    early = headers.join(ts.where(F.col("ts") < F.lit(INCREMENTAL_CUTOFF).cast("timestamp_ntz")), "path", "left_semi")
+    front = _front(spark, sf_dir)
+    slots0 = fx.pool(spark, sf_dir)
+    run1 = deid.plan(early, slots0, front)
+    a1 = run1.assignments.checkpoint()  # materialised, as a committed registry version would be
+    slots1 = reg.commit(slots0, a1)
+    run2 = deid.plan(headers, slots1, front)
+    a2 = run2.assignments
+    cols = ["study_uid", "row_no", "study_id"]
+    return a1.select(*cols, F.lit(1).alias("run")).unionByName(a2.select(*cols, F.lit(2).alias("run")))
+
+
+# ---- study ID pool -----------------------------------------------------------
+
+FIXTURE_SECRET = "k:"           # test secret; production draws a random one
+CORPUS_MASK = model.DEFAULT_MASK
+
+
+def corpus_request(spark, sf_dir) -> idpool.PoolRequest:
+    """A pool sized to the corpus: one ID per distinct study among ok files."""
+    ok = _classified(spark, sf_dir).where(F.col("outcome") == screen.OK)
+    n = ok.agg(F.countDistinct("study_uid")).first()[0]
+    return idpool.PoolRequest(n=int(n), mask=CORPUS_MASK, secret=FIXTURE_SECRET)
+
+
+@query
+def q_id_pool(spark, sf_dir):
+    return idpool.generate(spark, corpus_request(spark, sf_dir)).select("row_no", "study_id")
+
+
+@query
+def q_id_pool_stats(spark, sf_dir):
+    req = corpus_request(spark, sf_dir)
+    return idpool.pool_stats(idpool.generate(spark, req), req)
+
+
+# Per-root pool requests: the mask, prefix and suffix are job parameters; n is
+# the number of studies found under the root.
+ROOT_REQUESTS = {"root0": ("uudddd", "", ""), "root1": ("ldd", "TEST-", "END"), "root2": ("d", "", "")}
+
+
+@query
+def q_mask_capacity(spark, sf_dir):
+    ok = _classified(spark, sf_dir).where(F.col("outcome") == screen.OK)
+    per_root = ok.groupBy("root").agg(F.countDistinct("study_uid").cast("bigint").alias("n"))
+    params = spark.createDataFrame([(r, m, p, s) for r, (m, p, s) in ROOT_REQUESTS.items()],
+                                   "root string, mask string, prefix string, suffix string")
+    j = per_root.join(F.broadcast(params), "root", "left")  # one parameter row per root
+    m = F.col("mask")
+    cap = masks.capacity_col(m)
+    valid = masks.valid_col(m)
+    length = masks.id_length_col(m, F.col("prefix"), F.col("suffix"))
+    stat = (F.when(~valid, F.lit("invalid"))
+            .when(F.col("n") > cap, F.lit("impossible"))
+            .when(F.col("n") > cap * F.lit(model.SLOW_POOL_FRACTION), F.lit("slow"))
+            .otherwise(F.lit("ok")))
+    return j.select("root", "mask", "prefix", "suffix", "n", valid.alias("valid"),
+                    cap.cast("string").alias("capacity"), length.cast("bigint").alias("id_length"),
+                    (length > model.MAX_ID_LENGTH).alias("too_long"), stat.alias("status"))
+
+
+REGISTRY_FILE_NAME = "test file.v1"
+
+
+@query
+def q_study_create(spark, sf_dir):
+    ok = _classified(spark, sf_dir).where(F.col("outcome") == screen.OK)
+    front = ok.agg(F.countDistinct("study_uid").cast("bigint").alias("n_study_ids"))
+    name = F.regexp_replace(F.regexp_replace(F.lit(REGISTRY_FILE_NAME), " ", "_"), r"\.", "")
+    return front.select(F.lit("Fixture study").alias("study_title"), F.lit("Fixture PI").alias("pi"),
+                        F.lit(model.DEFAULT_IRB_CODE).alias("irb_code"), "n_study_ids",
+                        name.alias("registry_name"))
+
+
+@query
+def q_text_valid(spark, sf_dir):
+    def valid(c):
+        return F.regexp_replace(c, " ", "").rlike(r"^\p{L}+$")
+    part = read_table(spark, sf_dir, "part").select(
+        F.lit("part").alias("source"), F.col("p_partkey").alias("key"), F.col("p_name").alias("text"))
+    cust = read_table(spark, sf_dir, "customer").select(
+        F.lit("customer").alias("source"), F.col("c_custkey").alias("key"), F.col("c_name").alias("text"))
+    both = part.unionByName(cust)
+    return both.select("source", "key", "text", valid(F.col("text")).alias("is_valid"))
+
+
+# ---- pixels ------------------------------------------------------------------
+
+@query
+def q_pixel_diff(spark, sf_dir):
+    return pixels.pixel_diff(fx.pixel_pairs(spark, sf_dir))
+
+
+@query
+def q_pixel_stats(spark, sf_dir):
+    return pixels.pixel_stats(fx.pixel_pairs(spark, sf_dir))
+
+
+@query
+def q_pixel_equal(spark, sf_dir):
+    return pixels.pixel_equal(fx.pixel_pairs(spark, sf_dir))
+
+
+# ---- tag edits, header dump, audit log, report -------------------------------
+
+@query
+def q_tag_patch(spark, sf_dir):
+    h = fx.headers(spark, sf_dir)
+    p = patch.apply_patches(h, fx.patches(spark, sf_dir),
+                            {"new_accession": (model.ACCESSION_NUMBER, "AccessionNumber", "SH")})
+    return p.select("path", "patient_id",
+                    top_value("elements", model.ACCESSION_NUMBER).alias("accession_before"),
+                    top_value("patched", model.ACCESSION_NUMBER).alias("accession_after"))
+
+
+@query
+def q_tag_set(spark, sf_dir):
+    cust = read_table(spark, sf_dir, "customer").where(F.col("c_custkey") % 2 == 0).select(
+        F.concat(F.lit("P"), F.col("c_custkey")).alias("patient_id"),
+        F.concat(F.lit("SET"), F.col("c_custkey")).alias("new_value"))
+    return patch.set_existing(fx.headers(spark, sf_dir), cust, model.ACCESSION_NUMBER)
+
+
+@query
+def q_header_dump(spark, sf_dir):
+    return dump.header_dump(fx.headers(spark, sf_dir))
+
+
+AUDIT_LEVEL = model.LOG_HIGH
+AUDIT_USER, AUDIT_COMPUTER = "fixture-user", "fixture-host"
+
+
+@query
+def q_audit_log(spark, sf_dir):
+    outcomes = _classified(spark, sf_dir).join(fx.inst(spark, sf_dir).select("path", "ts"), "path")
+    events = report.file_events(outcomes)
+    return report.audit_log(events, AUDIT_LEVEL, 1, AUDIT_USER, AUDIT_COMPUTER)
+
+
+@query
+def q_run_report(spark, sf_dir):
+    return deid.run_report(fixture_run(spark, sf_dir).outcomes)
+
+
+@query
+def q_outcome_summary(spark, sf_dir):
+    return deid.outcome_summary(fixture_run(spark, sf_dir).outcomes)
+
+
+@query
+def q_header_table(spark, sf_dir):
+    """The canonical header table, one row per element (the analyst's long form)."""
+    return explode_elements(fx.headers(spark, sf_dir), "path")

@@ -224,3 +224,298 @@ def oracle(name: str, final: str, *needs: str) -> None:
 
 
 oracle("deidentify", f"SELECT path, out_path, study_id, {ELEMENT_COLS} FROM deid_elements", "deid_elements")
+
+# ---- scan, screening ---------------------------------------------------------
+oracle("scan_inventory", """
+SELECT root, CAST(count(*) AS BIGINT) AS n_files,
+  CAST(count(DISTINCT regexp_extract(path, '^(.*)/[^/]*$', 1)) AS BIGINT) AS n_dirs
+FROM inst GROUP BY root""", "inst")
+
+oracle("output_path", """
+SELECT path, root || '-anon' || substr(path, length(root) + 1) AS out_path FROM inst""", "inst")
+
+oracle("file_outcomes", "SELECT path, root, outcome, message FROM outcomes", "outcomes")
+
+cte("presence", """
+  SELECT path,
+    bool_or(item = -1 AND tag = 1048608) AS has_pid, bool_or(item = -1 AND tag = 1048592) AS has_pname,
+    bool_or(item = -1 AND tag = 524368) AS has_acc, bool_or(item = -1 AND tag = 2097165) AS has_uid,
+    bool_or(item = -1 AND tag = 524320) AS has_date
+  FROM elements GROUP BY path""", ["elements"])
+
+oracle("tag_warnings", """
+SELECT path, missing_tags, n_missing FROM (
+  SELECT p.path,
+    concat_ws(' ', CASE WHEN NOT has_pid THEN 'PatientID' END, CASE WHEN NOT has_pname THEN 'PatientName' END,
+              CASE WHEN NOT has_acc THEN 'AccessionNumber' END, CASE WHEN NOT has_uid THEN 'StudyInstanceUID' END,
+              CASE WHEN NOT has_date THEN 'StudyDate' END) AS missing_tags,
+    CAST((NOT has_pid)::INT + (NOT has_pname)::INT + (NOT has_acc)::INT + (NOT has_uid)::INT
+         + (NOT has_date)::INT AS BIGINT) AS n_missing
+  FROM presence p JOIN outcomes o ON o.path = p.path WHERE o.outcome IN ('no_uid', 'ok')) t
+WHERE n_missing > 0""", "presence", "outcomes")
+
+oracle("study_uid", "SELECT path, study_uid FROM uids", "uids")
+
+oracle("header_pivot", """
+SELECT path, patient_name, patient_id, accession_number, study_date, study_time,
+  top_study_uid AS study_uid, study_description FROM top_vals""", "top_vals")
+
+# ---- scrub rules alone -----------------------------------------------------------
+oracle("scrub_private", f"""
+SELECT path, {ELEMENT_COLS} FROM elements
+WHERE (top_tag // 65536) % 2 = 0 AND (tag // 65536) % 2 = 0""", "elements")
+
+oracle("scrub_curves", f"""
+SELECT path, {ELEMENT_COLS} FROM elements
+WHERE ((top_tag // 65536) & 65280) <> 20480 AND ((tag // 65536) & 65280) <> 20480""", "elements")
+
+oracle("scrub_sequence", f"""
+SELECT path, {ELEMENT_COLS} FROM elements WHERE top_tag <> 4194933 AND tag <> 4194933""", "elements")
+
+oracle("scrub_vr", """
+SELECT path, CAST(top_tag AS BIGINT) AS top_tag, CAST(item AS BIGINT) AS item, CAST(tag AS BIGINT) AS tag,
+  keyword, vr, CASE vr WHEN 'PN' THEN 'anonymous' WHEN 'DA' THEN '' WHEN 'TM' THEN '' ELSE value END AS value
+FROM elements""", "elements")
+
+oracle("scrub_fixed", f"""
+SELECT path, {ELEMENT_COLS} FROM elements WHERE top_tag NOT IN ({FIXED_TAGS})
+UNION ALL
+SELECT i.path, CAST(x.tag AS BIGINT), CAST(-1 AS BIGINT), CAST(x.tag AS BIGINT), x.keyword, x.vr,
+  CASE x.keyword WHEN 'PatientID' THEN 'research' WHEN 'PatientName' THEN 'Anon' ELSE x.value END
+FROM inst i, fixed x""", "elements", "inst", "fixed")
+
+# ---- registry ----------------------------------------------------------------------
+oracle("study_new", "SELECT study_uid, path AS first_path FROM new_studies", "new_studies")
+
+oracle("study_lookup", """
+SELECT f.path, f.study_uid, r.row_no, r.study_id FROM ok_files f LEFT JOIN reg_index r ON f.study_uid = r.study_uid""",
+       "ok_files", "reg_index")
+
+oracle("study_assign", """
+SELECT study_uid, k, row_no, study_id, over_pool, patient_name, patient_id, accession_number,
+  study_date, study_time, study_description, first_path FROM assignments""", "assignments")
+
+oracle("first_free_slot", "SELECT first_free_row FROM first_free", "first_free")
+
+oracle("registry_index", """
+SELECT study_uid, CAST(max(row_no) AS BIGINT) AS row_no, arg_max(study_id, row_no) AS study_id
+FROM pool_dup WHERE study_id IS NOT NULL AND patient_id IS NOT NULL AND study_uid IS NOT NULL
+GROUP BY study_uid""", "pool_dup")
+
+oracle("registry_check", """
+SELECT 'n_study_ids' AS "check", (SELECT n_study_ids FROM front) AS value
+UNION ALL SELECT 'n_rows', CAST(count(*) AS BIGINT) FROM pool_gap
+UNION ALL SELECT 'n_assigned', CAST(count(*) FILTER (WHERE study_id IS NOT NULL AND patient_id IS NOT NULL) AS BIGINT) FROM pool_gap
+UNION ALL SELECT 'n_known_studies', CAST(count(DISTINCT study_uid) FILTER (WHERE study_id IS NOT NULL AND patient_id IS NOT NULL) AS BIGINT) FROM pool_gap
+UNION ALL SELECT 'first_free_row', CAST(coalesce(min(row_no) FILTER (WHERE NOT (study_id IS NOT NULL AND patient_id IS NOT NULL)
+    AND row_no BETWEEN 2 AND (SELECT n_study_ids + 1 FROM front)), (SELECT n_study_ids + 2 FROM front)) AS BIGINT) FROM pool_gap
+UNION ALL SELECT 'first_gap_row', CAST(CASE WHEN ff < ma THEN ff END AS BIGINT) FROM (
+    SELECT min(row_no) FILTER (WHERE NOT (study_id IS NOT NULL AND patient_id IS NOT NULL)
+      AND row_no BETWEEN 2 AND (SELECT n_study_ids + 1 FROM front)) AS ff,
+      max(row_no) FILTER (WHERE study_id IS NOT NULL AND patient_id IS NOT NULL) AS ma FROM pool_gap) t
+UNION ALL SELECT 'n_missing_ids', CAST(count(*) FILTER (WHERE row_no BETWEEN 2 AND (SELECT n_study_ids + 1 FROM front)
+    AND coalesce(study_id, '') = '') AS BIGINT) FROM pool_gap
+UNION ALL SELECT 'n_missing_rows', CAST((SELECT n_study_ids FROM front)
+    - count(*) FILTER (WHERE row_no BETWEEN 2 AND (SELECT n_study_ids + 1 FROM front)) AS BIGINT) FROM pool_gap
+UNION ALL SELECT 'n_dup_uids', CAST(count(*) AS BIGINT) FROM (
+    SELECT study_uid FROM pool_gap WHERE study_id IS NOT NULL AND patient_id IS NOT NULL AND study_uid IS NOT NULL
+    GROUP BY study_uid HAVING count(*) > 1) t
+UNION ALL SELECT 'n_dup_ids', CAST(count(*) AS BIGINT) FROM (
+    SELECT study_id FROM pool_gap WHERE study_id IS NOT NULL GROUP BY study_id HAVING count(*) > 1) t""",
+       "pool_gap", "front")
+
+cte("committed", """
+  SELECT p.row_no, p.study_id,
+    CASE WHEN a.study_uid IS NOT NULL THEN a.patient_id ELSE p.patient_id END AS patient_id,
+    CASE WHEN a.study_uid IS NOT NULL THEN a.study_uid ELSE p.study_uid END AS study_uid,
+    CASE WHEN a.study_uid IS NOT NULL THEN a.patient_name END AS patient_name,
+    CASE WHEN a.study_uid IS NOT NULL THEN a.accession_number END AS accession_number,
+    CASE WHEN a.study_uid IS NOT NULL THEN a.study_date END AS study_date,
+    CASE WHEN a.study_uid IS NOT NULL THEN a.study_time END AS study_time,
+    CASE WHEN a.study_uid IS NOT NULL THEN a.study_description END AS study_description
+  FROM pool p LEFT JOIN (SELECT * FROM assignments WHERE study_id IS NOT NULL) a ON p.row_no = a.row_no""",
+    ["pool", "assignments"])
+
+oracle("registry_commit", """
+SELECT row_no, study_id, patient_id, study_uid, patient_name, accession_number, study_date, study_time,
+  study_description FROM committed""", "committed")
+
+oracle("reidentify", """
+SELECT d.path, d.study_id, c.patient_id AS original_patient_id, c.study_uid AS original_study_uid
+FROM deid_files d JOIN committed c ON c.study_id = d.study_id
+WHERE c.patient_id IS NOT NULL""", "deid_files", "committed")
+
+# two runs: files before the cutoff, then all files against the updated registry
+cte("inc_ok1", """
+  SELECT f.* FROM ok_files f JOIN inst i ON i.path = f.path WHERE i.ts < TIMESTAMP '2024-01-16 00:00:00'""",
+    ["ok_files", "inst"])
+cte("inc_new1", """
+  SELECT study_uid, root_ord, path FROM (
+    SELECT study_uid, root_ord, path, row_number() OVER (PARTITION BY study_uid ORDER BY root_ord, path) AS rn
+    FROM inc_ok1) t
+  WHERE rn = 1 AND study_uid NOT IN (SELECT study_uid FROM reg_index)""", ["inc_ok1", "reg_index"])
+cte("inc_a1", """
+  SELECT n.study_uid, n.slot_row AS row_no, p.study_id FROM (
+    SELECT *, row_number() OVER (ORDER BY root_ord, path, study_uid) + (SELECT first_free_row FROM first_free) - 1 AS slot_row
+    FROM inc_new1) n
+  LEFT JOIN (SELECT row_no, study_id FROM pool WHERE study_id IS NOT NULL AND study_id <> '') p ON p.row_no = n.slot_row""",
+    ["inc_new1", "first_free", "pool"])
+cte("inc_index1", """
+  SELECT study_uid FROM reg_index UNION ALL SELECT study_uid FROM inc_a1 WHERE study_id IS NOT NULL""",
+    ["reg_index", "inc_a1"])
+cte("inc_ff1", """
+  SELECT coalesce(min(p.row_no) FILTER (WHERE NOT ((p.study_id IS NOT NULL AND p.patient_id IS NOT NULL) OR a.study_uid IS NOT NULL)
+                                     AND p.row_no BETWEEN 2 AND (SELECT n_study_ids + 1 FROM front)),
+                  (SELECT n_study_ids + 2 FROM front)) AS first_free_row
+  FROM pool p LEFT JOIN (SELECT * FROM inc_a1 WHERE study_id IS NOT NULL) a ON a.row_no = p.row_no""",
+    ["pool", "inc_a1", "front"])
+cte("inc_new2", """
+  SELECT study_uid, root_ord, path FROM (
+    SELECT study_uid, root_ord, path, row_number() OVER (PARTITION BY study_uid ORDER BY root_ord, path) AS rn
+    FROM ok_files) t
+  WHERE rn = 1 AND study_uid NOT IN (SELECT study_uid FROM inc_index1)""", ["ok_files", "inc_index1"])
+cte("inc_a2", """
+  SELECT n.study_uid, n.slot_row AS row_no, p.study_id FROM (
+    SELECT *, row_number() OVER (ORDER BY root_ord, path, study_uid) + (SELECT first_free_row FROM inc_ff1) - 1 AS slot_row
+    FROM inc_new2) n
+  LEFT JOIN (SELECT row_no, study_id FROM pool WHERE study_id IS NOT NULL AND study_id <> '') p ON p.row_no = n.slot_row""",
+    ["inc_new2", "inc_ff1", "pool"])
+
+oracle("incremental_assign", """
+SELECT study_uid, CAST(row_no AS BIGINT) AS row_no, study_id, 1 AS run FROM inc_a1
+UNION ALL SELECT study_uid, CAST(row_no AS BIGINT), study_id, 2 FROM inc_a2""", "inc_a1", "inc_a2")
+
+# ---- study ID pool -----------------------------------------------------------------
+cte("pool_req", """
+  SELECT CAST(count(DISTINCT study_uid) AS BIGINT) AS n, CAST(6760000 AS BIGINT) AS cap FROM ok_files""",
+    ["ok_files"])
+cte("pool_draws", """
+  SELECT code, min(draw) AS first_draw FROM (
+    SELECT draw, CAST('0x' || substr(sha256(concat('k:', CAST(draw AS VARCHAR))), 1, 15) AS BIGINT) % 6760000 AS code
+    FROM (SELECT unnest(range(2 * n + 64)) AS draw FROM pool_req) d) t
+  GROUP BY code""", ["pool_req"])
+cte("new_pool", """
+  SELECT code, first_draw, row_number() OVER (ORDER BY first_draw) AS idx FROM pool_draws
+  QUALIFY idx <= (SELECT n FROM pool_req)""", ["pool_draws", "pool_req"])
+
+oracle("id_pool", """
+SELECT CAST(idx + 1 AS BIGINT) AS row_no,
+  concat(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ', CAST(code // 260000 AS INT) + 1, 1),
+         substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ', CAST((code % 260000) // 10000 AS INT) + 1, 1),
+         lpad(CAST(code % 10000 AS VARCHAR), 4, '0')) AS study_id
+FROM new_pool""", "new_pool")
+
+oracle("id_pool_stats", """
+SELECT (SELECT n FROM pool_req) AS n_requested, '6760000' AS capacity,
+  CAST(count(*) AS BIGINT) AS n_ids, CAST(count(DISTINCT code) AS BIGINT) AS n_distinct,
+  CAST(max(first_draw) + 1 AS BIGINT) AS draws_used, CAST(max(first_draw) + 1 - count(*) AS BIGINT) AS collisions
+FROM new_pool""", "new_pool", "pool_req")
+
+oracle("mask_capacity", """
+SELECT root, mask, prefix, suffix, n, valid, CAST(cap AS VARCHAR) AS capacity, id_length, id_length > 16 AS too_long,
+  CASE WHEN NOT valid THEN 'invalid' WHEN n > cap THEN 'impossible' WHEN n > 0.98 * cap THEN 'slow' ELSE 'ok' END AS status
+FROM (
+  SELECT r.root, p.mask, p.prefix, p.suffix, r.n, p.valid, p.cap, p.id_length FROM (
+    SELECT root, CAST(count(DISTINCT study_uid) AS BIGINT) AS n FROM ok_files GROUP BY root) r
+  LEFT JOIN (VALUES ('root0', 'uudddd', '', '', true, 6760000, 6),
+                    ('root1', 'ldd', 'TEST-', 'END', true, 2600, 11),
+                    ('root2', 'd', '', '', true, 10, 1)) AS p(root, mask, prefix, suffix, valid, cap, id_length)
+  ON r.root = p.root) t""", "ok_files")
+
+oracle("study_create", """
+SELECT 'Fixture study' AS study_title, 'Fixture PI' AS pi, 'IRBcode1234' AS irb_code,
+  CAST(count(DISTINCT study_uid) AS BIGINT) AS n_study_ids, 'test_filev1' AS registry_name FROM ok_files""",
+       "ok_files")
+
+oracle("text_valid", """
+SELECT 'part' AS source, p_partkey AS key, p_name AS text, regexp_matches(replace(p_name, ' ', ''), '^\\p{L}+$') AS is_valid FROM part
+UNION ALL
+SELECT 'customer', c_custkey, c_name, regexp_matches(replace(c_name, ' ', ''), '^\\p{L}+$') FROM customer""")
+
+# ---- pixels ------------------------------------------------------------------------
+cte("pix_a", """
+  SELECT vec_id AS pair_id, pos AS i, pos // 8 AS r, pos % 8 AS c, CAST(floor(CAST(x AS DOUBLE) * 100) AS INT) AS a
+  FROM (SELECT vec_id, unnest(embedding) AS x, unnest(range(len(embedding))) AS pos FROM embeddings) t""")
+cte("pix", """
+  SELECT *, CASE WHEN pair_id % 3 = 0 AND (pair_id + i) % 37 = 0 THEN a + 1 ELSE a END AS b FROM pix_a""", ["pix_a"])
+
+oracle("pixel_diff", """
+SELECT pair_id, CAST(i AS BIGINT) AS i, CAST(r AS BIGINT) AS r, CAST(c AS BIGINT) AS c, a, b
+FROM pix WHERE a IS DISTINCT FROM b""", "pix")
+
+oracle("pixel_stats", """
+SELECT pair_id, CAST(count(*) AS BIGINT) AS n_pixels, CAST(count(*) FILTER (WHERE a IS DISTINCT FROM b) AS BIGINT) AS n_mismatch,
+  min(a) AS min_a, max(a) AS max_a, min(b) AS min_b, max(b) AS max_b
+FROM pix GROUP BY pair_id""", "pix")
+
+oracle("pixel_equal", """
+SELECT pair_id, true AS header_shape_equal, true AS array_shape_equal, bool_and(a = b) AS pixels_equal
+FROM pix GROUP BY pair_id""", "pix")
+
+# ---- tag edits, dump, log, report --------------------------------------------------
+cte("patches", """
+  SELECT concat('P', c_custkey) AS patient_id,
+    CASE WHEN c_custkey % 3 = 0 THEN '' ELSE concat('NEW', c_custkey) END AS new_accession FROM customer""")
+
+oracle("tag_patch", """
+SELECT t.path, t.patient_id, t.acc AS accession_before,
+  CASE WHEN p.new_accession <> '' THEN p.new_accession ELSE t.acc END AS accession_after
+FROM (SELECT path, max(value) FILTER (WHERE item = -1 AND tag = 1048608) AS patient_id,
+             max(value) FILTER (WHERE item = -1 AND tag = 524368) AS acc
+      FROM elements GROUP BY path) t
+JOIN patches p ON p.patient_id = t.patient_id""", "elements", "patches")
+
+cte("set_patches", """
+  SELECT concat('P', c_custkey) AS patient_id, concat('SET', c_custkey) AS new_value
+  FROM customer WHERE c_custkey % 2 = 0""")
+cte("set_files", """
+  SELECT path, max(value) FILTER (WHERE item = -1 AND tag = 1048608) AS patient_id,
+    bool_or(item = -1 AND tag = 524368) AS has_acc
+  FROM elements GROUP BY path""", ["elements"])
+
+oracle("tag_set", """
+SELECT f.path, f.patient_id, CASE WHEN f.has_acc THEN 'set' ELSE 'absent' END AS status,
+  CASE WHEN f.has_acc THEN s.new_value END AS value
+FROM set_files f JOIN set_patches s ON s.patient_id = f.patient_id
+UNION ALL
+SELECT NULL, s.patient_id, 'no_file', NULL FROM set_patches s
+WHERE s.patient_id NOT IN (SELECT patient_id FROM set_files WHERE patient_id IS NOT NULL)""",
+       "set_files", "set_patches")
+
+oracle("header_dump", """
+SELECT e.path, e.path || '.hdr.txt' AS out_path,
+  string_agg(CASE WHEN e.item >= 0 THEN '  ' ELSE '' END ||
+    printf('(%04X,%04X) %-35s %s: %s', e.tag // 65536, e.tag % 65536,
+      CASE WHEN coalesce(e.keyword, '') <> '' THEN e.keyword
+           WHEN (e.tag // 65536) % 2 = 1 THEN 'Private tag data' ELSE 'Unknown tag' END,
+      e.vr, coalesce(e.value, '')), chr(10) ORDER BY e.top_tag, e.item, e.tag) AS text
+FROM elements e JOIN inst i ON i.path = e.path WHERE i.parse_error IS NULL
+GROUP BY e.path""", "elements", "inst")
+
+oracle("audit_log", """
+SELECT CAST(row_number() OVER (ORDER BY ts, path) AS BIGINT) AS seq, strftime(ts, '%d-%m-%Y') AS log_date,
+  strftime(ts, '%H:%M:%S') AS log_time, level,
+  '(' || CASE level WHEN 1 THEN '' WHEN 2 THEN 'High' ELSE 'DEBUG' END || '): ' || message AS activity,
+  'fixture-user' AS "user", 'fixture-host' AS computer
+FROM (
+  SELECT i.ts, o.path,
+    CAST(CASE WHEN o.outcome IN ('skiplist', 'not_dicom', 'unreadable') THEN 1 WHEN o.outcome = 'no_uid' THEN 2 ELSE 3 END AS INTEGER) AS level,
+    coalesce(o.message, 'De-identified ' || o.fname) AS message
+  FROM outcomes o JOIN inst i ON i.path = o.path) t
+WHERE level <= 2""", "outcomes", "inst")
+
+oracle("run_report", """
+SELECT root, CAST(count(*) AS BIGINT) AS n_files,
+  CAST(count(*) FILTER (WHERE outcome IN ('no_uid', 'ok', 'exhausted')) AS BIGINT) AS n_valid,
+  CAST(count(*) FILTER (WHERE outcome IN ('skiplist', 'no_uid')) AS BIGINT) AS n_skipped,
+  CAST(count(*) FILTER (WHERE outcome IN ('not_dicom', 'unreadable')) AS BIGINT) AS n_non_dicom,
+  CAST(count(*) FILTER (WHERE outcome = 'ok') AS BIGINT) AS n_anonymised,
+  CAST(count(*) FILTER (WHERE outcome = 'exhausted') AS BIGINT) AS n_exhausted
+FROM final_outcomes GROUP BY ROLLUP (root)""", "final_outcomes")
+
+oracle("outcome_summary", """
+SELECT outcome, CAST(count(*) AS BIGINT) AS n_files, CAST(count(DISTINCT root) AS BIGINT) AS n_roots,
+  min(message) AS first_message, max(message) AS last_message
+FROM final_outcomes GROUP BY outcome""", "final_outcomes")
+
+oracle("header_table", f"SELECT path, {ELEMENT_COLS} FROM elements", "elements")
