@@ -35,6 +35,7 @@ HEADERS = T.StructType([
     T.StructField("path", T.StringType(), False),
     T.StructField("root", T.StringType(), False),
     T.StructField("root_ord", T.IntegerType(), False),
+    T.StructField("mtime", T.TimestampType(), True),
     T.StructField("magic", T.StringType(), True),
     T.StructField("parse_error", T.StringType(), True),
     T.StructField("elements", T.ArrayType(ELEMENT, False), True),

@@ -20,7 +20,7 @@ from incognita.functions.tags import element, has_top, is_top, top_value
 def _upsert(elements, t: int, keyword: str, vr: str, value):
     arr = F.array(F.lit(t).cast("bigint"))
     kept = F.filter(elements, lambda e: e["path_tags"][0] != F.lit(t))
-    return F.array_sort(F.concat(kept, F.array(element(arr, arr, F.lit(keyword), F.lit(vr), value))))
+    return F.sort_array(F.concat(kept, F.array(element(arr, arr, F.lit(keyword), F.lit(vr), value))))
 
 
 def with_key(headers: DataFrame, key_tag: int = model.PATIENT_ID, key: str = "patient_id") -> DataFrame:

@@ -73,7 +73,7 @@ def upsert_top_level(elements: Column | str, fixed: list[model.Fixed],
     for f in fixed:
         arr = F.array(F.lit(f.tag).cast("bigint"))
         new.append(element(arr, arr, F.lit(f.keyword), F.lit(f.vr), fixed_value(f, study_id, patient_name)))
-    return F.array_sort(F.concat(kept, F.array(*new)))
+    return F.sort_array(F.concat(kept, F.array(*new)))
 
 
 @dataclass(frozen=True)

@@ -33,7 +33,7 @@ def query(fn):
 
 
 def _front(spark: SparkSession, sf_dir: str) -> dict:
-    return fx.study_front(spark, sf_dir).first().asDict()
+    return fx._memo(spark, sf_dir, "front_row", lambda: fx.study_front(spark, sf_dir).first().asDict())
 
 
 def fixture_run(spark: SparkSession, sf_dir: str, slots: DataFrame | None = None) -> deid.Run:
@@ -201,8 +201,7 @@ INCREMENTAL_CUTOFF = "2024-01-16 00:00:00"
 def q_incremental_assign(spark, sf_dir):
     """Two runs against one registry: files up to the cutoff, then all files."""
     headers = fx.headers(spark, sf_dir)
-    ts = fx.inst(spark, sf_dir).select("path", "ts")
-    early = headers.join(ts.where(F.col("ts") < F.lit(INCREMENTAL_CUTOFF).cast("timestamp_ntz")), "path", "left_semi")
+    early = headers.where(F.col("mtime") < F.lit(INCREMENTAL_CUTOFF).cast("timestamp"))
     front = _front(spark, sf_dir)
     slots0 = fx.pool(spark, sf_dir)
     run1 = deid.plan(early, slots0, front)
@@ -336,7 +335,7 @@ AUDIT_USER, AUDIT_COMPUTER = "fixture-user", "fixture-host"
 
 @query
 def q_audit_log(spark, sf_dir):
-    outcomes = _classified(spark, sf_dir).join(fx.inst(spark, sf_dir).select("path", "ts"), "path")
+    outcomes = _classified(spark, sf_dir).withColumnRenamed("mtime", "ts")
     events = report.file_events(outcomes)
     return report.audit_log(events, AUDIT_LEVEL, 1, AUDIT_USER, AUDIT_COMPUTER)
 
