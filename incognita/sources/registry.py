@@ -62,7 +62,7 @@ def create(spark: SparkSession, root: str, title: str, pi: str, pool: DataFrame,
     slots.withColumn("v", F.lit(1)).write.partitionBy("v").mode("errorifexists").parquet(_path(root, "slots"))
     msg = creation_message or f"New Study Created. Title: {title}, PI: {pi}"
     append_log(spark, root, [(model.LOG_NORMAL, msg)], user, computer)
-    return load(spark, root)
+    return load(spark, root, check=False)
 
 
 def _conform(slots: DataFrame) -> DataFrame:

@@ -1,0 +1,53 @@
+"""Screening order, UID search and tag warnings."""
+
+from helpers import T, el, frame, header
+from incognita import model
+from incognita.operators import screen
+
+UID = model.STUDY_INSTANCE_UID
+
+
+def test_outcomes_in_order(spark):
+    full = [el([model.STUDY_DATE], "StudyDate", "DA", "1"), el([UID], "StudyInstanceUID", "UI", "1.2")]
+    rows = [
+        header("r/a/DICOMDIR", full, magic=None),                 # skip list wins over magic
+        header("r/a/dicomdir", full),                             # case-sensitive: processed
+        header("r/a/short.dcm", full, magic=None),                # short file
+        header("r/a/junk.dcm", full, magic="JUNK"),
+        header("r/a/bad.dcm", None, parse_error="truncated"),
+        header("r/a/nouid.dcm", [el([model.STUDY_DATE], "StudyDate", "DA", "1")]),
+        header("r/a/empty.dcm", [el([UID], "StudyInstanceUID", "UI", "")]),
+        header("r/a/nested.dcm", [el([T(8, 0x1110)], "ReferencedStudySequence", "SQ", ""),
+                                  el([T(8, 0x1110), 0, UID], "StudyInstanceUID", "UI", "9.9"),
+                                  el([UID], "StudyInstanceUID", "UI", "1.2")]),
+    ]
+    got = {r.path: (r.outcome, r.study_uid, r.message)
+           for r in screen.classify(frame(spark, rows)).collect()}
+    assert got["r/a/DICOMDIR"][0] == "skiplist" and got["r/a/DICOMDIR"][2] == "DICOMDIR"
+    assert got["r/a/dicomdir"][0] == "ok"
+    assert got["r/a/short.dcm"][0] == "not_dicom"
+    assert got["r/a/junk.dcm"][2] == "junk.dcm: fourcc failed- non-dicom"
+    assert got["r/a/bad.dcm"][0] == "unreadable"
+    assert got["r/a/nouid.dcm"][0] == "no_uid" and got["r/a/nouid.dcm"][2] == "nouid.dcm -No studyUID"
+    assert got["r/a/empty.dcm"][0] == "no_uid"
+    # first UID in preorder wins, even nested under a lower tag
+    assert got["r/a/nested.dcm"][:2] == ("ok", "9.9")
+
+
+def test_tag_warnings(spark):
+    rows = [
+        header("r/a/all.dcm", [el([model.ACCESSION_NUMBER], "AccessionNumber", "SH", ""),
+                               el([model.STUDY_DATE], "StudyDate", "DA", ""),
+                               el([model.PATIENT_NAME], "PatientName", "PN", ""),
+                               el([model.PATIENT_ID], "PatientID", "LO", ""),
+                               el([UID], "StudyInstanceUID", "UI", "1")]),
+        header("r/a/some.dcm", [el([T(8, 0x1110)], "ReferencedStudySequence", "SQ", ""),
+                                el([T(8, 0x1110), 0, model.PATIENT_ID], "PatientID", "LO", "nested"),
+                                el([UID], "StudyInstanceUID", "UI", "1")]),
+        header("r/a/junk.dcm", [], magic="JUNK"),
+    ]
+    got = {r.path: (r.missing_tags, r.n_missing)
+           for r in screen.tag_warnings(screen.classify(frame(spark, sorted(rows)))).collect()}
+    assert "r/a/all.dcm" not in got  # present but empty passes
+    assert got["r/a/some.dcm"] == ("PatientID PatientName AccessionNumber StudyDate", 4)
+    assert "r/a/junk.dcm" not in got
