@@ -87,3 +87,22 @@ def explode_elements(headers, *keep: str):
         F.element_at("pos", -1).alias("tag"),
         "keyword", "vr", "value",
     )
+
+
+def key_values(elements: Column | str = "elements") -> dict[str, Column]:
+    """Key column expressions: first StudyInstanceUID in preorder, top-level identifiers."""
+    out = {"study_uid": first_value_anywhere(elements, model.STUDY_INSTANCE_UID)}
+    out.update({c: top_value(elements, t) for c, t in model.KEY_TAGS.items()})
+    return out
+
+
+def with_keys(headers):
+    """Add (or refresh) the key columns from ``elements``; run when writing a header table."""
+    keys = key_values("elements")
+    rest = [c for c in headers.columns if c not in keys and c != "elements"]
+    return headers.select(*rest, *[v.alias(k) for k, v in keys.items()], "elements")
+
+
+def key_column(df, name: str) -> Column:
+    """A key column if the table has it, else the expression over ``elements``."""
+    return F.col(name) if name in df.columns else key_values("elements")[name]

@@ -31,6 +31,12 @@ ELEMENT = T.StructType([
     T.StructField("value", T.StringType(), True),
 ])
 
+# Key columns are copied out of ``elements`` when a header table is written, so
+# jobs that only need them (screening, study assignment, patches) read a few
+# narrow Parquet columns instead of every element array.
+KEY_COLUMNS = ["study_uid", "patient_name", "patient_id", "accession_number",
+               "study_date", "study_time", "study_description"]
+
 HEADERS = T.StructType([
     T.StructField("path", T.StringType(), False),
     T.StructField("root", T.StringType(), False),
@@ -38,6 +44,7 @@ HEADERS = T.StructType([
     T.StructField("mtime", T.TimestampType(), True),
     T.StructField("magic", T.StringType(), True),
     T.StructField("parse_error", T.StringType(), True),
+    *[T.StructField(c, T.StringType(), True) for c in KEY_COLUMNS],
     T.StructField("elements", T.ArrayType(ELEMENT, False), True),
 ])
 
@@ -131,6 +138,16 @@ PATIENT_ID = tag(0x0010, 0x0020)
 STUDY_INSTANCE_UID = tag(0x0020, 0x000D)
 REQUEST_ATTRIBUTES_SEQUENCE = tag(0x0040, 0x0275)
 
+# Top-level tag of each key column (study_uid is searched at every depth).
+KEY_TAGS = {
+    "patient_name": PATIENT_NAME,
+    "patient_id": PATIENT_ID,
+    "accession_number": ACCESSION_NUMBER,
+    "study_date": STUDY_DATE,
+    "study_time": STUDY_TIME,
+    "study_description": STUDY_DESCRIPTION,
+}
+
 KEYWORD_TAGS = {
     "StudyDate": STUDY_DATE,
     "StudyTime": STUDY_TIME,

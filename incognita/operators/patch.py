@@ -14,7 +14,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from incognita import model
-from incognita.functions.tags import element, has_top, is_top, top_value
+from incognita.functions.tags import element, has_top, is_top, key_column, top_value
+from incognita.operators.registry_ops import bounded_broadcast
+
+# Size bound per patch row (key, up to three values of at most 64 characters).
+PATCH_ROW_BYTES = 256
 
 
 def _upsert(elements, t: int, keyword: str, vr: str, value):
@@ -24,13 +28,24 @@ def _upsert(elements, t: int, keyword: str, vr: str, value):
 
 
 def with_key(headers: DataFrame, key_tag: int = model.PATIENT_ID, key: str = "patient_id") -> DataFrame:
+    if key in headers.columns and key in model.KEY_TAGS and model.KEY_TAGS[key] == key_tag:
+        return headers.withColumn(key, key_column(headers, key))
     return headers.withColumn(key, top_value("elements", key_tag))
 
 
+def _side(patches: DataFrame) -> DataFrame:
+    """The patch table, broadcast when its counted size fits the budget.
+
+    Otherwise the join shuffles on the key and AQE splits a hot key (one
+    patient holding many files) across tasks.
+    """
+    return bounded_broadcast(patches, patches.count(), PATCH_ROW_BYTES)
+
+
 def apply_patches(headers: DataFrame, patches: DataFrame, fields: dict[str, tuple[int, str, str]],
                   key: str = "patient_id", key_tag: int = model.PATIENT_ID) -> DataFrame:
     """``fields`` maps a patch column to (tag, keyword, vr); '' or NULL keeps the old value."""
-    j = with_key(headers, key_tag, key).join(patches, key, "inner")
+    j = with_key(headers, key_tag, key).join(_side(patches), key, "inner")
     out = F.col("elements")
     for column, (t, kw, vr) in fields.items():
         new = F.col(column)
@@ -45,7 +60,7 @@ def set_existing(headers: DataFrame, patches: DataFrame, t: int, value_col: str
     status: 'set' (changed), 'absent' (file lacks the tag), 'no_file' (no file has the key).
     """
     files = with_key(headers, key_tag, key)
-    j = files.join(patches, key, "inner")
+    j = files.join(_side(patches), key, "inner")
     present = has_top("elements", t)
     updated = F.transform("elements", lambda e: F.when(
         is_top(e) & (e["path_tags"][0] == F.lit(t)),

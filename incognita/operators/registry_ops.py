@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from incognita import model
 from incognita.functions.ranking import consecutive_index
-from incognita.functions.tags import top_value
+from incognita.functions.tags import key_column
 
 # Broadcast budget for registry-sized tables, and a per-row size bound used
 # with the registry's row count (UIDs are at most 64 characters, IDs 16).
@@ -90,14 +90,7 @@ def study_firsts(files: DataFrame) -> DataFrame:
     Partial aggregation runs map-side, so a study holding a large share of
     all files still reaches the shuffle as one row per map task.
     """
-    vals = {
-        "patient_name": top_value("elements", model.PATIENT_NAME, NIL),
-        "patient_id": top_value("elements", model.PATIENT_ID, NIL),
-        "accession_number": top_value("elements", model.ACCESSION_NUMBER, NIL),
-        "study_date": top_value("elements", model.STUDY_DATE, NIL),
-        "study_time": top_value("elements", model.STUDY_TIME, NIL),
-        "study_description": top_value("elements", model.STUDY_DESCRIPTION, NIL),
-    }
+    vals = {c: F.coalesce(key_column(files, c), F.lit(NIL)) for c in model.KEY_TAGS}
     first = F.min(F.struct(F.col("root_ord"), F.col("path"), *[v.alias(k) for k, v in vals.items()]))
     agg = files.groupBy("study_uid").agg(first.alias("f"))
     return agg.select("study_uid", "f.*")

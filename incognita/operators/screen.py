@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from incognita import model
-from incognita.functions.tags import first_value_anywhere, has_top
+from incognita.functions.tags import first_value_anywhere, has_top, key_column
 
 # Outcome labels, in the order the screens are applied.
 SKIPLIST, NOT_DICOM, UNREADABLE, NO_UID, OK = "skiplist", "not_dicom", "unreadable", "no_uid", "ok"
@@ -38,8 +38,7 @@ def study_uid(elements: Column | str = "elements") -> Column:
 def classify(headers: DataFrame) -> DataFrame:
     """Add ``study_uid``, ``outcome`` and ``message``; the first failing screen decides."""
     name = file_name("path")
-    uid = study_uid("elements")
-    out = headers.withColumn("study_uid", uid)
+    out = headers if "study_uid" in headers.columns else headers.withColumn("study_uid", study_uid("elements"))
     outcome = (F.when(name.isin(*model.SKIP_LIST), F.lit(SKIPLIST))
                .when(F.coalesce(F.col("magic"), F.lit("")) != model.MAGIC, F.lit(NOT_DICOM))
                .when(F.col("parse_error").isNotNull(), F.lit(UNREADABLE))

@@ -1,14 +1,15 @@
 """Batch de-identification as one Spark plan.
 
-    headers --classify (narrow)--> files with study_uid and outcome
-      ok files --groupBy study_uid (partial agg)--> first file per study
+    headers --classify (narrow; key columns only)--> files with study_uid and outcome
+      ok files --groupBy study_uid (partial agg)--> first file per study (materialised, counted)
         --left_anti registry index--> new studies
         --consecutive numbering--> k --equi-join slots on first_free+k-1--> assignments
-      ok files --join study map (broadcast when the registry bound allows)--> study_id
-        --scrub (narrow, array functions)--> de-identified headers
+      all files --join study map (<= counted batch studies; broadcast within budget)--> study_id
+        --scrub (narrow, array functions)--> de-identified headers; exhausted -> outcome
 
-Only the study-level steps shuffle; the per-file work is narrow. For real
-runs ``execute`` commits the registry before any output is written.
+Only study-level data shuffles; the per-file work is narrow, and the study
+pass reads only the key columns of a stored header table. ``plans.jobs``
+commits the registry before any output is written.
 """
 
 from __future__ import annotations
@@ -34,6 +35,7 @@ class Run:
     files: DataFrame           # ok files with study_id (NULL = exhausted)
     outcomes: DataFrame        # every file with its final outcome
     output: DataFrame          # de-identified files: path, root, out_path, study_id, elements
+    n_studies: int             # distinct studies among ok files (bounds the study map)
 
 
 def plan(headers: DataFrame, slots: DataFrame, front: dict, rules: Rules = DEFAULT_RULES,
@@ -46,26 +48,33 @@ def plan(headers: DataFrame, slots: DataFrame, front: dict, rules: Rules = DEFAU
     ok = classified.where(F.col("outcome") == screen.OK)
     stats = reg.registry_stats(slots, int(front["n_study_ids"]))
     index = reg.registry_index(slots)
-    firsts = reg.study_firsts(ok)
+    # Studies of this batch, materialised and counted: the count bounds every
+    # study-keyed table joined back to the files.
+    firsts = reg.study_firsts(ok).checkpoint(eager=True)
+    n_studies = max(firsts.count(), 1)
     new = reg.new_studies(firsts, index)
     if assignments is None:
         assignments = reg.assign_slots(new, slots, stats)
-    mapping = reg.study_map(index, assignments)
-    # Known studies plus new ones never exceed the slot rows.
-    files = reg.lookup(ok, mapping.select("study_uid", "study_id"), stats.bound)
+    batch_ids = firsts.select("study_uid")
+    known = index.join(reg.bounded_broadcast(batch_ids, n_studies), "study_uid", "left_semi")
+    mapping = reg.study_map(known, assignments)
+    # Every file gets its study's ID through one join keyed by study (broadcast
+    # while the counted batch studies fit the budget); no path-keyed shuffle.
+    labelled = reg.lookup(classified, mapping.select("study_uid", "study_id"), n_studies)
+    files = labelled.where(F.col("outcome") == screen.OK)
     irb = front.get("irb_code") or ""
     name = anon_name(F.lit(irb), F.col("root"))
     output = (files.where(F.col("study_id").isNotNull())
               .select("path", "root", output_path().alias("out_path"), "study_id",
                       scrub("elements", F.col("study_id"), name, rules).alias("elements")))
-    status = files.select("path", F.when(F.col("study_id").isNull(), F.lit(screen.EXHAUSTED))
-                          .otherwise(F.lit(screen.OK)).alias("_final"))
-    outcomes = (classified.join(status, "path", "left")
-                .withColumn("outcome", F.coalesce("_final", "outcome")).drop("_final")
-                .withColumn("message", F.when(F.col("outcome") == screen.EXHAUSTED,
-                                              F.concat(screen.file_name("path"), F.lit(" -no study ID left")))
-                            .otherwise(F.col("message"))))
-    return Run(classified, stats, index, firsts, new, assignments, files, outcomes, output)
+    exhausted = (F.col("outcome") == screen.OK) & F.col("study_id").isNull()
+    outcomes = (labelled
+                .withColumn("message", F.when(exhausted, F.concat(screen.file_name("path"),
+                                                                  F.lit(" -no study ID left")))
+                            .otherwise(F.col("message")))
+                .withColumn("outcome", F.when(exhausted, F.lit(screen.EXHAUSTED)).otherwise(F.col("outcome")))
+                .drop("study_id"))
+    return Run(classified, stats, index, firsts, new, assignments, files, outcomes, output, n_studies)
 
 
 def run_report(outcomes: DataFrame) -> DataFrame:

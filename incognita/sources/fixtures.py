@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from incognita import model
 from incognita.functions.masks import decode_code
-from incognita.functions.tags import element
+from incognita.functions.tags import element, with_keys
+from incognita.session import ensure_checkpoint_dir
 from incognita.sources.tables import read_table
 
 # Root directories of the fixture corpus, in argument order.
@@ -78,6 +79,18 @@ def _memo(spark: SparkSession, sf_dir: str, name: str, build):
     return _MEMO[key]
 
 
+def _table(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
+    """Write a derived fixture table once per session into the shared checkpoint
+    folder and read it back as Parquet (column pruning and pushed filters apply)."""
+    def make():
+        base = ensure_checkpoint_dir(spark).rstrip("/")
+        tag = "".join(ch if ch.isalnum() else "_" for ch in sf_dir.rstrip("/"))
+        path = f"{base}/incognita-fixtures/{spark.sparkContext.applicationId}/{tag}/{name}"
+        build().write.mode("overwrite").parquet(path)
+        return spark.read.parquet(path)
+    return _memo(spark, sf_dir, name, make)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Round-robin an input that arrives in fewer partitions than the cluster has cores.
 
@@ -117,13 +130,14 @@ def build_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per file in the canonical header schema (narrow projection of events)."""
     base = spread(inst(spark, sf_dir))
     arr = F.filter(F.array(*[_spec_element(*s) for s in ELEMENT_SPECS]), lambda e: e.isNotNull())
-    return base.select("path", "root", root_order().alias("root_ord"), F.col("ts").cast("timestamp").alias("mtime"),
-                       "magic", "parse_error", arr.alias("elements"))
+    return with_keys(base.select("path", "root", root_order().alias("root_ord"),
+                                 F.col("ts").cast("timestamp").alias("mtime"),
+                                 "magic", "parse_error", arr.alias("elements")))
 
 
 def headers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The fixture header table, materialised once per session (see ``_memo``)."""
-    return _memo(spark, sf_dir, "headers", lambda: build_headers(spark, sf_dir).checkpoint(eager=True))
+    """The fixture header table, written once per session (see ``_table``)."""
+    return _table(spark, sf_dir, "headers", lambda: build_headers(spark, sf_dir))
 
 
 def old_studies(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -139,7 +153,7 @@ def old_studies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Registry slots: codes from events, the first studies already assigned."""
-    return _memo(spark, sf_dir, "pool", lambda: build_pool(spark, sf_dir).checkpoint(eager=True))
+    return _table(spark, sf_dir, "pool", lambda: build_pool(spark, sf_dir))
 
 
 def build_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -181,7 +195,7 @@ def pool_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def study_front(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The registry's one-row front table for the fixture registry."""
-    return _memo(spark, sf_dir, "front", lambda: _build_front(spark, sf_dir).checkpoint(eager=True))
+    return _table(spark, sf_dir, "front", lambda: _build_front(spark, sf_dir))
 
 
 def _build_front(spark: SparkSession, sf_dir: str) -> DataFrame:
