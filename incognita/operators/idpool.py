@@ -100,6 +100,35 @@ def generate(spark: SparkSession, req: PoolRequest) -> DataFrame:
         "code", "first_draw")
 
 
+def extend(spark: SparkSession, existing: DataFrame, req: PoolRequest, first_row: int) -> DataFrame:
+    """``req.n`` more IDs, none equal to an ID of ``existing`` (its ``study_id`` column).
+
+    Draws run as in ``generate``; decoded IDs already in the pool are removed
+    with an anti-join (the pool's counted size decides broadcast or shuffle),
+    and the first ``req.n`` survivors in draw order take rows ``first_row``...
+    """
+    from incognita.operators.registry_ops import bounded_broadcast
+
+    req = req.checked()
+    cap = masks.capacity(req.mask)
+    taken = existing.select("study_id").where(F.col("study_id").isNotNull()).distinct()
+    m = taken.count()
+    if m + req.n > cap:
+        raise PoolRequestError(f"cannot add {req.n} IDs to a pool of {m}: format {req.mask!r} has {cap}")
+    n_draws = draws_for(min(m + req.n, cap - 1), cap) if m + req.n < cap else cap * 4
+    while True:
+        codes = first_draws(spark, req, n_draws).withColumn(
+            "study_id", masks.decode_code(F.col("code"), req.mask, req.prefix, req.suffix))
+        fresh = codes.join(bounded_broadcast(taken, m, 64), "study_id", "left_anti")
+        ranked = consecutive_index(fresh, ["first_draw"], name="idx")
+        got = ranked.agg(F.max("idx")).first()[0] or 0
+        if got >= req.n:
+            break
+        n_draws *= 2
+    return ranked.where(F.col("idx") <= req.n).select(
+        (F.col("idx") + first_row - 1).cast("bigint").alias("row_no"), "study_id", "code", "first_draw")
+
+
 def pool_stats(pool: DataFrame, req: PoolRequest) -> DataFrame:
     """Requested n, capacity, draws used and collisions (redraws) of a generated pool."""
     cap = masks.capacity(req.mask)

@@ -237,6 +237,16 @@ def q_id_pool_stats(spark, sf_dir):
     return idpool.pool_stats(idpool.generate(spark, req), req)
 
 
+@query
+def q_id_pool_extend(spark, sf_dir):
+    """Extend the registry's pool by one ID per new study of the corpus, avoiding existing IDs."""
+    run = fixture_run(spark, sf_dir)
+    pool = fx.pool(spark, sf_dir)
+    k = run.new.count()
+    req = idpool.PoolRequest(n=max(int(k), 1), mask=fx.POOL_MASK, secret=FIXTURE_SECRET)
+    return idpool.extend(spark, pool, req, run.stats.max_row + 1).select("row_no", "study_id")
+
+
 # Per-root pool requests: the mask, prefix and suffix are job parameters; n is
 # the number of studies found under the root.
 ROOT_REQUESTS = {"root0": ("uudddd", "", ""), "root1": ("ldd", "TEST-", "END"), "root2": ("d", "", "")}

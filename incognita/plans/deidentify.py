@@ -80,8 +80,9 @@ def plan(headers: DataFrame, slots: DataFrame, front: dict, rules: Rules = DEFAU
 def run_report(outcomes: DataFrame) -> DataFrame:
     """Counters per root and in total (``root`` NULL), as the reference prints them."""
     o = F.col("outcome")
-    return outcomes.rollup("root").agg(
+    return outcomes.withColumn("_dir", screen.parent_dir("path")).rollup("root").agg(
         F.count(F.lit(1)).alias("n_files"),
+        F.countDistinct("_dir").alias("n_dirs"),
         F.count(F.when(o.isin(screen.NO_UID, screen.OK, screen.EXHAUSTED), 1)).alias("n_valid"),
         F.count(F.when(o.isin(screen.SKIPLIST, screen.NO_UID), 1)).alias("n_skipped"),
         F.count(F.when(o.isin(screen.NOT_DICOM, screen.UNREADABLE), 1)).alias("n_non_dicom"),

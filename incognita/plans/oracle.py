@@ -411,6 +411,23 @@ SELECT (SELECT n FROM pool_req) AS n_requested, '6760000' AS capacity,
   CAST(max(first_draw) + 1 AS BIGINT) AS draws_used, CAST(max(first_draw) + 1 - count(*) AS BIGINT) AS collisions
 FROM new_pool""", "new_pool", "pool_req")
 
+cte("ext_req", """
+  SELECT CAST(count(*) AS BIGINT) AS k FROM new_studies""", ["new_studies"])
+cte("ext_codes", """
+  SELECT code, min(draw) AS first_draw,
+    concat(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ', CAST(code // 260000 AS INT) + 1, 1),
+           substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ', CAST((code % 260000) // 10000 AS INT) + 1, 1),
+           lpad(CAST(code % 10000 AS VARCHAR), 4, '0')) AS study_id
+  FROM (SELECT draw, CAST('0x' || substr(sha256(concat('k:', CAST(draw AS VARCHAR))), 1, 15) AS BIGINT) % 6760000 AS code
+        FROM (SELECT unnest(range(2 * (k + (SELECT count(*) FROM pool)) + 64)) AS draw FROM ext_req) d) t
+  GROUP BY code""", ["ext_req", "pool"])
+
+oracle("id_pool_extend", """
+SELECT CAST(rn + (SELECT max(row_no) FROM pool) AS BIGINT) AS row_no, study_id FROM (
+  SELECT study_id, row_number() OVER (ORDER BY first_draw) AS rn FROM ext_codes
+  WHERE study_id NOT IN (SELECT study_id FROM pool WHERE study_id IS NOT NULL)) t
+WHERE rn <= (SELECT k FROM ext_req)""", "ext_codes", "ext_req", "pool")
+
 oracle("mask_capacity", """
 SELECT root, mask, prefix, suffix, n, valid, CAST(cap AS VARCHAR) AS capacity, id_length, id_length > 16 AS too_long,
   CASE WHEN NOT valid THEN 'invalid' WHEN n > cap THEN 'impossible' WHEN n > 0.98 * cap THEN 'slow' ELSE 'ok' END AS status
@@ -506,6 +523,7 @@ WHERE level <= 2""", "outcomes", "inst")
 
 oracle("run_report", """
 SELECT root, CAST(count(*) AS BIGINT) AS n_files,
+  CAST(count(DISTINCT regexp_extract(path, '^(.*)/[^/]*$', 1)) AS BIGINT) AS n_dirs,
   CAST(count(*) FILTER (WHERE outcome IN ('no_uid', 'ok', 'exhausted')) AS BIGINT) AS n_valid,
   CAST(count(*) FILTER (WHERE outcome IN ('skiplist', 'no_uid')) AS BIGINT) AS n_skipped,
   CAST(count(*) FILTER (WHERE outcome IN ('not_dicom', 'unreadable')) AS BIGINT) AS n_non_dicom,
