@@ -429,7 +429,8 @@ SELECT CAST(rn + (SELECT max(row_no) FROM pool) AS BIGINT) AS row_no, study_id F
 WHERE rn <= (SELECT k FROM ext_req)""", "ext_codes", "ext_req", "pool")
 
 oracle("mask_capacity", """
-SELECT root, mask, prefix, suffix, n, valid, CAST(cap AS VARCHAR) AS capacity, id_length, id_length > 16 AS too_long,
+SELECT root, mask, prefix, suffix, n, valid, CAST(cap AS VARCHAR) AS capacity, CAST(id_length AS BIGINT) AS id_length,
+  id_length > 16 AS too_long,
   CASE WHEN NOT valid THEN 'invalid' WHEN n > cap THEN 'impossible' WHEN n > 0.98 * cap THEN 'slow' ELSE 'ok' END AS status
 FROM (
   SELECT r.root, p.mask, p.prefix, p.suffix, r.n, p.valid, p.cap, p.id_length FROM (
