@@ -127,3 +127,11 @@ def test_anon_name_and_output_path(spark):
     assert got == ["ptZERO", "patient-zero", "IRB7"]
     p = spark.createDataFrame([("/d/root", "/d/root/a/b/f.dcm")], "root string, path string")
     assert p.select(S.output_path()).first()[0] == "/d/root-anon/a/b/f.dcm"
+
+
+@pytest.mark.parametrize("rules", [S.DEFAULT_RULES, S.REFERENCE_LITERAL_RULES,
+                                   S.Rules(drop_private=False, drop_tags=(model.tag(0x0010, 0x0010), REQ))])
+def test_fused_scrub_equals_stepwise(hdr, rules):
+    a = elements_of(hdr.select(S.scrub("elements", F.lit("ID1"), F.lit("N"), rules).alias("elements")))
+    b = elements_of(hdr.select(S.scrub_stepwise("elements", F.lit("ID1"), F.lit("N"), rules).alias("elements")))
+    assert a == b
