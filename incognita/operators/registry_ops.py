@@ -125,14 +125,19 @@ def lookup(files: DataFrame, mapping: DataFrame, bound: int) -> DataFrame:
     return files.join(bounded_broadcast(mapping, bound), "study_uid", "left")
 
 
-def commit(slots: DataFrame, assignments: DataFrame, assigned_at: Column | None = None) -> DataFrame:
-    """Registry after the run: old rows plus the newly filled slots."""
+def commit(slots: DataFrame, assignments: DataFrame, assigned_at: Column | None = None,
+           bound: int | None = None) -> DataFrame:
+    """Registry after the run: old rows plus the newly filled slots.
+
+    ``bound`` is a proven upper bound on the assignments (the counted studies
+    of the batch); with it the new rows are broadcast into the slot table.
+    """
     assigned_at = F.current_timestamp() if assigned_at is None else assigned_at
     fresh = assignments.where(F.col("study_id").isNotNull()).select(
         "row_no",
         assigned_at.cast("timestamp").alias("_assigned_at"),
         *[F.col(c).alias("_" + c) for c in model.SLOT_VALUE_COLUMNS])
-    j = slots.join(fresh, "row_no", "left")
+    j = slots.join(bounded_broadcast(fresh, bound) if bound else fresh, "row_no", "left")
     is_new = F.col("_study_uid").isNotNull()
     cols = []
     for f in model.SLOTS.fields:

@@ -182,13 +182,13 @@ COMMIT_COLS = ["row_no", "study_id", "patient_id", "study_uid", "patient_name",
 @query
 def q_registry_commit(spark, sf_dir):
     run = fixture_run(spark, sf_dir)
-    return reg.commit(fx.pool(spark, sf_dir), run.assignments).select(*COMMIT_COLS)
+    return reg.commit(fx.pool(spark, sf_dir), run.assignments, bound=run.n_studies).select(*COMMIT_COLS)
 
 
 @query
 def q_reidentify(spark, sf_dir):
     run = fixture_run(spark, sf_dir)
-    committed = reg.commit(fx.pool(spark, sf_dir), run.assignments)
+    committed = reg.commit(fx.pool(spark, sf_dir), run.assignments, bound=run.n_studies)
     files = run.output.select("path", "study_id")
     return reg.reidentify(files, committed, run.stats.bound).select(
         "path", "study_id", "original_patient_id", "original_study_uid")
@@ -206,7 +206,7 @@ def q_incremental_assign(spark, sf_dir):
     slots0 = fx.pool(spark, sf_dir)
     run1 = deid.plan(early, slots0, front)
     a1 = run1.assignments.checkpoint()  # materialised, as a committed registry version would be
-    slots1 = reg.commit(slots0, a1)
+    slots1 = reg.commit(slots0, a1, bound=run1.n_studies)
     run2 = deid.plan(headers, slots1, front)
     a2 = run2.assignments
     cols = ["study_uid", "row_no", "study_id"]

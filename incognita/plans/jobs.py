@@ -62,7 +62,7 @@ def deidentify(spark: SparkSession, headers: DataFrame, registry_root: str, out_
     counts = first.assignments.agg(F.count(F.lit(1)).alias("n"),
                                    F.count(F.when(F.col("study_id").isNull(), 1)).alias("x")).first()
     if counts["n"] > counts["x"]:
-        new_slots = reg.commit(registry.slots, first.assignments)
+        new_slots = reg.commit(registry.slots, first.assignments, bound=first.n_studies)
         registry = store.commit(spark, registry, new_slots)
         events = fresh.select(F.current_timestamp().alias("ts"), F.col("study_uid").alias("ord"),
                               F.lit(model.LOG_NORMAL).alias("level"),

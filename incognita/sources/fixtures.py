@@ -185,12 +185,11 @@ def pool_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pool_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Row 11 repeats row 10's study UID."""
+    """Row 11 repeats row 10's study UID (one value read from the pool, no join)."""
     p = pool(spark, sf_dir)
-    row10 = p.where(F.col("row_no") == 10).select(F.col("study_uid").alias("_uid10"),
-                                                   F.lit(11).cast("bigint").alias("row_no"))
-    out = p.join(F.broadcast(row10), "row_no", "left")  # one-row side
-    return out.withColumn("study_uid", F.coalesce("_uid10", "study_uid")).drop("_uid10").select(*p.columns)
+    uid10 = p.where(F.col("row_no") == 10).select("study_uid").first()
+    return p.withColumn("study_uid", F.when(F.col("row_no") == 11, F.lit(uid10[0] if uid10 else None))
+                        .otherwise(F.col("study_uid")))
 
 
 def study_front(spark: SparkSession, sf_dir: str) -> DataFrame:
