@@ -226,3 +226,48 @@ def pixel_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select("pair_id", "a", b.alias("b"),
                         n_rows.alias("a_rows"), F.lit(8).alias("a_cols"),
                         n_rows.alias("b_rows"), F.lit(8).alias("b_cols"))
+
+
+# ---- volume corpus: one lineitem row = one file, one order = one study ---------
+# A third of all files (orders with orderkey % 3 = 0) share one hot study, to
+# exercise the skew path. Used by the bench.
+
+VOLUME_ROOTS = ["rootA", "rootN", "rootR"]
+
+VOLUME_SPECS = [
+    (524320, "StudyDate", "DA", "date_format(l_shipdate, 'yyyyMMdd')", None),
+    (524336, "StudyTime", "TM", "'120000'", None),
+    (524368, "AccessionNumber", "SH", "concat('A', l_orderkey, '-', l_linenumber)", None),
+    (524384, "Modality", "CS", "'CT'", None),
+    (1048592, "PatientName", "PN", "concat('SUPP^', l_suppkey)", None),
+    (1048608, "PatientID", "LO", "concat('S', l_suppkey)", None),
+    (1118209, "", "LO", "l_returnflag", None),
+    (2097165, "StudyInstanceUID", "UI",
+     "CASE WHEN l_orderkey % 3 = 0 THEN '2.25.0' ELSE concat('2.25.', l_orderkey) END", None),
+    (2097168, "StudyID", "SH", "concat('O', l_orderkey)", None),
+    (4194933, "RequestAttributesSequence", "SQ", "''", "l_linenumber = 2"),
+    (4235552, "DateTime", "DT", "date_format(l_shipdate, 'yyyyMMddHHmmss')", None),
+    (1342189568, "CurveData", "OW", "'curve'", "l_linenumber = 1"),
+]
+
+
+def build_volume_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = spread(read_table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_shipdate"))
+    elems = [_spec_element(t, -1, t, kw, vr, v, c) for t, kw, vr, v, c in VOLUME_SPECS]
+    nested = element(F.array(*[F.lit(x).cast("bigint") for x in (4194933, 0, 4198401)]),
+                     F.array(F.lit(4194933).cast("bigint"), F.lit(4198401).cast("bigint")),
+                     F.lit("RequestedProcedureID"), F.lit("SH"), F.concat(F.lit("RP"), F.col("l_orderkey")))
+    elems.insert(10, F.when(F.col("l_linenumber") == 2, nested))
+    arr = F.filter(F.array(*elems), lambda e: e.isNotNull())
+    root = F.concat(F.lit("root"), F.col("l_returnflag"))
+    ordn = F.when(F.col("l_returnflag") == "A", 0).when(F.col("l_returnflag") == "N", 1).otherwise(2)
+    path = F.concat(root, F.lit("/o"), F.col("l_orderkey"), F.lit("/l"), F.col("l_linenumber"), F.lit("_"),
+                    F.col("l_partkey"), F.lit("_"), F.col("l_suppkey"), F.lit(".dcm"))
+    return with_keys(li.select(path.alias("path"), root.alias("root"), ordn.cast("int").alias("root_ord"),
+                               F.col("l_shipdate").cast("timestamp").alias("mtime"), F.lit("DICM").alias("magic"),
+                               F.lit(None).cast("string").alias("parse_error"), arr.alias("elements")))
+
+
+def volume_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "volume_headers", lambda: build_volume_headers(spark, sf_dir))
