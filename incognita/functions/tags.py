@@ -91,7 +91,8 @@ def explode_elements(headers, *keep: str):
 
 def key_values(elements: Column | str = "elements") -> dict[str, Column]:
     """Key column expressions: first StudyInstanceUID in preorder, top-level identifiers."""
-    out = {"study_uid": first_value_anywhere(elements, model.STUDY_INSTANCE_UID)}
+    out = {"study_uid": first_value_anywhere(elements, model.STUDY_INSTANCE_UID),
+           "top_study_uid": top_value(elements, model.STUDY_INSTANCE_UID)}
     out.update({c: top_value(elements, t) for c, t in model.KEY_TAGS.items()})
     return out
 

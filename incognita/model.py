@@ -34,7 +34,7 @@ ELEMENT = T.StructType([
 # Key columns are copied out of ``elements`` when a header table is written, so
 # jobs that only need them (screening, study assignment, patches) read a few
 # narrow Parquet columns instead of every element array.
-KEY_COLUMNS = ["study_uid", "patient_name", "patient_id", "accession_number",
+KEY_COLUMNS = ["study_uid", "top_study_uid", "patient_name", "patient_id", "accession_number",
                "study_date", "study_time", "study_description"]
 
 HEADERS = T.StructType([
@@ -138,7 +138,8 @@ PATIENT_ID = tag(0x0010, 0x0020)
 STUDY_INSTANCE_UID = tag(0x0020, 0x000D)
 REQUEST_ATTRIBUTES_SEQUENCE = tag(0x0040, 0x0275)
 
-# Top-level tag of each key column (study_uid is searched at every depth).
+# Top-level tag of each key column (study_uid is searched at every depth;
+# top_study_uid is the top-level one, used only for presence checks).
 KEY_TAGS = {
     "patient_name": PATIENT_NAME,
     "patient_id": PATIENT_ID,
@@ -148,6 +149,15 @@ KEY_TAGS = {
     "study_description": STUDY_DESCRIPTION,
 }
 
+# Key column holding the top-level value of each checklist keyword.
+CHECKLIST_KEYS = {
+    "PatientID": "patient_id",
+    "PatientName": "patient_name",
+    "AccessionNumber": "accession_number",
+    "StudyInstanceUID": "top_study_uid",
+    "StudyDate": "study_date",
+}
+
 KEYWORD_TAGS = {
     "StudyDate": STUDY_DATE,
     "StudyTime": STUDY_TIME,

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from incognita import model
-from incognita.functions.tags import first_value_anywhere, has_top, key_column
+from incognita.functions.tags import first_value_anywhere, has_top
 
 # Outcome labels, in the order the screens are applied.
 SKIPLIST, NOT_DICOM, UNREADABLE, NO_UID, OK = "skiplist", "not_dicom", "unreadable", "no_uid", "ok"
@@ -57,15 +57,20 @@ def loaded(classified: DataFrame) -> Column:
     return F.col("outcome").isin(NO_UID, OK)
 
 
-def missing_checklist(elements: Column | str = "elements") -> Column:
-    """Checklist keywords absent at top level, in checklist order (present-but-empty passes)."""
-    return F.array_compact(F.array(*[
-        F.when(~has_top(elements, model.KEYWORD_TAGS[k]), F.lit(k)) for k in model.TAG_CHECKLIST]))
+def missing_checklist(df: DataFrame) -> Column:
+    """Checklist keywords absent at top level, in checklist order (present-but-empty passes).
+
+    Uses the key columns when the table has them (no element arrays read).
+    """
+    def absent(k):
+        key = model.CHECKLIST_KEYS[k]
+        return F.col(key).isNull() if key in df.columns else ~has_top("elements", model.KEYWORD_TAGS[k])
+    return F.array_compact(F.array(*[F.when(absent(k), F.lit(k)) for k in model.TAG_CHECKLIST]))
 
 
 def tag_warnings(classified: DataFrame) -> DataFrame:
     """One row per loaded file with at least one missing checklist tag."""
-    w = classified.where(loaded(classified)).select("path", missing_checklist().alias("missing"))
+    w = classified.where(loaded(classified)).select("path", missing_checklist(classified).alias("missing"))
     return w.where(F.size("missing") > 0).select(
         "path",
         F.array_join("missing", " ").alias("missing_tags"),

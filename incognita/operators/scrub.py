@@ -54,6 +54,30 @@ def replace_by_vr(elements: Column | str, replacements: dict[str, str] | None =
     return F.transform(col(elements), rewrite)
 
 
+def _sql_str(v: str) -> str:
+    return "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def fixed_elements(fixed: list[model.Fixed], study_id: Column, patient_name: Column) -> Column:
+    """The upserted elements as one array: constant ones parsed once as a SQL literal."""
+    const = [f for f in fixed if f.value not in (model.STUDY_ID_VALUE, model.PATIENT_NAME_VALUE)]
+    dyn = [f for f in fixed if f.value in (model.STUDY_ID_VALUE, model.PATIENT_NAME_VALUE)]
+    parts = []
+    if const:
+        items = ", ".join(
+            f"named_struct('pos', array(CAST({f.tag} AS BIGINT)), 'path_tags', array(CAST({f.tag} AS BIGINT)), "
+            f"'keyword', {_sql_str(f.keyword)}, 'vr', {_sql_str(f.vr)}, 'value', {_sql_str(f.value)})"
+            for f in const)
+        parts.append(F.expr(f"array({items})"))
+    if dyn:
+        arrs = []
+        for f in dyn:
+            arr = F.array(F.lit(f.tag).cast("bigint"))
+            arrs.append(element(arr, arr, F.lit(f.keyword), F.lit(f.vr), fixed_value(f, study_id, patient_name)))
+        parts.append(F.array(*arrs))
+    return parts[0] if len(parts) == 1 else F.concat(*parts)
+
+
 def fixed_value(f: model.Fixed, study_id: Column, patient_name: Column) -> Column:
     if f.value == model.STUDY_ID_VALUE:
         return study_id.cast("string")
@@ -69,11 +93,7 @@ def upsert_top_level(elements: Column | str, fixed: list[model.Fixed],
         return col(elements)
     tags = [F.lit(f.tag).cast("bigint") for f in fixed]
     kept = F.filter(col(elements), lambda e: ~e["path_tags"][0].isin(*tags))
-    new = []
-    for f in fixed:
-        arr = F.array(F.lit(f.tag).cast("bigint"))
-        new.append(element(arr, arr, F.lit(f.keyword), F.lit(f.vr), fixed_value(f, study_id, patient_name)))
-    return F.sort_array(F.concat(kept, F.array(*new)))
+    return F.sort_array(F.concat(kept, fixed_elements(fixed, study_id, patient_name)))
 
 
 @dataclass(frozen=True)
@@ -156,11 +176,7 @@ def scrub(elements: Column | str, study_id: Column | None = None, patient_name:
     out = replace_by_vr(F.filter(col(elements), keep), rules.vr_values)
     if not fixed:
         return out
-    new = []
-    for f in fixed:
-        arr = F.array(F.lit(f.tag).cast("bigint"))
-        new.append(element(arr, arr, F.lit(f.keyword), F.lit(f.vr), fixed_value(f, study_id, patient_name)))
-    return F.sort_array(F.concat(out, F.array(*new)))
+    return F.sort_array(F.concat(out, fixed_elements(fixed, study_id, patient_name)))
 
 
 def scrub_stepwise(elements: Column | str, study_id: Column | None = None, patient_name: Column | None = None,

@@ -88,14 +88,14 @@ def q_study_uid(spark, sf_dir):
 @query
 def q_header_pivot(spark, sf_dir):
     h = fx.headers(spark, sf_dir)
-    return h.select("path", *[top_value("elements", t, reg.NIL).alias(c) for c, t in PIVOT_TAGS.items()])
+    return h.select("path", *[F.coalesce(F.col(k), F.lit(reg.NIL)).alias(c) for c, k in PIVOT_KEYS.items()])
 
 
-PIVOT_TAGS = {
-    "patient_name": model.PATIENT_NAME, "patient_id": model.PATIENT_ID,
-    "accession_number": model.ACCESSION_NUMBER, "study_date": model.STUDY_DATE,
-    "study_time": model.STUDY_TIME, "study_uid": model.STUDY_INSTANCE_UID,
-    "study_description": model.STUDY_DESCRIPTION,
+# Safe top-level reads (absent -> 'Nil') served from the key columns.
+PIVOT_KEYS = {
+    "patient_name": "patient_name", "patient_id": "patient_id", "accession_number": "accession_number",
+    "study_date": "study_date", "study_time": "study_time", "study_uid": "top_study_uid",
+    "study_description": "study_description",
 }
 
 

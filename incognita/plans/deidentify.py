@@ -14,7 +14,7 @@ commits the registry before any output is written.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,8 +34,17 @@ class Run:
     assignments: DataFrame     # new studies with their slot (study_id NULL = exhausted)
     files: DataFrame           # ok files with study_id (NULL = exhausted)
     outcomes: DataFrame        # every file with its final outcome
-    output: DataFrame          # de-identified files: path, root, out_path, study_id, elements
     n_studies: int             # distinct studies among ok files (bounds the study map)
+    irb_code: str = ""
+    rules: Rules = field(default=DEFAULT_RULES)
+
+    @property
+    def output(self) -> DataFrame:
+        """De-identified files: path, root, out_path, study_id, elements (built on use)."""
+        name = anon_name(F.lit(self.irb_code), F.col("root"))
+        return (self.files.where(F.col("study_id").isNotNull())
+                .select("path", "root", output_path().alias("out_path"), "study_id",
+                        scrub("elements", F.col("study_id"), name, self.rules).alias("elements")))
 
 
 def plan(headers: DataFrame, slots: DataFrame, front: dict, rules: Rules = DEFAULT_RULES,
@@ -63,10 +72,6 @@ def plan(headers: DataFrame, slots: DataFrame, front: dict, rules: Rules = DEFAU
     labelled = reg.lookup(classified, mapping.select("study_uid", "study_id"), n_studies)
     files = labelled.where(F.col("outcome") == screen.OK)
     irb = front.get("irb_code") or ""
-    name = anon_name(F.lit(irb), F.col("root"))
-    output = (files.where(F.col("study_id").isNotNull())
-              .select("path", "root", output_path().alias("out_path"), "study_id",
-                      scrub("elements", F.col("study_id"), name, rules).alias("elements")))
     exhausted = (F.col("outcome") == screen.OK) & F.col("study_id").isNull()
     outcomes = (labelled
                 .withColumn("message", F.when(exhausted, F.concat(screen.file_name("path"),
@@ -74,7 +79,7 @@ def plan(headers: DataFrame, slots: DataFrame, front: dict, rules: Rules = DEFAU
                             .otherwise(F.col("message")))
                 .withColumn("outcome", F.when(exhausted, F.lit(screen.EXHAUSTED)).otherwise(F.col("outcome")))
                 .drop("study_id"))
-    return Run(classified, stats, index, firsts, new, assignments, files, outcomes, output, n_studies)
+    return Run(classified, stats, index, firsts, new, assignments, files, outcomes, n_studies, irb, rules)
 
 
 def run_report(outcomes: DataFrame) -> DataFrame:
