@@ -49,9 +49,3 @@ def audit_log(events: DataFrame, global_level: int = model.LOG_NORMAL, first_seq
         F.col("level").cast("int").alias("level"),
         activity(F.col("level"), F.col("message")).alias("activity"),
         F.lit(user).alias("user"), F.lit(computer).alias("computer"))
-
-
-def lifecycle_event(spark, message: str, level: int = model.LOG_NORMAL) -> DataFrame:
-    """A single run-level event (session start/end, registry created)."""
-    return spark.range(1).select(F.current_timestamp().alias("ts"), F.lit("").alias("ord"),
-                                 F.lit(level).alias("level"), F.lit(message).alias("message"))

@@ -52,7 +52,7 @@ def classify(headers: DataFrame) -> DataFrame:
     return out.withColumn("message", message)
 
 
-def loaded(classified: DataFrame) -> Column:
+def loaded() -> Column:
     """Files whose header was read (they get tag warnings and count as valid)."""
     return F.col("outcome").isin(NO_UID, OK)
 
@@ -70,7 +70,7 @@ def missing_checklist(df: DataFrame) -> Column:
 
 def tag_warnings(classified: DataFrame) -> DataFrame:
     """One row per loaded file with at least one missing checklist tag."""
-    w = classified.where(loaded(classified)).select("path", missing_checklist(classified).alias("missing"))
+    w = classified.where(loaded()).select("path", missing_checklist(classified).alias("missing"))
     return w.where(F.size("missing") > 0).select(
         "path",
         F.array_join("missing", " ").alias("missing_tags"),

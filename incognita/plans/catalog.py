@@ -42,9 +42,6 @@ def fixture_run(spark: SparkSession, sf_dir: str, slots: DataFrame | None = None
     return deid.plan(headers, slots, _front(spark, sf_dir))
 
 
-ELEMENT_OUT = ["top_tag", "item", "tag", "keyword", "vr", "value"]
-
-
 @query
 def q_deidentify(spark, sf_dir):
     run = fixture_run(spark, sf_dir)

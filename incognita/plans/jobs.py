@@ -44,10 +44,10 @@ def create_study(spark: SparkSession, registry_root: str, title: str, pi: str,
     req = request.checked()
     pool = idpool.generate(spark, req)
     slots = idpool.empty_slots(pool)
-    msg = (f"New Study Created. Title: {title}, PI: {pi}. Number of studyIDs: {req.n} "
-           f"Prefix: \"{req.prefix}\" Format: \"{req.mask}\" Suffix: \"{req.suffix}\"")
+    lines = [f"New Study Created. Title: {title}, PI: {pi}",
+             f"Number of studyIDs:{req.n} Prefix: \"{req.prefix}\" Format: \"{req.mask}\"{req.suffix}"]
     return store.create(spark, registry_root, title, pi, slots, req.n, user=user, computer=computer,
-                        creation_message=msg)
+                        creation_messages=lines)
 
 
 def deidentify(spark: SparkSession, headers: DataFrame, registry_root: str, out_dir: str, run_id: str,

@@ -21,9 +21,6 @@ from pyspark.sql import functions as F
 from incognita import model
 from incognita.operators import registry_ops as reg
 
-PARTS = ("study", "slots", "audit_log")
-
-
 class RegistryError(RuntimeError):
     pass
 
@@ -52,7 +49,7 @@ def _versions(spark: SparkSession, root: str) -> list[int]:
 
 def create(spark: SparkSession, root: str, title: str, pi: str, pool: DataFrame, n_study_ids: int,
            irb_code: str = model.DEFAULT_IRB_CODE, user: str = "", computer: str = "",
-           creation_message: str | None = None) -> Registry:
+           creation_messages: list[str] | None = None) -> Registry:
     """Write a new registry: front table, slot version 1 and the creation log lines."""
     if _versions(spark, root):
         raise RegistryError(f"registry {root} already exists")
@@ -60,8 +57,8 @@ def create(spark: SparkSession, root: str, title: str, pi: str, pool: DataFrame,
     front.coalesce(1).write.mode("errorifexists").parquet(_path(root, "study"))
     slots = _conform(pool)
     slots.withColumn("v", F.lit(1)).write.partitionBy("v").mode("errorifexists").parquet(_path(root, "slots"))
-    msg = creation_message or f"New Study Created. Title: {title}, PI: {pi}"
-    append_log(spark, root, [(model.LOG_NORMAL, msg)], user, computer)
+    msgs = creation_messages or [f"New Study Created. Title: {title}, PI: {pi}"]
+    append_log(spark, root, [(model.LOG_NORMAL, m) for m in msgs], user, computer)
     return load(spark, root, check=False)
 
 

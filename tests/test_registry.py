@@ -4,7 +4,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
-from incognita import model
 from incognita.operators import registry_ops as reg
 from incognita.plans import deidentify as deid
 from incognita.sources import fixtures as fx
