@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from incognita import model
 from incognita.functions.masks import decode_code
 from incognita.functions.tags import element, with_keys
-from incognita.session import ensure_checkpoint_dir
+from incognita.session import app_id, ensure_checkpoint_dir
 from incognita.sources.tables import read_table
 
 # Root directories of the fixture corpus, in argument order.
@@ -73,7 +73,7 @@ def _memo(spark: SparkSession, sf_dir: str, name: str, build):
     """
     src = f"{sf_dir.rstrip('/')}/events.parquet"
     stamp = os.stat(src).st_mtime_ns if os.path.exists(src) else 0
-    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), stamp, name)
+    key = (app_id(spark), sf_dir.rstrip("/"), stamp, name)
     if key not in _MEMO:
         _MEMO[key] = build()
     return _MEMO[key]
@@ -85,7 +85,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
     def make():
         base = ensure_checkpoint_dir(spark).rstrip("/")
         tag = "".join(ch if ch.isalnum() else "_" for ch in sf_dir.rstrip("/"))
-        path = f"{base}/incognita-fixtures/{spark.sparkContext.applicationId}/{tag}/{name}"
+        path = f"{base}/incognita-fixtures/{app_id(spark)}/{tag}/{name}"
         build().write.mode("overwrite").parquet(path)
         return spark.read.parquet(path)
     return _memo(spark, sf_dir, name, make)
@@ -97,8 +97,12 @@ def spread(df: DataFrame) -> DataFrame:
     Small test tables are a single Parquet row group (one task); at scale the
     scan already has many partitions and this is a no-op (no shuffle added).
     """
-    target = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
+    try:
+        target = df.sparkSession.sparkContext.defaultParallelism
+        current = df.rdd.getNumPartitions()  # planning only, no job
+    except Exception:  # noqa: BLE001 - Spark Connect: leave partitioning to the server
+        return df
+    return df.repartition(target) if current < target else df
 
 
 def inst(spark: SparkSession, sf_dir: str) -> DataFrame:
