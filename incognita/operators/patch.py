@@ -68,7 +68,9 @@ def set_existing(headers: DataFrame, patches: DataFrame, t: int, value_col: str
     hit = j.select("path", key,
                    F.when(present, F.lit("set")).otherwise(F.lit("absent")).alias("status"),
                    top_value(updated, t).alias("value"))
-    orphans = patches.join(files.select(key), key, "left_anti").select(
+    # Distinct keys first: map-side partial aggregation collapses a patient
+    # holding many files to one row per task before the anti-join shuffle.
+    orphans = patches.join(files.select(key).distinct(), key, "left_anti").select(
         F.lit(None).cast("string").alias("path"), key, F.lit("no_file").alias("status"),
         F.lit(None).cast("string").alias("value"))
     return hit.unionByName(orphans)
