@@ -25,8 +25,10 @@ from incognita.functions.tags import key_column
 # Broadcast budget for registry-sized tables, and a per-row size bound used
 # with the registry's row count (UIDs are at most 64 characters, IDs 16).
 BROADCAST_BUDGET_KEY = "incognita.broadcast.maxBytes"
-DEFAULT_BROADCAST_BUDGET = 64 * 1024 * 1024
+DEFAULT_BROADCAST_BUDGET = 128 * 1024 * 1024
 REGISTRY_ROW_BYTES = 256
+MAX_ID_BYTES = 64          # study IDs: prefix + mask + suffix (16 by the DICOM limit)
+ROW_OVERHEAD_BYTES = 48    # hashed-relation row overhead
 
 NIL = "Nil"
 
@@ -120,9 +122,9 @@ def study_map(index: DataFrame, assignments: DataFrame) -> DataFrame:
     return known.unionByName(fresh)
 
 
-def lookup(files: DataFrame, mapping: DataFrame, bound: int) -> DataFrame:
+def lookup(files: DataFrame, mapping: DataFrame, bound: int, row_bytes: int = REGISTRY_ROW_BYTES) -> DataFrame:
     """Attach study_id / row_no to each file by its study UID (left join)."""
-    return files.join(bounded_broadcast(mapping, bound), "study_uid", "left")
+    return files.join(bounded_broadcast(mapping, bound, row_bytes), "study_uid", "left")
 
 
 def commit(slots: DataFrame, assignments: DataFrame, assigned_at: Column | None = None,

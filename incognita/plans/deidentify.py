@@ -60,16 +60,21 @@ def plan(headers: DataFrame, slots: DataFrame, front: dict, rules: Rules = DEFAU
     # Studies of this batch, materialised and counted: the count bounds every
     # study-keyed table joined back to the files.
     firsts = reg.study_firsts(ok).checkpoint(eager=True)
-    n_studies = max(firsts.count(), 1)
+    size = firsts.agg(F.count(F.lit(1)).alias("n"), F.max(F.length("study_uid")).alias("w")).first()
+    n_studies = max(int(size["n"]), 1)
+    # Row-size bound of the study map: the longest UID of the batch plus an ID
+    # of at most MAX_ID_BYTES and per-row overhead.
+    map_row_bytes = int(size["w"] or 0) + reg.MAX_ID_BYTES + reg.ROW_OVERHEAD_BYTES
     new = reg.new_studies(firsts, index)
     if assignments is None:
         assignments = reg.assign_slots(new, slots, stats)
     batch_ids = firsts.select("study_uid")
-    known = index.join(reg.bounded_broadcast(batch_ids, n_studies), "study_uid", "left_semi")
+    known = index.join(reg.bounded_broadcast(batch_ids, n_studies, map_row_bytes), "study_uid", "left_semi")
     mapping = reg.study_map(known, assignments)
     # Every file gets its study's ID through one join keyed by study (broadcast
     # while the counted batch studies fit the budget); no path-keyed shuffle.
-    labelled = reg.lookup(classified, mapping.select("study_uid", "study_id"), n_studies)
+    # Past the budget the join shuffles on study_uid and AQE splits hot studies.
+    labelled = reg.lookup(classified, mapping.select("study_uid", "study_id"), n_studies, map_row_bytes)
     files = labelled.where(F.col("outcome") == screen.OK)
     irb = front.get("irb_code") or ""
     exhausted = (F.col("outcome") == screen.OK) & F.col("study_id").isNull()
