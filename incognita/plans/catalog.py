@@ -361,3 +361,25 @@ def q_outcome_summary(spark, sf_dir):
 def q_header_table(spark, sf_dir):
     """The canonical header table, one row per element (the analyst's long form)."""
     return explode_elements(fx.headers(spark, sf_dir), "path")
+
+
+VOLUME_IRB = "IRB-V"
+
+
+@query
+def q_deidentify_volume(spark, sf_dir):
+    """Lineitem rows as files (a third in one study) through a fresh registry sized to the corpus.
+
+    One row per assigned study ID: files, elements and value characters after the scrub.
+    """
+    vh = fx.volume_headers(spark, sf_dir)
+    n = vh.where(F.col("study_uid").isNotNull()).agg(F.countDistinct("study_uid")).first()[0]
+    req = idpool.PoolRequest(n=int(n), mask=CORPUS_MASK, secret=FIXTURE_SECRET)
+    slots = idpool.empty_slots(idpool.generate(spark, req))
+    run = deid.plan(vh, slots, {"n_study_ids": int(n), "irb_code": VOLUME_IRB})
+    chars = F.aggregate("elements", F.lit(0).cast("bigint"),
+                        lambda acc, e: acc + F.coalesce(F.length(e["value"]), F.lit(0)).cast("bigint"))
+    return run.output.groupBy("study_id").agg(
+        F.count(F.lit(1)).alias("n_files"),
+        F.sum(F.size("elements")).cast("bigint").alias("n_elements"),
+        F.sum(chars).cast("bigint").alias("value_chars"))

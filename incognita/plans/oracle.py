@@ -538,3 +538,60 @@ SELECT outcome, CAST(count(*) AS BIGINT) AS n_files, CAST(count(DISTINCT root) A
 FROM final_outcomes GROUP BY outcome""", "final_outcomes")
 
 oracle("header_table", f"SELECT path, {ELEMENT_COLS} FROM elements", "elements")
+
+
+# ---- volume corpus: lineitem rows as files ------------------------------------------
+cte("v_inst", """
+  SELECT concat('root', l_returnflag) AS root,
+    CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS root_ord,
+    concat('root', l_returnflag, '/o', l_orderkey, '/l', l_linenumber, '_', l_partkey, '_', l_suppkey, '.dcm') AS path,
+    CASE WHEN l_orderkey % 3 = 0 THEN '2.25.0' ELSE concat('2.25.', l_orderkey) END AS uid,
+    l_orderkey, l_linenumber, l_suppkey, l_returnflag, l_shipdate
+  FROM lineitem""")
+
+# kept original elements after the scrub (private, curve, request sequence and
+# fixed top-level tags removed; PN/DA/TM replaced)
+cte("v_kept", """
+  SELECT uid, 'DA' AS vr, '' AS value FROM v_inst
+  UNION ALL SELECT uid, 'TM', '' FROM v_inst
+  UNION ALL SELECT uid, 'CS', 'CT' FROM v_inst
+  UNION ALL SELECT uid, 'UI', uid FROM v_inst
+  UNION ALL SELECT uid, 'DT', strftime(l_shipdate, '%Y%m%d%H%M%S') FROM v_inst""", ["v_inst"])
+
+cte("v_firsts", """
+  SELECT uid, root_ord, path FROM (
+    SELECT uid, root_ord, path, row_number() OVER (PARTITION BY uid ORDER BY root_ord, path) AS rn FROM v_inst) t
+  WHERE rn = 1""", ["v_inst"])
+
+cte("v_req", "SELECT CAST(count(DISTINCT uid) AS BIGINT) AS n FROM v_inst", ["v_inst"])
+
+cte("v_pool", """
+  SELECT CAST(idx + 1 AS BIGINT) AS row_no,
+    concat(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ', CAST(code // 260000 AS INT) + 1, 1),
+           substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ', CAST((code % 260000) // 10000 AS INT) + 1, 1),
+           lpad(CAST(code % 10000 AS VARCHAR), 4, '0')) AS study_id
+  FROM (
+    SELECT code, row_number() OVER (ORDER BY first_draw) AS idx FROM (
+      SELECT code, min(draw) AS first_draw FROM (
+        SELECT draw, CAST('0x' || substr(sha256(concat('k:', CAST(draw AS VARCHAR))), 1, 15) AS BIGINT) % 6760000 AS code
+        FROM (SELECT unnest(range(2 * n + 64)) AS draw FROM v_req) d) t
+      GROUP BY code) c
+    QUALIFY idx <= (SELECT n FROM v_req)) p""", ["v_req"])
+
+cte("v_assign", """
+  SELECT f.uid, p.study_id FROM (
+    SELECT uid, row_number() OVER (ORDER BY root_ord, path, uid) + 1 AS row_no FROM v_firsts) f
+  JOIN v_pool p ON p.row_no = f.row_no""", ["v_firsts", "v_pool"])
+
+# characters of the constant upserted values (PatientID / PatientName are per file)
+fixed_const_chars = sum(len(f.value) for f in model.FIXED_ASSIGNMENTS
+                        if f.value not in (model.STUDY_ID_VALUE, model.PATIENT_NAME_VALUE))
+
+oracle("deidentify_volume", f"""
+SELECT a.study_id, f.n_files,
+  CAST(k.n_kept + {len(model.FIXED_ASSIGNMENTS)} * f.n_files AS BIGINT) AS n_elements,
+  CAST(k.chars + f.n_files * ({fixed_const_chars} + length(a.study_id) + length('IRB-V')) AS BIGINT) AS value_chars
+FROM v_assign a
+JOIN (SELECT uid, CAST(count(*) AS BIGINT) AS n_files FROM v_inst GROUP BY uid) f ON f.uid = a.uid
+JOIN (SELECT uid, count(*) AS n_kept, sum(length(value)) AS chars FROM v_kept GROUP BY uid) k ON k.uid = a.uid""",
+       "v_assign", "v_inst", "v_kept")
