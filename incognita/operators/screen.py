@@ -76,3 +76,23 @@ def tag_warnings(classified: DataFrame) -> DataFrame:
         F.array_join("missing", " ").alias("missing_tags"),
         F.size("missing").cast("bigint").alias("n_missing"),
     )
+
+
+CANDIDATE = "candidate"
+
+
+def prescreen(files: DataFrame) -> DataFrame:
+    """Screen raw files before any parsing: skip list, then magic bytes.
+
+    ``files`` is a file inventory with ``magic`` (see ``sources.files.with_magic``).
+    Candidates go on to the header parser; the others are reported with the
+    same messages as ``classify``.
+    """
+    name = file_name("path")
+    outcome = (F.when(name.isin(*model.SKIP_LIST), F.lit(SKIPLIST))
+               .when(F.coalesce(F.col("magic"), F.lit("")) != model.MAGIC, F.lit(NOT_DICOM))
+               .otherwise(F.lit(CANDIDATE)))
+    out = files.withColumn("outcome", outcome)
+    message = (F.when(F.col("outcome") == SKIPLIST, name)
+               .when(F.col("outcome") == NOT_DICOM, F.concat(name, F.lit(MSG_NOT_DICOM))))
+    return out.withColumn("message", message)

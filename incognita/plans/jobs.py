@@ -70,7 +70,8 @@ def deidentify(spark: SparkSession, headers: DataFrame, registry_root: str, out_
         log = report.audit_log(events, log_level, _next_seq(spark, registry_root), user, computer)
         store.append_log_frame(registry_root, log.withColumn("ts", F.current_timestamp()))
 
-    run = deid.plan(headers, registry.slots, registry.front, rules)
+    # Re-plan against the committed version (lookups only); unchanged registry -> same plan.
+    run = deid.plan(headers, registry.slots, registry.front, rules) if counts["n"] > counts["x"] else first
     (run.output.withColumn("run_id", F.lit(run_id))
      .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy("root", "run_id").parquet(f"{out_dir}/headers"))

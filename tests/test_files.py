@@ -37,3 +37,16 @@ def test_inventory_does_not_read_content(spark, scratch):
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "content" not in plan.split("ReadSchema")[1].split("\n")[0]
     assert df.where(F.col("length") == 10).count() == 1
+
+
+def test_prescreen_tree(spark, scratch):
+    from incognita.operators import screen
+
+    dicom = b"\0" * 128 + b"DICM" + b"\0" * 8
+    write(f"{scratch}/t/a/x.dcm", dicom)
+    write(f"{scratch}/t/a/LOCKFILE", dicom)
+    write(f"{scratch}/t/b/short", b"abc")
+    got = {os.path.basename(r.path): (r.outcome, r.message)
+           for r in screen.prescreen(files.with_magic(spark, [f"{scratch}/t"])).collect()}
+    assert got == {"x.dcm": ("candidate", None), "LOCKFILE": ("skiplist", "LOCKFILE"),
+                   "short": ("not_dicom", "short: fourcc failed- non-dicom")}

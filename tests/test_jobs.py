@@ -60,3 +60,13 @@ def test_stream_two_drops(spark, scratch):
     per_uid = (written.select("path", "study_id")
                .join(h.select("path", screen.study_uid().alias("uid")), "path"))
     assert per_uid.groupBy("uid").agg(F.countDistinct("study_id").alias("n")).where("n > 1").count() == 0
+
+
+def test_header_dump_job(spark, scratch):
+    out = f"{scratch}/dump"
+    jobs.header_dump(fx.headers(spark, SF_SMALL), out)
+    d = spark.read.parquet(out)
+    assert d.count() == fx.headers(spark, SF_SMALL).where("parse_error IS NULL").count()
+    row = d.first()
+    assert row.out_path == row.path + ".hdr.txt"
+    assert row.text.splitlines()[0].startswith("(0008,0020) StudyDate")
