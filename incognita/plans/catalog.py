@@ -33,7 +33,7 @@ def query(fn):
 
 
 def _front(spark: SparkSession, sf_dir: str) -> dict:
-    return fx._memo(spark, sf_dir, "front_row", lambda: fx.study_front(spark, sf_dir).first().asDict())
+    return fx.memo(spark, sf_dir, "front_row", lambda: fx.study_front(spark, sf_dir).first().asDict())
 
 
 def fixture_run(spark: SparkSession, sf_dir: str, slots: DataFrame | None = None) -> deid.Run:

@@ -64,7 +64,7 @@ POOL_MASK = "uudddd"
 _MEMO: dict = {}
 
 
-def _memo(spark: SparkSession, sf_dir: str, name: str, build):
+def memo(spark: SparkSession, sf_dir: str, name: str, build):
     """Build a fixture once per session and source version.
 
     DataFrames are materialised with a reliable checkpoint (files in the
@@ -88,7 +88,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
         path = f"{base}/incognita-fixtures/{app_id(spark)}/{tag}/{name}"
         build().write.mode("overwrite").parquet(path)
         return spark.read.parquet(path)
-    return _memo(spark, sf_dir, name, make)
+    return memo(spark, sf_dir, name, make)
 
 
 def spread(df: DataFrame) -> DataFrame:
