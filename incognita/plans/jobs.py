@@ -27,6 +27,7 @@ from incognita.operators import registry_ops as reg
 from incognita.operators.scrub import DEFAULT_RULES, Rules
 from incognita.plans import deidentify as deid
 from incognita.sources import registry as store
+from incognita.sources.headers import ensure_keys
 
 
 @dataclass
@@ -54,6 +55,7 @@ def deidentify(spark: SparkSession, headers: DataFrame, registry_root: str, out_
                rules: Rules = DEFAULT_RULES, user: str = "", computer: str = "",
                log_level: int = model.LOG_NORMAL) -> RunResult:
     out_dir = out_dir.rstrip("/")
+    headers = ensure_keys(headers)
     registry = store.load(spark, registry_root)
     store.append_log(spark, registry_root, [(model.LOG_NORMAL, f"Launched: run {run_id}")], user, computer)
 

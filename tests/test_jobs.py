@@ -70,3 +70,16 @@ def test_header_dump_job(spark, scratch):
     row = d.first()
     assert row.out_path == row.path + ".hdr.txt"
     assert row.text.splitlines()[0].startswith("(0008,0020) StudyDate")
+
+
+def test_header_table_writer_derives_keys(spark, scratch):
+    from incognita import model
+    from incognita.sources.headers import read_header_table, write_header_table
+
+    base = fx.build_headers(spark, SF_SMALL).drop(*model.KEY_COLUMNS)
+    write_header_table(base, f"{scratch}/h")
+    back = read_header_table(spark, f"{scratch}/h")
+    assert back.columns == [f.name for f in model.HEADERS.fields]
+    a = {r.path: r.study_uid for r in back.select("path", "study_uid").collect()}
+    b = {r.path: r.study_uid for r in fx.build_headers(spark, SF_SMALL).select("path", "study_uid").collect()}
+    assert a == b
