@@ -115,7 +115,9 @@ class Rules:
 
         Each row has ``action`` in {drop_private, set_vr, drop_group, upsert,
         drop_tag} and the fields it needs: ``vr``, ``value``, ``tag``,
-        ``mask``, ``keyword``. The table is configuration (tens of rows).
+        ``mask``, ``keyword``. An upsert value of ``<study_id>`` or
+        ``<patient_name>`` takes the file's assigned ID or the run's patient
+        name. The table is configuration (tens of rows).
         """
         priv, vr_values, masks, fixed, tags = False, {}, [], [], []
         for r in rows:

@@ -383,3 +383,23 @@ def q_deidentify_volume(spark, sf_dir):
         F.count(F.lit(1)).alias("n_files"),
         F.sum(F.size("elements")).cast("bigint").alias("n_elements"),
         F.sum(chars).cast("bigint").alias("value_chars"))
+
+
+def literal_rule_table(spark: SparkSession) -> DataFrame:
+    """The reference's hard-coded rules as a rule table, request-sequence removal left out
+    (its guard never fires there). Configuration: a few dozen rows."""
+    rows = [("drop_private", None, None, None, None, None)]
+    rows += [("set_vr", vr, value, None, None, None) for vr, value in model.VR_REPLACEMENTS.items()]
+    rows += [("drop_group", None, None, model.CURVE_GROUP_VALUE, model.CURVE_GROUP_MASK, None)]
+    rows += [("upsert", f.vr, f.value, f.tag, None, f.keyword) for f in model.FIXED_ASSIGNMENTS]
+    return spark.createDataFrame(rows, "action string, vr string, value string, tag bigint, mask bigint, "
+                                       "keyword string")
+
+
+@query
+def q_deidentify_rules(spark, sf_dir):
+    """Full de-identification driven by a rule table (R1)."""
+    rules = scrub_ops.Rules.from_rows(literal_rule_table(spark).collect())  # config rows
+    headers = fx.headers(spark, sf_dir)
+    run = deid.plan(headers, fx.pool(spark, sf_dir), _front(spark, sf_dir), rules=rules)
+    return explode_elements(run.output, "path", "out_path", "study_id")

@@ -595,3 +595,21 @@ FROM v_assign a
 JOIN (SELECT uid, CAST(count(*) AS BIGINT) AS n_files FROM v_inst GROUP BY uid) f ON f.uid = a.uid
 JOIN (SELECT uid, count(*) AS n_kept, sum(length(value)) AS chars FROM v_kept GROUP BY uid) k ON k.uid = a.uid""",
        "v_assign", "v_inst", "v_kept")
+
+
+# the same scrub with the request-attributes sequence kept (rule table without drop_tag)
+cte("deid_elements_literal", f"""
+  SELECT d.path, d.out_path, d.study_id, e.top_tag, e.item, e.tag, e.keyword, e.vr,
+    CASE e.vr WHEN 'PN' THEN 'anonymous' WHEN 'DA' THEN '' WHEN 'TM' THEN '' ELSE e.value END AS value
+  FROM deid_files d JOIN elements e ON d.path = e.path
+  WHERE (e.top_tag // 65536) % 2 = 0 AND (e.tag // 65536) % 2 = 0
+    AND ((e.top_tag // 65536) & 65280) <> 20480 AND ((e.tag // 65536) & 65280) <> 20480
+    AND e.top_tag NOT IN ({FIXED_TAGS})
+  UNION ALL
+  SELECT d.path, d.out_path, d.study_id, x.tag, -1, x.tag, x.keyword, x.vr,
+    CASE x.keyword WHEN 'PatientID' THEN d.study_id WHEN 'PatientName' THEN (SELECT irb_code FROM front)
+                   ELSE x.value END
+  FROM deid_files d, fixed x""", ["deid_files", "elements", "fixed", "front"])
+
+oracle("deidentify_rules", f"SELECT path, out_path, study_id, {ELEMENT_COLS} FROM deid_elements_literal",
+       "deid_elements_literal")
