@@ -66,8 +66,12 @@ cte("old_studies", """
   FROM (SELECT DISTINCT concat('1.2.', user_id, '.', ymd) AS study_uid, concat('P', user_id) AS patient_id FROM inst) t""",
     ["inst"])
 
+cte("pool_sizes", """
+  SELECT count(*) * 35 // 100 AS slots, greatest(count(*) * 5 // 100, 100) AS assigned FROM events""")
+
 cte("codes", """
-  SELECT event_id + 1 AS k, (event_id * 7919 + 13) % 6760000 AS code FROM events WHERE event_id < 3500""")
+  SELECT event_id + 1 AS k, (event_id * 7919 + 13) % 6760000 AS code FROM events
+  WHERE event_id < (SELECT slots FROM pool_sizes)""", ["pool_sizes"])
 
 cte("pool", """
   SELECT CAST(c.k + 1 AS BIGINT) AS row_no,
@@ -75,7 +79,8 @@ cte("pool", """
            substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ', CAST(floor((code % 260000) / 10000) AS INT) + 1, 1),
            lpad(CAST(code % 10000 AS VARCHAR), 4, '0')) AS study_id,
     o.patient_id, o.study_uid
-  FROM codes c LEFT JOIN (SELECT * FROM old_studies WHERE k <= 500) o ON c.k = o.k""", ["codes", "old_studies"])
+  FROM codes c LEFT JOIN (SELECT * FROM old_studies WHERE k <= (SELECT assigned FROM pool_sizes)) o ON c.k = o.k""",
+    ["codes", "old_studies", "pool_sizes"])
 
 cte("pool_gap", """
   SELECT row_no, study_id, CASE WHEN row_no = 100 THEN NULL ELSE patient_id END AS patient_id, study_uid FROM pool""",

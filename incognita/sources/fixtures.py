@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from incognita import model
 from incognita.functions.masks import decode_code
+from incognita.functions.ranking import consecutive_index
 from incognita.functions.tags import element, with_keys
 from incognita.session import app_id, ensure_checkpoint_dir
 from incognita.sources.tables import read_table
@@ -56,11 +57,22 @@ ELEMENT_SPECS = [
     (1358954512, -1, 1358954512, "", "LO", "'not a curve'", "event_id % 4 = 1"),
 ]
 
-POOL_SLOTS = 3500        # slots in the fixture registry (fewer when events is smaller)
-POOL_ASSIGNED = 500      # studies already assigned in the fixture registry
+# The fixture registry grows with the corpus: slots for 35 % of the events and
+# 5 % of them (at least 100) already assigned; 3,500 / 500 at sf0.01.
+POOL_SLOT_PCT = 35
+POOL_ASSIGNED_PCT = 5
+POOL_ASSIGNED_MIN = 100
 POOL_MASK = "uudddd"
 
 
+def pool_sizes(spark: SparkSession, sf_dir: str) -> tuple[int, int]:
+    """(slots, already assigned) for the fixture registry of this corpus."""
+    def count():
+        n = read_table(spark, sf_dir, "events").count()
+        return n * POOL_SLOT_PCT // 100, max(n * POOL_ASSIGNED_PCT // 100, POOL_ASSIGNED_MIN)
+    return memo(spark, sf_dir, "pool_sizes", count)
+
+
 _MEMO: dict = {}
 
 
@@ -145,14 +157,14 @@ def headers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def old_studies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first POOL_ASSIGNED studies by UID, numbered k = 1..POOL_ASSIGNED (bounded top-k)."""
+    """The studies already in the fixture registry: distinct studies numbered k by UID,
+    the first ``assigned`` of them (distributed numbering, no one-task sort)."""
     studies = inst(spark, sf_dir).select(
         F.expr("concat('1.2.', user_id, '.', ymd)").alias("study_uid"),
         F.expr("concat('P', user_id)").alias("patient_id")).distinct()
-    top = studies.orderBy("study_uid").limit(POOL_ASSIGNED)
-    # The window runs over at most POOL_ASSIGNED rows.
-    from pyspark.sql import Window
-    return top.withColumn("k", F.row_number().over(Window.orderBy("study_uid")).cast("bigint"))
+    _, assigned = pool_sizes(spark, sf_dir)
+    numbered = consecutive_index(studies, ["study_uid"], name="k")
+    return numbered.where(F.col("k") <= assigned)
 
 
 def pool(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -161,14 +173,15 @@ def pool(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def build_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
+    slots_n, _ = pool_sizes(spark, sf_dir)
     codes = (read_table(spark, sf_dir, "events")
-             .where(F.col("event_id") < POOL_SLOTS)
+             .where(F.col("event_id") < slots_n)
              .select((F.col("event_id") + 1).alias("k"),
                      ((F.col("event_id") * 7919 + 13) % 6760000).alias("code")))
     slots = codes.select("k", (F.col("k") + 1).alias("row_no"),
                          decode_code(F.col("code"), POOL_MASK).alias("study_id"))
-    # old_studies holds at most POOL_ASSIGNED rows: a bounded broadcast.
-    joined = slots.join(F.broadcast(old_studies(spark, sf_dir)), "k", "left")
+    # Both sides hold at most `slots` rows (counted): equi-join on k, AQE picks the strategy.
+    joined = slots.join(old_studies(spark, sf_dir), "k", "left")
     return _as_slots(joined)
 
 
@@ -202,7 +215,8 @@ def study_front(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _build_front(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = (read_table(spark, sf_dir, "events").where(F.col("event_id") < POOL_SLOTS)
+    slots_n, _ = pool_sizes(spark, sf_dir)
+    n = (read_table(spark, sf_dir, "events").where(F.col("event_id") < slots_n)
          .agg(F.count(F.lit(1)).alias("n_study_ids")))
     return n.select(F.lit("Fixture study").alias("study_title"), F.lit("Fixture PI").alias("pi"),
                     F.lit(model.DEFAULT_IRB_CODE).alias("irb_code"),
