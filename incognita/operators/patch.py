@@ -3,9 +3,11 @@
 ``apply_patches`` creates or replaces top-level elements, where an empty new
 value means "keep". ``set_existing`` changes an element only where it exists
 and reports the files and patches it could not apply. Both join the header
-table with the patch table on a key read from the header; the patch table
-can be as large as the corpus, so the join is left to AQE (broadcast when
-small at runtime, else shuffled with skew splitting).
+table with the patch table on a key column of the header table. The patch
+table is counted first: it is broadcast when its size fits the budget, else
+the join shuffles on the key and AQE splits a hot key (one patient holding
+many files). Edited headers keep their old key columns; write them back with
+``sources.headers.write_header_table`` to refresh the keys.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from incognita import model
-from incognita.functions.tags import element, has_top, is_top, key_column, top_value
+from incognita.functions.tags import element, has_top, is_top, top_value
 from incognita.operators.registry_ops import bounded_broadcast
 
 # Size bound per patch row (key, up to three values of at most 64 characters).
@@ -28,8 +30,8 @@ def _upsert(elements, t: int, keyword: str, vr: str, value):
 
 
 def with_key(headers: DataFrame, key_tag: int = model.PATIENT_ID, key: str = "patient_id") -> DataFrame:
-    if key in headers.columns and key in model.KEY_TAGS and model.KEY_TAGS[key] == key_tag:
-        return headers.withColumn(key, key_column(headers, key))
+    if key in headers.columns and model.KEY_TAGS.get(key) == key_tag:
+        return headers  # stored key column: no element arrays read for the join
     return headers.withColumn(key, top_value("elements", key_tag))
 
 
