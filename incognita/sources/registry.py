@@ -170,3 +170,22 @@ def problems_of(checks: DataFrame) -> list[str]:
         if vals.get(k):
             out.append(f"{vals[k]} {label}")
     return out
+
+
+def prune_versions(spark: SparkSession, root: str, keep: int = 10) -> list[int]:
+    """Delete all but the newest ``keep`` slot versions (keep >= 1); returns the deleted ones.
+
+    Explicit and opt-in: old versions are the registry's history. Uses the
+    Hadoop file system of the registry path, so it works on any Spark storage.
+    """
+    if keep < 1:
+        raise ValueError("keep must be at least 1: the latest version is never deleted")
+    versions = _versions(spark, root)
+    doomed = versions[:-keep] if len(versions) > keep else []
+    if doomed:
+        jvm = spark.sparkContext._jvm
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
+        for v in doomed:
+            p = jvm.org.apache.hadoop.fs.Path(f"{_path(root, 'slots')}/v={v}")
+            p.getFileSystem(conf).delete(p, True)
+    return doomed

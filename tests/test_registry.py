@@ -96,3 +96,16 @@ def test_versions_are_never_overwritten(spark, scratch):
 def test_first_free_slot_full_registry(spark):
     slots = slots_frame(spark, [(2, "A", "p", "u"), (3, "B", "p", "v")])
     assert reg.first_free_slot(slots, 2).first()[0] == 4
+
+
+def test_prune_keeps_latest_versions(spark, scratch):
+    n = fx.study_front(spark, SF_SMALL).first().n_study_ids
+    r = store.create(spark, scratch + "/reg", "t", "pi", fx.pool(spark, SF_SMALL), n)
+    for _ in range(3):
+        r = store.commit(spark, r, r.slots)
+    assert r.version == 4
+    assert store.prune_versions(spark, scratch + "/reg", keep=2) == [1, 2]
+    again = store.load(spark, scratch + "/reg")
+    assert again.version == 4 and again.slots.count() == r.slots.count()
+    with pytest.raises(ValueError):
+        store.prune_versions(spark, scratch + "/reg", keep=0)
