@@ -114,6 +114,12 @@ DEFAULT_IRB_CODE = "IRBcode1234"
 LOG_NORMAL, LOG_HIGH, LOG_DEBUG = 1, 2, 3
 LOG_LEVEL_TEXT = {LOG_NORMAL: "", LOG_HIGH: "High", LOG_DEBUG: "DEBUG"}
 
+# Audit-log message formats (str.format fields in braces).
+MSG_STUDY_CREATED = "New Study Created. Title: {title}, PI: {pi}"
+MSG_POOL_CREATED = 'Number of studyIDs:{n} Prefix: "{prefix}" Format: "{mask}"{suffix}'
+MSG_LAUNCHED = "Launched: Examining {inputs}"
+MSG_COMPLETED = "Completed. Deidentified {ok}, failed {failed}"
+
 # Study-ID pool defaults and mask alphabets (c = either case, u, l, d).
 DEFAULT_POOL_SIZE = 1000
 DEFAULT_MASK = "uudddd"

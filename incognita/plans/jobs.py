@@ -45,8 +45,8 @@ def create_study(spark: SparkSession, registry_root: str, title: str, pi: str,
     req = request.checked()
     pool = idpool.generate(spark, req)
     slots = idpool.empty_slots(pool)
-    lines = [f"New Study Created. Title: {title}, PI: {pi}",
-             f"Number of studyIDs:{req.n} Prefix: \"{req.prefix}\" Format: \"{req.mask}\"{req.suffix}"]
+    lines = [model.MSG_STUDY_CREATED.format(title=title, pi=pi),
+             model.MSG_POOL_CREATED.format(n=req.n, prefix=req.prefix, mask=req.mask, suffix=req.suffix)]
     return store.create(spark, registry_root, title, pi, slots, req.n, user=user, computer=computer,
                         creation_messages=lines)
 
@@ -57,7 +57,8 @@ def deidentify(spark: SparkSession, headers: DataFrame, registry_root: str, out_
     out_dir = out_dir.rstrip("/")
     headers = ensure_keys(headers)
     registry = store.load(spark, registry_root)
-    store.append_log(spark, registry_root, [(model.LOG_NORMAL, f"Launched: run {run_id}")], user, computer)
+    store.append_log(spark, registry_root,
+                     [(model.LOG_NORMAL, model.MSG_LAUNCHED.format(inputs=f"run {run_id}"))], user, computer)
 
     first = deid.plan(headers, registry.slots, registry.front, rules)
     fresh = first.assignments.where(F.col("study_id").isNotNull())
@@ -83,9 +84,8 @@ def deidentify(spark: SparkSession, headers: DataFrame, registry_root: str, out_
     rep = [r.asDict() for r in deid.run_report(
         spark.read.parquet(f"{out_dir}/outcomes").where(F.col("run_id") == run_id)).collect()]  # one row per root
     total = next((r for r in rep if r["root"] is None), {})
-    store.append_log(spark, registry_root, [(model.LOG_NORMAL,
-                     f"Completed. Deidentified {total.get('n_anonymised', 0)}, "
-                     f"no ID left for {total.get('n_exhausted', 0)}")], user, computer)
+    store.append_log(spark, registry_root, [(model.LOG_NORMAL, model.MSG_COMPLETED.format(
+        ok=total.get("n_anonymised", 0), failed=total.get("n_exhausted", 0)))], user, computer)
     return RunResult(run_id, registry.version, int(counts["n"] - counts["x"]), int(counts["x"]), rep)
 
 

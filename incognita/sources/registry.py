@@ -57,7 +57,7 @@ def create(spark: SparkSession, root: str, title: str, pi: str, pool: DataFrame,
     front.coalesce(1).write.mode("errorifexists").parquet(_path(root, "study"))
     slots = _conform(pool)
     slots.withColumn("v", F.lit(1)).write.partitionBy("v").mode("errorifexists").parquet(_path(root, "slots"))
-    msgs = creation_messages or [f"New Study Created. Title: {title}, PI: {pi}"]
+    msgs = creation_messages or [model.MSG_STUDY_CREATED.format(title=title, pi=pi)]
     append_log(spark, root, [(model.LOG_NORMAL, m) for m in msgs], user, computer)
     return load(spark, root, check=False)
 
