@@ -131,18 +131,28 @@ def q_scrub_fixed(spark, sf_dir):
 
 # ---- registry ----------------------------------------------------------------
 
+def _ok_files(spark, sf_dir):
+    return _classified(spark, sf_dir).where(F.col("outcome") == screen.OK)
+
+
+def _new_studies(spark, sf_dir):
+    """Studies of ok files that the fixture registry does not know (no assignment step)."""
+    index = reg.registry_index(fx.pool(spark, sf_dir))
+    return reg.new_studies(reg.study_firsts(_ok_files(spark, sf_dir)), index)
+
+
 @query
 def q_study_new(spark, sf_dir):
-    run = fixture_run(spark, sf_dir)
-    return run.new.select("study_uid", F.col("path").alias("first_path"))
+    return _new_studies(spark, sf_dir).select("study_uid", F.col("path").alias("first_path"))
 
 
 @query
 def q_study_lookup(spark, sf_dir):
-    run = fixture_run(spark, sf_dir)
-    ok = run.classified.where(F.col("outcome") == screen.OK).select("path", "study_uid")
-    idx = run.index.select("study_uid", "row_no", "study_id")
-    return reg.lookup(ok, idx, run.stats.bound).select("path", "study_uid", "row_no", "study_id")
+    slots = fx.pool(spark, sf_dir)
+    stats = reg.registry_stats(slots, int(_front(spark, sf_dir)["n_study_ids"]))
+    ok = _ok_files(spark, sf_dir).select("path", "study_uid")
+    idx = reg.registry_index(slots).select("study_uid", "row_no", "study_id")
+    return reg.lookup(ok, idx, stats.bound).select("path", "study_uid", "row_no", "study_id")
 
 
 ASSIGN_COLS = ["study_uid", "k", "row_no", "study_id", "over_pool", "patient_name", "patient_id",
@@ -237,11 +247,11 @@ def q_id_pool_stats(spark, sf_dir):
 @query
 def q_id_pool_extend(spark, sf_dir):
     """Extend the registry's pool by one ID per new study of the corpus, avoiding existing IDs."""
-    run = fixture_run(spark, sf_dir)
     pool = fx.pool(spark, sf_dir)
-    k = run.new.count()
+    k = _new_studies(spark, sf_dir).count()
+    stats = reg.registry_stats(pool, int(_front(spark, sf_dir)["n_study_ids"]))
     req = idpool.PoolRequest(n=max(int(k), 1), mask=fx.POOL_MASK, secret=FIXTURE_SECRET)
-    return idpool.extend(spark, pool, req, run.stats.max_row + 1).select("row_no", "study_id")
+    return idpool.extend(spark, pool, req, stats.max_row + 1).select("row_no", "study_id")
 
 
 # Per-root pool requests: the mask, prefix and suffix are job parameters; n is
