@@ -52,3 +52,34 @@ def test_scrub_properties(spark, batch):
             if e.vr == "PN" and len(e.pos) > 1:
                 assert e.value == "anonymous"
         assert {e.pos[0] for e in els if len(e.pos) == 1} >= fixed
+
+
+@settings(max_examples=10, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.text(alphabet="dluc", min_size=1, max_size=3), st.text(alphabet="AB-", max_size=2))
+def test_mask_decode_is_a_bijection(spark, mask, prefix):
+    import re
+
+    from incognita.functions import masks
+
+    cap = masks.capacity(mask)
+    df = spark.createDataFrame([(mask,)], "mask string")
+    assert int(df.select(masks.capacity_col(F.col("mask"))).first()[0]) == cap
+    ids = [r.s for r in spark.range(cap).select(masks.decode_code(F.col("id"), mask, prefix).alias("s")).collect()]
+    assert len(set(ids)) == cap
+    classes = {"d": "[0-9]", "l": "[a-z]", "u": "[A-Z]", "c": "[a-zA-Z]"}
+    pattern = re.escape(prefix) + "".join(classes[ch] for ch in mask)
+    assert all(re.fullmatch(pattern, i) for i in ids)
+
+
+@settings(max_examples=6, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.integers(1, 3000), st.integers(1, 9), st.integers(0, 5))
+def test_consecutive_index_random(spark, n, parts, start):
+    from pyspark.sql import Window
+
+    from incognita.functions.ranking import consecutive_index
+
+    df = spark.range(n).repartition(parts).select(((F.col("id") * 7919) % 3001).alias("k"), "id")
+    got = consecutive_index(df, ["k", "id"], name="idx", start=start, num_partitions=parts)
+    ref = df.withColumn("rn", F.row_number().over(Window.orderBy("k", "id")) + start - 1)
+    assert got.count() == n
+    assert got.join(ref, ["k", "id"]).where(F.col("idx") != F.col("rn")).count() == 0
