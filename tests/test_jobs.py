@@ -83,3 +83,22 @@ def test_header_table_writer_derives_keys(spark, scratch):
     a = {r.path: r.study_uid for r in back.select("path", "study_uid").collect()}
     b = {r.path: r.study_uid for r in fx.build_headers(spark, SF_SMALL).select("path", "study_uid").collect()}
     assert a == b
+
+
+def test_stream_many_micro_batches(spark, scratch):
+    drop, reg_root, out = f"{scratch}/drop", f"{scratch}/registry", f"{scratch}/out"
+    h = fx.build_headers(spark, SF_SMALL)
+    jobs.create_study(spark, reg_root, "S", "P", idpool.PoolRequest(n=450, secret="t"))
+    h.where(F.col("mtime") < "2024-01-16").coalesce(2).write.parquet(f"{drop}/a")
+    h.where(F.col("mtime") >= "2024-01-16").coalesce(2).write.parquet(f"{drop}/b")
+    q = incremental.start(spark, drop, reg_root, out, checkpoint_location=f"{scratch}/ckpt",
+                          max_files_per_trigger=1)
+    q.awaitTermination()
+    written = spark.read.parquet(f"{out}/headers")
+    assert written.select("run_id").distinct().count() == 4  # one micro-batch per file
+    reg = store.load(spark, reg_root)
+    assert reg.version >= 2
+    per_uid = written.select("path", "study_id").join(h.select("path", screen.study_uid().alias("uid")), "path")
+    assert per_uid.groupBy("uid").agg(F.countDistinct("study_id").alias("n")).where("n > 1").count() == 0
+    assigned = reg.slots.where(F.col("patient_id").isNotNull()).count()
+    assert assigned == written.select("study_id").distinct().count()
