@@ -83,3 +83,49 @@ def test_consecutive_index_random(spark, n, parts, start):
     ref = df.withColumn("rn", F.row_number().over(Window.orderBy("k", "id")) + start - 1)
     assert got.count() == n
     assert got.join(ref, ["k", "id"]).where(F.col("idx") != F.col("rn")).count() == 0
+
+
+@st.composite
+def corpora(draw):
+    """Files with random roots/paths/UIDs, and a registry with some studies already known."""
+    n_files = draw(st.integers(1, 25))
+    uids = [f"u{draw(st.integers(0, 9))}" for _ in range(n_files)]
+    files = [(f"r{ro}/d{draw(st.integers(0, 3))}/f{i}.dcm", ro, uid)
+             for i, (uid, ro) in enumerate((u, draw(st.integers(0, 2))) for u in uids)]
+    n_slots = draw(st.integers(1, 12))
+    known = draw(st.lists(st.sampled_from([f"u{i}" for i in range(10)]), max_size=min(4, n_slots), unique=True))
+    return files, n_slots, known
+
+
+def brute_force(files, n_slots, known):
+    """Plain-Python model: study -> ID (None when the pool is exhausted)."""
+    slots = {2 + i: f"ID{i:02d}" for i in range(n_slots)}
+    owner = {uid: slots[2 + i] for i, uid in enumerate(known)}
+    first = {}
+    for path, ro, uid in files:
+        if uid not in first or (ro, path) < first[uid]:
+            first[uid] = (ro, path)
+    new = sorted((key, uid) for uid, key in first.items() if uid not in owner)
+    nxt = 2 + len(known)
+    for _, uid in new:
+        owner[uid] = slots.get(nxt)
+        nxt += 1
+    return {path: owner[uid] for path, _, uid in files}
+
+
+@settings(max_examples=12, deadline=None, suppress_health_check=list(HealthCheck))
+@given(corpora())
+def test_assignment_matches_brute_force(spark, corpus):
+    from incognita.plans import deidentify as deid
+    from incognita.sources import fixtures as fx
+
+    files, n_slots, known = corpus
+    rows = [header(p, [el([model.STUDY_INSTANCE_UID], "StudyInstanceUID", "UI", u)], root=f"r{ro}", root_ord=ro)
+            for p, ro, u in files]
+    slot_rows = [(2 + i, f"ID{i:02d}", "P" if i < len(known) else None, known[i] if i < len(known) else None)
+                 for i in range(n_slots)]
+    slots = fx._as_slots(spark.createDataFrame(
+        slot_rows, "row_no bigint, study_id string, patient_id string, study_uid string"))
+    run = deid.plan(frame(spark, rows), slots, {"n_study_ids": n_slots, "irb_code": "I"})
+    got = {r.path: r.study_id for r in run.files.select("path", "study_id").collect()}
+    assert got == brute_force(files, n_slots, known)
