@@ -129,3 +129,33 @@ def test_assignment_matches_brute_force(spark, corpus):
     run = deid.plan(frame(spark, rows), slots, {"n_study_ids": n_slots, "irb_code": "I"})
     got = {r.path: r.study_id for r in run.files.select("path", "study_id").collect()}
     assert got == brute_force(files, n_slots, known)
+
+
+def scrub_model(elements, study_id, name):
+    """Plain-Python model of the default scrub rules."""
+    fixed = {f.tag: f for f in model.FIXED_ASSIGNMENTS}
+
+    def dropped(e):
+        return any((t >> 16) % 2 == 1 or ((t >> 16) & 0xFF00) == 0x5000
+                   or t == model.REQUEST_ATTRIBUTES_SEQUENCE for t in e.path_tags) or e.path_tags[0] in fixed
+
+    out = []
+    for e in elements:
+        if dropped(e):
+            continue
+        value = {"PN": "anonymous", "DA": "", "TM": ""}.get(e.vr, e.value)
+        out.append((list(e.pos), list(e.path_tags), e.keyword, e.vr, value))
+    for f in model.FIXED_ASSIGNMENTS:
+        value = {"<study_id>": study_id, "<patient_name>": name}.get(f.value, f.value)
+        out.append(([f.tag], [f.tag], f.keyword, f.vr, value))
+    return sorted(out, key=lambda x: x[0])
+
+
+@settings(max_examples=12, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.lists(files(), min_size=1, max_size=4))
+def test_scrub_matches_python_model(spark, batch):
+    df = frame(spark, [header(f"r/f{i}.dcm", els) for i, els in enumerate(batch)])
+    got = {r.path: [(list(e.pos), list(e.path_tags), e.keyword, e.vr, e.value) for e in r.e]
+           for r in df.select("path", S.scrub("elements", F.lit("SID"), F.lit("NAME")).alias("e")).collect()}
+    for i, els in enumerate(batch):
+        assert got[f"r/f{i}.dcm"] == scrub_model(els, "SID", "NAME")
