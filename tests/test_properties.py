@@ -159,3 +159,77 @@ def test_scrub_matches_python_model(spark, batch):
            for r in df.select("path", S.scrub("elements", F.lit("SID"), F.lit("NAME")).alias("e")).collect()}
     for i, els in enumerate(batch):
         assert got[f"r/f{i}.dcm"] == scrub_model(els, "SID", "NAME")
+
+
+@st.composite
+def screened_files(draw):
+    name = draw(st.sampled_from(["DICOMDIR", "dicomdir", "VERSION", "LOCKFILE", "a.dcm", "b"]))
+    magic = draw(st.sampled_from(["DICM", "JUNK", None]))
+    bad = draw(st.sampled_from([None, "truncated"]))
+    els = []
+    for kw in model.TAG_CHECKLIST:
+        t = model.KEYWORD_TAGS[kw]
+        where = draw(st.sampled_from(["absent", "top", "nested"]))
+        val = draw(st.sampled_from(["", "x"]))
+        if where == "top":
+            els.append(el([t], kw, "LO", val))
+        elif where == "nested":
+            seq = model.tag(0x0008, 0x1110)
+            els.append(el([seq, 0, t], kw, "LO", val))
+    seq = model.tag(0x0008, 0x1110)
+    if any(e.pos[0] == seq for e in els):
+        els.append(el([seq], "ReferencedStudySequence", "SQ", ""))
+    return name, magic, bad, sorted(els, key=lambda e: e.pos)
+
+
+def screen_model(name, magic, bad, els):
+    uid = next((e.value for e in els if e.path_tags[-1] == model.STUDY_INSTANCE_UID), None)
+    if name in model.SKIP_LIST:
+        outcome = "skiplist"
+    elif magic != "DICM":
+        outcome = "not_dicom"
+    elif bad is not None:
+        outcome = "unreadable"
+    elif not uid:
+        outcome = "no_uid"
+    else:
+        outcome = "ok"
+    top = {e.path_tags[0] for e in els if len(e.path_tags) == 1}
+    missing = [k for k in model.TAG_CHECKLIST if model.KEYWORD_TAGS[k] not in top]
+    warn = " ".join(missing) if outcome in ("ok", "no_uid") and missing else None
+    return outcome, warn
+
+
+@settings(max_examples=10, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.lists(screened_files(), min_size=1, max_size=8))
+def test_screening_matches_python_model(spark, batch):
+    from incognita.operators import screen
+
+    rows = [header(f"r/{i}/{n}", els, magic=m, parse_error=b) for i, (n, m, b, els) in enumerate(batch)]
+    c = screen.classify(frame(spark, rows))
+    outcomes = {r.path: r.outcome for r in c.select("path", "outcome").collect()}
+    warns = {r.path: r.missing_tags for r in screen.tag_warnings(c).collect()}
+    for i, (n, m, b, els) in enumerate(batch):
+        outcome, warn = screen_model(n, m, b, els)
+        assert outcomes[f"r/{i}/{n}"] == outcome
+        assert warns.get(f"r/{i}/{n}") == warn
+
+
+@settings(max_examples=10, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.lists(st.tuples(st.lists(st.integers(-5, 5), min_size=1, max_size=12),
+                          st.lists(st.integers(-5, 5), min_size=1, max_size=12)), min_size=1, max_size=6))
+def test_pixel_stats_match_python_model(spark, pairs):
+    from incognita.operators import pixels
+
+    rows = [(i, a, b, 1, len(a), 1, len(b)) for i, (a, b) in enumerate(pairs)]
+    df = spark.createDataFrame(rows, "pair_id long, a array<int>, b array<int>, a_rows int, a_cols int, "
+                                     "b_rows int, b_cols int")
+    got = {r.pair_id: r for r in pixels.pixel_stats(df).collect()}
+    eq = {r.pair_id: r.pixels_equal for r in pixels.pixel_equal(df).collect()}
+    for i, (a, b) in enumerate(pairs):
+        n = max(len(a), len(b))
+        pa, pb = a + [None] * (n - len(a)), b + [None] * (n - len(b))
+        mism = sum(1 for x, y in zip(pa, pb) if x != y)
+        r = got[i]
+        assert (r.n_pixels, r.n_mismatch, r.min_a, r.max_a, r.min_b, r.max_b) == (n, mism, min(a), max(a), min(b), max(b))
+        assert eq[i] == (a == b)
