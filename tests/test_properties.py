@@ -233,3 +233,43 @@ def test_pixel_stats_match_python_model(spark, pairs):
         r = got[i]
         assert (r.n_pixels, r.n_mismatch, r.min_a, r.max_a, r.min_b, r.max_b) == (n, mism, min(a), max(a), min(b), max(b))
         assert eq[i] == (a == b)
+
+
+def pool_model(n, mask, prefix, suffix, secret):
+    import hashlib
+
+    from incognita.functions import masks
+
+    alph = [model.MASK_ALPHABETS[ch] for ch in mask]
+    cap = masks.capacity(mask)
+    seen, order, draw = set(), [], 0
+    while len(order) < n:
+        code = int(hashlib.sha256(f"{secret}{draw}".encode()).hexdigest()[:15], 16) % cap
+        if code not in seen:
+            seen.add(code)
+            order.append(code)
+        draw += 1
+    ids = []
+    for code in order:
+        chars = []
+        for a in reversed(alph):
+            chars.append(a[code % len(a)])
+            code //= len(a)
+        ids.append(prefix + "".join(reversed(chars)) + suffix)
+    return ids, draw
+
+
+@settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.text(alphabet="dlu", min_size=1, max_size=3), st.integers(1, 60), st.text(alphabet="xy", max_size=3))
+def test_pool_matches_python_model(spark, mask, n, secret):
+    from incognita.functions import masks
+    from incognita.operators import idpool
+
+    cap = masks.capacity(mask)
+    n = min(n, cap // 2) or 1
+    req = idpool.PoolRequest(n=n, mask=mask, prefix="P-", suffix="!", secret=secret or "s")
+    pool = idpool.generate(spark, req)
+    got = [r.study_id for r in pool.orderBy("row_no").collect()]
+    ids, draws = pool_model(n, mask, "P-", "!", secret or "s")
+    assert got == ids
+    assert idpool.pool_stats(pool, req).first().draws_used == draws
