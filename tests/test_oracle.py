@@ -11,8 +11,10 @@ import __spark_entry__ as entry  # noqa: E402
 from conftest import SF_SMALL  # noqa: E402
 from oracle_check import compare, duck  # noqa: E402
 
-QUERIES = entry.queries()
-ORACLES = entry.oracle_sql()
+from incognita.plans import catalog  # noqa: E402
+
+QUERIES = {name: fn for name, fn in entry.queries().items() if name in catalog.QUERIES}
+ORACLES = {name: sql for name, sql in entry.oracle_sql().items() if name in catalog.QUERIES}
 
 
 @pytest.fixture(scope="module")
