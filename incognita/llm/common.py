@@ -44,6 +44,24 @@ def raw(name: str) -> Column:
     return col(name).cast("string").cast("binary")
 
 
+def word_runs(text: bytes, table: bytes, stretch: int) -> Iterator[list[bytes]]:
+    """The words of a text that ``table`` maps to word bytes and spaces, in lists that cover about ``stretch`` bytes each."""
+    text = text.translate(table)
+    at = 0
+    while at < len(text):
+        end = at + stretch
+        if end < len(text):
+            end = text.find(b" ", end)
+            end = len(text) if end < 0 else end
+        yield text[at:end].split()
+        at = end
+
+
+def hinted(df: DataFrame, row_bytes: int) -> DataFrame:
+    """A stored frame, marked for broadcast if its rows of at most ``row_bytes`` fit the bound; else joined by shuffle."""
+    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
+
+
 def blob(values: Iterable) -> str:
     """Short digest of parameters, to derive seeds from."""
     return hashlib.sha256(repr(list(values)).encode()).hexdigest()

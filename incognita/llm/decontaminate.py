@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from incognita.llm.common import col, fresh, raw
+from incognita.llm.common import col, fresh, raw, word_runs
 
 #: Bytes of windows (with 64 for each row's overhead) that one broadcast block may hold.
 BLOCK_BYTES = 16 << 20
@@ -50,19 +50,6 @@ _FOUND_ARROW = pa.struct([
 ])
 
 
-def word_runs(text: bytes, stretch: int = STRETCH) -> Iterator[list[bytes]]:
-    """The words of a text, in lists that cover about ``stretch`` bytes each."""
-    text = text.translate(_WORD)
-    at = 0
-    while at < len(text):
-        end = at + stretch
-        if end < len(text):
-            end = text.find(b" ", end)
-            end = len(text) if end < 0 else end
-        yield text[at:end].split()
-        at = end
-
-
 class WuManber:
     """Finds test strings that all have ``m`` words (space-joined, lower case)."""
 
@@ -104,7 +91,7 @@ def search(text: bytes | None, searchers: list[WuManber], stretch: int = STRETCH
     """(number of words, merged spans of hit words, sorted items with an occurring window)."""
     n, carry, ends, found = 0, [], [], set()
     overlap = max((s.m for s in searchers), default=1) - 1
-    for words in word_runs(text or b"", stretch):
+    for words in word_runs(text or b"", _WORD, stretch):
         at, words = n - len(carry), carry + words if carry else words
         for s in searchers:
             for i, string in s.find(words, len(carry)):
@@ -129,7 +116,7 @@ def windows(benchmark: DataFrame, window: int, text: str = "text", item: str = "
         for batch in batches:
             rows = set()
             for name, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                words = [w for part in word_runs(value or b"") for w in part]
+                words = [w for part in word_runs(value or b"", _WORD, STRETCH) for w in part]
                 m = min(window, len(words))
                 if m:
                     rows |= {(name, m, b" ".join(words[i : i + m])) for i in range(len(words) - m + 1)}
