@@ -19,11 +19,15 @@ odd = st.lists(st.sampled_from([*" \t\n\r\x0b\x0c\x1c\x1f\x85\xa0 ᠎ ​ 
 
 
 @settings(max_examples=400, deadline=None)
-@given(st.lists(odd, max_size=4), st.text(max_size=30))
-def test_chunked_ids_equal_the_tokenizers(texts, more):
-    texts = [*texts, more.encode("utf-8", "replace").decode()]
-    got = [np.frombuffer(x, "<u4").tolist() for x in P.encode(texts, PATH)]
-    assert got == [PLAIN.encode(t, add_special_tokens=False).ids for t in texts]
+@given(odd, st.text(max_size=30))
+def test_ids_equal_the_tokenizers(text, more):
+    for t in (text, more.encode("utf-8", "replace").decode(), text + more.encode("utf-8", "replace").decode()):
+        assert np.frombuffer(P.encode(t, PATH), "<u4").tolist() == PLAIN.encode(t, add_special_tokens=False).ids
+
+
+def test_ids_of_real_texts_equal_the_tokenizers(spark):
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()] + ["a" * 200_000, "\n" * 100_000]
+    assert [np.frombuffer(P.encode(t, PATH), "<u4").tolist() for t in texts] == [e.ids for e in PLAIN.encode_batch(texts, add_special_tokens=False)]
 
 
 @pytest.mark.parametrize("rule", ["norm", "dot"])
