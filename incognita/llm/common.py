@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterable, Iterator
 
@@ -57,6 +58,36 @@ def word_runs(text: bytes, table: bytes, stretch: int) -> Iterator[list[bytes]]:
         at = end
 
 
+_BASE = 0x9E3779B97F4A7C15  # odd
+
+
+@functools.cache
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    with np.errstate(over="ignore"):
+        up = np.full(n, _BASE, np.uint64)
+        down = np.full(n, pow(_BASE, -1, 1 << 64), np.uint64)
+        up[0] = down[0] = 1
+        return np.cumprod(up), np.cumprod(down)
+
+
+class Hasher:
+    """64-bit hashes of any parts of a sequence of numbers, from sums of powers modulo 2**64."""
+
+    def __init__(self, symbols: np.ndarray):
+        up, self.down = _powers(1 << max(16, int(len(symbols)).bit_length()))
+        with np.errstate(over="ignore"):
+            symbols = (symbols.astype(np.uint64) + np.uint64(0x1F123BB5)) * np.uint64(0xD6E8FEB86659FD93)
+            symbols ^= symbols >> np.uint64(32)
+            self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(symbols * up[:len(symbols)])])
+
+    def __call__(self, begin: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            h = (self.sums[stop] - self.sums[begin]) * self.down[begin]
+            h ^= h >> np.uint64(29)
+            h *= np.uint64(0xBF58476D1CE4E5B9)
+            return h ^ (h >> np.uint64(32))
+
+
 def hinted(df: DataFrame, row_bytes: int) -> DataFrame:
     """A stored frame, marked for broadcast if its rows of at most ``row_bytes`` fit the bound; else joined by shuffle."""
     return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df

@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from incognita.llm.common import col, fresh, raw, stored
+from incognita.llm.common import Hasher, col, fresh, raw, stored
 
 ORDERS = (6, 5, 4, 3, 2, 1)
 #: Labelled rows per language that the model is fitted on (the expected number).
@@ -47,8 +47,6 @@ PENALTY = -7.0
 #: Characters that are worked on at once.
 STRETCH = 1 << 20
 
-_BASE = 0x9E3779B97F4A7C15  # odd
-
 
 @functools.cache
 def _kinds() -> np.ndarray:
@@ -63,16 +61,6 @@ def _kinds() -> np.ndarray:
     return kinds
 
 
-@functools.cache
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the hash base and of its inverse modulo 2**64."""
-    with np.errstate(over="ignore"):
-        up = np.full(n, _BASE, np.uint64)
-        down = np.full(n, pow(_BASE, -1, 1 << 64), np.uint64)
-        up[0] = down[0] = 1
-        return np.cumprod(up), np.cumprod(down)
-
-
 class Words:
     """The words of several texts, and hashes of any of their substrings."""
 
@@ -84,26 +72,18 @@ class Words:
             points = np.frombuffer((" " + " ".join(texts) + " ").encode("utf-32-le", "surrogatepass"), "<u4")
         kinds = _kinds()[points]
         inside = kinds > 0
-        points = np.where(inside, points, 32).astype(np.uint64)
+        points = np.where(inside, points, 32)
         edge = np.flatnonzero(inside[1:] != inside[:-1]) + 1
         self.begin, self.stop = edge[0::2], edge[1::2]
         letters = np.concatenate([[0], np.cumsum(kinds == 2)])
         real = letters[self.stop] > letters[self.begin]
         self.begin, self.stop = self.begin[real], self.stop[real]
-        up, self.down = _powers(1 << max(16, int(len(points)).bit_length()))
-        with np.errstate(over="ignore"):
-            points = (points + np.uint64(0x1F123BB5)) * np.uint64(0xD6E8FEB86659FD93)
-            points ^= points >> np.uint64(32)
-            self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(points * up[:len(points)])])
+        self.hash = Hasher(points)
         limits = np.cumsum([0, *(len(t) + 1 for t in texts)])
         self.text = np.searchsorted(limits[1:], self.begin - 1, "right")
 
     def hashes(self, begin: np.ndarray, stop: np.ndarray) -> np.ndarray:
-        with np.errstate(over="ignore"):
-            h = (self.sums[stop] - self.sums[begin]) * self.down[begin]
-            h ^= h >> np.uint64(29)
-            h *= np.uint64(0xBF58476D1CE4E5B9)
-            return (h ^ (h >> np.uint64(32))).view(np.int64)
+        return self.hash(begin, stop).view(np.int64)
 
     def grams(self, words: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
         """(place in ``words``, hash) of each n-gram of the padded words; single characters are those of the bare words."""
