@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from incognita.llm import ann, decontaminate, lang_id, line_dedup, lm_score, packing, sharding, simhash
+from incognita.llm import ann, decontaminate, lang_id, licenses, line_dedup, lm_score, packing, pii, sharding, simhash
 from incognita.sources.tables import read_table
 
 
@@ -38,6 +38,14 @@ def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(read_table(spark, sf_dir, "embeddings"), every=20, k=20)
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.licences(read_table(spark, sf_dir, "documents"))
+
+
+def op9_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonyms(read_table(spark, sf_dir, "documents"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.sharded(read_table(spark, sf_dir, "documents"))
 
@@ -50,6 +58,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
     "op7_nearest_neighbours": op7_nearest_neighbours,
+    "op8_license_scan": op8_license_scan,
+    "op9_pii_pseudonyms": op9_pii_pseudonyms,
     "op10_sharding": op10_sharding,
 }
 
