@@ -1,12 +1,13 @@
 """Study-ID pool generation: n unique pseudonyms from a mask.
 
-Draw i yields code ``H(secret || i) mod M`` (M = mask capacity). Keeping the
-first draw of every code and the n codes with the smallest first draw is the
+Draw i yields an ID from ``H(secret || i)`` (see ``functions.masks``). Keeping
+the first draw of every ID and the n IDs with the smallest first draw is the
 same law as the reference's rejection sampling, and the number of redraws is
-exactly ``draws_used - n``. Dedup is one shuffle (groupBy code with map-side
-partial aggregation); the first-n cut is a distributed consecutive numbering,
-not a one-task sort. Near-full pools (n > M/2) rank all M codes by their keyed
-hash instead, which needs no redraws.
+exactly ``draws_used - n``. One algorithm serves every n and every mask, so a
+pool of n IDs is the beginning of the pool of n + 1. Dedup is one shuffle
+(groupBy ID with map-side partial aggregation); the first-n cut is a distributed
+consecutive numbering, not a one-task sort. Drawing a full pool takes about
+``M ln M`` draws (a plain distributed range) for a mask of M IDs.
 """
 
 from __future__ import annotations
@@ -22,8 +23,6 @@ from incognita import model
 from incognita.functions import masks
 from incognita.functions.ranking import consecutive_index
 
-MAX_CAPACITY = 1 << 50
-
 
 class PoolRequestError(ValueError):
     pass
@@ -46,8 +45,6 @@ class PoolRequest:
         cap = masks.capacity(m)
         if self.n > cap:
             raise PoolRequestError(f"impossible to create {self.n} study IDs with format {m!r} ({cap} possible)")
-        if cap >= MAX_CAPACITY:
-            raise PoolRequestError(f"format {m!r} has {cap} possible IDs; at most 2^50 are supported")
         return PoolRequest(self.n, m, self.prefix, self.suffix, self.secret or _secrets.token_hex(16))
 
 
@@ -62,71 +59,56 @@ def status(n: int, cap: int, valid: bool = True) -> str:
 
 
 def draws_for(n: int, cap: int) -> int:
-    """Draws expected to give n distinct codes (coupon collector), with 20 % margin."""
-    if n >= cap:
-        return cap
-    expected = cap * math.log(cap / (cap - n))
+    """Draws expected to give n distinct IDs (coupon collector), with 20 % margin."""
+    expected = cap * (math.log(cap) + 0.5773) if n >= cap else n if cap > 1 << 200 else -cap * math.log1p(-n / cap)
     return int(math.ceil(1.2 * expected)) + 16
 
 
 def first_draws(spark: SparkSession, req: PoolRequest, n_draws: int) -> DataFrame:
-    cap = masks.capacity(req.mask)
+    """study_id and its first draw among draws 0 .. n_draws - 1."""
     d = spark.range(n_draws).withColumnRenamed("id", "draw")
-    codes = d.select("draw", masks.draw_code(F.col("draw"), req.secret, cap).alias("code"))
-    return codes.groupBy("code").agg(F.min("draw").alias("first_draw"))
+    ids = d.select("draw", masks.draw_id(F.col("draw"), req.secret, req.mask, req.prefix, req.suffix).alias("study_id"))
+    return ids.groupBy("study_id").agg(F.min("draw").alias("first_draw"))
+
+
+def _first_n(n: int, n_draws: int, draws) -> DataFrame:
+    """The first n IDs in draw order, numbered ``idx`` from 1; draws on until there are n."""
+    while True:
+        ranked = consecutive_index(draws(n_draws), ["first_draw"], name="idx")
+        if (ranked.agg(F.max("idx")).first()[0] or 0) >= n:
+            return ranked.where(F.col("idx") <= n)
+        n_draws *= 2  # the first draws are unchanged, so the result is the same law
 
 
 def generate(spark: SparkSession, req: PoolRequest) -> DataFrame:
-    """Pool rows: row_no (2..n+1), study_id, code, first_draw."""
+    """Pool rows: row_no (2..n+1), study_id, first_draw."""
     req = req.checked()
-    cap = masks.capacity(req.mask)
-    if req.n > cap // 2:
-        allc = spark.range(cap).withColumnRenamed("id", "code")
-        keyed = allc.withColumn("first_draw", F.col("code")).withColumn(
-            "_key", F.sha2(F.concat(F.lit(req.secret), F.lit("|"), F.col("code").cast("string")), 256))
-        ranked = consecutive_index(keyed, ["_key", "code"], name="idx").drop("_key")
-    else:
-        n_draws = draws_for(req.n, cap)
-        while True:
-            ranked = consecutive_index(first_draws(spark, req, n_draws), ["first_draw"], name="idx")
-            got = ranked.agg(F.max("idx")).first()[0] or 0
-            if got >= req.n:
-                break
-            n_draws *= 2  # top up: the first draws are unchanged, so the result is the same law
-    chosen = ranked.where(F.col("idx") <= req.n)
-    return chosen.select(
-        (F.col("idx") + 1).cast("bigint").alias("row_no"),
-        masks.decode_code(F.col("code"), req.mask, req.prefix, req.suffix).alias("study_id"),
-        "code", "first_draw")
+    chosen = _first_n(req.n, draws_for(req.n, masks.capacity(req.mask)), lambda k: first_draws(spark, req, k))
+    return chosen.select((F.col("idx") + 1).cast("bigint").alias("row_no"), "study_id", "first_draw")
 
 
 def extend(spark: SparkSession, existing: DataFrame, req: PoolRequest, first_row: int) -> DataFrame:
     """``req.n`` more IDs, none equal to an ID of ``existing`` (its ``study_id`` column).
 
-    Draws run as in ``generate``; decoded IDs already in the pool are removed
-    with an anti-join (the pool's counted size decides broadcast or shuffle),
-    and the first ``req.n`` survivors in draw order take rows ``first_row``...
+    Draws run as in ``generate``; IDs already in the pool are removed with an
+    anti-join (the pool's counted size decides broadcast or shuffle), and the
+    first ``req.n`` survivors in draw order take rows ``first_row``...
     """
     from incognita.operators.registry_ops import bounded_broadcast
 
     req = req.checked()
     cap = masks.capacity(req.mask)
-    taken = existing.select("study_id").where(F.col("study_id").isNotNull()).distinct()
-    m = taken.count()
-    if m + req.n > cap:
-        raise PoolRequestError(f"cannot add {req.n} IDs to a pool of {m}: format {req.mask!r} has {cap}")
-    n_draws = draws_for(min(m + req.n, cap - 1), cap) if m + req.n < cap else cap * 4
-    while True:
-        codes = first_draws(spark, req, n_draws).withColumn(
-            "study_id", masks.decode_code(F.col("code"), req.mask, req.prefix, req.suffix))
-        fresh = codes.join(bounded_broadcast(taken, m, 64), "study_id", "left_anti")
-        ranked = consecutive_index(fresh, ["first_draw"], name="idx")
-        got = ranked.agg(F.max("idx")).first()[0] or 0
-        if got >= req.n:
-            break
-        n_draws *= 2
-    return ranked.where(F.col("idx") <= req.n).select(
-        (F.col("idx") + first_row - 1).cast("bigint").alias("row_no"), "study_id", "code", "first_draw")
+    taken = existing.select("study_id").where(F.coalesce("study_id", F.lit("")) != "").distinct()
+    size = taken.agg(F.count(F.lit(1)).alias("n"), F.max(F.octet_length("study_id")).alias("w")).first()
+    # IDs of the same form as the mask's may be taken: at most all of the pool's are
+    if size["n"] + req.n > cap:
+        own = first_draws(spark, req, draws_for(cap, cap)).join(taken, "study_id", "left_anti").count()
+        if own < req.n:
+            raise PoolRequestError(f"cannot add {req.n} IDs to a pool of {size['n']}: format {req.mask!r} has {cap}")
+    taken = bounded_broadcast(taken, size["n"], (size["w"] or 0) + 48)
+    chosen = _first_n(req.n, draws_for(min(size["n"] + req.n, cap), cap),
+                      lambda k: first_draws(spark, req, k).join(taken, "study_id", "left_anti"))
+    return chosen.select((F.col("idx") + first_row - 1).cast("bigint").alias("row_no"), "study_id", "first_draw")
 
 
 def pool_stats(pool: DataFrame, req: PoolRequest) -> DataFrame:

@@ -3,8 +3,9 @@
 The registry's slot table has one row per pre-generated study ID
 (``row_no`` 2..n+1). A slot is used when it holds both a study ID and a
 patient ID. New studies are numbered in first-seen order (root argument
-order, then path) and the k-th new study takes slot ``first_free + k - 1``;
-no slot there (or an empty one) means the pool is exhausted.
+order, then path) and the k-th new study takes the k-th free slot in row order:
+one that is not in use and holds an ID, past the nominal pool size too. With no
+such slot left the pool is exhausted.
 
 Joins against the registry use a broadcast only when the registry's row
 count (known before the join) times a row-size bound fits the broadcast
@@ -102,17 +103,22 @@ def new_studies(firsts: DataFrame, index: DataFrame) -> DataFrame:
     return firsts.join(index.select("study_uid"), "study_uid", "left_anti")
 
 
+def free_slots(slots: DataFrame) -> DataFrame:
+    """Slots that can be given to a study, numbered ``k`` = 1, 2, ... in row order."""
+    free = slots.where(~assigned() & (F.coalesce("study_id", F.lit("")) != "") & (F.col("row_no") >= 2))
+    return consecutive_index(free.select("row_no", "study_id"), ["row_no"], name="k")
+
+
 def assign_slots(new: DataFrame, slots: DataFrame, stats: RegistryStats) -> DataFrame:
-    """Give the k-th new study (first-seen order) slot ``first_free + k - 1``.
+    """Give the k-th new study (first-seen order) the k-th free slot.
 
-    Output: study_uid, k, row_no, study_id (NULL = exhausted), over_pool flag,
-    plus the registry values taken from the study's first file.
+    Output: study_uid, k, row_no, study_id (both NULL = exhausted), over_pool flag
+    (the slot lies past the nominal pool size), plus the registry values taken
+    from the study's first file.
     """
     ranked = consecutive_index(new, ["root_ord", "path", "study_uid"], name="k")
-    ranked = ranked.withColumn("row_no", (F.lit(stats.first_free) + F.col("k") - 1).cast("bigint"))
-    ids = slots.where(F.col("study_id").isNotNull() & (F.col("study_id") != "")).select("row_no", "study_id")
-    joined = ranked.join(bounded_broadcast(ids, stats.bound), "row_no", "left")
-    return joined.withColumn("over_pool", F.col("row_no") > F.lit(stats.n_study_ids + 1))
+    joined = ranked.join(bounded_broadcast(free_slots(slots), stats.bound), "k", "left")
+    return joined.withColumn("over_pool", F.coalesce(F.col("row_no") > F.lit(stats.n_study_ids + 1), F.lit(False)))
 
 
 def study_map(index: DataFrame, assignments: DataFrame) -> DataFrame:
@@ -131,6 +137,7 @@ def commit(slots: DataFrame, assignments: DataFrame, assigned_at: Column | None
            bound: int | None = None) -> DataFrame:
     """Registry after the run: old rows plus the newly filled slots.
 
+    A slot that is in use is never given to another study: that fails the job.
     ``bound`` is a proven upper bound on the assignments (the counted studies
     of the batch); with it the new rows are broadcast into the slot table.
     """
@@ -140,7 +147,8 @@ def commit(slots: DataFrame, assignments: DataFrame, assigned_at: Column | None
         assigned_at.cast("timestamp").alias("_assigned_at"),
         *[F.col(c).alias("_" + c) for c in model.SLOT_VALUE_COLUMNS])
     j = slots.join(bounded_broadcast(fresh, bound) if bound else fresh, "row_no", "left")
-    is_new = F.col("_study_uid").isNotNull()
+    taken = F.raise_error(F.concat(F.lit("registry slot is in use: row "), F.col("row_no").cast("string")))
+    is_new = F.when(F.col("_study_uid").isNotNull() & assigned(), taken.cast("boolean")).otherwise(F.col("_study_uid").isNotNull())
     cols = []
     for f in model.SLOTS.fields:
         c = f.name
@@ -153,6 +161,13 @@ def commit(slots: DataFrame, assignments: DataFrame, assigned_at: Column | None
     return j.select(*cols)
 
 
+def changed_slots(slots: DataFrame, assignments: DataFrame, bound: int | None = None) -> DataFrame:
+    """Only the rows of ``commit`` that the run fills."""
+    filled = assignments.where(F.col("study_id").isNotNull()).select("row_no")
+    side = bounded_broadcast(filled, bound, 16) if bound else filled
+    return commit(slots.join(side, "row_no", "left_semi"), assignments, bound=bound)
+
+
 def reidentify(deidentified: DataFrame, slots: DataFrame, bound: int) -> DataFrame:
     """Pseudonym -> original patient and study (inner join on the study ID)."""
     reg = slots.where(assigned()).select(

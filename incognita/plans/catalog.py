@@ -223,14 +223,13 @@ def q_incremental_assign(spark, sf_dir):
 # ---- study ID pool -----------------------------------------------------------
 
 FIXTURE_SECRET = "k:"           # test secret; production draws a random one
-CORPUS_MASK = model.DEFAULT_MASK
 
 
 def corpus_request(spark, sf_dir) -> idpool.PoolRequest:
     """A pool sized to the corpus: one ID per distinct study among ok files."""
     ok = _classified(spark, sf_dir).where(F.col("outcome") == screen.OK)
     n = ok.agg(F.countDistinct("study_uid")).first()[0]
-    return idpool.PoolRequest(n=int(n), mask=CORPUS_MASK, secret=FIXTURE_SECRET)
+    return idpool.PoolRequest(n=int(n), mask=fx.pool_mask(int(n)), secret=FIXTURE_SECRET)
 
 
 @query
@@ -245,13 +244,57 @@ def q_id_pool_stats(spark, sf_dir):
 
 
 @query
-def q_id_pool_extend(spark, sf_dir):
-    """Extend the registry's pool by one ID per new study of the corpus, avoiding existing IDs."""
+def q_id_pool_full(spark, sf_dir):
+    """Three quarters of all IDs that as many digits as the corpus has studies can give."""
+    digits = len(str(corpus_request(spark, sf_dir).n))
+    req = idpool.PoolRequest(n=10 ** digits * 3 // 4, mask="d" * digits, secret=FIXTURE_SECRET)
+    return idpool.generate(spark, req).select("row_no", "study_id")
+
+
+WIDE_MASK = "uuuuudddddddd"
+
+
+@query
+def q_id_pool_wide(spark, sf_dir):
+    """One ID per study from a mask of more than 2^50 IDs."""
+    req = idpool.PoolRequest(n=corpus_request(spark, sf_dir).n, mask=WIDE_MASK, secret=FIXTURE_SECRET)
+    return idpool.generate(spark, req).select("row_no", "study_id")
+
+
+def _extension(spark, sf_dir) -> DataFrame:
+    """One more ID per new study of the corpus, none of them in the registry's pool."""
     pool = fx.pool(spark, sf_dir)
     k = _new_studies(spark, sf_dir).count()
-    stats = reg.registry_stats(pool, int(_front(spark, sf_dir)["n_study_ids"]))
-    req = idpool.PoolRequest(n=max(int(k), 1), mask=fx.POOL_MASK, secret=FIXTURE_SECRET)
-    return idpool.extend(spark, pool, req, stats.max_row + 1).select("row_no", "study_id")
+    n, _ = fx.pool_sizes(spark, sf_dir)
+    stats = reg.registry_stats(pool, n)
+    req = idpool.PoolRequest(n=max(int(k), 1), mask=fx.pool_mask(n), secret=FIXTURE_SECRET)
+    return idpool.extend(spark, pool, req, stats.max_row + 1)
+
+
+@query
+def q_id_pool_extend(spark, sf_dir):
+    return _extension(spark, sf_dir).select("row_no", "study_id")
+
+
+@query
+def q_study_assign_over_pool(spark, sf_dir):
+    """New studies against a registry with used and free slots past its nominal size."""
+    slots, n = fx.over_pool(spark, sf_dir)
+    run = deid.plan(fx.headers(spark, sf_dir), slots, {**_front(spark, sf_dir), "n_study_ids": n})
+    return run.assignments.select("study_uid", "k", "row_no", "study_id", "over_pool")
+
+
+@query
+def q_reidentify_after_extend(spark, sf_dir):
+    """Extend that registry, assign, commit, and name the patient of every file from the committed slots."""
+    slots, n = fx.over_pool(spark, sf_dir)
+    slots = slots.unionByName(idpool.empty_slots(_extension(spark, sf_dir)))
+    headers, front = fx.headers(spark, sf_dir), {**_front(spark, sf_dir), "n_study_ids": n}
+    run = deid.plan(headers, slots, front)
+    committed = reg.commit(slots, run.assignments, bound=run.n_studies).checkpoint()
+    after = deid.plan(headers, committed, front, committed=run)
+    return reg.reidentify(after.output.select("path", "study_id"), committed, after.stats.bound).select(
+        "path", "study_id", "original_patient_id", "original_study_uid")
 
 
 # Per-root pool requests: the mask, prefix and suffix are job parameters; n is
@@ -271,8 +314,8 @@ def q_mask_capacity(spark, sf_dir):
     valid = masks.valid_col(m)
     length = masks.id_length_col(m, F.col("prefix"), F.col("suffix"))
     stat = (F.when(~valid, F.lit("invalid"))
-            .when(F.col("n") > cap, F.lit("impossible"))
-            .when(F.col("n") > cap * F.lit(model.SLOW_POOL_FRACTION), F.lit("slow"))
+            .when(F.coalesce(F.col("n") > cap, F.lit(False)), F.lit("impossible"))  # a capacity of 38 digits and more is NULL
+            .when(F.coalesce(F.col("n") > cap * F.lit(model.SLOW_POOL_FRACTION), F.lit(False)), F.lit("slow"))
             .otherwise(F.lit("ok")))
     return j.select("root", "mask", "prefix", "suffix", "n", valid.alias("valid"),
                     cap.cast("string").alias("capacity"), length.cast("bigint").alias("id_length"),
@@ -384,7 +427,7 @@ def q_deidentify_volume(spark, sf_dir):
     """
     vh = fx.volume_headers(spark, sf_dir)
     n = vh.where(F.col("study_uid").isNotNull()).agg(F.countDistinct("study_uid")).first()[0]
-    req = idpool.PoolRequest(n=int(n), mask=CORPUS_MASK, secret=FIXTURE_SECRET)
+    req = idpool.PoolRequest(n=int(n), mask=fx.pool_mask(int(n)), secret=FIXTURE_SECRET)
     slots = idpool.empty_slots(idpool.generate(spark, req))
     run = deid.plan(vh, slots, {"n_study_ids": int(n), "irb_code": VOLUME_IRB})
     chars = F.aggregate("elements", F.lit(0).cast("bigint"),

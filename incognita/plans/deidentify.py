@@ -3,7 +3,7 @@
     headers --classify (narrow; key columns only)--> files with study_uid and outcome
       ok files --groupBy study_uid (partial agg)--> first file per study (materialised, counted)
         --left_anti registry index--> new studies
-        --consecutive numbering--> k --equi-join slots on first_free+k-1--> assignments
+        --consecutive numbering--> k --equi-join the k-th free slot--> assignments
       all files --join study map (<= counted batch studies; broadcast within budget)--> study_id
         --scrub (narrow, array functions)--> de-identified headers; exhausted -> outcome
 
@@ -35,6 +35,7 @@ class Run:
     files: DataFrame           # ok files with study_id (NULL = exhausted)
     outcomes: DataFrame        # every file with its final outcome
     n_studies: int             # distinct studies among ok files (bounds the study map)
+    map_row_bytes: int         # bytes of a row of the study map at most
     irb_code: str = ""
     rules: Rules = field(default=DEFAULT_RULES)
 
@@ -48,10 +49,12 @@ class Run:
 
 
 def plan(headers: DataFrame, slots: DataFrame, front: dict, rules: Rules = DEFAULT_RULES,
-         assignments: DataFrame | None = None) -> Run:
+         committed: Run | None = None) -> Run:
     """Build the run's DataFrames. ``front`` holds irb_code and n_study_ids.
 
-    ``assignments`` may be passed in already materialised (see ``execute``).
+    ``committed`` is the first pass over the same files, whose assignments
+    ``slots`` now holds: studies then get their IDs by lookup alone, none are
+    assigned (a study without one is exhausted), and its study pass is not run again.
     """
     classified = screen.classify(headers)
     ok = classified.where(F.col("outcome") == screen.OK)
@@ -59,15 +62,18 @@ def plan(headers: DataFrame, slots: DataFrame, front: dict, rules: Rules = DEFAU
     index = reg.registry_index(slots)
     # Studies of this batch, materialised and counted: the count bounds every
     # study-keyed table joined back to the files.
-    firsts = reg.study_firsts(ok).checkpoint(eager=True)
-    size = firsts.agg(F.count(F.lit(1)).alias("n"), F.max(F.length("study_uid")).alias("w")).first()
-    n_studies = max(int(size["n"]), 1)
-    # Row-size bound of the study map: the longest UID of the batch plus an ID
-    # of at most MAX_ID_BYTES and per-row overhead.
-    map_row_bytes = int(size["w"] or 0) + reg.MAX_ID_BYTES + reg.ROW_OVERHEAD_BYTES
-    new = reg.new_studies(firsts, index)
-    if assignments is None:
+    if committed is None:
+        firsts = reg.study_firsts(ok).checkpoint(eager=True)
+        size = firsts.agg(F.count(F.lit(1)).alias("n"), F.max(F.octet_length("study_uid")).alias("w")).first()
+        n_studies = max(int(size["n"]), 1)
+        # Row-size bound of the study map: the longest UID of the batch plus an ID
+        # of at most MAX_ID_BYTES and per-row overhead.
+        map_row_bytes = int(size["w"] or 0) + reg.MAX_ID_BYTES + reg.ROW_OVERHEAD_BYTES
+        new = reg.new_studies(firsts, index)
         assignments = reg.assign_slots(new, slots, stats)
+    else:
+        firsts, n_studies, map_row_bytes = committed.firsts, committed.n_studies, committed.map_row_bytes
+        new, assignments = committed.new, committed.assignments.limit(0)
     batch_ids = firsts.select("study_uid")
     known = index.join(reg.bounded_broadcast(batch_ids, n_studies, map_row_bytes), "study_uid", "left_semi")
     mapping = reg.study_map(known, assignments)
@@ -84,13 +90,14 @@ def plan(headers: DataFrame, slots: DataFrame, front: dict, rules: Rules = DEFAU
                             .otherwise(F.col("message")))
                 .withColumn("outcome", F.when(exhausted, F.lit(screen.EXHAUSTED)).otherwise(F.col("outcome")))
                 .drop("study_id"))
-    return Run(classified, stats, index, firsts, new, assignments, files, outcomes, n_studies, irb, rules)
+    return Run(classified, stats, index, firsts, new, assignments, files, outcomes, n_studies, map_row_bytes, irb, rules)
 
 
 def run_report(outcomes: DataFrame) -> DataFrame:
-    """Counters per root and in total (``root`` NULL), as the reference prints them."""
+    """Counters per root and in total, as the reference prints them (``is_total`` tells a NULL root from the total)."""
     o = F.col("outcome")
     return outcomes.withColumn("_dir", screen.parent_dir("path")).rollup("root").agg(
+        (F.grouping_id() == 1).alias("is_total"),
         F.count(F.lit(1)).alias("n_files"),
         F.countDistinct("_dir").alias("n_dirs"),
         F.count(F.when(o.isin(screen.NO_UID, screen.OK, screen.EXHAUSTED), 1)).alias("n_valid"),

@@ -65,16 +65,16 @@ def deidentify(spark: SparkSession, headers: DataFrame, registry_root: str, out_
     counts = first.assignments.agg(F.count(F.lit(1)).alias("n"),
                                    F.count(F.when(F.col("study_id").isNull(), 1)).alias("x")).first()
     if counts["n"] > counts["x"]:
-        new_slots = reg.commit(registry.slots, first.assignments, bound=first.n_studies)
-        registry = store.commit(spark, registry, new_slots)
+        changed = reg.changed_slots(registry.slots, first.assignments, bound=first.n_studies)
+        registry = store.commit_changes(spark, registry, changed)
         events = fresh.select(F.current_timestamp().alias("ts"), F.col("study_uid").alias("ord"),
                               F.lit(model.LOG_NORMAL).alias("level"),
                               F.concat(F.lit("Assigned "), F.col("study_id"), F.lit(" to a new study")).alias("message"))
-        log = report.audit_log(events, log_level, _next_seq(spark, registry_root), user, computer)
+        log = report.audit_log(events, log_level, store.last_seq(spark, registry_root) + 1, user, computer)
         store.append_log_frame(registry_root, log.withColumn("ts", F.current_timestamp()))
 
-    # Re-plan against the committed version (lookups only); unchanged registry -> same plan.
-    run = deid.plan(headers, registry.slots, registry.front, rules) if counts["n"] > counts["x"] else first
+    # Second pass against the committed version: lookups only, no study pass.
+    run = deid.plan(headers, registry.slots, registry.front, rules, committed=first)
     (run.output.withColumn("run_id", F.lit(run_id))
      .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy("root", "run_id").parquet(f"{out_dir}/headers"))
@@ -83,18 +83,12 @@ def deidentify(spark: SparkSession, headers: DataFrame, registry_root: str, out_
      .partitionBy("run_id").parquet(f"{out_dir}/outcomes"))
     rep = [r.asDict() for r in deid.run_report(
         spark.read.parquet(f"{out_dir}/outcomes").where(F.col("run_id") == run_id)).collect()]  # one row per root
-    total = next((r for r in rep if r["root"] is None), {})
+    total = next((r for r in rep if r["is_total"]), {})
     store.append_log(spark, registry_root, [(model.LOG_NORMAL, model.MSG_COMPLETED.format(
         ok=total.get("n_anonymised", 0), failed=total.get("n_exhausted", 0)))], user, computer)
     return RunResult(run_id, registry.version, int(counts["n"] - counts["x"]), int(counts["x"]), rep)
 
 
-def _next_seq(spark: SparkSession, registry_root: str) -> int:
-    last = spark.read.schema(model.AUDIT_LOG).parquet(f"{registry_root.rstrip('/')}/audit_log") \
-        .agg(F.max("seq")).first()[0]
-    return int(last or 0) + 1
-
-
 def header_dump(headers: DataFrame, out_dir: str) -> None:
     """One text rendering per readable file, stored as a table (path, out_path, text).
 

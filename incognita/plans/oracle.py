@@ -16,6 +16,28 @@ FIXED_TAGS = ", ".join(str(f.tag) for f in model.FIXED_ASSIGNMENTS)
 CTES: dict[str, tuple[list[str], str]] = {}
 
 
+def digits(n: str) -> str:
+    """Digits of the corpus mask for n IDs: two letters and at least four digits, as many as n has."""
+    return f"CAST(greatest(4, length(CAST({n} AS VARCHAR))) AS INTEGER)"
+
+
+def power(k: str) -> str:
+    return f"CAST(pow(10, {k}) AS BIGINT)"
+
+
+def decoded(code: str, k: str) -> str:
+    """The ID of a code under the mask of two upper-case letters and k digits."""
+    letters = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ'"
+    return (f"concat(substr({letters}, CAST({code} // (26 * {power(k)}) AS INT) + 1, 1), "
+            f"substr({letters}, CAST(({code} % (26 * {power(k)})) // {power(k)} AS INT) + 1, 1), "
+            f"lpad(CAST({code} % {power(k)} AS VARCHAR), {k}, '0'))")
+
+
+def drawn(cap: str, draw: str = "draw", group: str = "") -> str:
+    """Code of a draw: 60 bits of the keyed hash modulo the capacity."""
+    return f"CAST('0x' || substr(sha256(concat('k:', CAST({draw} AS VARCHAR), '{group}')), 1, 15) AS BIGINT) % ({cap})"
+
+
 def cte(name: str, body: str, deps: list[str] | None = None) -> None:
     CTES[name] = (deps or [], body)
 
@@ -69,15 +91,12 @@ cte("old_studies", """
 cte("pool_sizes", """
   SELECT count(*) * 35 // 100 AS slots, greatest(count(*) * 5 // 100, 100) AS assigned FROM events""")
 
-cte("codes", """
-  SELECT event_id + 1 AS k, (event_id * 7919 + 13) % 6760000 AS code FROM events
-  WHERE event_id < (SELECT slots FROM pool_sizes)""", ["pool_sizes"])
+cte("codes", f"""
+  SELECT i + 1 AS k, (i * 7919 + 13) % (676 * {power('w')}) AS code, w
+  FROM (SELECT unnest(range(slots)) AS i, {digits('slots')} AS w FROM pool_sizes)""", ["pool_sizes"])
 
-cte("pool", """
-  SELECT CAST(c.k + 1 AS BIGINT) AS row_no,
-    concat(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ', CAST(floor(code / 260000) AS INT) + 1, 1),
-           substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ', CAST(floor((code % 260000) / 10000) AS INT) + 1, 1),
-           lpad(CAST(code % 10000 AS VARCHAR), 4, '0')) AS study_id,
+cte("pool", f"""
+  SELECT CAST(c.k + 1 AS BIGINT) AS row_no, {decoded('code', 'w')} AS study_id,
     o.patient_id, o.study_uid
   FROM codes c LEFT JOIN (SELECT * FROM old_studies WHERE k <= (SELECT assigned FROM pool_sizes)) o ON c.k = o.k""",
     ["codes", "old_studies", "pool_sizes"])
@@ -152,16 +171,19 @@ cte("new_studies", """
   SELECT f.* FROM firsts f WHERE NOT EXISTS (SELECT 1 FROM reg_index r WHERE r.study_uid = f.study_uid)""",
     ["firsts", "reg_index"])
 
+# unassigned slots with an ID, numbered in row order
+cte("free", """
+  SELECT row_no, study_id, row_number() OVER (ORDER BY row_no) AS k
+  FROM pool WHERE NOT (study_id IS NOT NULL AND patient_id IS NOT NULL) AND coalesce(study_id, '') <> '' AND row_no >= 2""",
+    ["pool"])
+
 cte("assignments", """
-  SELECT n.study_uid, n.k, n.slot_row AS row_no, p.study_id,
-    n.slot_row > (SELECT n_study_ids + 1 FROM front) AS over_pool,
+  SELECT n.study_uid, n.k, f.row_no, f.study_id, coalesce(f.row_no > (SELECT n_study_ids + 1 FROM front), false) AS over_pool,
     v.patient_name, v.patient_id, v.accession_number, v.study_date, v.study_time, v.study_description,
     n.path AS first_path
-  FROM (SELECT *, CAST(row_number() OVER (ORDER BY root_ord, path, study_uid) AS BIGINT) AS k,
-          CAST(row_number() OVER (ORDER BY root_ord, path, study_uid) + (SELECT first_free_row FROM first_free) - 1 AS BIGINT) AS slot_row
-        FROM new_studies) n
-  LEFT JOIN (SELECT row_no, study_id FROM pool WHERE study_id IS NOT NULL AND study_id <> '') p ON p.row_no = n.slot_row
-  LEFT JOIN top_vals v ON v.path = n.path""", ["new_studies", "first_free", "pool", "front", "top_vals"])
+  FROM (SELECT *, CAST(row_number() OVER (ORDER BY root_ord, path, study_uid) AS BIGINT) AS k FROM new_studies) n
+  LEFT JOIN free f ON f.k = n.k
+  LEFT JOIN top_vals v ON v.path = n.path""", ["new_studies", "free", "front", "top_vals"])
 
 cte("study_map", """
   SELECT study_uid, study_id, row_no FROM reg_index
@@ -360,78 +382,114 @@ cte("inc_new1", """
     FROM inc_ok1) t
   WHERE rn = 1 AND study_uid NOT IN (SELECT study_uid FROM reg_index)""", ["inc_ok1", "reg_index"])
 cte("inc_a1", """
-  SELECT n.study_uid, n.slot_row AS row_no, p.study_id FROM (
-    SELECT *, row_number() OVER (ORDER BY root_ord, path, study_uid) + (SELECT first_free_row FROM first_free) - 1 AS slot_row
-    FROM inc_new1) n
-  LEFT JOIN (SELECT row_no, study_id FROM pool WHERE study_id IS NOT NULL AND study_id <> '') p ON p.row_no = n.slot_row""",
-    ["inc_new1", "first_free", "pool"])
+  SELECT n.study_uid, f.row_no, f.study_id
+  FROM (SELECT *, row_number() OVER (ORDER BY root_ord, path, study_uid) AS k FROM inc_new1) n LEFT JOIN free f ON f.k = n.k""",
+    ["inc_new1", "free"])
 cte("inc_index1", """
   SELECT study_uid FROM reg_index UNION ALL SELECT study_uid FROM inc_a1 WHERE study_id IS NOT NULL""",
     ["reg_index", "inc_a1"])
-cte("inc_ff1", """
-  SELECT coalesce(min(p.row_no) FILTER (WHERE NOT ((p.study_id IS NOT NULL AND p.patient_id IS NOT NULL) OR a.study_uid IS NOT NULL)
-                                     AND p.row_no BETWEEN 2 AND (SELECT n_study_ids + 1 FROM front)),
-                  (SELECT n_study_ids + 2 FROM front)) AS first_free_row
-  FROM pool p LEFT JOIN (SELECT * FROM inc_a1 WHERE study_id IS NOT NULL) a ON a.row_no = p.row_no""",
-    ["pool", "inc_a1", "front"])
+cte("inc_free", """
+  SELECT row_no, study_id, row_number() OVER (ORDER BY row_no) AS k
+  FROM free WHERE row_no NOT IN (SELECT row_no FROM inc_a1 WHERE row_no IS NOT NULL)""", ["free", "inc_a1"])
 cte("inc_new2", """
   SELECT study_uid, root_ord, path FROM (
     SELECT study_uid, root_ord, path, row_number() OVER (PARTITION BY study_uid ORDER BY root_ord, path) AS rn
     FROM ok_files) t
   WHERE rn = 1 AND study_uid NOT IN (SELECT study_uid FROM inc_index1)""", ["ok_files", "inc_index1"])
 cte("inc_a2", """
-  SELECT n.study_uid, n.slot_row AS row_no, p.study_id FROM (
-    SELECT *, row_number() OVER (ORDER BY root_ord, path, study_uid) + (SELECT first_free_row FROM inc_ff1) - 1 AS slot_row
-    FROM inc_new2) n
-  LEFT JOIN (SELECT row_no, study_id FROM pool WHERE study_id IS NOT NULL AND study_id <> '') p ON p.row_no = n.slot_row""",
-    ["inc_new2", "inc_ff1", "pool"])
+  SELECT n.study_uid, f.row_no, f.study_id
+  FROM (SELECT *, row_number() OVER (ORDER BY root_ord, path, study_uid) AS k FROM inc_new2) n LEFT JOIN inc_free f ON f.k = n.k""",
+    ["inc_new2", "inc_free"])
 
 oracle("incremental_assign", """
 SELECT study_uid, CAST(row_no AS BIGINT) AS row_no, study_id, 1 AS run FROM inc_a1
 UNION ALL SELECT study_uid, CAST(row_no AS BIGINT), study_id, 2 FROM inc_a2""", "inc_a1", "inc_a2")
 
 # ---- study ID pool -----------------------------------------------------------------
-cte("pool_req", """
-  SELECT CAST(count(DISTINCT study_uid) AS BIGINT) AS n, CAST(6760000 AS BIGINT) AS cap FROM ok_files""",
+cte("pool_req", f"""
+  SELECT n, w, 676 * {power('w')} AS cap
+  FROM (SELECT n, {digits('n')} AS w FROM (SELECT CAST(count(DISTINCT study_uid) AS BIGINT) AS n FROM ok_files))""",
     ["ok_files"])
-cte("pool_draws", """
-  SELECT code, min(draw) AS first_draw FROM (
-    SELECT draw, CAST('0x' || substr(sha256(concat('k:', CAST(draw AS VARCHAR))), 1, 15) AS BIGINT) % 6760000 AS code
-    FROM (SELECT unnest(range(2 * n + 64)) AS draw FROM pool_req) d) t
+cte("pool_draws", f"""
+  SELECT code, min(draw) AS first_draw, any_value(w) AS w FROM (
+    SELECT draw, w, {drawn('cap')} AS code FROM (SELECT unnest(range(2 * n + 64)) AS draw, cap, w FROM pool_req) d) t
   GROUP BY code""", ["pool_req"])
 cte("new_pool", """
-  SELECT code, first_draw, row_number() OVER (ORDER BY first_draw) AS idx FROM pool_draws
+  SELECT code, w, first_draw, row_number() OVER (ORDER BY first_draw) AS idx FROM pool_draws
   QUALIFY idx <= (SELECT n FROM pool_req)""", ["pool_draws", "pool_req"])
 
-oracle("id_pool", """
-SELECT CAST(idx + 1 AS BIGINT) AS row_no,
-  concat(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ', CAST(code // 260000 AS INT) + 1, 1),
-         substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ', CAST((code % 260000) // 10000 AS INT) + 1, 1),
-         lpad(CAST(code % 10000 AS VARCHAR), 4, '0')) AS study_id
-FROM new_pool""", "new_pool")
+oracle("id_pool", f"""
+SELECT CAST(idx + 1 AS BIGINT) AS row_no, {decoded('code', 'w')} AS study_id FROM new_pool""", "new_pool")
 
 oracle("id_pool_stats", """
-SELECT (SELECT n FROM pool_req) AS n_requested, '6760000' AS capacity,
+SELECT (SELECT n FROM pool_req) AS n_requested, (SELECT CAST(cap AS VARCHAR) FROM pool_req) AS capacity,
   CAST(count(*) AS BIGINT) AS n_ids, CAST(count(DISTINCT code) AS BIGINT) AS n_distinct,
   CAST(max(first_draw) + 1 AS BIGINT) AS draws_used, CAST(max(first_draw) + 1 - count(*) AS BIGINT) AS collisions
 FROM new_pool""", "new_pool", "pool_req")
 
-cte("ext_req", """
-  SELECT CAST(count(*) AS BIGINT) AS k FROM new_studies""", ["new_studies"])
-cte("ext_codes", """
-  SELECT code, min(draw) AS first_draw,
-    concat(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ', CAST(code // 260000 AS INT) + 1, 1),
-           substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ', CAST((code % 260000) // 10000 AS INT) + 1, 1),
-           lpad(CAST(code % 10000 AS VARCHAR), 4, '0')) AS study_id
-  FROM (SELECT draw, CAST('0x' || substr(sha256(concat('k:', CAST(draw AS VARCHAR))), 1, 15) AS BIGINT) % 6760000 AS code
-        FROM (SELECT unnest(range(2 * (k + (SELECT count(*) FROM pool)) + 64)) AS draw FROM ext_req) d) t
+# three quarters of all IDs that as many digits as the studies have can give
+cte("full_req", f"""
+  SELECT w, {power('w')} AS cap, {power('w')} * 3 // 4 AS n FROM (SELECT CAST(length(CAST(n AS VARCHAR)) AS INTEGER) AS w FROM pool_req)""",
+    ["pool_req"])
+oracle("id_pool_full", f"""
+SELECT CAST(idx + 1 AS BIGINT) AS row_no, study_id FROM (
+  SELECT lpad(CAST(code AS VARCHAR), w, '0') AS study_id, row_number() OVER (ORDER BY first_draw) AS idx FROM (
+    SELECT code, any_value(w) AS w, min(draw) AS first_draw FROM (
+      SELECT w, draw, {drawn('cap')} AS code FROM (SELECT unnest(range(3 * cap + 200)) AS draw, cap, w FROM full_req)) GROUP BY code))
+WHERE idx <= (SELECT n FROM full_req)""", "full_req")
+
+# thirteen letters: eight from the first hash, five from the second
+_WIDE_FIRST, _WIDE_SECOND = "uuuuuddd", "ddddd"
+oracle("id_pool_wide", f"""
+SELECT CAST(draw + 2 AS BIGINT) AS row_no,
+  concat({', '.join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ', CAST((a // {26 ** (4 - i) * 1000}) % 26 AS INT) + 1, 1)" for i in range(5))},
+         lpad(CAST(a % 1000 AS VARCHAR), 3, '0'), lpad(CAST(b AS VARCHAR), 5, '0')) AS study_id
+FROM (SELECT draw, {drawn(str(26 ** 5 * 1000))} AS a, {drawn('100000', group='/1')} AS b
+      FROM (SELECT unnest(range(n)) AS draw FROM pool_req))""", "pool_req")
+
+cte("ext_req", f"""
+  SELECT k, w, 676 * {power('w')} AS cap FROM (
+    SELECT CAST(count(*) AS BIGINT) AS k, {digits('(SELECT slots FROM pool_sizes)')} AS w FROM new_studies)""",
+    ["new_studies", "pool_sizes"])
+cte("ext_codes", f"""
+  SELECT code, min(draw) AS first_draw, {decoded('code', 'any_value(w)')} AS study_id
+  FROM (SELECT draw, w, {drawn('cap')} AS code
+        FROM (SELECT unnest(range(2 * (k + (SELECT count(*) FROM pool)) + 64)) AS draw, cap, w FROM ext_req) d) t
   GROUP BY code""", ["ext_req", "pool"])
-
-oracle("id_pool_extend", """
-SELECT CAST(rn + (SELECT max(row_no) FROM pool) AS BIGINT) AS row_no, study_id FROM (
-  SELECT study_id, row_number() OVER (ORDER BY first_draw) AS rn FROM ext_codes
-  WHERE study_id NOT IN (SELECT study_id FROM pool WHERE study_id IS NOT NULL)) t
-WHERE rn <= (SELECT k FROM ext_req)""", "ext_codes", "ext_req", "pool")
+cte("extension", """
+  SELECT CAST(rn + (SELECT max(row_no) FROM pool) AS BIGINT) AS row_no, study_id FROM (
+    SELECT study_id, row_number() OVER (ORDER BY first_draw) AS rn FROM ext_codes
+    WHERE study_id NOT IN (SELECT study_id FROM pool WHERE study_id IS NOT NULL)) t
+  WHERE rn <= (SELECT k FROM ext_req)""", ["ext_codes", "ext_req", "pool"])
+
+oracle("id_pool_extend", "SELECT row_no, study_id FROM extension", "extension")
+
+# a registry whose nominal size ends in the middle of its slots; past that, every third slot is in use
+cte("over_pool", """
+  SELECT row_no, study_id, CASE WHEN used THEN concat('Q', row_no) ELSE patient_id END AS patient_id,
+    CASE WHEN used THEN concat('9.9.', row_no) ELSE study_uid END AS study_uid
+  FROM (SELECT *, patient_id IS NULL AND row_no > (SELECT n_study_ids // 2 + 1 FROM front) AND row_no % 3 = 0 AS used FROM pool)""",
+    ["pool", "front"])
+cte("over_free", """
+  SELECT row_no, study_id, row_number() OVER (ORDER BY row_no) AS k FROM over_pool WHERE patient_id IS NULL""", ["over_pool"])
+oracle("study_assign_over_pool", """
+SELECT n.study_uid, n.k, f.row_no, f.study_id, coalesce(f.row_no > (SELECT n_study_ids // 2 + 1 FROM front), false) AS over_pool
+FROM (SELECT *, CAST(row_number() OVER (ORDER BY root_ord, path, study_uid) AS BIGINT) AS k FROM new_studies) n
+LEFT JOIN over_free f ON f.k = n.k""", "new_studies", "over_free", "front")
+
+# the same registry after an extension by one ID for each new study; everyone finds a slot
+cte("ext_free", """
+  SELECT study_id, row_number() OVER (ORDER BY row_no) AS k
+  FROM (SELECT row_no, study_id FROM over_pool WHERE patient_id IS NULL UNION ALL SELECT row_no, study_id FROM extension)""",
+    ["over_pool", "extension"])
+oracle("reidentify_after_extend", """
+SELECT f.path, a.study_id, a.patient_id AS original_patient_id, f.study_uid AS original_study_uid
+FROM ok_files f JOIN (
+  SELECT n.study_uid, e.study_id, v.patient_id
+  FROM (SELECT *, row_number() OVER (ORDER BY root_ord, path, study_uid) AS k FROM new_studies) n
+  JOIN ext_free e ON e.k = n.k JOIN top_vals v ON v.path = n.path
+  UNION ALL SELECT study_uid, study_id, patient_id FROM over_pool WHERE patient_id IS NOT NULL) a ON a.study_uid = f.study_uid""",
+       "ok_files", "new_studies", "ext_free", "top_vals", "over_pool")
 
 oracle("mask_capacity", """
 SELECT root, mask, prefix, suffix, n, valid, CAST(cap AS VARCHAR) AS capacity, CAST(id_length AS BIGINT) AS id_length,
@@ -528,7 +586,7 @@ FROM (
 WHERE level <= 2""", "outcomes", "inst")
 
 oracle("run_report", """
-SELECT root, CAST(count(*) AS BIGINT) AS n_files,
+SELECT root, grouping(root) = 1 AS is_total, CAST(count(*) AS BIGINT) AS n_files,
   CAST(count(DISTINCT regexp_extract(path, '^(.*)/[^/]*$', 1)) AS BIGINT) AS n_dirs,
   CAST(count(*) FILTER (WHERE outcome IN ('no_uid', 'ok', 'exhausted')) AS BIGINT) AS n_valid,
   CAST(count(*) FILTER (WHERE outcome IN ('skiplist', 'no_uid')) AS BIGINT) AS n_skipped,
@@ -568,18 +626,16 @@ cte("v_firsts", """
     SELECT uid, root_ord, path, row_number() OVER (PARTITION BY uid ORDER BY root_ord, path) AS rn FROM v_inst) t
   WHERE rn = 1""", ["v_inst"])
 
-cte("v_req", "SELECT CAST(count(DISTINCT uid) AS BIGINT) AS n FROM v_inst", ["v_inst"])
+cte("v_req", f"""
+  SELECT n, w, 676 * {power('w')} AS cap FROM (SELECT n, {digits('n')} AS w FROM (SELECT CAST(count(DISTINCT uid) AS BIGINT) AS n FROM v_inst))""",
+    ["v_inst"])
 
-cte("v_pool", """
-  SELECT CAST(idx + 1 AS BIGINT) AS row_no,
-    concat(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ', CAST(code // 260000 AS INT) + 1, 1),
-           substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ', CAST((code % 260000) // 10000 AS INT) + 1, 1),
-           lpad(CAST(code % 10000 AS VARCHAR), 4, '0')) AS study_id
+cte("v_pool", f"""
+  SELECT CAST(idx + 1 AS BIGINT) AS row_no, {decoded('code', 'w')} AS study_id
   FROM (
-    SELECT code, row_number() OVER (ORDER BY first_draw) AS idx FROM (
-      SELECT code, min(draw) AS first_draw FROM (
-        SELECT draw, CAST('0x' || substr(sha256(concat('k:', CAST(draw AS VARCHAR))), 1, 15) AS BIGINT) % 6760000 AS code
-        FROM (SELECT unnest(range(2 * n + 64)) AS draw FROM v_req) d) t
+    SELECT code, w, row_number() OVER (ORDER BY first_draw) AS idx FROM (
+      SELECT code, any_value(w) AS w, min(draw) AS first_draw FROM (
+        SELECT draw, w, {drawn('cap')} AS code FROM (SELECT unnest(range(2 * n + 64)) AS draw, cap, w FROM v_req) d) t
       GROUP BY code) c
     QUALIFY idx <= (SELECT n FROM v_req)) p""", ["v_req"])
 

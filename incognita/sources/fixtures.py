@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from incognita import model
-from incognita.functions.masks import decode_code
+from incognita.functions.masks import capacity, decode_code
 from incognita.functions.ranking import consecutive_index
 from incognita.functions.tags import element, with_keys
 from incognita.session import app_id, ensure_checkpoint_dir
@@ -62,7 +62,11 @@ ELEMENT_SPECS = [
 POOL_SLOT_PCT = 35
 POOL_ASSIGNED_PCT = 5
 POOL_ASSIGNED_MIN = 100
-POOL_MASK = "uudddd"
+
+
+def pool_mask(n: int) -> str:
+    """Mask for n IDs: two upper-case letters and at least four digits, as many as n has."""
+    return "uu" + "d" * max(4, len(str(n)))
 
 
 def pool_sizes(spark: SparkSession, sf_dir: str) -> tuple[int, int]:
@@ -174,12 +178,10 @@ def pool(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def build_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     slots_n, _ = pool_sizes(spark, sf_dir)
-    codes = (read_table(spark, sf_dir, "events")
-             .where(F.col("event_id") < slots_n)
-             .select((F.col("event_id") + 1).alias("k"),
-                     ((F.col("event_id") * 7919 + 13) % 6760000).alias("code")))
-    slots = codes.select("k", (F.col("k") + 1).alias("row_no"),
-                         decode_code(F.col("code"), POOL_MASK).alias("study_id"))
+    mask = pool_mask(slots_n)
+    codes = spark.range(slots_n).select((F.col("id") + 1).alias("k"),
+                                        ((F.col("id") * 7919 + 13) % F.lit(capacity(mask))).alias("code"))
+    slots = codes.select("k", (F.col("k") + 1).alias("row_no"), decode_code(F.col("code"), mask).alias("study_id"))
     # Both sides hold at most `slots` rows (counted): equi-join on k, AQE picks the strategy.
     joined = slots.join(old_studies(spark, sf_dir), "k", "left")
     return _as_slots(joined)
@@ -216,11 +218,19 @@ def study_front(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _build_front(spark: SparkSession, sf_dir: str) -> DataFrame:
     slots_n, _ = pool_sizes(spark, sf_dir)
-    n = (read_table(spark, sf_dir, "events").where(F.col("event_id") < slots_n)
-         .agg(F.count(F.lit(1)).alias("n_study_ids")))
-    return n.select(F.lit("Fixture study").alias("study_title"), F.lit("Fixture PI").alias("pi"),
-                    F.lit(model.DEFAULT_IRB_CODE).alias("irb_code"),
-                    F.col("n_study_ids").cast("bigint").alias("n_study_ids"))
+    return spark.range(1).select(F.lit("Fixture study").alias("study_title"), F.lit("Fixture PI").alias("pi"),
+                                 F.lit(model.DEFAULT_IRB_CODE).alias("irb_code"),
+                                 F.lit(slots_n).cast("bigint").alias("n_study_ids"))
+
+
+def over_pool(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
+    """A registry whose nominal size ends in the middle of its slots; past that, every third slot is in use."""
+    n = pool_sizes(spark, sf_dir)[0] // 2
+    used = F.col("patient_id").isNull() & (F.col("row_no") > n + 1) & (F.col("row_no") % 3 == 0)
+    slots = pool(spark, sf_dir).withColumn("_used", used)
+    for c, value in (("patient_id", F.concat(F.lit("Q"), "row_no")), ("study_uid", F.concat(F.lit("9.9."), "row_no"))):
+        slots = slots.withColumn(c, F.when(F.col("_used"), value).otherwise(F.col(c)))
+    return slots.drop("_used"), n
 
 
 def patches(spark: SparkSession, sf_dir: str) -> DataFrame:

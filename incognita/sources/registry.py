@@ -1,19 +1,28 @@
 """Study registry storage: Parquet tables under one folder, slots versioned.
 
-    <registry>/study/          one-row front table (title, PI, IRB code, n)
-    <registry>/slots/v=<N>/    slot table, one immutable version per run
-    <registry>/audit_log/      append-only log
-
-A run reads version N and commits N+1 before any de-identified file is
-written, so a crash never leaves files whose pseudonyms are not recorded.
-A version is never overwritten; a writer that finds N+1 already present
-fails (single writer per registry).
+    <registry>/study/            one-row front table (title, PI, IRB code, n)
+    <registry>/slots/<folder>/   full slot tables and tables of changed slots
+    <registry>/commits/v<N>      one small JSON file per version
+    <registry>/audit_log/        append-only log
+
+A version is its commit file: it names a full slot table, the tables of changed
+slots since, and the pool size n. A writer writes its slots to a folder of its
+own, checks the slots that result, and then claims version N+1 by creating that
+commit file, which fails if it is there. Readers follow commit files only, so
+folders of writers that died or lost the claim are never seen; a commit file
+without its content (a writer that died in the claim) is no version either. A
+run commits before any de-identified file is written, so a crash never leaves
+files whose pseudonyms are not recorded. Runs write only the slots they fill;
+every ``SNAPSHOT_EVERY`` versions the full table is written again.
 """
 
 from __future__ import annotations
 
+import json
+import os
 import re
-from dataclasses import dataclass
+import uuid
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,6 +30,10 @@ from pyspark.sql import functions as F
 from incognita import model
 from incognita.operators import registry_ops as reg
 
+#: Tables of changed slots that a version may stack before the full table is written again.
+SNAPSHOT_EVERY = 20
+
+
 class RegistryError(RuntimeError):
     pass
 
@@ -31,95 +44,215 @@ class Registry:
     front: dict
     slots: DataFrame
     version: int
+    base: str = ""
+    changes: list[str] = field(default_factory=list)
 
 
 def _path(root: str, part: str) -> str:
     return f"{root.rstrip('/')}/{part}"
 
 
-def _versions(spark: SparkSession, root: str) -> list[int]:
-    """Slot versions present, from the file listing (no data is read)."""
+# ---- files of any Spark file system ------------------------------------------
+
+def _fs(spark: SparkSession, path: str):
+    jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), jpath
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, p = _fs(spark, path)
+    return fs.exists(p)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    fs, p = _fs(spark, path)
+    fs.delete(p, True)
+
+
+def _create_new(spark: SparkSession, path: str, text: str) -> bool:
+    """Create a file that must not exist; False if it does."""
+    fs, p = _fs(spark, path)
+    fs.mkdirs(p.getParent())
+    if fs.getUri().getScheme() == "file":  # the local file system has no exclusive create; a hard link is one
+        local = fs.makeQualified(p).toUri().getPath()
+        temp = f"{local}.{uuid.uuid4().hex}.tmp"
+        with open(temp, "w", encoding="utf-8") as f:
+            f.write(text)
+        try:
+            os.link(temp, local)
+        except FileExistsError:
+            return False
+        finally:
+            os.unlink(temp)
+        return True
     try:
-        files = spark.read.parquet(_path(root, "slots")).inputFiles()
-    except Exception:  # noqa: BLE001 - missing folder
-        return []
-    found = {int(m.group(1)) for f in files for m in [re.search(r"/v=(\d+)/", f)] if m}
-    return sorted(found)
+        out = fs.create(p, False)
+    except Exception as exc:  # the claim failed because the file is there, or for another reason
+        if fs.exists(p):
+            return False
+        raise RegistryError(f"cannot write {path}") from exc
+    try:
+        out.write(bytearray(text, "utf-8"))
+    finally:
+        out.close()
+    return True
+
+
+def _commits(spark: SparkSession, root: str) -> dict[int, dict | None]:
+    """Version -> content of its commit file (None if it has none)."""
+    folder = _path(root, "commits")
+    if not exists(spark, folder):
+        return {}
+    fs, p = _fs(spark, folder)
+    out: dict[int, dict | None] = {}
+    for status in fs.listStatus(p):
+        m = re.fullmatch(r"v(\d+)", status.getPath().getName())
+        if m:
+            out[int(m.group(1))] = status.getPath()
+    for v in sorted(out):
+        stream = fs.open(out[v])
+        try:
+            text = spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+        try:
+            out[v] = json.loads(text)
+        except ValueError:
+            out[v] = None
+    return out
+
+
+def versions(spark: SparkSession, root: str) -> list[int]:
+    return [v for v, c in sorted(_commits(spark, root).items()) if c]
+
+
+# ---- slots -------------------------------------------------------------------
+
+def _conform(slots: DataFrame) -> DataFrame:
+    cols = []
+    for f in model.SLOTS.fields:
+        c = F.col(f.name) if f.name in slots.columns else F.lit(None)
+        cols.append(c.cast(f.dataType).alias(f.name))
+    return slots.select(*cols)
+
+
+def _write_slots(root: str, slots: DataFrame) -> str:
+    """Write to a folder that nobody else knows; returns its name."""
+    name = uuid.uuid4().hex
+    _conform(slots).write.mode("errorifexists").parquet(_path(root, f"slots/{name}"))
+    return name
+
+
+def _read_slots(spark: SparkSession, root: str, base: str, changes: list[str]) -> DataFrame:
+    read = spark.read.schema(model.SLOTS)
+    slots = read.parquet(_path(root, f"slots/{base}"))
+    if not changes:
+        return slots
+    # A slot changes at most once (it is filled, or added), so changed rows are disjoint.
+    new = read.parquet(*[_path(root, f"slots/{c}") for c in changes])
+    return slots.join(new.select("row_no"), "row_no", "left_anti").unionByName(new)
 
 
 def create(spark: SparkSession, root: str, title: str, pi: str, pool: DataFrame, n_study_ids: int,
            irb_code: str = model.DEFAULT_IRB_CODE, user: str = "", computer: str = "",
            creation_messages: list[str] | None = None) -> Registry:
     """Write a new registry: front table, slot version 1 and the creation log lines."""
-    if _versions(spark, root):
+    if _commits(spark, root):
         raise RegistryError(f"registry {root} already exists")
     front = spark.createDataFrame([(title, pi, irb_code, int(n_study_ids))], model.STUDY)
     front.coalesce(1).write.mode("errorifexists").parquet(_path(root, "study"))
-    slots = _conform(pool)
-    slots.withColumn("v", F.lit(1)).write.partitionBy("v").mode("errorifexists").parquet(_path(root, "slots"))
+    base = _write_slots(root, pool)
+    _claim(spark, root, 1, {"base": base, "changes": [], "n_study_ids": int(n_study_ids), "parent": 0})
     msgs = creation_messages or [model.MSG_STUDY_CREATED.format(title=title, pi=pi)]
     append_log(spark, root, [(model.LOG_NORMAL, m) for m in msgs], user, computer)
     return load(spark, root, check=False)
 
 
-def _conform(slots: DataFrame) -> DataFrame:
-    cols = []
-    for f in model.SLOTS.fields:
-        c = F.col(f.name) if f.name in slots.columns else F.lit(None)
-        cols.append(c.cast(f.dataType).alias(f.name))
-    return slots.select(*cols)
-
-
 def load(spark: SparkSession, root: str, check: bool = True) -> Registry:
     """Read the latest version; raise listing every missing part or failed check."""
-    missing = []
-    front_rows = None
-    try:
-        front_rows = spark.read.parquet(_path(root, "study")).collect()  # one row
-    except Exception:  # noqa: BLE001
-        missing.append("no 'study' table")
-    versions = _versions(spark, root)
-    if not versions:
-        missing.append("no 'slots' table")
-    try:
-        spark.read.schema(model.AUDIT_LOG).parquet(_path(root, "audit_log")).inputFiles()
-    except Exception:  # noqa: BLE001
-        missing.append("no 'audit_log' table")
+    missing = [f"no '{part}' table" for part in ("study", "slots", "audit_log") if not exists(spark, _path(root, part))]
+    commits = {v: c for v, c in _commits(spark, root).items() if c}
+    if not commits and "no 'slots' table" not in missing:
+        missing.append("no committed slot version")
     if missing:
         raise RegistryError(f"registry {root} is not valid: " + "; ".join(missing))
-    front = front_rows[0].asDict()
-    v = versions[-1]
-    slots = spark.read.parquet(_path(root, "slots")).where(F.col("v") == v).drop("v")
-    r = Registry(root, front, slots, v)
+    v = max(commits)
+    lost = [x for x in commits if commits[v]["parent"] < x < v]
+    if lost:
+        raise RegistryError(f"registry {root}: version {v} does not follow version {max(lost)}")
+    front = spark.read.parquet(_path(root, "study")).first().asDict()  # one row
+    front["n_study_ids"] = commits[v]["n_study_ids"]
+    slots = _read_slots(spark, root, commits[v]["base"], commits[v]["changes"])
+    r = Registry(root, front, slots, v, commits[v]["base"], commits[v]["changes"])
     if check:
-        problems = problems_of(check_slots(slots, int(front["n_study_ids"])))
-        if problems:
-            raise RegistryError(f"registry {root} v={v} failed checks: " + "; ".join(problems))
+        _refuse(slots, front["n_study_ids"], f"registry {root} v={v}")
     return r
 
 
-def commit(spark: SparkSession, registry: Registry, new_slots: DataFrame) -> Registry:
-    """Write version N+1 and return it re-read (the committed, materialised state)."""
-    nxt = registry.version + 1
-    if nxt in _versions(spark, registry.root):
-        raise RegistryError(f"registry {registry.root} already has version {nxt}: concurrent writer")
-    (_conform(new_slots).withColumn("v", F.lit(nxt))
-     .write.partitionBy("v").mode("append").parquet(_path(registry.root, "slots")))
-    return load(spark, registry.root)
+def _refuse(slots: DataFrame, n_study_ids: int, what: str) -> None:
+    problems = problems_of(check_slots(slots, int(n_study_ids)))
+    if problems:
+        raise RegistryError(f"{what} failed checks: " + "; ".join(problems))
+
+
+def _claim(spark: SparkSession, root: str, version: int, content: dict) -> None:
+    if not _create_new(spark, _path(root, f"commits/v{version:010d}"), json.dumps(content)):
+        raise RegistryError(f"registry {root} already has version {version}: concurrent writer")
+
+
+def _next(spark: SparkSession, registry: Registry) -> int:
+    """The number after this version's; commit files that died in the claim are passed over."""
+    commits = _commits(spark, registry.root)
+    v = registry.version + 1
+    while v in commits and commits[v] is None:
+        v += 1
+    return v
+
+
+def commit(spark: SparkSession, registry: Registry, new_slots: DataFrame, n_study_ids: int | None = None) -> Registry:
+    """Write a full slot table as the next version and return it re-read."""
+    return _commit(spark, registry, _write_slots(registry.root, new_slots), None, n_study_ids)
+
+
+def commit_changes(spark: SparkSession, registry: Registry, changed: DataFrame, n_study_ids: int | None = None) -> Registry:
+    """Write the changed and added slots as the next version and return it re-read."""
+    return _commit(spark, registry, None, _write_slots(registry.root, changed), n_study_ids)
+
+
+def _commit(spark: SparkSession, registry: Registry, base: str | None, change: str | None, n_study_ids: int | None) -> Registry:
+    root, n = registry.root, int(n_study_ids or registry.front["n_study_ids"])
+    changes = [] if base else [*registry.changes, change]
+    mine = base or change
+    try:
+        slots = _read_slots(spark, root, base or registry.base, changes)
+        _refuse(slots, n, f"registry {root}: the new slots")
+        if len(changes) > SNAPSHOT_EVERY:
+            base, changes = _write_slots(root, slots), []
+        version = _next(spark, registry)
+        _claim(spark, root, version, {"base": base or registry.base, "changes": changes, "n_study_ids": n, "parent": registry.version})
+    except RegistryError:
+        _delete(spark, _path(root, f"slots/{mine}"))
+        raise
+    return load(spark, root, check=False)  # what was checked above
+
+
+# ---- audit log ---------------------------------------------------------------
+
+def last_seq(spark: SparkSession, root: str) -> int:
+    path = _path(root, "audit_log")
+    if not exists(spark, path):
+        return 0
+    return int(spark.read.schema(model.AUDIT_LOG).parquet(path).agg(F.max("seq")).first()[0] or 0)
 
 
 def append_log(spark: SparkSession, root: str, entries: list[tuple[int, str]], user: str = "",
                computer: str = "") -> None:
     """Append run-level log lines (level, message) after the last sequence number."""
-    path = _path(root, "audit_log")
-    try:
-        last = spark.read.schema(model.AUDIT_LOG).parquet(path).agg(F.max("seq")).first()[0] or 0
-    except Exception:  # noqa: BLE001 - first write
-        last = 0
+    last = last_seq(spark, root)
     rows = [(last + i + 1, lvl, msg, user, computer) for i, (lvl, msg) in enumerate(entries)]
     df = spark.createDataFrame(rows, "seq bigint, level int, activity string, user string, computer string")
     df = df.select("seq", F.current_timestamp().alias("ts"), "level", "activity", "user", "computer")
-    df.coalesce(1).write.mode("append").parquet(path)
+    df.coalesce(1).write.mode("append").parquet(_path(root, "audit_log"))
 
 
 def append_log_frame(root: str, log: DataFrame) -> None:
@@ -165,7 +298,7 @@ def problems_of(checks: DataFrame) -> list[str]:
     out = []
     if vals.get("first_gap_row") is not None:
         out.append(f"gap at row {vals['first_gap_row']}: later rows are assigned")
-    for k, label in (("n_dup_uids", "study UIDs assigned twice"), ("n_dup_ids", "study IDs repeated"),
+    for k, label in (("n_missing_ids", "slots without a study ID"), ("n_dup_uids", "study UIDs assigned twice"), ("n_dup_ids", "study IDs repeated"),
                      ("n_missing_rows", "slot rows missing")):
         if vals.get(k):
             out.append(f"{vals[k]} {label}")
@@ -173,19 +306,18 @@ def problems_of(checks: DataFrame) -> list[str]:
 
 
 def prune_versions(spark: SparkSession, root: str, keep: int = 10) -> list[int]:
-    """Delete all but the newest ``keep`` slot versions (keep >= 1); returns the deleted ones.
+    """Delete all but the newest ``keep`` versions (keep >= 1) and the slot folders that only they use.
 
-    Explicit and opt-in: old versions are the registry's history. Uses the
-    Hadoop file system of the registry path, so it works on any Spark storage.
+    Explicit and opt-in: old versions are the registry's history. Folders that no
+    commit file names stay, as a writer may be at work on one.
     """
     if keep < 1:
         raise ValueError("keep must be at least 1: the latest version is never deleted")
-    versions = _versions(spark, root)
-    doomed = versions[:-keep] if len(versions) > keep else []
-    if doomed:
-        jvm = spark.sparkContext._jvm
-        conf = spark.sparkContext._jsc.hadoopConfiguration()
-        for v in doomed:
-            p = jvm.org.apache.hadoop.fs.Path(f"{_path(root, 'slots')}/v={v}")
-            p.getFileSystem(conf).delete(p, True)
+    commits = {v: c for v, c in _commits(spark, root).items() if c}
+    doomed = sorted(commits)[:-keep]
+    kept = {f for v, c in commits.items() if v not in doomed for f in [c["base"], *c["changes"]]}
+    for v in doomed:
+        _delete(spark, _path(root, f"commits/v{v:010d}"))
+    for f in {f for v in doomed for f in [commits[v]["base"], *commits[v]["changes"]]} - kept:
+        _delete(spark, _path(root, f"slots/{f}"))
     return doomed
