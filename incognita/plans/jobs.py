@@ -51,6 +51,19 @@ def create_study(spark: SparkSession, registry_root: str, title: str, pi: str,
                         creation_messages=lines)
 
 
+def extend_study(spark: SparkSession, registry_root: str, request: idpool.PoolRequest, user: str = "",
+                 computer: str = "") -> store.Registry:
+    """Add ``request.n`` study IDs to a registry; its pool size becomes that of all its slots."""
+    req = request.checked()
+    registry = store.load(spark, registry_root)
+    last = max(reg.registry_stats(registry.slots, int(registry.front["n_study_ids"])).max_row, 1)
+    more = idpool.empty_slots(idpool.extend(spark, registry.slots, req, last + 1))
+    registry = store.commit(spark, registry, registry.slots.unionByName(more), n_study_ids=last + req.n - 1)
+    line = model.MSG_POOL_CREATED.format(n=req.n, prefix=req.prefix, mask=req.mask, suffix=req.suffix)
+    store.append_log(spark, registry_root, [(model.LOG_NORMAL, line)], user, computer)
+    return registry
+
+
 def deidentify(spark: SparkSession, headers: DataFrame, registry_root: str, out_dir: str, run_id: str,
                rules: Rules = DEFAULT_RULES, user: str = "", computer: str = "",
                log_level: int = model.LOG_NORMAL) -> RunResult:
@@ -69,7 +82,9 @@ def deidentify(spark: SparkSession, headers: DataFrame, registry_root: str, out_
         registry = store.commit_changes(spark, registry, changed)
         events = fresh.select(F.current_timestamp().alias("ts"), F.col("study_uid").alias("ord"),
                               F.lit(model.LOG_NORMAL).alias("level"),
-                              F.concat(F.lit("Assigned "), F.col("study_id"), F.lit(" to a new study")).alias("message"))
+                              F.concat(F.lit("Assigned "), F.col("study_id"), F.lit(" to a new study"),
+                                       F.when(F.col("over_pool"), F.lit(" (slot past the declared pool size)"))
+                                       .otherwise(F.lit(""))).alias("message"))
         log = report.audit_log(events, log_level, store.last_seq(spark, registry_root) + 1, user, computer)
         store.append_log_frame(registry_root, log.withColumn("ts", F.current_timestamp()))
 

@@ -148,7 +148,7 @@ def _read_slots(spark: SparkSession, root: str, base: str, changes: list[str]) -
     slots = read.parquet(_path(root, f"slots/{base}"))
     if not changes:
         return slots
-    # A slot changes at most once (it is filled, or added), so changed rows are disjoint.
+    # A slot is filled once and never changes again, so changed rows are disjoint.
     new = read.parquet(*[_path(root, f"slots/{c}") for c in changes])
     return slots.join(new.select("row_no"), "row_no", "left_anti").unionByName(new)
 
@@ -215,24 +215,31 @@ def commit(spark: SparkSession, registry: Registry, new_slots: DataFrame, n_stud
 
 
 def commit_changes(spark: SparkSession, registry: Registry, changed: DataFrame, n_study_ids: int | None = None) -> Registry:
-    """Write the changed and added slots as the next version and return it re-read."""
+    """Write only the slots that a run filled as the next version and return it re-read.
+
+    Anything else (added slots, say) is a new full table: see ``commit``.
+    """
     return _commit(spark, registry, None, _write_slots(registry.root, changed), n_study_ids)
 
 
 def _commit(spark: SparkSession, registry: Registry, base: str | None, change: str | None, n_study_ids: int | None) -> Registry:
     root, n = registry.root, int(n_study_ids or registry.front["n_study_ids"])
     changes = [] if base else [*registry.changes, change]
-    mine = base or change
+    mine = [base or change]
     try:
         slots = _read_slots(spark, root, base or registry.base, changes)
         _refuse(slots, n, f"registry {root}: the new slots")
         if len(changes) > SNAPSHOT_EVERY:
             base, changes = _write_slots(root, slots), []
-        version = _next(spark, registry)
-        _claim(spark, root, version, {"base": base or registry.base, "changes": changes, "n_study_ids": n, "parent": registry.version})
+            mine.append(base)
+        _claim(spark, root, _next(spark, registry),
+               {"base": base or registry.base, "changes": changes, "n_study_ids": n, "parent": registry.version})
     except RegistryError:
-        _delete(spark, _path(root, f"slots/{mine}"))
+        for folder in mine:
+            _delete(spark, _path(root, f"slots/{folder}"))
         raise
+    for folder in mine[:-1]:  # its slots are in the full table
+        _delete(spark, _path(root, f"slots/{folder}"))
     return load(spark, root, check=False)  # what was checked above
 
 

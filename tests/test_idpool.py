@@ -5,6 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from incognita import model
 from incognita.functions import masks
 from incognita.operators import idpool
 
@@ -50,7 +51,7 @@ def test_generate_smoke_request(spark):
     assert st.n_ids == 50 and st.collisions == st.draws_used - 50
 
 
-def test_near_full_pool_uses_permutation(spark):
+def test_near_full_pool(spark):
     pool = idpool.generate(spark, idpool.PoolRequest(n=9, mask="d", secret="s")).collect()
     assert len({r.study_id for r in pool}) == 9
 
@@ -64,3 +65,37 @@ def test_refusals():
         idpool.PoolRequest(n=0, mask="d").checked()
     assert idpool.status(99, 100) == "slow" and idpool.status(50, 100) == "ok"
     assert idpool.clean_registry_name("my study.v2") == "my_studyv2"
+
+
+@pytest.mark.parametrize("mask", ["dd", "ld"])
+def test_a_pool_is_the_beginning_of_every_larger_one(spark, mask):
+    cap = masks.capacity(mask)
+    pools = {n: [r.study_id for r in idpool.generate(spark, idpool.PoolRequest(n=n, mask=mask, secret="k:")).orderBy("row_no").collect()]
+             for n in (1, cap // 2, cap // 2 + 1, cap)}
+    for small, large in ((1, cap // 2), (cap // 2, cap // 2 + 1), (cap // 2 + 1, cap)):
+        assert pools[large][:small] == pools[small]
+    assert len(set(pools[cap])) == cap
+
+
+def test_masks_of_any_length(spark):
+    for mask in ("uuuuudddddddd", "c" * 16, "c" * 30):
+        ids = [r.study_id for r in idpool.generate(spark, idpool.PoolRequest(n=40, mask=mask, secret="w")).collect()]
+        assert len(set(ids)) == 40 and all(len(i) == len(mask) for i in ids)
+        assert all(c in model.MASK_ALPHABETS[m] for i in ids for c, m in zip(i, mask, strict=True))
+
+
+def test_column_forms_never_fail_and_agree_with_python(spark):
+    rows = ["uu\ndd", "\nuudd\n", "uudd\n", "c" * 22, "c" * 23, "c" * 40, "u d", " uudd"]
+    df = spark.createDataFrame([(i, m) for i, m in enumerate(rows)], "i int, mask string")
+    got = df.select("i", masks.valid_col(F.col("mask")).alias("v"), masks.capacity_col(F.col("mask")).alias("c"), masks.log10_capacity_col(F.col("mask")).alias("g")).orderBy("i").collect()
+    assert [r.v for r in got] == [masks.is_valid(m) for m in rows]
+    assert [r.c is None for r in got] == [len(m) >= 23 for m in rows]
+    assert got[5].g == pytest.approx(40 * 1.7160033436347992)
+
+
+def test_extending_past_the_mask_is_refused_and_up_to_it_is_not(spark):
+    pool = idpool.generate(spark, idpool.PoolRequest(n=7, mask="d", secret="a"))
+    more = idpool.extend(spark, pool, idpool.PoolRequest(n=3, mask="d", secret="b"), 9)
+    assert {r.study_id for r in pool.union(more).collect()} == set("0123456789")
+    with pytest.raises(idpool.PoolRequestError):
+        idpool.extend(spark, pool, idpool.PoolRequest(n=4, mask="d", secret="b"), 9)

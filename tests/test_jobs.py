@@ -18,7 +18,7 @@ def test_batch_job_commit_rerun_reidentify(spark, scratch):
     jobs.create_study(spark, reg_root, "Test study", "Dr PI", idpool.PoolRequest(n=450, secret="t"))
     r1 = jobs.deidentify(spark, headers, reg_root, out, run_id="r1")
     assert r1.registry_version == 2 and r1.new_studies > 0
-    total = next(r for r in r1.report if r["root"] is None)
+    total = next(r for r in r1.report if r["is_total"])
     written = spark.read.parquet(f"{out}/headers")
     assert written.count() == total["n_anonymised"]
     # rerun: nothing new, same IDs, partitions replaced (not duplicated)

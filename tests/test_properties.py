@@ -265,8 +265,7 @@ def test_pool_matches_python_model(spark, mask, n, secret):
     from incognita.functions import masks
     from incognita.operators import idpool
 
-    cap = masks.capacity(mask)
-    n = min(n, cap // 2) or 1
+    n = min(n, masks.capacity(mask))
     req = idpool.PoolRequest(n=n, mask=mask, prefix="P-", suffix="!", secret=secret or "s")
     pool = idpool.generate(spark, req)
     got = [r.study_id for r in pool.orderBy("row_no").collect()]

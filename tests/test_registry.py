@@ -27,10 +27,10 @@ def test_new_studies_take_consecutive_free_slots(run):
     r, _ = run
     a = r.assignments.orderBy("k").collect()
     assert [x.k for x in a] == list(range(1, len(a) + 1))
-    assert [x.row_no for x in a] == list(range(r.stats.first_free, r.stats.first_free + len(a)))
-    # slots run out at sf0.001: exactly the studies past the last slot get no ID
+    # slots run out at sf0.001: exactly the studies past the last slot get none
     last = r.stats.max_row
-    assert all((x.study_id is None) == (x.row_no > last) for x in a)
+    assert [x.row_no for x in a] == [n if n <= last else None for n in range(r.stats.first_free, r.stats.first_free + len(a))]
+    assert all((x.study_id is None) == (x.row_no is None) for x in a)
     assert any(x.study_id is not None for x in a)
 
 
