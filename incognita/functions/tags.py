@@ -12,11 +12,6 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def group_of(t: Column) -> Column:
-    """Group number of a tag (high 16 bits)."""
-    return F.shiftright(t, 16)
-
-
 def is_private(t: Column) -> Column:
     """Private tags have an odd group number."""
     return F.shiftright(t, 16).bitwiseAND(1) == 1
@@ -68,11 +63,6 @@ def element(pos: Column, path_tags: Column, keyword: Column, vr: Column, value:
                     vr.alias("vr"), value.alias("value"))
 
 
-def top_level_element(t: int, keyword: str, vr: str, value: Column) -> Column:
-    arr = F.array(F.lit(t).cast("bigint"))
-    return element(arr, arr, F.lit(keyword), F.lit(vr), value.cast("string"))
-
-
 def explode_elements(headers, *keep: str):
     """One row per element: ``keep`` columns plus top_tag, item, tag, keyword, vr, value.
 

@@ -78,6 +78,17 @@ AUDIT_LOG = T.StructType([
     T.StructField("computer", T.StringType(), True),
 ])
 
+# Image pairs before and after de-identification, row-major pixels.
+PIXEL_PAIRS = T.StructType([
+    T.StructField("pair_id", T.LongType(), False),
+    T.StructField("a", T.ArrayType(T.IntegerType()), True),
+    T.StructField("b", T.ArrayType(T.IntegerType()), True),
+    T.StructField("a_rows", T.IntegerType(), True),
+    T.StructField("a_cols", T.IntegerType(), True),
+    T.StructField("b_rows", T.IntegerType(), True),
+    T.StructField("b_cols", T.IntegerType(), True),
+])
+
 SLOT_VALUE_COLUMNS = ["patient_name", "patient_id", "accession_number",
                       "study_date", "study_time", "study_uid", "study_description"]
 
@@ -211,3 +222,17 @@ FIXED_ASSIGNMENTS = [
     Fixed("DetectorDescription", tag(0x0018, 0x7006), "LT", ""),
     Fixed("DetectorID", tag(0x0018, 0x700A), "SH", ""),
 ]
+
+# Element names that are not their keyword's words (the standard's data dictionary).
+ELEMENT_NAMES = {
+    "PatientName": "Patient's Name",
+    "PatientBirthDate": "Patient's Birth Date",
+    "PatientSex": "Patient's Sex",
+    "PatientAge": "Patient's Age",
+    "PatientSize": "Patient's Size",
+    "PatientWeight": "Patient's Weight",
+    "PatientAddress": "Patient's Address",
+    "ReferringPhysicianName": "Referring Physician's Name",
+    "PerformingPhysicianName": "Performing Physician's Name",
+    "OperatorsName": "Operators' Name",
+}

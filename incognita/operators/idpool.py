@@ -58,6 +58,18 @@ def status(n: int, cap: int, valid: bool = True) -> str:
     return "ok"
 
 
+def warnings(req: PoolRequest) -> list[str]:
+    """What the creator of a pool should know: it uses nearly all IDs, or its IDs are longer than DICOM allows."""
+    out = []
+    cap = masks.capacity(req.mask)
+    if status(req.n, cap) == "slow":
+        out.append(f"Warning: {req.n} of the {cap} study IDs of format {req.mask!r} are used")
+    length = len(req.prefix) + len(req.mask) + len(req.suffix)
+    if length > model.MAX_ID_LENGTH:
+        out.append(f"Warning: study IDs have {length} characters, more than {model.MAX_ID_LENGTH}")
+    return out
+
+
 def draws_for(n: int, cap: int) -> int:
     """Draws expected to give n distinct IDs (coupon collector), with 20 % margin."""
     expected = cap * (math.log(cap) + 0.5773) if n >= cap else n if cap > 1 << 200 else -cap * math.log1p(-n / cap)

@@ -1,47 +1,79 @@
 """Pixel comparison of image pairs (before / after de-identification).
 
 A pair row holds both images as row-major ``ARRAY<INT>`` plus their header
-shapes. Equality, statistics and mismatch counts are array functions on the
-row (narrow, codegen'd); only pairs that differ are exploded to pixels.
-A pixel missing on one side (different sizes) counts as a mismatch.
+shapes (``model.PIXEL_PAIRS``). Pixels are compared by row and column: images of
+equal width position by position, others on the grid that covers both. A pixel
+that only one image has counts as a mismatch. Equality, statistics and mismatch
+counts are array functions on the row (narrow, codegen'd); only mismatching
+pixels are ever exploded.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def _mismatch_flags():
-    return F.zip_with("a", "b", lambda x, y: ~x.eqNullSafe(y))
+def _columns(side: str) -> Column:
+    """Width of an image; one that holds no valid width is a single row."""
+    cols = F.col(side + "_cols")
+    return F.when(cols > 0, cols).otherwise(F.greatest(F.size(side), F.lit(1)))
 
 
-def pixel_equal(pairs: DataFrame) -> DataFrame:
+def _rows(side: str) -> Column:
+    return F.ceil(F.size(side) / _columns(side)).cast("int")
+
+
+def _cells() -> Column:
+    """(i, r, c, a, b) structs of the pixels; i counts row-major on the grid that covers both images."""
+    wide = F.greatest(_columns("a"), _columns("b"))
+    equal = F.transform(F.arrays_zip("a", "b"), lambda ab, i: F.struct(
+        i.cast("bigint").alias("i"), F.floor(i / wide).cast("bigint").alias("r"), (i % wide).cast("bigint").alias("c"),
+        ab["a"].alias("a"), ab["b"].alias("b")))
+
+    def pixel(side: str, r: Column, c: Column) -> Column:
+        return F.when(c < _columns(side), F.get(F.col(side), (r * _columns(side) + c).cast("int")))
+
+    def cell(i: Column) -> Column:
+        r, c = F.floor(i / wide), i % wide
+        return F.struct(i.cast("bigint").alias("i"), r.cast("bigint").alias("r"), c.cast("bigint").alias("c"),
+                        pixel("a", r, c).alias("a"), pixel("b", r, c).alias("b"))
+
+    n = F.greatest(_rows("a"), _rows("b")) * wide
+    grid = F.filter(F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), cell), lambda x: x["a"].isNotNull() | x["b"].isNotNull())
+    return F.when(_columns("a") == _columns("b"), equal).otherwise(grid)
+
+
+def _mismatches() -> Column:
+    return F.filter(_cells(), lambda x: ~x["a"].eqNullSafe(x["b"]))
+
+
+def _equality() -> list[Column]:
     header = (F.col("a_rows") == F.col("b_rows")) & (F.col("a_cols") == F.col("b_cols"))
     shape = header & (F.size("a") == F.size("b"))
-    return pairs.select(
-        "pair_id",
-        header.alias("header_shape_equal"),
-        shape.alias("array_shape_equal"),
-        (shape & F.col("a").eqNullSafe(F.col("b"))).alias("pixels_equal"))
+    return [header.alias("header_shape_equal"), shape.alias("array_shape_equal"),
+            (shape & F.col("a").eqNullSafe(F.col("b"))).alias("pixels_equal")]
+
+
+def _statistics() -> list[Column]:
+    return [F.size(_cells()).cast("bigint").alias("n_pixels"), F.size(_mismatches()).cast("bigint").alias("n_mismatch"),
+            *[f(side).alias(f"{name}_{side}") for side in ("a", "b") for name, f in (("min", F.array_min), ("max", F.array_max))]]
+
+
+def pixel_equal(pairs: DataFrame) -> DataFrame:
+    return pairs.select("pair_id", *_equality())
 
 
 def pixel_stats(pairs: DataFrame) -> DataFrame:
-    return pairs.select(
-        "pair_id",
-        F.greatest(F.size("a"), F.size("b")).cast("bigint").alias("n_pixels"),
-        F.size(F.filter(_mismatch_flags(), lambda m: m)).cast("bigint").alias("n_mismatch"),
-        F.array_min("a").alias("min_a"), F.array_max("a").alias("max_a"),
-        F.array_min("b").alias("min_b"), F.array_max("b").alias("max_b"))
+    return pairs.select("pair_id", *_statistics())
+
+
+def pixel_compare(pairs: DataFrame) -> DataFrame:
+    """Equality and statistics of each pair in one narrow pass."""
+    return pairs.select("pair_id", *_equality(), *_statistics())
 
 
 def pixel_diff(pairs: DataFrame) -> DataFrame:
     """One row per differing pixel: pair_id, i, r, c, a, b."""
-    differing = pairs.where(~F.col("a").eqNullSafe(F.col("b")))
-    px = differing.select("pair_id", "a_cols", F.posexplode(F.arrays_zip("a", "b")).alias("i", "ab"))
-    px = px.where(~F.col("ab.a").eqNullSafe(F.col("ab.b")))
-    return px.select(
-        "pair_id", F.col("i").cast("bigint").alias("i"),
-        F.floor(F.col("i") / F.col("a_cols")).cast("bigint").alias("r"),
-        (F.col("i") % F.col("a_cols")).cast("bigint").alias("c"),
-        F.col("ab.a").alias("a"), F.col("ab.b").alias("b"))
+    same = F.col("a").eqNullSafe(F.col("b")) & (_columns("a") == _columns("b"))
+    return pairs.where(~same).select("pair_id", F.explode(_mismatches()).alias("x")).select("pair_id", "x.*")

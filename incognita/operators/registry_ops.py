@@ -88,15 +88,23 @@ def registry_index(slots: DataFrame) -> DataFrame:
 
 
 def study_firsts(files: DataFrame) -> DataFrame:
-    """One row per study: its first file (root order, path) and that file's identifiers.
+    """One row per study: its first file (root order, then path).
 
     Partial aggregation runs map-side, so a study holding a large share of
-    all files still reaches the shuffle as one row per map task.
+    all files still reaches the shuffle as one row per map task. Only the study
+    UID and the path are carried, so nothing else of a patient is ever stored
+    while studies are numbered (see ``with_values``).
     """
-    vals = {c: F.coalesce(key_column(files, c), F.lit(NIL)) for c in model.KEY_TAGS}
-    first = F.min(F.struct(F.col("root_ord"), F.col("path"), *[v.alias(k) for k, v in vals.items()]))
-    agg = files.groupBy("study_uid").agg(first.alias("f"))
-    return agg.select("study_uid", "f.*")
+    first = F.min(F.struct("root_ord", "path")).alias("f")
+    return files.groupBy("study_uid").agg(first).select("study_uid", "f.*")
+
+
+def with_values(assignments: DataFrame, files: DataFrame, max_rows: int, row_bytes: int) -> DataFrame:
+    """Add the registry values of each study's first file; at most ``max_rows`` of ``row_bytes`` are joined to the files."""
+    side = bounded_broadcast(assignments, max_rows, row_bytes)
+    vals = [F.coalesce(key_column(files, c), F.lit(NIL)).alias(c) for c in model.KEY_TAGS]
+    rows = files.select("study_uid", "path", *vals).join(side, ["study_uid", "path"])
+    return rows.dropDuplicates(["study_uid"])  # a path that occurs twice counts once
 
 
 def new_studies(firsts: DataFrame, index: DataFrame) -> DataFrame:
@@ -113,8 +121,7 @@ def assign_slots(new: DataFrame, slots: DataFrame, stats: RegistryStats) -> Data
     """Give the k-th new study (first-seen order) the k-th free slot.
 
     Output: study_uid, k, row_no, study_id (both NULL = exhausted), over_pool flag
-    (the slot lies past the nominal pool size), plus the registry values taken
-    from the study's first file.
+    (the slot lies past the nominal pool size). ``with_values`` adds the registry values.
     """
     ranked = consecutive_index(new, ["root_ord", "path", "study_uid"], name="k")
     joined = ranked.join(bounded_broadcast(free_slots(slots), stats.bound), "k", "left")

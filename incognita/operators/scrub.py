@@ -207,7 +207,3 @@ def output_path(root: Column | str = "root", path: Column | str = "path", suffix
     """Mirror a file into ``<root>-anon`` keeping the path below the root."""
     r, p = col(root), col(path)
     return F.concat(r, F.lit(suffix), F.substr(p, F.length(r) + 1))
-
-
-def scrub_frame(headers: DataFrame, **kw) -> DataFrame:
-    return headers.withColumn("elements", scrub("elements", **kw))

@@ -369,19 +369,29 @@ def q_pixel_equal(spark, sf_dir):
 @query
 def q_tag_patch(spark, sf_dir):
     h = fx.headers(spark, sf_dir)
-    p = patch.apply_patches(h, fx.patches(spark, sf_dir),
-                            {"new_accession": (model.ACCESSION_NUMBER, "AccessionNumber", "SH")})
+    p = patch.apply_patches(h, fx.patches(spark, sf_dir).select("patient_id", "new_accession")).where("has_patch")
     return p.select("path", "patient_id",
                     top_value("elements", model.ACCESSION_NUMBER).alias("accession_before"),
                     top_value("patched", model.ACCESSION_NUMBER).alias("accession_after"))
 
 
+@query
+def q_tag_edit_all(spark, sf_dir):
+    """All three fields over all files, those without a patch too."""
+    p = patch.apply_patches(fx.headers(spark, sf_dir), fx.patches(spark, sf_dir))
+    return p.select("path", "patient_id", "has_patch",
+                    top_value("patched", model.PATIENT_ID).alias("patient_id_after"),
+                    top_value("patched", model.ACCESSION_NUMBER).alias("accession_after"),
+                    top_value("patched", model.STUDY_DATE).alias("study_date_after"))
+
+
 @query
 def q_tag_set(spark, sf_dir):
-    cust = read_table(spark, sf_dir, "customer").where(F.col("c_custkey") % 2 == 0).select(
+    cust = read_table(spark, sf_dir, "customer").select(
         F.concat(F.lit("P"), F.col("c_custkey")).alias("patient_id"),
-        F.concat(F.lit("SET"), F.col("c_custkey")).alias("new_value"))
-    return patch.set_existing(fx.headers(spark, sf_dir), cust, model.ACCESSION_NUMBER)
+        F.concat(F.lit("SET"), F.col("c_custkey")).alias("new_value"),
+        (F.col("c_custkey") % 2 == 0).alias("active"))
+    return patch.set_report(fx.headers(spark, sf_dir), cust, model.ACCESSION_NUMBER, active="active")
 
 
 @query
@@ -389,6 +399,11 @@ def q_header_dump(spark, sf_dir):
     return dump.header_dump(fx.headers(spark, sf_dir))
 
 
+@query
+def q_header_dump_failures(spark, sf_dir):
+    return dump.failures(fx.headers(spark, sf_dir))
+
+
 AUDIT_LEVEL = model.LOG_HIGH
 AUDIT_USER, AUDIT_COMPUTER = "fixture-user", "fixture-host"
 

@@ -64,19 +64,22 @@ def plan(headers: DataFrame, slots: DataFrame, front: dict, rules: Rules = DEFAU
     # study-keyed table joined back to the files.
     if committed is None:
         firsts = reg.study_firsts(ok).checkpoint(eager=True)
-        size = firsts.agg(F.count(F.lit(1)).alias("n"), F.max(F.octet_length("study_uid")).alias("w")).first()
+        size = firsts.agg(F.count(F.lit(1)).alias("n"), F.max(F.octet_length("study_uid")).alias("w"),
+                          F.max(F.octet_length("path")).alias("p")).first()
         n_studies = max(int(size["n"]), 1)
         # Row-size bound of the study map: the longest UID of the batch plus an ID
         # of at most MAX_ID_BYTES and per-row overhead.
         map_row_bytes = int(size["w"] or 0) + reg.MAX_ID_BYTES + reg.ROW_OVERHEAD_BYTES
         new = reg.new_studies(firsts, index)
-        assignments = reg.assign_slots(new, slots, stats)
+        slots_given = reg.assign_slots(new, slots, stats)
+        assignments = reg.with_values(slots_given, ok, n_studies, map_row_bytes + int(size["p"] or 0) + 32)
     else:
         firsts, n_studies, map_row_bytes = committed.firsts, committed.n_studies, committed.map_row_bytes
         new, assignments = committed.new, committed.assignments.limit(0)
+        slots_given = assignments
     batch_ids = firsts.select("study_uid")
     known = index.join(reg.bounded_broadcast(batch_ids, n_studies, map_row_bytes), "study_uid", "left_semi")
-    mapping = reg.study_map(known, assignments)
+    mapping = reg.study_map(known, slots_given)
     # Every file gets its study's ID through one join keyed by study (broadcast
     # while the counted batch studies fit the budget); no path-keyed shuffle.
     # Past the budget the join shuffles on study_uid and AQE splits hot studies.

@@ -18,16 +18,18 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from incognita import model
-from incognita.operators import dump, idpool, report
+from incognita.operators import dump, idpool, patch, pixels, report, screen
 from incognita.operators import registry_ops as reg
 from incognita.operators.scrub import DEFAULT_RULES, Rules
 from incognita.plans import deidentify as deid
+from incognita.sources import files as raw_files
+from incognita.sources import output
 from incognita.sources import registry as store
-from incognita.sources.headers import ensure_keys
+from incognita.sources.headers import ensure_keys, write_header_table
 
 
 @dataclass
@@ -47,6 +49,7 @@ def create_study(spark: SparkSession, registry_root: str, title: str, pi: str,
     slots = idpool.empty_slots(pool)
     lines = [model.MSG_STUDY_CREATED.format(title=title, pi=pi),
              model.MSG_POOL_CREATED.format(n=req.n, prefix=req.prefix, mask=req.mask, suffix=req.suffix)]
+    lines += idpool.warnings(req)
     return store.create(spark, registry_root, title, pi, slots, req.n, user=user, computer=computer,
                         creation_messages=lines)
 
@@ -66,12 +69,15 @@ def extend_study(spark: SparkSession, registry_root: str, request: idpool.PoolRe
 
 def deidentify(spark: SparkSession, headers: DataFrame, registry_root: str, out_dir: str, run_id: str,
                rules: Rules = DEFAULT_RULES, user: str = "", computer: str = "",
-               log_level: int = model.LOG_NORMAL) -> RunResult:
+               log_level: int = model.LOG_NORMAL, inputs: list[str] | None = None,
+               screened: DataFrame | None = None) -> RunResult:
+    """De-identify the files of a header table. ``inputs`` names them in the launch line;
+    ``screened`` are files (path, root, outcome, message) that were left out before parsing."""
     out_dir = out_dir.rstrip("/")
     headers = ensure_keys(headers)
     registry = store.load(spark, registry_root)
     store.append_log(spark, registry_root,
-                     [(model.LOG_NORMAL, model.MSG_LAUNCHED.format(inputs=f"run {run_id}"))], user, computer)
+                     [(model.LOG_NORMAL, model.MSG_LAUNCHED.format(inputs=", ".join(inputs or [f"run {run_id}"])))], user, computer)
 
     first = deid.plan(headers, registry.slots, registry.front, rules)
     fresh = first.assignments.where(F.col("study_id").isNotNull())
@@ -90,32 +96,90 @@ def deidentify(spark: SparkSession, headers: DataFrame, registry_root: str, out_
 
     # Second pass against the committed version: lookups only, no study pass.
     run = deid.plan(headers, registry.slots, registry.front, rules, committed=first)
-    (run.output.withColumn("run_id", F.lit(run_id))
-     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("root", "run_id").parquet(f"{out_dir}/headers"))
-    (run.outcomes.select("path", "root", "study_uid", "outcome", "message").withColumn("run_id", F.lit(run_id))
+    output.write(out_dir, run.output, run_id)
+    outcomes = run.outcomes.select("path", "root", "study_uid", "outcome", "message")
+    if screened is not None:
+        outcomes = outcomes.unionByName(screened.select("path", "root", F.lit(None).cast("string").alias("study_uid"), "outcome", "message"))
+    (outcomes.withColumn("run_id", F.lit(run_id))
      .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy("run_id").parquet(f"{out_dir}/outcomes"))
     rep = [r.asDict() for r in deid.run_report(
-        spark.read.parquet(f"{out_dir}/outcomes").where(F.col("run_id") == run_id)).collect()]  # one row per root
+        output.read_outcomes(spark, out_dir).where(F.col("run_id") == run_id)).collect()]  # one row per root
+    output.remove_stale(spark, out_dir, run_id, [r["root"] for r in rep if not r["is_total"] and r["n_anonymised"]])
     total = next((r for r in rep if r["is_total"]), {})
     store.append_log(spark, registry_root, [(model.LOG_NORMAL, model.MSG_COMPLETED.format(
         ok=total.get("n_anonymised", 0), failed=total.get("n_exhausted", 0)))], user, computer)
     return RunResult(run_id, registry.version, int(counts["n"] - counts["x"]), int(counts["x"]), rep)
 
 
+def deidentify_roots(spark: SparkSession, roots: list[str], headers: DataFrame, registry_root: str, out_dir: str,
+                     run_id: str, **options) -> RunResult:
+    """From raw root folders to outcomes: screen the files, then de-identify those with a header row.
+
+    ``headers`` is the header table that the parser made of the candidates (paths
+    as in ``sources.files.inventory``). Files on the skip list and files without
+    the magic bytes enter the run's outcomes and report; so do candidates without
+    a header row, as unreadable ones.
+    """
+    counts = raw_files.dir_counts(raw_files.inventory(spark, roots)).where("root is null").first()
+    store.append_log(spark, registry_root, [(model.LOG_HIGH, f"Found {counts['n_files']} files in {counts['n_dirs']} folders")],
+                     options.get("user", ""), options.get("computer", ""))
+    listed = screen.prescreen(raw_files.with_magic(spark, roots))
+    left = listed.where(F.col("outcome") != screen.CANDIDATE)
+    candidates = listed.where(F.col("outcome") == screen.CANDIDATE)
+    unparsed = candidates.join(headers.select("path"), "path", "left_anti").withColumn("outcome", F.lit(screen.UNREADABLE)) \
+        .withColumn("message", F.concat(screen.file_name("path"), F.lit(screen.MSG_UNREADABLE)))
+    cols = ["path", "root", "outcome", "message"]
+    parsed = headers.join(candidates.select("path"), "path", "left_semi")
+    return deidentify(spark, parsed, registry_root, out_dir, run_id, inputs=roots,
+                      screened=left.select(*cols).unionByName(unparsed.select(*cols)), **options)
+
+
+def apply_edits(spark: SparkSession, headers: DataFrame, patches: DataFrame, out_dir: str, key: str = "patient_id",
+                order: str | None = None, fields: dict[str, tuple[int, str, str]] = patch.EDIT_FIELDS) -> dict:
+    """Write the header table with the patches applied and its key columns derived anew."""
+    return _save_edits(spark, headers, patch.apply_patches(ensure_keys(headers), patches, fields, key, order), "has_patch", out_dir)
+
+
+def set_tags(spark: SparkSession, headers: DataFrame, patches: DataFrame, tag: int, out_dir: str, key: str = "patient_id",
+             order: str | None = None, value_col: str = "new_value", active: str | None = None) -> dict:
+    """Write the header table with one tag changed where a file has it."""
+    edited = patch.set_existing(ensure_keys(headers), patches, tag, value_col, key, order, active)
+    return _save_edits(spark, headers, edited.withColumn("has_patch", F.col("status") == "set"), "has_patch", out_dir)
+
+
+def _save_edits(spark: SparkSession, headers: DataFrame, edited: DataFrame, flag: str, out_dir: str) -> dict:
+    watch = Observation()
+    edited = edited.observe(watch, F.count(F.lit(1)).alias("n_files"), F.count_if(F.col(flag)).alias("n_edited"))
+    write_header_table(edited.drop(*model.KEY_COLUMNS, "elements").withColumnRenamed("patched", "elements"), out_dir)
+    return {k: int(v) for k, v in watch.get.items()}
+
+
+def compare_pixels(spark: SparkSession, pairs_dir: str, out_dir: str) -> dict:
+    """Compare a stored table of image pairs: statistics by pair and the pixels that differ."""
+    pairs = spark.read.schema(model.PIXEL_PAIRS).parquet(pairs_dir)
+    out_dir = out_dir.rstrip("/")
+    pixels.pixel_compare(pairs).write.mode("overwrite").parquet(f"{out_dir}/stats")
+    pixels.pixel_diff(pairs).write.mode("overwrite").parquet(f"{out_dir}/diff")
+    r = spark.read.parquet(f"{out_dir}/stats").agg(F.count(F.lit(1)).alias("n_pairs"), F.count_if("pixels_equal").alias("n_equal"),
+                                                    F.sum("n_mismatch").alias("n_mismatch")).first()
+    return {k: int(r[k] or 0) for k in ("n_pairs", "n_equal", "n_mismatch")}
+
+
 def header_dump(headers: DataFrame, out_dir: str) -> None:
     """One text rendering per readable file, stored as a table (path, out_path, text).
 
     Millions of tiny .txt files are an object-store anti-pattern; a consumer
-    that needs real files can write them from this table.
+    that needs real files can write them from this table. Files that could not be
+    read are listed in ``<out_dir>-failures`` (path, message).
     """
     dump.header_dump(headers).write.mode("overwrite").parquet(out_dir)
+    dump.failures(headers).write.mode("overwrite").parquet(f"{out_dir.rstrip('/')}-failures")
 
 
 def reidentify(spark: SparkSession, deidentified_dir: str, registry_root: str) -> DataFrame:
     """Pseudonym -> original patient and study, through the registry only."""
     registry = store.load(spark, registry_root, check=False)
-    files = spark.read.parquet(f"{deidentified_dir.rstrip('/')}/headers").select("path", "study_id", "root", "run_id")
+    files = output.read(spark, deidentified_dir).select("path", "study_id", "root", "run_id")
     bound = reg.registry_stats(registry.slots, int(registry.front["n_study_ids"])).bound
     return reg.reidentify(files, registry.slots, bound)

@@ -515,10 +515,17 @@ SELECT 'customer', c_custkey, c_name, regexp_matches(replace(c_name, ' ', ''), '
 
 # ---- pixels ------------------------------------------------------------------------
 cte("pix_a", """
-  SELECT vec_id AS pair_id, pos AS i, pos // 8 AS r, pos % 8 AS c, CAST(floor(CAST(x AS DOUBLE) * 100) AS INT) AS a
-  FROM (SELECT vec_id, unnest(embedding) AS x, unnest(range(len(embedding))) AS pos FROM embeddings) t""")
-cte("pix", """
+  SELECT vec_id AS pair_id, pos AS i, CAST(floor(CAST(x AS DOUBLE) * 100) AS INT) AS a,
+    CASE WHEN vec_id % 5 = 0 THEN 12 ELSE 8 END AS w, n
+  FROM (SELECT vec_id, unnest(embedding) AS x, unnest(range(len(embedding))) AS pos, len(embedding) AS n FROM embeddings) t""")
+cte("pix_b", """
   SELECT *, CASE WHEN pair_id % 3 = 0 AND (pair_id + i) % 37 = 0 THEN a + 1 ELSE a END AS b FROM pix_a""", ["pix_a"])
+# both images by row and column
+cte("pix", """
+  SELECT coalesce(l.pair_id, g.pair_id) AS pair_id, coalesce(l.r, g.r) AS r, coalesce(l.c, g.c) AS c, l.a, g.b,
+    coalesce(l.r, g.r) * greatest(8, coalesce(l.w, g.w)) + coalesce(l.c, g.c) AS i
+  FROM (SELECT pair_id, i // 8 AS r, i % 8 AS c, a, w FROM pix_b) l
+  FULL JOIN (SELECT pair_id, i // w AS r, i % w AS c, b, w FROM pix_b) g ON l.pair_id = g.pair_id AND l.r = g.r AND l.c = g.c""", ["pix_b"])
 
 oracle("pixel_diff", """
 SELECT pair_id, CAST(i AS BIGINT) AS i, CAST(r AS BIGINT) AS r, CAST(c AS BIGINT) AS c, a, b
@@ -530,13 +537,16 @@ SELECT pair_id, CAST(count(*) AS BIGINT) AS n_pixels, CAST(count(*) FILTER (WHER
 FROM pix GROUP BY pair_id""", "pix")
 
 oracle("pixel_equal", """
-SELECT pair_id, true AS header_shape_equal, true AS array_shape_equal, bool_and(a = b) AS pixels_equal
-FROM pix GROUP BY pair_id""", "pix")
+SELECT pair_id, any_value(w) = 8 AS header_shape_equal, any_value(w) = 8 AS array_shape_equal,
+  any_value(w) = 8 AND bool_and(a = b) AS pixels_equal
+FROM pix_b GROUP BY pair_id""", "pix_b")
 
 # ---- tag edits, dump, log, report --------------------------------------------------
 cte("patches", """
   SELECT concat('P', c_custkey) AS patient_id,
-    CASE WHEN c_custkey % 3 = 0 THEN '' ELSE concat('NEW', c_custkey) END AS new_accession FROM customer""")
+    CASE WHEN c_custkey % 3 = 0 THEN '' ELSE concat('NEW', c_custkey) END AS new_accession,
+    CASE WHEN c_custkey % 4 = 0 THEN concat('Q', c_custkey) END AS new_patient_id,
+    CASE WHEN c_custkey % 5 = 0 THEN '20200101' ELSE '' END AS new_study_date FROM customer""")
 
 oracle("tag_patch", """
 SELECT t.path, t.patient_id, t.acc AS accession_before,
@@ -546,33 +556,51 @@ FROM (SELECT path, max(value) FILTER (WHERE item = -1 AND tag = 1048608) AS pati
       FROM elements GROUP BY path) t
 JOIN patches p ON p.patient_id = t.patient_id""", "elements", "patches")
 
+oracle("tag_edit_all", """
+SELECT t.path, t.patient_id, p.patient_id IS NOT NULL AS has_patch,
+  CASE WHEN coalesce(p.new_patient_id, '') <> '' THEN p.new_patient_id ELSE t.patient_id END AS patient_id_after,
+  CASE WHEN coalesce(p.new_accession, '') <> '' THEN p.new_accession ELSE t.acc END AS accession_after,
+  CASE WHEN coalesce(p.new_study_date, '') <> '' THEN p.new_study_date ELSE t.day END AS study_date_after
+FROM (SELECT path, max(value) FILTER (WHERE item = -1 AND tag = 1048608) AS patient_id,
+             max(value) FILTER (WHERE item = -1 AND tag = 524368) AS acc,
+             max(value) FILTER (WHERE item = -1 AND tag = 524320) AS day
+      FROM elements GROUP BY path) t
+LEFT JOIN patches p ON p.patient_id = t.patient_id""", "elements", "patches")
+
 cte("set_patches", """
-  SELECT concat('P', c_custkey) AS patient_id, concat('SET', c_custkey) AS new_value
-  FROM customer WHERE c_custkey % 2 = 0""")
+  SELECT concat('P', c_custkey) AS patient_id, concat('SET', c_custkey) AS new_value, c_custkey % 2 = 0 AS active FROM customer""")
 cte("set_files", """
   SELECT path, max(value) FILTER (WHERE item = -1 AND tag = 1048608) AS patient_id,
     bool_or(item = -1 AND tag = 524368) AS has_acc
   FROM elements GROUP BY path""", ["elements"])
 
 oracle("tag_set", """
-SELECT f.path, f.patient_id, CASE WHEN f.has_acc THEN 'set' ELSE 'absent' END AS status,
-  CASE WHEN f.has_acc THEN s.new_value END AS value
+SELECT f.path, f.patient_id, CASE WHEN NOT s.active THEN 'inactive' WHEN f.has_acc THEN 'set' ELSE 'absent' END AS status,
+  CASE WHEN s.active AND f.has_acc THEN s.new_value END AS value
 FROM set_files f JOIN set_patches s ON s.patient_id = f.patient_id
 UNION ALL
 SELECT NULL, s.patient_id, 'no_file', NULL FROM set_patches s
 WHERE s.patient_id NOT IN (SELECT patient_id FROM set_files WHERE patient_id IS NOT NULL)""",
        "set_files", "set_patches")
 
-oracle("header_dump", """
+# names: the keyword's words, but for the names that differ from them
+_NAMES = " ".join("WHEN '{}' THEN '{}'".format(k, v.replace("'", "''")) for k, v in model.ELEMENT_NAMES.items())
+_NAME = (f"CASE e.keyword {_NAMES} ELSE regexp_replace(regexp_replace(e.keyword, '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), "
+         "'([A-Z]+)([A-Z][a-z])', '\\1 \\2', 'g') END")
+
+oracle("header_dump", f"""
 SELECT e.path, e.path || '.hdr.txt' AS out_path,
   string_agg(CASE WHEN e.item >= 0 THEN '  ' ELSE '' END ||
     printf('(%04X,%04X) %-35s %s: %s', e.tag // 65536, e.tag % 65536,
-      CASE WHEN coalesce(e.keyword, '') <> '' THEN e.keyword
+      CASE WHEN coalesce(e.keyword, '') <> '' THEN {_NAME}
            WHEN (e.tag // 65536) % 2 = 1 THEN 'Private tag data' ELSE 'Unknown tag' END,
       e.vr, coalesce(e.value, '')), chr(10) ORDER BY e.top_tag, e.item, e.tag) AS text
 FROM elements e JOIN inst i ON i.path = e.path WHERE i.parse_error IS NULL
 GROUP BY e.path""", "elements", "inst")
 
+oracle("header_dump_failures", """
+SELECT path, regexp_extract(path, '([^/]*)$', 1) || ': no header dump: ' || parse_error AS message FROM inst WHERE parse_error IS NOT NULL""", "inst")
+
 oracle("audit_log", """
 SELECT CAST(row_number() OVER (ORDER BY ts, path) AS BIGINT) AS seq, strftime(ts, '%d-%m-%Y') AS log_date,
   strftime(ts, '%H:%M:%S') AS log_time, level,

@@ -234,26 +234,29 @@ def over_pool(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
 
 
 def patches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Accession-number edits keyed by patient ID; '' means keep."""
+    """Edits keyed by patient ID; '' means keep."""
     return read_table(spark, sf_dir, "customer").select(
         F.expr("concat('P', c_custkey)").alias("patient_id"),
-        F.expr("CASE WHEN c_custkey % 3 = 0 THEN '' ELSE concat('NEW', c_custkey) END").alias("new_accession"))
+        F.expr("CASE WHEN c_custkey % 3 = 0 THEN '' ELSE concat('NEW', c_custkey) END").alias("new_accession"),
+        F.expr("CASE WHEN c_custkey % 4 = 0 THEN concat('Q', c_custkey) END").alias("new_patient_id"),
+        F.expr("CASE WHEN c_custkey % 5 = 0 THEN '20200101' ELSE '' END").alias("new_study_date"))
 
 
 def pixel_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Image pairs (before, after): b differs from a in every third pair.
+    """Image pairs (before, after): b differs from a in every third pair, and every fifth b has another shape.
 
-    Images are row-major with 8 columns. Built with array functions, no explode.
+    Images are row-major with 8 columns, those of another shape with 12 (their
+    last row may be short). Built with array functions, no explode.
     """
     emb = read_table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("pair_id"), "embedding")
     a = F.transform("embedding", lambda x: F.floor(x.cast("double") * 100).cast("int"))
     pairs = emb.select("pair_id", a.alias("a"))
     b = F.transform("a", lambda x, i: F.when(((F.col("pair_id") % 3) == 0) & (((F.col("pair_id") + i) % 37) == 0),
                                               x + 1).otherwise(x))
-    n_rows = F.ceil(F.size("a") / 8).cast("int")
+    wide = F.when(F.col("pair_id") % 5 == 0, 12).otherwise(8)
     return pairs.select("pair_id", "a", b.alias("b"),
-                        n_rows.alias("a_rows"), F.lit(8).alias("a_cols"),
-                        n_rows.alias("b_rows"), F.lit(8).alias("b_cols"))
+                        F.ceil(F.size("a") / 8).cast("int").alias("a_rows"), F.lit(8).alias("a_cols"),
+                        F.ceil(F.size("a") / wide).cast("int").alias("b_rows"), wide.alias("b_cols"))
 
 
 # ---- volume corpus: one lineitem row = one file, one order = one study ---------

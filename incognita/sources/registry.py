@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from incognita import model
+from incognita.operators import idpool
 from incognita.operators import registry_ops as reg
 
 #: Tables of changed slots that a version may stack before the full table is written again.
@@ -153,6 +154,11 @@ def _read_slots(spark: SparkSession, root: str, base: str, changes: list[str]) -
     return slots.join(new.select("row_no"), "row_no", "left_anti").unionByName(new)
 
 
+def study_folder(parent: str, name: str) -> str:
+    """Folder of a registry with a cleaned name: no spaces, no dots."""
+    return f"{parent.rstrip('/')}/{idpool.clean_registry_name(name)}"
+
+
 def create(spark: SparkSession, root: str, title: str, pi: str, pool: DataFrame, n_study_ids: int,
            irb_code: str = model.DEFAULT_IRB_CODE, user: str = "", computer: str = "",
            creation_messages: list[str] | None = None) -> Registry:
