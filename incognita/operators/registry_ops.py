@@ -31,6 +31,9 @@ REGISTRY_ROW_BYTES = 256
 MAX_ID_BYTES = 64          # study IDs: prefix + mask + suffix (16 by the DICOM limit)
 ROW_OVERHEAD_BYTES = 48    # hashed-relation row overhead
 
+# Studies that may be taken out of a shuffle as hot.
+MAX_HOT_STUDIES = 200
+
 NIL = "Nil"
 
 
@@ -88,7 +91,7 @@ def registry_index(slots: DataFrame) -> DataFrame:
 
 
 def study_firsts(files: DataFrame) -> DataFrame:
-    """One row per study: its first file (root order, then path).
+    """One row per study: its first file (root order, then path) and its number of files.
 
     Partial aggregation runs map-side, so a study holding a large share of
     all files still reaches the shuffle as one row per map task. Only the study
@@ -96,7 +99,7 @@ def study_firsts(files: DataFrame) -> DataFrame:
     while studies are numbered (see ``with_values``).
     """
     first = F.min(F.struct("root_ord", "path")).alias("f")
-    return files.groupBy("study_uid").agg(first).select("study_uid", "f.*")
+    return files.groupBy("study_uid").agg(first, F.count(F.lit(1)).alias("n_files")).select("study_uid", "f.*", "n_files")
 
 
 def with_values(assignments: DataFrame, files: DataFrame, max_rows: int, row_bytes: int) -> DataFrame:
@@ -135,9 +138,27 @@ def study_map(index: DataFrame, assignments: DataFrame) -> DataFrame:
     return known.unionByName(fresh)
 
 
-def lookup(files: DataFrame, mapping: DataFrame, bound: int, row_bytes: int = REGISTRY_ROW_BYTES) -> DataFrame:
-    """Attach study_id / row_no to each file by its study UID (left join)."""
-    return files.join(bounded_broadcast(mapping, bound, row_bytes), "study_uid", "left")
+def hot_studies(firsts: DataFrame, n_files: int, most: int = MAX_HOT_STUDIES) -> list[str]:
+    """UIDs of the studies that hold at least one ``most``-th of all files: no more than ``most`` of them."""
+    share = max(2, -(-n_files // most))
+    return [r[0] for r in firsts.where(F.col("n_files") >= share).select("study_uid").collect()]
+
+
+def lookup(files: DataFrame, mapping: DataFrame, bound: int, row_bytes: int = REGISTRY_ROW_BYTES,
+           hot: list[str] | None = None) -> DataFrame:
+    """Attach study_id / row_no to each file by its study UID (left join).
+
+    Within the budget the map is broadcast. Past it, files of the ``hot`` studies
+    (a bounded list) still get a broadcast of theirs, and the others are joined by
+    study UID: without moving them if the header table is bucketed by study UID
+    (``sources.headers.write_bucketed_table``), else by a shuffle.
+    """
+    small = bounded_broadcast(mapping, bound, row_bytes)
+    if small is not mapping or not hot:
+        return files.join(small, "study_uid", "left")
+    is_hot = F.coalesce(F.col("study_uid").isin(*hot), F.lit(False))
+    apart = files.where(is_hot).join(F.broadcast(mapping.where(is_hot)), "study_uid", "left")
+    return files.where(~is_hot).join(mapping.where(~is_hot), "study_uid", "left").unionByName(apart)
 
 
 def commit(slots: DataFrame, assignments: DataFrame, assigned_at: Column | None = None,

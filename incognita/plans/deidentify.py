@@ -36,6 +36,7 @@ class Run:
     outcomes: DataFrame        # every file with its final outcome
     n_studies: int             # distinct studies among ok files (bounds the study map)
     map_row_bytes: int         # bytes of a row of the study map at most
+    hot: list[str]             # studies that hold a large share of the files
     irb_code: str = ""
     rules: Rules = field(default=DEFAULT_RULES)
 
@@ -65,7 +66,8 @@ def plan(headers: DataFrame, slots: DataFrame, front: dict, rules: Rules = DEFAU
     if committed is None:
         firsts = reg.study_firsts(ok).checkpoint(eager=True)
         size = firsts.agg(F.count(F.lit(1)).alias("n"), F.max(F.octet_length("study_uid")).alias("w"),
-                          F.max(F.octet_length("path")).alias("p")).first()
+                          F.max(F.octet_length("path")).alias("p"), F.sum("n_files").alias("files")).first()
+        hot = reg.hot_studies(firsts, int(size["files"] or 0))
         n_studies = max(int(size["n"]), 1)
         # Row-size bound of the study map: the longest UID of the batch plus an ID
         # of at most MAX_ID_BYTES and per-row overhead.
@@ -74,7 +76,7 @@ def plan(headers: DataFrame, slots: DataFrame, front: dict, rules: Rules = DEFAU
         slots_given = reg.assign_slots(new, slots, stats)
         assignments = reg.with_values(slots_given, ok, n_studies, map_row_bytes + int(size["p"] or 0) + 32)
     else:
-        firsts, n_studies, map_row_bytes = committed.firsts, committed.n_studies, committed.map_row_bytes
+        firsts, n_studies, map_row_bytes, hot = committed.firsts, committed.n_studies, committed.map_row_bytes, committed.hot
         new, assignments = committed.new, committed.assignments.limit(0)
         slots_given = assignments
     batch_ids = firsts.select("study_uid")
@@ -82,8 +84,9 @@ def plan(headers: DataFrame, slots: DataFrame, front: dict, rules: Rules = DEFAU
     mapping = reg.study_map(known, slots_given)
     # Every file gets its study's ID through one join keyed by study (broadcast
     # while the counted batch studies fit the budget); no path-keyed shuffle.
-    # Past the budget the join shuffles on study_uid and AQE splits hot studies.
-    labelled = reg.lookup(classified, mapping.select("study_uid", "study_id"), n_studies, map_row_bytes)
+    # Past the budget hot studies keep a broadcast and a bucketed header table
+    # joins in place (see ``reg.lookup``).
+    labelled = reg.lookup(classified, mapping.select("study_uid", "study_id"), n_studies, map_row_bytes, hot)
     files = labelled.where(F.col("outcome") == screen.OK)
     irb = front.get("irb_code") or ""
     exhausted = (F.col("outcome") == screen.OK) & F.col("study_id").isNull()
@@ -93,7 +96,7 @@ def plan(headers: DataFrame, slots: DataFrame, front: dict, rules: Rules = DEFAU
                             .otherwise(F.col("message")))
                 .withColumn("outcome", F.when(exhausted, F.lit(screen.EXHAUSTED)).otherwise(F.col("outcome")))
                 .drop("study_id"))
-    return Run(classified, stats, index, firsts, new, assignments, files, outcomes, n_studies, map_row_bytes, irb, rules)
+    return Run(classified, stats, index, firsts, new, assignments, files, outcomes, n_studies, map_row_bytes, hot, irb, rules)
 
 
 def run_report(outcomes: DataFrame) -> DataFrame:

@@ -32,6 +32,20 @@ def read_header_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(model.HEADERS).parquet(path)
 
 
+def write_bucketed_table(df: DataFrame, table: str, buckets: int, path: str | None = None) -> DataFrame:
+    """Write a header table as catalog table bucketed and sorted by study UID, and return it.
+
+    Joins of its files with the study map then need no shuffle of the files,
+    whatever the map's size. Null study UIDs (files that are never joined) are
+    dealt to the buckets with the others.
+    """
+    writer = conform(df).repartition(buckets, "study_uid").write.bucketBy(buckets, "study_uid").sortBy("study_uid").mode("overwrite")
+    if path:
+        writer = writer.option("path", path)
+    writer.saveAsTable(table)
+    return df.sparkSession.table(table)
+
+
 def ensure_keys(df: DataFrame) -> DataFrame:
     """Derive the key columns if the table lacks them.
 

@@ -63,6 +63,41 @@ def test_shuffle_fallback_gives_the_same_result(spark, slots):
             spark.conf.set("incognita.broadcast.maxBytes", old_budget)
 
 
+def test_bucketed_headers_are_joined_without_moving_them(spark, slots, scratch):
+    """Past the broadcast budget: no Exchange above ``elements``; a third of the files in one study."""
+    from incognita.sources.headers import write_bucketed_table
+
+    front = {"n_study_ids": 200, "irb_code": "IRB"}
+    expected = ids_by_path(deid.plan(corpus(spark), slots, front))
+    headers = write_bucketed_table(corpus(spark), "bucketed_headers", 8, f"{scratch}/bucketed")
+    old_auto = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("incognita.broadcast.maxBytes", "1")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        run = deid.plan(headers, slots, front)
+        assert "HOT" in run.hot and len(run.hot) <= 200
+        cold = headers.where("study_uid <> 'HOT'")
+        joined = run.files.where(F.col("study_id").isNotNull())
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        tree = plan.split("+- ")
+        # whatever is exchanged is the study map or the assignment, never a scan with elements
+        moved = [i for i, node in enumerate(tree) if node.startswith(("Exchange", "ShuffleQueryStage"))]
+        for i in moved:
+            depth = len("+- ".join(tree[:i]).splitlines()[-1])
+            below = []
+            for k in range(i + 1, len(tree)):
+                if len("+- ".join(tree[:k]).splitlines()[-1]) <= depth:
+                    break
+                below.append(tree[k])
+            assert not any("FileScan" in node and "elements" in node for node in below)
+        assert "SortMergeJoin" in plan and cold.count() == 400
+        assert ids_by_path(run) == expected
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old_auto)
+        spark.conf.unset("incognita.broadcast.maxBytes")
+        spark.sql("DROP TABLE IF EXISTS bucketed_headers")
+
+
 def test_volume_corpus_hot_study(spark):
     from conftest import SF_SMALL
     from incognita.sources import fixtures as fx
