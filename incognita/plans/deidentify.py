@@ -31,7 +31,8 @@ class Run:
     index: DataFrame           # known studies before the run
     firsts: DataFrame          # first file per study among ok files
     new: DataFrame             # studies not in the registry
-    assignments: DataFrame     # new studies with their slot (study_id NULL = exhausted)
+    assigned: DataFrame        # new studies with their slot (study_id NULL = exhausted)
+    assignments: DataFrame     # the same with the registry values of the first file
     files: DataFrame           # ok files with study_id (NULL = exhausted)
     outcomes: DataFrame        # every file with its final outcome
     n_studies: int             # distinct studies among ok files (bounds the study map)
@@ -73,15 +74,15 @@ def plan(headers: DataFrame, slots: DataFrame, front: dict, rules: Rules = DEFAU
         # of at most MAX_ID_BYTES and per-row overhead.
         map_row_bytes = int(size["w"] or 0) + reg.MAX_ID_BYTES + reg.ROW_OVERHEAD_BYTES
         new = reg.new_studies(firsts, index)
-        slots_given = reg.assign_slots(new, slots, stats)
-        assignments = reg.with_values(slots_given, ok, n_studies, map_row_bytes + int(size["p"] or 0) + 32)
+        assigned = reg.assign_slots(new, slots, stats)
+        assignments = reg.with_values(assigned, ok, n_studies, map_row_bytes + int(size["p"] or 0) + 32)
     else:
         firsts, n_studies, map_row_bytes, hot = committed.firsts, committed.n_studies, committed.map_row_bytes, committed.hot
         new, assignments = committed.new, committed.assignments.limit(0)
-        slots_given = assignments
+        assigned = committed.assigned.limit(0)
     batch_ids = firsts.select("study_uid")
     known = index.join(reg.bounded_broadcast(batch_ids, n_studies, map_row_bytes), "study_uid", "left_semi")
-    mapping = reg.study_map(known, slots_given)
+    mapping = reg.study_map(known, assigned)
     # Every file gets its study's ID through one join keyed by study (broadcast
     # while the counted batch studies fit the budget); no path-keyed shuffle.
     # Past the budget hot studies keep a broadcast and a bucketed header table
@@ -96,7 +97,7 @@ def plan(headers: DataFrame, slots: DataFrame, front: dict, rules: Rules = DEFAU
                             .otherwise(F.col("message")))
                 .withColumn("outcome", F.when(exhausted, F.lit(screen.EXHAUSTED)).otherwise(F.col("outcome")))
                 .drop("study_id"))
-    return Run(classified, stats, index, firsts, new, assignments, files, outcomes, n_studies, map_row_bytes, hot, irb, rules)
+    return Run(classified, stats, index, firsts, new, assigned, assignments, files, outcomes, n_studies, map_row_bytes, hot, irb, rules)
 
 
 def run_report(outcomes: DataFrame) -> DataFrame:

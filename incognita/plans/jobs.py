@@ -80,8 +80,8 @@ def deidentify(spark: SparkSession, headers: DataFrame, registry_root: str, out_
                      [(model.LOG_NORMAL, model.MSG_LAUNCHED.format(inputs=", ".join(inputs or [f"run {run_id}"])))], user, computer)
 
     first = deid.plan(headers, registry.slots, registry.front, rules)
-    fresh = first.assignments.where(F.col("study_id").isNotNull())
-    counts = first.assignments.agg(F.count(F.lit(1)).alias("n"),
+    fresh = first.assigned.where(F.col("study_id").isNotNull())
+    counts = first.assigned.agg(F.count(F.lit(1)).alias("n"),
                                    F.count(F.when(F.col("study_id").isNull(), 1)).alias("x")).first()
     if counts["n"] > counts["x"]:
         changed = reg.changed_slots(registry.slots, first.assignments, bound=first.n_studies)
@@ -124,15 +124,13 @@ def deidentify_roots(spark: SparkSession, roots: list[str], headers: DataFrame,
     counts = raw_files.dir_counts(raw_files.inventory(spark, roots)).where("root is null").first()
     store.append_log(spark, registry_root, [(model.LOG_HIGH, f"Found {counts['n_files']} files in {counts['n_dirs']} folders")],
                      options.get("user", ""), options.get("computer", ""))
-    listed = screen.prescreen(raw_files.with_magic(spark, roots))
-    left = listed.where(F.col("outcome") != screen.CANDIDATE)
-    candidates = listed.where(F.col("outcome") == screen.CANDIDATE)
-    unparsed = candidates.join(headers.select("path"), "path", "left_anti").withColumn("outcome", F.lit(screen.UNREADABLE)) \
-        .withColumn("message", F.concat(screen.file_name("path"), F.lit(screen.MSG_UNREADABLE)))
-    cols = ["path", "root", "outcome", "message"]
-    parsed = headers.join(candidates.select("path"), "path", "left_semi")
-    return deidentify(spark, parsed, registry_root, out_dir, run_id, inputs=roots,
-                      screened=left.select(*cols).unionByName(unparsed.select(*cols)), **options)
+    # Files with a header row are screened again by the run itself; only paths are joined here.
+    listed = screen.prescreen(raw_files.with_magic(spark, roots)).join(headers.select("path"), "path", "left_anti")
+    unparsed = F.col("outcome") == screen.CANDIDATE
+    screened = listed.select("path", "root", F.when(unparsed, F.lit(screen.UNREADABLE)).otherwise(F.col("outcome")).alias("outcome"),
+                             F.when(unparsed, F.concat(screen.file_name("path"), F.lit(screen.MSG_UNREADABLE)))
+                             .otherwise(F.col("message")).alias("message"))
+    return deidentify(spark, headers, registry_root, out_dir, run_id, inputs=roots, screened=screened, **options)
 
 
 def apply_edits(spark: SparkSession, headers: DataFrame, patches: DataFrame, out_dir: str, key: str = "patient_id",
