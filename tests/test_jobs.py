@@ -66,10 +66,11 @@ def test_header_dump_job(spark, scratch):
     out = f"{scratch}/dump"
     jobs.header_dump(fx.headers(spark, SF_SMALL), out)
     d = spark.read.parquet(out)
+    assert spark.read.parquet(f"{out}-failures").count() == fx.headers(spark, SF_SMALL).where("parse_error IS NOT NULL").count()
     assert d.count() == fx.headers(spark, SF_SMALL).where("parse_error IS NULL").count()
     row = d.first()
     assert row.out_path == row.path + ".hdr.txt"
-    assert row.text.splitlines()[0].startswith("(0008,0020) StudyDate")
+    assert row.text.splitlines()[0].startswith("(0008,0020) Study Date  ")
 
 
 def test_header_table_writer_derives_keys(spark, scratch):
