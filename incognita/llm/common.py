@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 import hashlib
 from collections.abc import Iterable, Iterator
 
@@ -61,13 +60,19 @@ def word_runs(text: bytes, table: bytes, stretch: int) -> Iterator[list[bytes]]:
 _BASE = 0x9E3779B97F4A7C15  # odd
 
 
-@functools.cache
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    with np.errstate(over="ignore"):
-        up = np.full(n, _BASE, np.uint64)
-        down = np.full(n, pow(_BASE, -1, 1 << 64), np.uint64)
-        up[0] = down[0] = 1
-        return np.cumprod(up), np.cumprod(down)
+_known_powers: list[np.ndarray] = []
+
+
+def _powers(n: int) -> list[np.ndarray]:
+    """Powers of the base and of its inverse modulo 2**64, n of them at least; a worker keeps the longest."""
+    if not _known_powers or len(_known_powers[0]) < n:
+        with np.errstate(over="ignore"):
+            tables = [np.full(n, x, np.uint64) for x in (_BASE, pow(_BASE, -1, 1 << 64))]
+            for t in tables:
+                t[0] = 1
+                np.cumprod(t, out=t)
+        _known_powers[:] = tables
+    return _known_powers
 
 
 class Hasher:
@@ -88,9 +93,11 @@ class Hasher:
             return h ^ (h >> np.uint64(32))
 
 
-def hinted(df: DataFrame, row_bytes: int) -> DataFrame:
-    """A stored frame, marked for broadcast if its rows of at most ``row_bytes`` fit the bound; else joined by shuffle."""
-    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
+def hinted(df: DataFrame) -> DataFrame:
+    """A stored frame, marked for broadcast if its measured bytes (32 a row added) fit the bound; else joined by shuffle."""
+    width = sum((F.coalesce(F.octet_length(col(c).cast("string")), F.lit(0)) for c in df.columns), F.lit(32))
+    size = df.agg(F.sum(width.cast("bigint"))).first()[0] or 0
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df
 
 
 def blob(values: Iterable) -> str:

@@ -45,7 +45,7 @@ KEEP = 20_000
 MODEL_CELLS = 4 << 20
 PENALTY = -7.0
 #: Characters that are worked on at once.
-STRETCH = 1 << 20
+STRETCH = 1 << 18
 
 
 @functools.cache

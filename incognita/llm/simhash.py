@@ -28,13 +28,14 @@ gives no rows; texts are read in stretches; other columns cannot clash.
 
 from __future__ import annotations
 
+import functools
 import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
@@ -48,7 +49,7 @@ SEED = 42
 BLOCK = 1024
 #: Fingerprints from which anchors span two segments.
 WIDE_FROM = 1 << 22
-STRETCH = 1 << 20
+STRETCH = 1 << 18
 
 #: A-Z to lower case; the six ASCII white-space bytes to a space.
 _WORD = bytes(c + 32 if 0x41 <= c <= 0x5A else 32 if 0x09 <= c <= 0x0D else c for c in range(256))
@@ -83,22 +84,28 @@ def fingerprints(n: int = SHINGLE):
     return of
 
 
+@functools.cache
+def _syndromes(units: tuple[int, ...]) -> np.ndarray:
+    """The syndrome of every value of a segment."""
+    table = np.zeros(1 << len(units), np.int16)
+    for i, u in enumerate(units):
+        np.bitwise_xor(table[:1 << i], u, out=table[1 << i:2 << i])
+    return table
+
+
 class Segment:
     """Bits [low, low + size) with a linear covering code: bit i has the syndrome ``units[i]``."""
 
     def __init__(self, low: int, units: list[int], radius: int, most: int):
         self.low, self.size, self.radius = low, len(units), radius
-        table = np.zeros(1, np.int32)
-        for u in units:
-            table = np.concatenate([table, table ^ u])
-        self.table = table  # syndrome of every value of the segment
+        self.table = table = _syndromes(tuple(units))
         # error patterns by syndrome, nearest first: x ^ pattern is a code word (an anchor) at distance |pattern|
         masks = [sum(1 << i for i in c) for w in range(radius + most + 1) for c in itertools.combinations(range(self.size), w)]
         masks = np.array(masks, np.int64)
         order = np.argsort(table[masks], kind="stable")
         self.masks = masks[order]
         self.weights = np.bitwise_count(self.masks).astype(np.int64)
-        self.first = np.searchsorted(table[masks][order], np.arange(table.max() + 2))
+        self.first = np.searchsorted(table[masks][order], np.arange(int(table.max()) + 2))
 
     def values(self, fp: np.ndarray) -> np.ndarray:
         return ((fp >> np.uint64(self.low)) & np.uint64((1 << self.size) - 1)).astype(np.int64)
@@ -126,6 +133,12 @@ def _powers(n: int, g: int, degree: int) -> list[int]:
     return out
 
 
+@functools.cache
+def anchors_of(max_bits: int, wide: bool) -> Anchors:
+    """The anchors, built once in a worker."""
+    return Anchors(max_bits, wide)
+
+
 class Anchors:
     """The anchors of fingerprints: keys are numbers, made of the segments used and their code words."""
 
@@ -174,7 +187,7 @@ def replicate(nodes: DataFrame, max_bits: int, wide: bool) -> tuple[DataFrame, D
 
     def run(probes: bool):
         def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            anchors = Anchors(max_bits, wide)
+            anchors = anchors_of(max_bits, wide)
             for batch in batches:
                 fp = batch.column(0).to_numpy().view(np.uint64)
                 for a in range(0, len(fp), 4096):
@@ -190,12 +203,13 @@ def replicate(nodes: DataFrame, max_bits: int, wide: bool) -> tuple[DataFrame, D
     return tuple(nodes.select("fp").mapInArrow(run(p), "key bigint, fp bigint, role tinyint") for p in (True, False))
 
 
-def blocked(probes: DataFrame, others: DataFrame, block: int) -> DataFrame:
-    """Both with a column ``salt``: keys with more than ``block`` probes have them dealt to blocks, and the others go to each block."""
-    heavy = stored(probes.groupBy("key").count().where(F.col("count") > block).select("key", F.ceil(F.col("count") / block).cast("int").alias("blocks")))
+def blocked(probes: DataFrame, others: DataFrame, block: int, weight: Column | None = None) -> DataFrame:
+    """Both with a column ``salt``: keys whose probes weigh more than ``block`` (each 1 by default) have them dealt to blocks, and the others go to each block."""
+    total = probes.groupBy("key").agg(F.sum(F.lit(1) if weight is None else weight).alias("w"))
+    heavy = stored(total.where(F.col("w") > block).select("key", F.ceil(F.col("w") / block).cast("int").alias("blocks")))
     if heavy.isEmpty():
         return probes.unionByName(others).withColumn("salt", F.lit(0))
-    heavy = hinted(heavy, 16)
+    heavy = hinted(heavy)
     n = F.coalesce("blocks", F.lit(1))
     probes = probes.join(heavy, "key", "left").withColumn("salt", F.pmod(F.xxhash64("fp"), n).cast("int")).drop("blocks")
     others = others.join(heavy, "key", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), n - 1))).drop("blocks")
@@ -295,11 +309,11 @@ def keep_one(docs: DataFrame, n: int = SHINGLE, max_bits: int = MAX_BITS) -> Dat
     keeper = F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("fp") == F.col("keeper_fp"))
     gone = stored(rows.where(~keeper).select(F.col("doc_id").alias(key), F.col("fp").alias(fp)).distinct())
     again = stored(rows.where(keeper).groupBy(F.col("doc_id").alias(key), F.col("fp").alias(fp)).count().where("count > 1").drop("count"))
-    own = fresh(docs.withColumnsRenamed({}), "own_fp")[0]
+    (own,) = fresh(docs, "own_fp")
     marked = docs.withColumn(own, fingerprints(n).asNondeterministic()(raw("text")))
     same = col("doc_id").eqNullSafe(F.col(key)) & (F.col(own) == F.col(fp))
-    kept = marked.join(hinted(gone, 32), same, "left_anti")
+    kept = marked.join(hinted(gone), same, "left_anti")
     if not again.isEmpty():
-        again = hinted(again, 32)
+        again = hinted(again)
         kept = kept.join(again, same, "left_anti").unionByName(kept.join(again, same, "left_semi").dropDuplicates(["doc_id", own]))
     return kept.select(*[col(c) for c in docs.columns])
