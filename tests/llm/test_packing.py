@@ -98,3 +98,23 @@ def test_groups_pack_apart_and_stay_gapless(spark):
     check(got.collect(), docs, 32)
     few = P.place(rows.drop("ids"), 32, max_docs=1)
     assert few.groupBy("sequence_id").count().where("count > 1").count() == 0
+
+
+#: The contract's tokenizer: the flags of the file.
+DEFAULT = Tokenizer.from_file(PATH)
+
+
+@settings(max_examples=400, deadline=None)
+@given(odd, odd)
+def test_special_ids_equal_those_of_the_default_tokenizer(text, more):
+    for t in (text, text + "<|endoftext|>" + more, "<|endoftext|>" * 2 + more + "<|endoftext"):
+        assert np.frombuffer(P.encode(t, PATH, special=True), "<u4").tolist() == DEFAULT.encode(t, add_special_tokens=False).ids
+
+
+def test_pieces_of_texts_with_special_tokens(spark):
+    texts = ["a<|endoftext|>b", " x <|endoftext|>  \n y" * 50, "plain words", "<|endoftext|>"]
+    got = P.pieces(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), PATH, 16).collect()
+    for i, t in enumerate(texts):
+        ids = b"".join(r.ids for r in sorted(got, key=lambda r: r.piece) if r.doc_id == i)
+        assert np.frombuffer(ids, "<u4").tolist() == [*DEFAULT.encode(t, add_special_tokens=False).ids, 0]
+    assert [r.ids for r in got if r.doc_id == 0] == [np.array([64, 50256, 65, 0], "<u4").tobytes()]
