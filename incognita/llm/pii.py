@@ -7,6 +7,14 @@ back in the same format. The permutation is one to one, so equal values get
 equal pseudonyms in all documents, different ones differ, and the holder of the
 key can invert it (``reveal``).
 
+Values beside other numbers: where the longest match is not valid, its beginnings
+that end at a separator are tried (for an IBAN its country's length first), and
+the search goes on just after the begin of what is not valid. A phone ends before
+a valid value of another kind. Whether a further group of digits is part of a
+phone cannot be told in all countries; it is taken, and the digits past the
+shortest number are permuted one by one under those before them, so that a phone
+has the same pseudonym with or without such a group.
+
 | kind | valid if | stays |
 |---|---|---|
 | card | 13 to 19 digits, Luhn sum 0 | separators, first digit, Luhn sum |
@@ -22,8 +30,8 @@ Scale: one narrow pass; whole texts are read, and texts without a digit or an @
 cannot hold any of these but secrets, which have their own words.
 
 Defined cases: null and empty texts stay as they are with nothing found; values
-that look like a kind but are not valid stay; overlapping finds go to the kind
-first in the pattern; repeated rows get equal results; other columns stay, and
+that look like a kind but are not valid in any of these ways stay; overlapping
+finds go to the first begin, then to the kind first in the pattern; repeated rows get equal results; other columns stay, and
 result columns get names that the documents do not have.
 """
 
@@ -61,6 +69,13 @@ _PATTERN = re.compile(
 #: What any match holds at least; the rest of the pattern is then not tried.
 _MAY = re.compile(r"[0-9@]|password|passwd|pwd|secret|token|key|AKIA", re.IGNORECASE)
 
+# The lengths of IBANs by country.
+_IBAN_LENGTHS = {country: int(n) for n, countries in (row.split(":") for row in (
+    "15:NO|16:BE|18:DK FI FO GL NL SD FK|19:MK SI|20:AT BA EE KZ LT LU MN XK|21:CH HR LI LV|22:BG BH CR DE GB GE IE ME RS VA|23:AE GI IL IQ OM SO TL|"
+    "24:AD CZ ES MD PK RO SA SE SK TN VG DZ|25:AO CV GW LY MZ PT ST|26:IS TR IR|27:BF BI CF CG CM DJ FR GA GR IT MC MG MR SM|28:AL AZ BJ BY CI CY DO GQ GT HN HU LB ML NE NI PL SN SV TD TG KM MA|"
+    "29:BR EG PS QA UA|30:JO KW MU YE|31:MT SC|32:LC|33:RU").split("|")) for country in countries.split()}
+_SEPARATORS = " .-/("
+
 _FIRST, _LAST = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
 
 
@@ -165,7 +180,12 @@ class Pseudonyms:
         own = d[len(code):]
         if not 8 <= len(d) <= 15 or len(own) < 5 or form.count("(") != form.count(")"):
             return None
-        return _refill(form, code + f"{self.permute(int(own), 10 ** len(own), 'phone' + code, back):0{len(own)}d}")
+        core = max(5, 8 - len(code))  # the digits of the shortest number
+        old, new = own[:core], f"{self.permute(int(own[:core]), 10 ** core, 'phone' + code, back):0{core}d}"
+        for d in own[core:]:
+            y = str(self.permute(int(d), 10, f"phone{code}/{new if back else old}", back))
+            old, new = old + d, new + y
+        return _refill(form, code + new)
 
     def ssn(self, form: str, back: bool) -> str | None:
         def valid(x):
@@ -208,26 +228,52 @@ class Pseudonyms:
         """(new text, (kind, begin, stop, pseudonym) of each find in the old one)."""
         if not _MAY.search(text):
             return text, []
-        out, at, found = [], 0, []
-        for m in _PATTERN.finditer(text):
-            if m["secret"]:
-                begin, stop = m.span("value") if m["value"] else m.span("value2")
-                kind, new = "secret", _mixed(text[begin:stop], self.permute, "secret", back)
-            elif m["email"]:
-                begin, stop = m.span("local")
-                kind, new = "email", _mixed(m["local"], self.permute, "email", back)
-            else:
-                kind = m.lastgroup
-                begin, stop = m.span()
-                new = getattr(self, kind)(m[0], back)
-                if new is None:
-                    continue
-                kind = "phone" if kind == "nanp" else kind
-            out += [text[at:begin], new]
-            found.append((kind, begin, stop, new))
-            at = stop
+        out, at, found, m = [], 0, [], _PATTERN.search(text)
+        while m:
+            got = self._find(text, m, back)
+            if got:
+                kind, begin, stop, new = got
+                out += [text[at:begin], new]
+                found.append(got)
+                at = stop
+            m = _PATTERN.search(text, at if got else m.start() + 1)
         return ("".join(out) + text[at:], found) if found else (text, [])
 
+    def _find(self, text: str, m: re.Match, back: bool) -> tuple[str, int, int, str] | None:
+        """(kind, begin, stop, pseudonym) of the valid value that begins where a match does."""
+        if m["secret"]:
+            begin, stop = m.span("value") if m["value"] else m.span("value2")
+            return "secret", begin, stop, _mixed(text[begin:stop], self.permute, "secret", back)
+        if m["email"]:
+            begin, stop = m.span("local")
+            return "email", begin, stop, _mixed(m["local"], self.permute, "email", back)
+        kind, begin = m.lastgroup, m.start()
+        for stop in self._stops(text, m):
+            new = getattr(self, kind)(text[begin:stop], back)
+            if new is not None:
+                return "phone" if kind == "nanp" else kind, begin, stop, new
+        return None
+
+    def _stops(self, text: str, m: re.Match) -> list[int]:
+        """Where a value that begins with a match may end, the likeliest first."""
+        kind, begin, end = m.lastgroup, m.start(), m.end()
+        if kind not in ("iban", "phone"):
+            return [end]
+        shorter = [i for i in range(end - 1, begin, -1) if text[i] in _SEPARATORS and text[i - 1] not in _SEPARATORS]
+        if kind == "iban":
+            length = _IBAN_LENGTHS.get(text[begin:begin + 2])
+            first = [i for i in [end, *shorter] if i - begin - text.count(" ", begin, i) == length]
+        else:
+            first = [i for i in shorter if self.phone(text[begin:i], False) and self._begins(text, i)]
+        return [*first, end, *shorter]
+
+    def _begins(self, text: str, i: int) -> bool:
+        """Whether a valid value other than a phone begins after the separators at i."""
+        while text[i] in " .-/":
+            i += 1
+        m = _PATTERN.match(text, i)
+        return m is not None and m.lastgroup in ("ipv4", "date", "ssn", "nanp", "card") and self._find(text, m, False) is not None
+
 
 def pseudonymise(docs: DataFrame, key: bytes, text: str = "text", back: bool = False) -> tuple[DataFrame, str]:
     """``docs`` with one more struct column (its name is returned): the text with pseudonyms, and the finds in the old text."""

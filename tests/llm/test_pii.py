@@ -95,3 +95,40 @@ def test_nothing_planted_is_left(spark):
         assert not [v for v in values if v in new[r.doc_id]]
         assert bool(values) or new[r.doc_id] == r.text or re.search(r"(?i)token = ", r.text)
     assert n > 50
+
+
+PHONE, IBAN = "+44 20 7946 0958", "BE68 5390 0754 7034"
+BESIDE = [(PHONE, "2024-05-01"), (PHONE, "4041 8949 7460 8795"), (PHONE, "078-05-1120"), (PHONE, "619-555-0123"), ("+49 30 123456", "2024-05-01"), ("+49 30 123456", "24.12.1999"), ("+49 30 123456", "42.144.35.254"),
+          (IBAN, "2024-05-01"), (IBAN, "4041 8949 7460 8795"), ("2024-05-01", PHONE), ("DE89 3704 0044 0532 0130 00", PHONE), (PHONE, PHONE), ("1234 4041 8949 7460 8795", "x")]
+
+
+@pytest.mark.parametrize(("one", "two"), BESIDE)
+@pytest.mark.parametrize("between", [" ", "  ", "\t", "\n", " | "])
+def test_values_beside_others_get_the_pseudonyms_they_have_alone(one, two, between):
+    change = P.Pseudonyms(KEY)
+    text = one + between + two
+    new, found = change.replace(text)
+    assert new == change.replace(one)[0] + between + change.replace(two)[0]
+    assert len(found) == sum(len(change.replace(x)[1]) for x in (one, two)) and change.replace(new, True)[0] == text
+
+
+@pytest.mark.parametrize("after", [" BIC KREDBEBB", " BIC", " 12", " 1234 5678", " KRED BEBB"])
+def test_an_iban_ends_at_its_country_s_length(after):
+    change = P.Pseudonyms(KEY)
+    new, found = change.replace(IBAN + after)
+    assert [f[0] for f in found] == ["iban"] and new == change.replace(IBAN)[0] + after != IBAN + after
+    assert change.replace(new, True)[0] == IBAN + after
+
+
+@pytest.mark.parametrize("after", [" 17", " 1", " 12 4", "-17", " 2024"])
+def test_a_phone_keeps_its_pseudonym_before_further_numbers(after):
+    change = P.Pseudonyms(KEY)
+    for phone in ("+49 30 123456", "+33 1 42 68 53 00", PHONE):
+        new, _ = change.replace(phone + after)
+        assert new.startswith(change.replace(phone)[0]) and change.replace(new, True)[0] == phone + after and not new.startswith(phone)
+
+
+def test_what_is_not_valid_does_not_hide_what_follows():
+    change = P.Pseudonyms(KEY)
+    new, found = change.replace("1234 4041 8949 7460 8795")
+    assert [f[0] for f in found] == ["card"] and new == "1234 " + change.replace("4041 8949 7460 8795")[0]
