@@ -5,13 +5,16 @@ each sentence that equals a known licence sentence (some have variable parts)
 becomes that sentence's identifier. The identifiers, in order, are then matched
 against ordered rules: a rule names a licence by a sequence of identifiers, the
 first rule that occurs takes its sentences, and so on until none occurs.
-Identifiers that no rule took are reported as ``left``.
+Identifiers that no rule took are reported as ``left``. A sentence without an end
+sign is found at the lines it fills: runs of whole lines are tried where no
+sentence is known. SPDX tags are found first, wherever they stand; a tag ends with
+its licence expression, whose identifiers are reported as ``spdx``.
 
 Scale: one narrow pass; whole texts are read. A text without any of the
 ``TRIGGERS``, of which every known sentence holds one, has no known sentence.
 
 Defined cases: null and empty texts hold nothing; repeated rows get equal
-results; a licence named twice is reported once, in order of its first place;
+results; a licence or SPDX identifier named twice is reported once, in order of its first place;
 sentences may be cut by line ends and comment signs but by nothing else; other
 columns stay, and result columns get names that the documents do not have.
 """
@@ -70,7 +73,7 @@ SENTENCES = [
     ("unlicense", "this is free and unencumbered software released into the public domain"),
     ("public-domain", "this (work|file|software) is (hereby )?(in|released into|placed in) the public domain"),
 ]
-_PARTS = {"holder": ".{0,200}", "url": r"\S{1,200}", "id": r"[a-z0-9.+()\- ]{1,100}", "n": "[0-9]", "version": r"[0-9]+(\.[0-9]+)?"}
+_PARTS = {"holder": ".{0,200}", "url": r"\S{1,200}", "id": r"[a-z0-9.+():\- ]+", "n": "[0-9]", "version": r"[0-9]+(\.[0-9]+)?"}
 
 # Rules in order; the licence, then its sentences in sequence ("a|b" allows either).
 RULES = [
@@ -142,11 +145,28 @@ _COMMENT = re.compile(r"(?m)^[ \t]*(?:/\*+|\*+/|\*+|//+|#+|;+|%+|--+|>+|<!--|\|)
 _ITEM = re.compile(r"^(?:\(?[0-9]{1,2}[.)]|\(?[a-z][.)]|-) (?=.)")
 
 
+#: An SPDX tag with its licence expression; operators in small letters count if the expression ends its line or comment.
+_SPDX_ID = r"\(*[ \t]*[A-Za-z0-9](?:[A-Za-z0-9.+:\-]*[A-Za-z0-9+])?(?:[ \t]*\))*"
+_TAG = re.compile(rf"(?m)(?i:SPDX-License-Identifier):[ \t]*(?P<expression>{_SPDX_ID}(?:[ \t]+(?i:AND|OR|WITH)[ \t]+{_SPDX_ID})*(?=[ \t.;,]*(?:\*+/|-->|\r?$))|{_SPDX_ID}(?:[ \t]+(?:AND|OR|WITH)[ \t]+{_SPDX_ID})*)")
+
+
+def plain(text: str) -> str:
+    """Comment signs dropped, quotes and white space made alike, lower case."""
+    return " ".join(re.sub("[“”„«»]|''|``", '"', _COMMENT.sub(" ", text)).lower().split())
+
+
 def normal(sentence: str) -> str:
-    """Comment signs and list numbers dropped, quotes and white space made alike, lower case, no sign at the end."""
-    text = _COMMENT.sub(" ", sentence)
-    text = re.sub("[“”„«»]|''|``", '"', text)
-    return _ITEM.sub("", " ".join(text.lower().split())).strip(" .;:!?,")
+    """``plain`` without list numbers and without a sign at the end."""
+    return _ITEM.sub("", plain(sentence)).strip(" .;:!?,")
+
+
+def _over_lines(name: str, pattern: re.Pattern) -> re.Pattern:
+    """The expression of a sentence over lines; a copyright holder ends with its line."""
+    form = pattern.pattern if name == "copyright" else pattern.pattern.replace(".{0,200}", r"[\s\S]{0,200}")
+    return re.compile(r"(?:(?:\(?[0-9]{1,2}[.)]|\(?[a-z][.)]|-) )?(?:" + form.replace(r"\ ", r"\s+") + r")[ .;:!?,]*(?=\n|\Z)")
+
+
+_LINES = [(name, _over_lines(name, pattern)) for name, pattern in _KNOWN if name != "spdx"]
 
 
 def sentences(text: str) -> list[tuple[int, int]]:
@@ -163,32 +183,75 @@ def sentences(text: str) -> list[tuple[int, int]]:
 
 
 def identify(text: str) -> list[tuple[str | None, int, int]]:
-    """(identifier or None, begin, stop) in order; up to three pieces at : ; . are tried as one sentence, longest first."""
-    parts, out, i = sentences(text), [], 0
-    low = [text[a:b].lower() for a, b in parts]
-    may = [any(t in x for t in TRIGGERS) for x in low]
+    """(identifier or None, begin, stop) in order; SPDX tags, and the sentences between them."""
+    out, at = [], 0
+    for m in _TAG.finditer(text):
+        out += [*_between(text, at, m.start()), ("spdx", *m.span())]
+        at = m.end()
+    return out + _between(text, at, len(text))
+
+
+def _between(text: str, begin: int, stop: int) -> list[tuple[str | None, int, int]]:
+    """Up to three pieces at : ; . are tried as one sentence, longest first; then the lines in them."""
+    parts, out, i = [(begin + a, begin + b) for a, b in sentences(text[begin:stop])], [], 0
+    may = [any(t in text[a:b].lower() for t in TRIGGERS) for a, b in parts]
     while i < len(parts):
         for n in (3, 2, 1):
             if i + n <= len(parts) and any(may[i:i + n]) and parts[i + n - 1][1] - parts[i][0] < 4000:
                 a, b = parts[i][0], parts[i + n - 1][1]
                 name = known(normal(text[a:b]))
-                if name is None and n == 1 and "\n" in text[a:b].strip():  # lines without end signs before a licence line
-                    last = text[a:b].rstrip()
-                    a2 = a + last.rindex("\n") + 1 if "\n" in last else a
-                    name = known(normal(text[a2:b]))
-                    if name:
-                        out.append((None, a, a2))
-                        a = a2
+                if name == "copyright" and "\n" in text[a:b].strip():
+                    continue  # its lines may hold more than the holder
                 if name:
                     out.append((name, a, b))
                     i += n
                     break
         else:
-            out.append((None, *parts[i]))
-            i += 1
+            got = _in_lines(text, parts[i:i + 3]) if any(may[i:i + 3]) else None
+            if got is None:
+                out.append((None, *parts[i]))
+                i += 1
+                continue
+            name, a, b = got
+            if a > parts[i][0]:
+                out.append((None, parts[i][0], a))
+            out.append(got)
+            while i < len(parts) and parts[i][1] <= b:
+                i += 1
+            if i < len(parts) and parts[i][0] < b:  # the rest of a piece whose first lines are taken
+                parts[i] = (b, parts[i][1])
+                may[i] = any(t in text[b:parts[i][1]].lower() for t in TRIGGERS)
     return out
 
 
+def _in_lines(text: str, parts: list[tuple[int, int]]) -> tuple[str, int, int] | None:
+    """The first, then longest known sentence that fills whole lines and begins in the first of the pieces."""
+    if "\n" not in text[parts[0][0]:parts[-1][1]].strip():
+        return None
+    lines, n = [], 0
+    for k, (a, b) in enumerate(parts):
+        n += b - a
+        if k and n > 4000:
+            break
+        for m in re.finditer(r"[^\n]*(?:\n|\Z)", text[a:b]):
+            if m[0].strip():
+                lines.append((k, a + m.start(), a + m.end(), plain(m[0])))
+    joined = "\n".join(line[3] for line in lines)
+    begins, ends, at = [], {}, 0
+    for k, a, b, line in lines:
+        if not k:
+            begins.append((at, a))
+        at += len(line)
+        ends[at] = b
+        at += 1
+    for at, a in begins:
+        found = [(m.end(), name) for name, pattern in _LINES if (m := pattern.match(joined, at)) and m.end() in ends]
+        if found:
+            end, name = max(found, key=lambda f: f[0])
+            return name, a, ends[end]
+    return None
+
+
 def known(sentence: str) -> str | None:
     for name, pattern in _KNOWN:
         if pattern.fullmatch(sentence):
@@ -218,19 +281,20 @@ def match(names: list[str | None]) -> tuple[list[tuple[str, list[int]]], list[in
 
 
 def scan_text(text: str | None) -> dict:
-    """licences, sentence identifiers, spans and identifiers left over."""
+    """licences, sentence identifiers, spans, identifiers left over and the identifiers that SPDX tags name."""
     if not text or not any(t in (low := text.lower()) for t in TRIGGERS):
-        return {"licences": [], "sentences": [], "left": []}
+        return {"licences": [], "sentences": [], "left": [], "spdx": []}
     parts = identify(text)
     found, left = match([p[0] for p in parts])
-    return {"licences": list(dict.fromkeys(f[0] for f in found)), "sentences": [{"id": n, "begin": a, "stop": b} for n, a, b in parts if n is not None], "left": [parts[i][0] for i in left]}
+    return {"licences": list(dict.fromkeys(f[0] for f in found)), "sentences": [{"id": n, "begin": a, "stop": b} for n, a, b in parts if n is not None], "left": [parts[i][0] for i in left],
+            "spdx": list(dict.fromkeys(x for m in _TAG.finditer(text) for x in re.findall(r"[^\s()]+", m["expression"]) if x.upper() not in ("AND", "OR", "WITH")))}
 
 
 def scan(docs: DataFrame, text: str = "text") -> tuple[DataFrame, str]:
-    """``docs`` with one more struct column (its name is returned): licences, sentences with spans, left."""
-    kind = pa.struct([("licences", pa.list_(pa.string())), ("sentences", pa.list_(pa.struct([("id", pa.string()), ("begin", pa.int64()), ("stop", pa.int64())]))), ("left", pa.list_(pa.string()))])
+    """``docs`` with one more struct column (its name is returned): licences, sentences with spans, left, spdx."""
+    kind = pa.struct([("licences", pa.list_(pa.string())), ("sentences", pa.list_(pa.struct([("id", pa.string()), ("begin", pa.int64()), ("stop", pa.int64())]))), ("left", pa.list_(pa.string())), ("spdx", pa.list_(pa.string()))])
 
-    @arrow_udf("licences array<string>, sentences array<struct<id:string,begin:bigint,stop:bigint>>, left array<string>")
+    @arrow_udf("licences array<string>, sentences array<struct<id:string,begin:bigint,stop:bigint>>, left array<string>, spdx array<string>")
     def of(texts: pa.Array) -> pa.Array:
         return pa.array([scan_text(None if (v := t.as_py()) is None else v.decode("utf-8", "replace")) for t in texts], kind)
 
@@ -239,6 +303,6 @@ def scan(docs: DataFrame, text: str = "text") -> tuple[DataFrame, str]:
 
 
 def licences(docs: DataFrame) -> DataFrame:
-    """doc_id, licences, sentence_ids, left."""
+    """doc_id, licences, sentence_ids, left, spdx."""
     got, c = scan(docs.select("doc_id", "text"))
-    return got.select("doc_id", F.col(c)["licences"].alias("licences"), F.col(c)["sentences"]["id"].alias("sentence_ids"), F.col(c)["left"].alias("left"))
+    return got.select("doc_id", F.col(c)["licences"].alias("licences"), F.col(c)["sentences"]["id"].alias("sentence_ids"), F.col(c)["left"].alias("left"), F.col(c)["spdx"].alias("spdx"))

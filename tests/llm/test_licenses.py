@@ -132,3 +132,27 @@ def test_planted_lines(spark):
         n += bool(want)
         assert want <= got[r.doc_id] and (want or not got[r.doc_id] or re.search("(?i)licen|reserved", r.text)), r.doc_id
     assert n > 100
+
+
+@pytest.mark.parametrize(("text", "want", "spdx"), [
+    ("// SPDX-License-Identifier: MIT\n#include <stdio.h>\n", ["SPDX"], ["MIT"]), ("# SPDX-License-Identifier: Apache-2.0\nimport os\n" + "x = 1\n" * 100, ["SPDX"], ["Apache-2.0"]),
+    ("/* SPDX-License-Identifier: (GPL-2.0-only WITH Linux-syscall-note) OR BSD-3-Clause */\nint my_var;", ["SPDX"], ["GPL-2.0-only", "Linux-syscall-note", "BSD-3-Clause"]),
+    ("<!-- SPDX-License-Identifier: mit or isc -->\n<p>", ["SPDX"], ["mit", "isc"]), ("SPDX-License-Identifier: MIT and more words here, so on", ["SPDX"], ["MIT"]),
+    ("// Copyright 2020 X\r\n// SPDX-License-Identifier: MIT\r\nint main", ["SPDX"], ["MIT"]), ("SPDX-License-Identifier: MIT\n\n" + BSD, ["SPDX", "BSD-2-Clause"], ["MIT"]),
+    ("see SPDX-License-Identifier: LicenseRef-my-own. Then more", ["SPDX"], ["LicenseRef-my-own"]),
+    ("Released under the MIT License\nmore text without a stop", ["MIT"], []), ("one line\nReleased under the MIT License\nmore text without a stop", ["MIT"], []),
+    ("Copyright 2020 Some One\nReleased under the MIT License\nmore", ["MIT"], []), ("My program\n" + GPL.rstrip()[:-1] + "\nint main", ["GPL-3.0-or-later"], []),
+    ("a title\nLicensed under the Apache License,\nVersion 2.0\nmore text", ["Apache-2.0"], []), ("a title\nAll rights reserved\nLicensed under CC BY-NC 4.0\nand on", ["proprietary", "CC-BY-NC"], []),
+    ("a title\n" + BSD.replace("disclaimer.", "disclaimer") + "int main", ["BSD-2-Clause"], []), ("Copyright 2020 Some One\n" + MIT, ["MIT"], []), ("a title\n" + MIT[3:], ["MIT"], [])])
+def test_lines_without_an_end_sign_and_tags_before_code(text, want, spdx):
+    got = L.scan_text(text)
+    assert (got["licences"], got["left"], got["spdx"]) == (want, [], spdx)
+    for s in got["sentences"]:
+        assert L.known(L.normal(text[s["begin"]:s["stop"]])) == s["id"]
+    parts = L.identify(text)
+    assert [a for _, a, _ in parts] == [0, *(b for _, _, b in parts[:-1])] and parts[-1][2] == len(text)
+
+
+def test_the_query_reports_spdx_identifiers(spark):
+    df = spark.createDataFrame([(1, "// SPDX-License-Identifier: MIT\n#include <stdio.h>\n"), (2, None)], "doc_id bigint, text string")
+    assert {(r.doc_id, tuple(r.licences), tuple(r.spdx)) for r in L.licences(df).collect()} == {(1, ("SPDX",), ("MIT",)), (2, (), ())}
