@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from incognita.llm import ann, decontaminate, lang_id, licenses, line_dedup, lm_score, packing, pii, sharding, simhash
+from incognita.llm import ann, decontaminate, importance, lang_id, licenses, line_dedup, lm_score, packing, pii, sharding, simhash
 from incognita.sources.tables import read_table
 
 
@@ -50,6 +50,10 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.sharded(read_table(spark, sf_dir, "documents"))
 
 
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resampled(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_line_dedup": op2_line_dedup,
@@ -61,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_license_scan": op8_license_scan,
     "op9_pii_pseudonyms": op9_pii_pseudonyms,
     "op10_sharding": op10_sharding,
+    "op12_importance_resampling": op12_importance_resampling,
 }
 
 _OP1 = r"""
@@ -91,4 +96,54 @@ SELECT d.doc_id, CAST(coalesce(len(d.ws), 0) AS BIGINT) AS n_words, CAST(coalesc
 FROM docs d LEFT JOIN words w USING (doc_id) LEFT JOIN found f USING (doc_id)
 """
 
-ORACLES: dict[str, str] = {"op1_decontamination": _OP1}
+# CRC-32 of a string's UTF-8 bytes: the table of 256 entries follows from its polynomial, eight shifts for each byte value.
+_CRC_TABLE = """
+crc_table AS (
+  SELECT list(list_reduce([CAST(b AS BIGINT), 1, 2, 3, 4, 5, 6, 7, 8],
+                          lambda acc, x: CASE WHEN acc % 2 = 1 THEN xor(acc // 2, 3988292384) ELSE acc // 2 END) ORDER BY b) AS tab
+  FROM range(256) t(b))"""
+
+
+def _crc32(text: str) -> str:
+    """SQL for the CRC-32 of ``text``; needs the column ``tab`` of crc_table."""
+    byte = f"(instr('0123456789ABCDEF', hex({text})[2 * i + 1]) - 1) * 16 + instr('0123456789ABCDEF', hex({text})[2 * i + 2]) - 1"
+    codes = f"list_transform(range(CAST(strlen({text}) AS BIGINT)), lambda i: CAST({byte} AS BIGINT))"
+    return f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {codes}), lambda acc, b: xor(acc // 256, tab[xor(acc % 256, b) + 1])), 4294967295)"
+
+
+_OP12 = rf"""
+WITH {_CRC_TABLE},
+docs AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS ws
+  FROM documents),
+items AS (
+  SELECT regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws
+  FROM benchmark),
+doc_words AS (SELECT r, w, count(*) AS n FROM (SELECT r, unnest(ws) AS w FROM docs) GROUP BY r, w),
+item_words AS (SELECT w, count(*) AS n FROM (SELECT unnest(ws) AS w FROM items) GROUP BY w),
+vocabulary AS (
+  SELECT w, {_crc32("w")} % 10000 AS bucket
+  FROM (SELECT w FROM doc_words UNION SELECT w FROM item_words), crc_table),
+source AS (SELECT bucket, sum(n) AS s FROM doc_words JOIN vocabulary USING (w) GROUP BY bucket),
+target AS (SELECT bucket, sum(n) AS t FROM item_words JOIN vocabulary USING (w) GROUP BY bucket),
+totals AS (SELECT CAST((SELECT sum(s) FROM source) AS DOUBLE) AS s_all, CAST(coalesce((SELECT sum(t) FROM target), 0) AS DOUBLE) AS t_all),
+gains AS (
+  SELECT bucket, CAST(floor(1000 * ln((CAST(coalesce(t, 0) AS DOUBLE) + 1) * (s_all + 10000) / ((CAST(s AS DOUBLE) + 1) * (t_all + 10000)))) AS BIGINT) AS gain
+  FROM source LEFT JOIN target USING (bucket), totals),
+sums AS (SELECT r, CAST(sum(n * gain) AS BIGINT) AS g FROM doc_words JOIN vocabulary USING (w) JOIN gains USING (bucket) GROUP BY r),
+weighed AS (
+  SELECT r, doc_id, CAST(len(ws) AS BIGINT) AS n_features,
+         CASE WHEN len(ws) = 0 THEN 0 ELSE (g - ((g % len(ws)) + len(ws)) % len(ws)) // len(ws) END AS weight
+  FROM docs LEFT JOIN sums USING (r)),
+scored AS (
+  SELECT r, doc_id, n_features, weight,
+         weight + CAST(floor(-1000 * ln(-ln((CAST(('0x' || left(sha256('2024:' || doc_id), 8)) AS BIGINT) + 0.5) / 4294967296.0))) AS BIGINT) AS score
+  FROM weighed),
+ranked AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id, r) AS k FROM scored WHERE n_features >= 20)
+SELECT doc_id, n_features, CAST(weight AS BIGINT) AS weight, CAST(score AS BIGINT) AS score,
+       CASE WHEN k <= (SELECT count(*) * 10 // 100 FROM ranked) THEN CAST(k AS BIGINT) END AS rank, n_features AS n_words
+FROM scored LEFT JOIN ranked USING (r)
+"""
+
+ORACLES: dict[str, str] = {"op1_decontamination": _OP1, "op12_importance_resampling": _OP12}
