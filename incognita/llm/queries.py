@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from incognita.llm import ann, decontaminate, importance, lang_id, licenses, line_dedup, lm_score, packing, pii, sharding, simhash
+from incognita.llm import ann, decontaminate, importance, lang_id, licenses, line_dedup, lm_score, packing, pii, secrets, sharding, simhash
 from incognita.sources.tables import read_table
 
 
@@ -50,6 +50,10 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.sharded(read_table(spark, sf_dir, "documents"))
 
 
+def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secrets(read_table(spark, sf_dir, "documents"))
+
+
 def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resampled(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
@@ -65,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_license_scan": op8_license_scan,
     "op9_pii_pseudonyms": op9_pii_pseudonyms,
     "op10_sharding": op10_sharding,
+    "op11_secret_scan": op11_secret_scan,
     "op12_importance_resampling": op12_importance_resampling,
 }
 
