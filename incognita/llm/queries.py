@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from incognita.llm import ann, decontaminate, importance, lang_id, licenses, line_dedup, lm_score, packing, pii, secrets, sharding, simhash
+from incognita.llm import ann, decontaminate, importance, lang_id, licenses, line_dedup, lm_score, packing, pii, prefix_trie, secrets, sharding, simhash
 from incognita.sources.tables import read_table
 
 
@@ -58,6 +58,10 @@ def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resampled(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(read_table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_line_dedup": op2_line_dedup,
@@ -71,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_sharding": op10_sharding,
     "op11_secret_scan": op11_secret_scan,
     "op12_importance_resampling": op12_importance_resampling,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 _OP1 = r"""
@@ -151,4 +156,40 @@ SELECT doc_id, n_features, CAST(weight AS BIGINT) AS weight, CAST(score AS BIGIN
 FROM scored LEFT JOIN ranked USING (r)
 """
 
-ORACLES: dict[str, str] = {"op1_decontamination": _OP1, "op12_importance_resampling": _OP12}
+_OP13 = rf"""
+WITH {_CRC_TABLE},
+turns AS (
+  SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS i
+  FROM conversations WHERE conv_id IS NOT NULL),
+convs AS (
+  SELECT c, c - c % 20 AS base, {_crc32("CAST(c AS VARCHAR)")} % 4 AS h, n
+  FROM (SELECT c, count(*) AS n FROM turns GROUP BY c), crc_table),
+sized AS (SELECT a.c, a.base, a.h, least(a.h, coalesce(b.n, 0)) AS m FROM convs a LEFT JOIN convs b ON b.c = a.base),
+path AS (
+  SELECT s.c, t.i AS d, t.role, t.text FROM sized s JOIN turns t ON t.c = s.base AND t.i <= s.m
+  UNION ALL
+  SELECT s.c, t.i - s.h + s.m, t.role, t.text FROM sized s JOIN turns t ON t.c = s.c AND t.i > s.h),
+seqs AS (
+  SELECT s.c, count(p.c) AS len, list(struct_pack(r := p.role, t := p.text) ORDER BY p.d) FILTER (p.c IS NOT NULL) AS said
+  FROM sized s LEFT JOIN path p ON p.c = s.c GROUP BY s.c),
+members AS (
+  SELECT c, len, d, CASE WHEN d > 0 THEN md5(CAST(to_json(said[1:d]) AS VARCHAR)) ELSE '' END AS k,
+         CASE WHEN d > 0 THEN said[d].t ELSE '' END AS t
+  FROM (SELECT c, len, said, unnest(range(0, len + 1)) AS d FROM seqs)),
+nodes AS (
+  SELECT d, k, min(c) AS c, count(*) AS n_convs, count(*) FILTER (len = d) AS n_ends,
+         (count(*) - 1) * max(len(regexp_extract_all(t, '[^ 	-
+]+'))) AS saved,
+         coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (len = d), '') AS ends
+  FROM members GROUP BY d, k),
+totals AS (
+  SELECT m.d, m.k, sum(CASE WHEN y.n_ends = y.n_convs THEN 1 ELSE 0 END) AS leaves, sum(y.saved) AS saved, count(*) FILTER (y.d = m.d + 1) AS kids
+  FROM nodes y JOIN members m ON m.c = y.c AND m.d <= y.d GROUP BY m.d, m.k),
+parents AS (SELECT n.d, n.k, p.c AS parent FROM nodes n JOIN members m ON m.c = n.c AND m.d = n.d - 1 JOIN nodes p ON p.d = m.d AND p.k = m.k)
+SELECT CAST(n.c AS BIGINT) AS conv_id, CAST(n.d AS BIGINT) AS depth, CAST(p.parent AS BIGINT) AS parent_conv_id, n.n_convs,
+       CAST(t.kids AS BIGINT) AS n_children, CAST(t.leaves AS BIGINT) AS n_leaves, CAST(t.saved AS BIGINT) AS saved_tokens, sha256(n.ends) AS ends_sha256
+FROM nodes n JOIN totals t USING (d, k) LEFT JOIN parents p USING (d, k)
+"""
+
+ORACLES: dict[str, str] = {"op1_decontamination": _OP1, "op12_importance_resampling": _OP12, "op13_prefix_trie": _OP13}
