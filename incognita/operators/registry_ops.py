@@ -121,13 +121,21 @@ def free_slots(slots: DataFrame) -> DataFrame:
 
 
 def assign_slots(new: DataFrame, slots: DataFrame, stats: RegistryStats) -> DataFrame:
-    """Give the k-th new study (first-seen order) the k-th free slot.
+    """Give the k-th new study (first-seen order) the k-th free slot of a slot table."""
+    return give_slots(ranked_studies(new), free_slots(slots), stats.bound, stats)
+
+
+def ranked_studies(new: DataFrame) -> DataFrame:
+    return consecutive_index(new, ["root_ord", "path", "study_uid"], name="k")
+
+
+def give_slots(ranked: DataFrame, free: DataFrame, bound: int, stats: RegistryStats) -> DataFrame:
+    """Join studies and free slots (at most ``bound``) that are both numbered k = 1, 2, ...
 
     Output: study_uid, k, row_no, study_id (both NULL = exhausted), over_pool flag
     (the slot lies past the nominal pool size). ``with_values`` adds the registry values.
     """
-    ranked = consecutive_index(new, ["root_ord", "path", "study_uid"], name="k")
-    joined = ranked.join(bounded_broadcast(free_slots(slots), stats.bound), "k", "left")
+    joined = ranked.join(bounded_broadcast(free, bound), "k", "left")
     return joined.withColumn("over_pool", F.coalesce(F.col("row_no") > F.lit(stats.n_study_ids + 1), F.lit(False)))
 
 

@@ -7,6 +7,7 @@ the matching DuckDB oracle in ``incognita.plans.oracle``.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,6 +21,9 @@ from incognita.operators import registry_ops as reg
 from incognita.operators import scrub as scrub_ops
 from incognita.operators.scrub import output_path
 from incognita.plans import deidentify as deid
+from incognita.plans import jobs
+from incognita.session import ensure_checkpoint_dir
+from incognita.sources import buckets
 from incognita.sources import fixtures as fx
 from incognita.sources import registry as registry_store
 from incognita.sources.tables import read_table
@@ -220,6 +224,40 @@ def q_incremental_assign(spark, sf_dir):
     return a1.select(*cols, F.lit(1).alias("run")).unionByName(a2.select(*cols, F.lit(2).alias("run")))
 
 
+def _bucket_registry(spark, sf_dir) -> buckets.BucketRegistry:
+    """The fixture registry in buckets, in a folder of its own."""
+    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/registry-{uuid.uuid4().hex}"
+    front = _front(spark, sf_dir)
+    return buckets.create(spark, root, front["study_title"], front["pi"], fx.pool(spark, sf_dir), int(front["n_study_ids"]), buckets=16, segment_rows=4096)
+
+
+@query
+def q_registry_buckets(spark, sf_dir):
+    """The two runs of ``incremental_assign`` against a stored registry in buckets, committed in between."""
+    headers = fx.headers(spark, sf_dir)
+    early = headers.where(F.col("mtime") < F.lit(INCREMENTAL_CUTOFF).cast("timestamp"))
+    registry = _bucket_registry(spark, sf_dir)
+    out = []
+    for n, files in enumerate((early, headers), 1):
+        run = deid.plan(files, None, registry.front, source=registry)
+        registry = registry.commit(run.assignments)
+        mine = registry.find("by_uid", run.assigned.select("study_uid")).select("study_uid", "row_no", "study_id")
+        none = run.assigned.where("study_id is null").select("study_uid", "row_no", "study_id")  # the pool was exhausted
+        out.append(mine.unionByName(none).withColumn("run", F.lit(n)))
+    return out[0].unionByName(out[1])
+
+
+@query
+def q_reidentify_ids(spark, sf_dir):
+    """Every pseudonym of the corpus named again through the index of a registry in buckets."""
+    registry = _bucket_registry(spark, sf_dir)
+    headers = fx.headers(spark, sf_dir)
+    first = deid.plan(headers, None, registry.front, source=registry)
+    registry = registry.commit(first.assignments)
+    run = deid.plan(headers, None, registry.front, committed=first, source=registry)
+    return jobs.reidentify_ids(spark, run.output.select("study_id"), registry.root)
+
+
 # ---- study ID pool -----------------------------------------------------------
 
 FIXTURE_SECRET = "k:"           # test secret; production draws a random one

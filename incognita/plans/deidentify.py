@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from incognita.operators import registry_ops as reg
 from incognita.operators import screen
 from incognita.operators.scrub import DEFAULT_RULES, Rules, anon_name, output_path, scrub
+from incognita.sources.buckets import BucketRegistry
 
 
 @dataclass
@@ -50,18 +51,20 @@ class Run:
                         scrub("elements", F.col("study_id"), name, self.rules).alias("elements")))
 
 
-def plan(headers: DataFrame, slots: DataFrame, front: dict, rules: Rules = DEFAULT_RULES,
-         committed: Run | None = None) -> Run:
+def plan(headers: DataFrame, slots: DataFrame | None, front: dict, rules: Rules = DEFAULT_RULES,
+         committed: Run | None = None, source: BucketRegistry | None = None) -> Run:
     """Build the run's DataFrames. ``front`` holds irb_code and n_study_ids.
 
+    Known studies and free slots come from a slot table, or from ``source``, a
+    registry in buckets that reads only what the batch's studies touch.
+
     ``committed`` is the first pass over the same files, whose assignments
     ``slots`` now holds: studies then get their IDs by lookup alone, none are
     assigned (a study without one is exhausted), and its study pass is not run again.
     """
     classified = screen.classify(headers)
     ok = classified.where(F.col("outcome") == screen.OK)
-    stats = reg.registry_stats(slots, int(front["n_study_ids"]))
-    index = reg.registry_index(slots)
+    stats = reg.registry_stats(slots, int(front["n_study_ids"])) if source is None else source.stats()
     # Studies of this batch, materialised and counted: the count bounds every
     # study-keyed table joined back to the files.
     if committed is None:
@@ -73,11 +76,18 @@ def plan(headers: DataFrame, slots: DataFrame, front: dict, rules: Rules = DEFAU
         # Row-size bound of the study map: the longest UID of the batch plus an ID
         # of at most MAX_ID_BYTES and per-row overhead.
         map_row_bytes = int(size["w"] or 0) + reg.MAX_ID_BYTES + reg.ROW_OVERHEAD_BYTES
+        index = reg.registry_index(slots) if source is None else source.known(firsts.select("study_uid"))
         new = reg.new_studies(firsts, index)
-        assigned = reg.assign_slots(new, slots, stats)
+        if source is None:
+            assigned = reg.assign_slots(new, slots, stats)
+        else:
+            ranked = reg.ranked_studies(new)
+            wanted = ranked.count()
+            assigned = reg.give_slots(ranked, source.free(wanted), wanted, stats)
         assignments = reg.with_values(assigned, ok, n_studies, map_row_bytes + int(size["p"] or 0) + 32)
     else:
         firsts, n_studies, map_row_bytes, hot = committed.firsts, committed.n_studies, committed.map_row_bytes, committed.hot
+        index = reg.registry_index(slots) if source is None else source.known(firsts.select("study_uid"))
         new, assignments = committed.new, committed.assignments.limit(0)
         assigned = committed.assigned.limit(0)
     batch_ids = firsts.select("study_uid")

@@ -26,6 +26,7 @@ from incognita.operators import dump, idpool, patch, pixels, report, screen
 from incognita.operators import registry_ops as reg
 from incognita.operators.scrub import DEFAULT_RULES, Rules
 from incognita.plans import deidentify as deid
+from incognita.sources import buckets
 from incognita.sources import files as raw_files
 from incognita.sources import output
 from incognita.sources import registry as store
@@ -41,32 +42,52 @@ class RunResult:
     report: list[dict]
 
 
-def create_study(spark: SparkSession, registry_root: str, title: str, pi: str,
-                 request: idpool.PoolRequest, user: str = "", computer: str = "") -> store.Registry:
-    """Generate the ID pool and write a new registry (front, slots v1, log)."""
+def open_registry(spark: SparkSession, root: str, check: bool = True) -> store.Registry | buckets.BucketRegistry:
+    """The latest version of a registry in either layout."""
+    return buckets.load(spark, root) if buckets.is_bucketed(spark, root) else store.load(spark, root, check)
+
+
+def _slots(registry: store.Registry | buckets.BucketRegistry) -> DataFrame:
+    return registry.slots() if isinstance(registry, buckets.BucketRegistry) else registry.slots
+
+
+def create_study(spark: SparkSession, registry_root: str, title: str, pi: str, request: idpool.PoolRequest, user: str = "",
+                 computer: str = "", bucketed: bool = False) -> store.Registry | buckets.BucketRegistry:
+    """Generate the ID pool and write a new registry (front, slots v1, log); ``bucketed`` for registries of many millions of studies."""
     req = request.checked()
     pool = idpool.generate(spark, req)
     slots = idpool.empty_slots(pool)
     lines = [model.MSG_STUDY_CREATED.format(title=title, pi=pi),
              model.MSG_POOL_CREATED.format(n=req.n, prefix=req.prefix, mask=req.mask, suffix=req.suffix)]
     lines += idpool.warnings(req)
-    return store.create(spark, registry_root, title, pi, slots, req.n, user=user, computer=computer,
+    make = buckets.create if bucketed else store.create
+    return make(spark, registry_root, title, pi, slots, req.n, user=user, computer=computer,
                         creation_messages=lines)
 
 
 def extend_study(spark: SparkSession, registry_root: str, request: idpool.PoolRequest, user: str = "",
-                 computer: str = "") -> store.Registry:
+                 computer: str = "") -> store.Registry | buckets.BucketRegistry:
     """Add ``request.n`` study IDs to a registry; its pool size becomes that of all its slots."""
     req = request.checked()
-    registry = store.load(spark, registry_root)
-    last = max(reg.registry_stats(registry.slots, int(registry.front["n_study_ids"])).max_row, 1)
-    more = idpool.empty_slots(idpool.extend(spark, registry.slots, req, last + 1))
-    registry = store.commit(spark, registry, registry.slots.unionByName(more), n_study_ids=last + req.n - 1)
+    registry = open_registry(spark, registry_root)
+    slots = _slots(registry)
+    last = max(reg.registry_stats(slots, int(registry.front["n_study_ids"])).max_row, 1)
+    more = idpool.empty_slots(idpool.extend(spark, slots, req, last + 1))
+    if isinstance(registry, buckets.BucketRegistry):
+        registry = registry.extend(more, last + req.n - 1)
+    else:
+        registry = store.commit(spark, registry, slots.unionByName(more), n_study_ids=last + req.n - 1)
     line = model.MSG_POOL_CREATED.format(n=req.n, prefix=req.prefix, mask=req.mask, suffix=req.suffix)
     store.append_log(spark, registry_root, [(model.LOG_NORMAL, line)], user, computer)
     return registry
 
 
+def _plan(headers: DataFrame, registry: store.Registry | buckets.BucketRegistry, rules: Rules, committed: deid.Run | None = None) -> deid.Run:
+    if isinstance(registry, buckets.BucketRegistry):
+        return deid.plan(headers, None, registry.front, rules, committed, registry)
+    return deid.plan(headers, registry.slots, registry.front, rules, committed)
+
+
 def deidentify(spark: SparkSession, headers: DataFrame, registry_root: str, out_dir: str, run_id: str,
                rules: Rules = DEFAULT_RULES, user: str = "", computer: str = "",
                log_level: int = model.LOG_NORMAL, inputs: list[str] | None = None,
@@ -75,17 +96,20 @@ def deidentify(spark: SparkSession, headers: DataFrame, registry_root: str, out_
     ``screened`` are files (path, root, outcome, message) that were left out before parsing."""
     out_dir = out_dir.rstrip("/")
     headers = ensure_keys(headers)
-    registry = store.load(spark, registry_root)
+    registry = open_registry(spark, registry_root)
+    in_buckets = isinstance(registry, buckets.BucketRegistry)
     store.append_log(spark, registry_root,
                      [(model.LOG_NORMAL, model.MSG_LAUNCHED.format(inputs=", ".join(inputs or [f"run {run_id}"])))], user, computer)
 
-    first = deid.plan(headers, registry.slots, registry.front, rules)
+    first = _plan(headers, registry, rules)
     fresh = first.assigned.where(F.col("study_id").isNotNull())
     counts = first.assigned.agg(F.count(F.lit(1)).alias("n"),
                                    F.count(F.when(F.col("study_id").isNull(), 1)).alias("x")).first()
     if counts["n"] > counts["x"]:
-        changed = reg.changed_slots(registry.slots, first.assignments, bound=first.n_studies)
-        registry = store.commit_changes(spark, registry, changed)
+        if in_buckets:
+            registry = registry.commit(first.assignments)
+        else:
+            registry = store.commit_changes(spark, registry, reg.changed_slots(registry.slots, first.assignments, bound=first.n_studies))
         events = fresh.select(F.current_timestamp().alias("ts"), F.col("study_uid").alias("ord"),
                               F.lit(model.LOG_NORMAL).alias("level"),
                               F.concat(F.lit("Assigned "), F.col("study_id"), F.lit(" to a new study"),
@@ -95,7 +119,7 @@ def deidentify(spark: SparkSession, headers: DataFrame, registry_root: str, out_
         store.append_log_frame(registry_root, log.withColumn("ts", F.current_timestamp()))
 
     # Second pass against the committed version: lookups only, no study pass.
-    run = deid.plan(headers, registry.slots, registry.front, rules, committed=first)
+    run = _plan(headers, registry, rules, committed=first)
     output.write(out_dir, run.output, run_id)
     outcomes = run.outcomes.select("path", "root", "study_uid", "outcome", "message")
     if screened is not None:
@@ -177,7 +201,17 @@ def header_dump(headers: DataFrame, out_dir: str) -> None:
 
 def reidentify(spark: SparkSession, deidentified_dir: str, registry_root: str) -> DataFrame:
     """Pseudonym -> original patient and study, through the registry only."""
-    registry = store.load(spark, registry_root, check=False)
+    slots = _slots(open_registry(spark, registry_root, check=False))
     files = output.read(spark, deidentified_dir).select("path", "study_id", "root", "run_id")
-    bound = reg.registry_stats(registry.slots, int(registry.front["n_study_ids"])).bound
-    return reg.reidentify(files, registry.slots, bound)
+    return reg.reidentify(files, slots, max(slots.count(), 1))
+
+
+def reidentify_ids(spark: SparkSession, ids: DataFrame, registry_root: str) -> DataFrame:
+    """Original patient and study of the pseudonyms in ``ids`` (study_id).
+
+    Of a registry in buckets only the index files that may hold one of them are read.
+    """
+    registry = open_registry(spark, registry_root, check=False)
+    wanted = ids.select("study_id").distinct()
+    held = registry.find("by_id", wanted) if isinstance(registry, buckets.BucketRegistry) else registry.slots.join(wanted, "study_id", "left_semi")
+    return held.where(reg.assigned()).select("study_id", F.col("patient_id").alias("original_patient_id"), F.col("study_uid").alias("original_study_uid"))

@@ -405,6 +405,15 @@ oracle("incremental_assign", """
 SELECT study_uid, CAST(row_no AS BIGINT) AS row_no, study_id, 1 AS run FROM inc_a1
 UNION ALL SELECT study_uid, CAST(row_no AS BIGINT), study_id, 2 FROM inc_a2""", "inc_a1", "inc_a2")
 
+oracle("registry_buckets", """
+SELECT study_uid, CAST(row_no AS BIGINT) AS row_no, study_id, 1 AS run FROM inc_a1
+UNION ALL SELECT study_uid, CAST(row_no AS BIGINT), study_id, 2 FROM inc_a2""", "inc_a1", "inc_a2")
+
+oracle("reidentify_ids", """
+SELECT DISTINCT d.study_id, c.patient_id AS original_patient_id, c.study_uid AS original_study_uid
+FROM deid_files d JOIN committed c ON c.study_id = d.study_id
+WHERE c.patient_id IS NOT NULL""", "deid_files", "committed")
+
 # ---- study ID pool -----------------------------------------------------------------
 cte("pool_req", f"""
   SELECT n, w, 676 * {power('w')} AS cap

@@ -99,32 +99,44 @@ def _create_new(spark: SparkSession, path: str, text: str) -> bool:
     return True
 
 
-def _commits(spark: SparkSession, root: str) -> dict[int, dict | None]:
-    """Version -> content of its commit file (None if it has none)."""
+def _listed(spark: SparkSession, root: str) -> dict[int, object]:
+    """Version -> path of its commit file, by name; no file is opened."""
     folder = _path(root, "commits")
     if not exists(spark, folder):
         return {}
     fs, p = _fs(spark, folder)
-    out: dict[int, dict | None] = {}
-    for status in fs.listStatus(p):
-        m = re.fullmatch(r"v(\d+)", status.getPath().getName())
-        if m:
-            out[int(m.group(1))] = status.getPath()
-    for v in sorted(out):
-        stream = fs.open(out[v])
-        try:
-            text = spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-        finally:
-            stream.close()
-        try:
-            out[v] = json.loads(text)
-        except ValueError:
-            out[v] = None
-    return out
+    names = {s.getPath().getName(): s.getPath() for s in fs.listStatus(p)}
+    return {int(m.group(1)): path for name, path in names.items() if (m := re.fullmatch(r"v(\d+)", name))}
+
+
+def _read_text(spark: SparkSession, jpath) -> str:
+    stream = jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(jpath)
+    try:
+        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def _content(spark: SparkSession, jpath) -> dict | None:
+    """Content of a commit file; None if it has none (a writer that died in the claim)."""
+    try:
+        return json.loads(_read_text(spark, jpath))
+    except ValueError:
+        return None
+
+
+def newest(spark: SparkSession, root: str) -> tuple[int, dict] | None:
+    """The latest version and its content: the newest commit file that has one is opened, older ones are not."""
+    listed = _listed(spark, root)
+    for v in sorted(listed, reverse=True):
+        content = _content(spark, listed[v])
+        if content:
+            return v, content
+    return None
 
 
 def versions(spark: SparkSession, root: str) -> list[int]:
-    return [v for v, c in sorted(_commits(spark, root).items()) if c]
+    return [v for v, path in sorted(_listed(spark, root).items()) if _content(spark, path)]
 
 
 # ---- slots -------------------------------------------------------------------
@@ -159,14 +171,18 @@ def study_folder(parent: str, name: str) -> str:
     return f"{parent.rstrip('/')}/{idpool.clean_registry_name(name)}"
 
 
+def write_front(spark: SparkSession, root: str, title: str, pi: str, irb_code: str, n_study_ids: int) -> None:
+    front = spark.createDataFrame([(title, pi, irb_code, int(n_study_ids))], model.STUDY)
+    front.coalesce(1).write.mode("errorifexists").parquet(_path(root, "study"))
+
+
 def create(spark: SparkSession, root: str, title: str, pi: str, pool: DataFrame, n_study_ids: int,
            irb_code: str = model.DEFAULT_IRB_CODE, user: str = "", computer: str = "",
            creation_messages: list[str] | None = None) -> Registry:
     """Write a new registry: front table, slot version 1 and the creation log lines."""
-    if _commits(spark, root):
+    if _listed(spark, root):
         raise RegistryError(f"registry {root} already exists")
-    front = spark.createDataFrame([(title, pi, irb_code, int(n_study_ids))], model.STUDY)
-    front.coalesce(1).write.mode("errorifexists").parquet(_path(root, "study"))
+    write_front(spark, root, title, pi, irb_code, n_study_ids)
     base = _write_slots(root, pool)
     _claim(spark, root, 1, {"base": base, "changes": [], "n_study_ids": int(n_study_ids), "parent": 0})
     msgs = creation_messages or [model.MSG_STUDY_CREATED.format(title=title, pi=pi)]
@@ -177,19 +193,19 @@ def create(spark: SparkSession, root: str, title: str, pi: str, pool: DataFrame,
 def load(spark: SparkSession, root: str, check: bool = True) -> Registry:
     """Read the latest version; raise listing every missing part or failed check."""
     missing = [f"no '{part}' table" for part in ("study", "slots", "audit_log") if not exists(spark, _path(root, part))]
-    commits = {v: c for v, c in _commits(spark, root).items() if c}
-    if not commits and "no 'slots' table" not in missing:
+    last = newest(spark, root)
+    if not last and "no 'slots' table" not in missing:
         missing.append("no committed slot version")
     if missing:
         raise RegistryError(f"registry {root} is not valid: " + "; ".join(missing))
-    v = max(commits)
-    lost = [x for x in commits if commits[v]["parent"] < x < v]
+    v, commit = last
+    lost = [x for x, path in _listed(spark, root).items() if commit["parent"] < x < v and _content(spark, path)]
     if lost:
         raise RegistryError(f"registry {root}: version {v} does not follow version {max(lost)}")
     front = spark.read.parquet(_path(root, "study")).first().asDict()  # one row
-    front["n_study_ids"] = commits[v]["n_study_ids"]
-    slots = _read_slots(spark, root, commits[v]["base"], commits[v]["changes"])
-    r = Registry(root, front, slots, v, commits[v]["base"], commits[v]["changes"])
+    front["n_study_ids"] = commit["n_study_ids"]
+    slots = _read_slots(spark, root, commit["base"], commit["changes"])
+    r = Registry(root, front, slots, v, commit["base"], commit["changes"])
     if check:
         _refuse(slots, front["n_study_ids"], f"registry {root} v={v}")
     return r
@@ -206,11 +222,11 @@ def _claim(spark: SparkSession, root: str, version: int, content: dict) -> None:
         raise RegistryError(f"registry {root} already has version {version}: concurrent writer")
 
 
-def _next(spark: SparkSession, registry: Registry) -> int:
-    """The number after this version's; commit files that died in the claim are passed over."""
-    commits = _commits(spark, registry.root)
-    v = registry.version + 1
-    while v in commits and commits[v] is None:
+def _next(spark: SparkSession, root: str, version: int) -> int:
+    """The number after a version's; commit files that died in the claim are passed over."""
+    listed = _listed(spark, root)
+    v = version + 1
+    while v in listed and _content(spark, listed[v]) is None:
         v += 1
     return v
 
@@ -238,7 +254,7 @@ def _commit(spark: SparkSession, registry: Registry, base: str | None, change: s
         if len(changes) > SNAPSHOT_EVERY:
             base, changes = _write_slots(root, slots), []
             mine.append(base)
-        _claim(spark, root, _next(spark, registry),
+        _claim(spark, root, _next(spark, root, registry.version),
                {"base": base or registry.base, "changes": changes, "n_study_ids": n, "parent": registry.version})
     except RegistryError:
         for folder in mine:
@@ -326,7 +342,7 @@ def prune_versions(spark: SparkSession, root: str, keep: int = 10) -> list[int]:
     """
     if keep < 1:
         raise ValueError("keep must be at least 1: the latest version is never deleted")
-    commits = {v: c for v, c in _commits(spark, root).items() if c}
+    commits = {v: c for v, path in _listed(spark, root).items() if (c := _content(spark, path))}
     doomed = sorted(commits)[:-keep]
     kept = {f for v, c in commits.items() if v not in doomed for f in [c["base"], *c["changes"]]}
     for v in doomed:
