@@ -24,6 +24,7 @@ from incognita.plans import deidentify as deid
 from incognita.plans import jobs
 from incognita.session import ensure_checkpoint_dir
 from incognita.sources import buckets
+from incognita.sources import files as raw_files
 from incognita.sources import fixtures as fx
 from incognita.sources import registry as registry_store
 from incognita.sources.tables import read_table
@@ -65,6 +66,16 @@ def q_scan_inventory(spark, sf_dir):
                                  F.countDistinct("dir").alias("n_dirs"))
 
 
+@query
+def q_scan_tree(spark, sf_dir):
+    """A real tree of files, one per event: listed by executors, heads read, screened before any parsing."""
+    found = screen.prescreen(raw_files.with_magic(spark, fx.tree(spark, sf_dir)))
+    root = F.regexp_extract("root", r"([^/]*)$", 1)
+    of = [F.count_if(F.col("outcome") == o).alias(f"n_{o}") for o in (screen.SKIPLIST, screen.NOT_DICOM, screen.CANDIDATE)]
+    return found.groupBy(root.alias("root")).agg(F.count(F.lit(1)).alias("n_files"), F.countDistinct(screen.parent_dir("path")).alias("n_dirs"),
+                                                 F.sum("length").alias("n_bytes"), *of)
+
+
 @query
 def q_output_path(spark, sf_dir):
     return fx.headers(spark, sf_dir).select("path", output_path().alias("out_path"))

@@ -145,11 +145,12 @@ def deidentify_roots(spark: SparkSession, roots: list[str], headers: DataFrame,
     the magic bytes enter the run's outcomes and report; so do candidates without
     a header row, as unreadable ones.
     """
-    counts = raw_files.dir_counts(raw_files.inventory(spark, roots)).where("root is null").first()
+    found = raw_files.with_magic(spark, roots)
+    counts = raw_files.dir_counts(found).where("root is null").first()
     store.append_log(spark, registry_root, [(model.LOG_HIGH, f"Found {counts['n_files']} files in {counts['n_dirs']} folders")],
                      options.get("user", ""), options.get("computer", ""))
     # Files with a header row are screened again by the run itself; only paths are joined here.
-    listed = screen.prescreen(raw_files.with_magic(spark, roots)).join(headers.select("path"), "path", "left_anti")
+    listed = screen.prescreen(found).join(headers.select("path"), "path", "left_anti")
     unparsed = F.col("outcome") == screen.CANDIDATE
     screened = listed.select("path", "root", F.when(unparsed, F.lit(screen.UNREADABLE)).otherwise(F.col("outcome")).alias("outcome"),
                              F.when(unparsed, F.concat(screen.file_name("path"), F.lit(screen.MSG_UNREADABLE)))

@@ -258,6 +258,14 @@ SELECT root, CAST(count(*) AS BIGINT) AS n_files,
   CAST(count(DISTINCT regexp_extract(path, '^(.*)/[^/]*$', 1)) AS BIGINT) AS n_dirs
 FROM inst GROUP BY root""", "inst")
 
+oracle("scan_tree", """
+SELECT root, count(*) AS n_files, CAST(count(DISTINCT regexp_extract(path, '^(.*)/[^/]*$', 1)) AS BIGINT) AS n_dirs,
+  CAST(sum(128 + 4 + length(event_type)) AS BIGINT) AS n_bytes,
+  count(*) FILTER (event_id % 97 = 0) AS n_skiplist,
+  count(*) FILTER (event_id % 97 <> 0 AND magic <> 'DICM') AS n_not_dicom,
+  count(*) FILTER (event_id % 97 <> 0 AND magic = 'DICM') AS n_candidate
+FROM inst GROUP BY root""", "inst")
+
 oracle("output_path", """
 SELECT path, root || '-anon' || substr(path, length(root) + 1) AS out_path FROM inst""", "inst")
 

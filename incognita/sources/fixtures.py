@@ -8,7 +8,9 @@ shuffle); the DuckDB oracles rebuild the same relations in SQL.
 from __future__ import annotations
 
 import os
+import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -160,6 +162,29 @@ def headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "headers", lambda: build_headers(spark, sf_dir))
 
 
+def tree(spark: SparkSession, sf_dir: str) -> list[str]:
+    """Roots of a tree with a file per event, written once per session below the checkpoint folder.
+
+    A file is 128 zero bytes, its magic number and a body as long as the event type.
+    """
+    def make():
+        base = f"{ensure_checkpoint_dir(spark).rstrip('/').removeprefix('file:')}/tree-{uuid.uuid4().hex}"
+
+        def write(batches):
+            for batch in batches:
+                for path, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    os.makedirs(os.path.dirname(f"{base}/{path}"), exist_ok=True)
+                    with open(f"{base}/{path}", "wb") as f:
+                        f.write(data)
+                yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], names=["n"])
+
+        body = F.concat(F.lit(bytes(model.PREAMBLE_BYTES)), F.col("magic").cast("binary"), F.col("event_type").cast("binary"))
+        spread(inst(spark, sf_dir).select("path", body.alias("data"))).mapInArrow(write, "n bigint").agg(F.sum("n")).first()
+        return [f"{base}/root{i}" for i in range(3)]
+
+    return memo(spark, sf_dir, "tree", make)
+
+
 def old_studies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The studies already in the fixture registry: distinct studies numbered k by UID,
     the first ``assigned`` of them (distributed numbering, no one-task sort)."""

@@ -1,10 +1,12 @@
 """binaryFile scan over a real directory tree (two roots)."""
 
+import json
 import os
+import random
 
 from pyspark.sql import functions as F
 
-from incognita.sources import files
+from incognita.sources import files, listing
 
 
 def write(path, data):
@@ -31,12 +33,42 @@ def test_scan_two_roots(spark, scratch):
     assert counts[a] == (4, 3) and counts[b] == (1, 1) and counts[None] == (5, 4)
 
 
-def test_inventory_does_not_read_content(spark, scratch):
-    write(f"{scratch}/r/f.dcm", b"0" * 10)
-    df = files.inventory(spark, [f"{scratch}/r"])
-    plan = df._jdf.queryExecution().executedPlan().toString()
-    assert "content" not in plan.split("ReadSchema")[1].split("\n")[0]
-    assert df.where(F.col("length") == 10).count() == 1
+def test_inventory_opens_no_file(spark, scratch):
+    write(f"{scratch}/r/f.dcm", b"0" * 500)
+    os.symlink("/nowhere", f"{scratch}/r/dangling")
+    got = files.inventory(spark, [f"{scratch}/r"]).collect()
+    assert [(r.path, r.length) for r in got] == [(f"{scratch}/r/f.dcm", 500)]
+    assert listing.listed(spark, [f"{scratch}/r"], heads=0).collect()[0].magic is None
+
+
+def test_each_file_is_listed_once_whatever_the_partitions(spark, scratch):
+    rng = random.Random(7)
+    want = {}
+    for i in range(400):
+        folder = "/".join(rng.choices(["a", "b", "_c", ".d"], k=rng.randint(0, 5))) if i % 3 else "hot/flat"
+        path = f"{scratch}/t/{folder}/f{i}.dcm".replace("//", "/")
+        data = b"\0" * 128 + rng.choice([b"DICM", b"JUNK"]) + b"x" * rng.randint(0, 9) if i % 5 else b"short"
+        write(path, data)
+        want[path] = data[128:132].decode() or None
+    os.symlink(f"{scratch}/t", f"{scratch}/t/a/loop")
+    roots = [f"{scratch}/t", f"{scratch}/t/hot"]  # the second lies in the first
+    for partitions, heads in ((1, 10_000), (4, 20), (1000, 0)):
+        got = listing.listed(spark, roots, heads, partitions).checkpoint()
+        rows = got.collect()
+        assert sorted(r.path for r in rows) == sorted(want)
+        assert {r.path for r in rows if r.root_ord == 1} == {p for p in want if "/t/hot/" in p}
+        if heads:
+            assert {r.path: r.magic for r in listing.with_heads(got).collect()} == want
+            assert any(r.pending for r in rows) == (heads == 20)
+
+
+def test_driver_keeps_folders_only(scratch):
+    for i in range(30):
+        write(f"{scratch}/t/p{i % 3}/s{i % 6}/f{i}.dcm", b"x")
+    reader = listing.FolderReader({"roots": json.dumps([f"{scratch}/t"]), "partitions": "3"})
+    parts = reader.partitions()
+    assert sorted((os.path.relpath(p.folder, scratch), p.deep) for p in parts) == [("t", False), ("t/p0", True), ("t/p1", True), ("t/p2", True)]
+    assert sum(b.num_rows for p in parts for b in reader.read(p)) == 30
 
 
 def test_prescreen_tree(spark, scratch):
