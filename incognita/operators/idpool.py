@@ -8,19 +8,26 @@ pool of n IDs is the beginning of the pool of n + 1. Dedup is one shuffle
 (groupBy ID with map-side partial aggregation); the first-n cut is a distributed
 consecutive numbering, not a one-task sort. Drawing a full pool takes about
 ``M ln M`` draws (a plain distributed range) for a mask of M IDs.
+
+The other method, ``method="permuted"``, gives row i the i-th ID of a keyed
+permutation of all IDs (``functions.permute``): a plain projection of a range,
+without draws, dedup or shuffle, however close n is to the capacity. An
+extension is the next range of the same permutation. It is a choice of the
+caller, as the two methods give different pools.
 """
 
 from __future__ import annotations
 
 import math
+import re
 import secrets as _secrets
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from incognita import model
-from incognita.functions import masks
+from incognita.functions import masks, permute
 from incognita.functions.ranking import consecutive_index
 
 
@@ -35,17 +42,22 @@ class PoolRequest:
     prefix: str = ""
     suffix: str = ""
     secret: str | None = None
+    method: str = "drawn"       # or "permuted"
 
     def checked(self) -> "PoolRequest":
         m = self.mask.lower().strip("\n")
         if not masks.is_valid(m):
             raise PoolRequestError(f"incorrect study ID format {self.mask!r}: use only u, l, c, d")
+        if self.method not in ("drawn", "permuted"):
+            raise PoolRequestError(f"unknown method {self.method!r}")
         if self.n <= 0:
             raise PoolRequestError("the number of study IDs must be positive")
         cap = masks.capacity(m)
         if self.n > cap:
             raise PoolRequestError(f"impossible to create {self.n} study IDs with format {m!r} ({cap} possible)")
-        return PoolRequest(self.n, m, self.prefix, self.suffix, self.secret or _secrets.token_hex(16))
+        if self.method == "permuted" and cap > permute.LIMIT:
+            raise PoolRequestError(f"format {m!r} has {cap} IDs, more than {permute.LIMIT} cannot be permuted: draw them")
+        return PoolRequest(self.n, m, self.prefix, self.suffix, self.secret or _secrets.token_hex(16), self.method)
 
 
 def status(n: int, cap: int, valid: bool = True) -> str:
@@ -95,30 +107,52 @@ def _first_n(n: int, n_draws: int, draws) -> DataFrame:
 def generate(spark: SparkSession, req: PoolRequest) -> DataFrame:
     """Pool rows: row_no (2..n+1), study_id, first_draw."""
     req = req.checked()
+    if req.method == "permuted":
+        return permuted(spark, req, 0, 2)
     chosen = _first_n(req.n, draws_for(req.n, masks.capacity(req.mask)), lambda k: first_draws(spark, req, k))
     return chosen.select((F.col("idx") + 1).cast("bigint").alias("row_no"), "study_id", "first_draw")
 
 
+def permuted(spark: SparkSession, req: PoolRequest, start: int, first_row: int) -> DataFrame:
+    """IDs ``start`` .. ``start + n - 1`` of the permutation, from row ``first_row`` on; ``first_draw`` is the ID's number in it."""
+    cap = masks.capacity(req.mask)
+    if start + req.n > cap:
+        raise PoolRequestError(f"cannot add {req.n} IDs after {start}: format {req.mask!r} has {cap}")
+    code = permute.permuted(F.col("id"), cap, req.secret)
+    return spark.range(start, start + req.n).select((F.col("id") - start + first_row).alias("row_no"),
+                                                    masks.decode_code(code, req.mask, req.prefix, req.suffix).alias("study_id"), F.col("id").alias("first_draw"))
+
+
+def of_form(req: PoolRequest) -> Column:
+    """Whether ``study_id`` is an ID that the request's mask, prefix and suffix can give."""
+    letters = [ch for ch in masks.normalise(req.mask) if ch in model.MASK_ALPHABETS]
+    return F.col("study_id").rlike("\\A" + re.escape(req.prefix) + "".join(f"[{model.MASK_ALPHABETS[ch]}]" for ch in letters) + re.escape(req.suffix) + "\\z")
+
+
 def extend(spark: SparkSession, existing: DataFrame, req: PoolRequest, first_row: int) -> DataFrame:
     """``req.n`` more IDs, none equal to an ID of ``existing`` (its ``study_id`` column).
 
     Draws run as in ``generate``; IDs already in the pool are removed with an
     anti-join (the pool's counted size decides broadcast or shuffle), and the
-    first ``req.n`` survivors in draw order take rows ``first_row``...
+    first ``req.n`` survivors in draw order take rows ``first_row``... It is
+    refused only if the IDs of the mask's form that are not in the pool are too
+    few. A permuted pool goes on after its IDs of that form.
     """
     from incognita.operators.registry_ops import bounded_broadcast
 
     req = req.checked()
     cap = masks.capacity(req.mask)
     taken = existing.select("study_id").where(F.coalesce("study_id", F.lit("")) != "").distinct()
-    size = taken.agg(F.count(F.lit(1)).alias("n"), F.max(F.octet_length("study_id")).alias("w")).first()
-    # IDs of the same form as the mask's may be taken: at most all of the pool's are
-    if size["n"] + req.n > cap:
-        own = first_draws(spark, req, draws_for(cap, cap)).join(taken, "study_id", "left_anti").count()
-        if own < req.n:
-            raise PoolRequestError(f"cannot add {req.n} IDs to a pool of {size['n']}: format {req.mask!r} has {cap}")
+    size = taken.agg(F.count(F.lit(1)).alias("n"), F.count_if(of_form(req)).alias("own"), F.max(F.octet_length("study_id")).alias("w")).first()
+    if size["own"] + req.n > cap:
+        raise PoolRequestError(f"cannot add {req.n} IDs to a pool that has {size['own']} of the {cap} of format {req.mask!r}")
+    if req.method == "permuted":
+        more = permuted(spark, req, size["own"], first_row)
+        if not more.join(bounded_broadcast(taken, size["n"], (size["w"] or 0) + 48), "study_id", "left_semi").isEmpty():
+            raise PoolRequestError("the pool's IDs are not the beginning of this permutation: give its secret, or draw the IDs")
+        return more
     taken = bounded_broadcast(taken, size["n"], (size["w"] or 0) + 48)
-    chosen = _first_n(req.n, draws_for(min(size["n"] + req.n, cap), cap),
+    chosen = _first_n(req.n, draws_for(min(size["own"] + req.n, cap), cap),
                       lambda k: first_draws(spark, req, k).join(taken, "study_id", "left_anti"))
     return chosen.select((F.col("idx") + first_row - 1).cast("bigint").alias("row_no"), "study_id", "first_draw")
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -310,6 +311,14 @@ def q_id_pool_wide(spark, sf_dir):
     return idpool.generate(spark, req).select("row_no", "study_id")
 
 
+@query
+def q_id_pool_permuted(spark, sf_dir):
+    """One ID per study of the corpus and as many again, as two ranges of one keyed permutation."""
+    req = replace(corpus_request(spark, sf_dir), method="permuted").checked()
+    pool = idpool.generate(spark, req)
+    return pool.unionByName(idpool.permuted(spark, req, req.n, req.n + 2)).select("row_no", "study_id")
+
+
 def _extension(spark, sf_dir) -> DataFrame:
     """One more ID per new study of the corpus, none of them in the registry's pool."""
     pool = fx.pool(spark, sf_dir)

@@ -438,6 +438,18 @@ cte("new_pool", """
 oracle("id_pool", f"""
 SELECT CAST(idx + 1 AS BIGINT) AS row_no, {decoded('code', 'w')} AS study_id FROM new_pool""", "new_pool")
 
+# the permutation: six rounds on two digits of base a, again while the number lies outside
+_ROUND = ("lambda st, rd: {'l': st.r, 'r': (st.l + CAST('0x' || substr(sha256(concat('k::', CAST(rd.l AS VARCHAR), ':', CAST(st.r AS VARCHAR))), 1, 12) AS BIGINT)) % a}")
+cte("perm_req", "SELECT n, w, cap, CAST(ceil(sqrt(cap)) AS BIGINT) AS a FROM pool_req", ["pool_req"])
+_STATE = "list_reduce([{rounds}], {step}, {{'l': {x} // a, 'r': {x} % a}})".format(
+    rounds=", ".join(f"{{'l': CAST({i} AS BIGINT), 'r': CAST(0 AS BIGINT)}}" for i in range(6)), step=_ROUND, x="x")
+for _walk in range(5):  # walks of more steps do not occur at these sizes: the last step would leave rows without an ID
+    _source = "(SELECT i, w, cap, a, i AS x FROM (SELECT unnest(range(2 * n)) AS i, w, cap, a FROM perm_req))" if _walk == 0 else f"perm_{_walk - 1}"
+    _value = "s.l * a + s.r" if _walk == 0 else "CASE WHEN x < cap THEN x ELSE s.l * a + s.r END"
+    cte(f"perm_{_walk}", f"SELECT i, w, cap, a, {_value} AS x FROM (SELECT *, {_STATE} AS s FROM {_source})", ["perm_req"] if _walk == 0 else [f"perm_{_walk - 1}"])
+oracle("id_pool_permuted", f"""
+SELECT CAST(i + 2 AS BIGINT) AS row_no, CASE WHEN x < cap THEN {decoded('x', 'w')} END AS study_id FROM perm_4""", "perm_4")
+
 oracle("id_pool_stats", """
 SELECT (SELECT n FROM pool_req) AS n_requested, (SELECT CAST(cap AS VARCHAR) FROM pool_req) AS capacity,
   CAST(count(*) AS BIGINT) AS n_ids, CAST(count(DISTINCT code) AS BIGINT) AS n_distinct,

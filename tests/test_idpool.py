@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from incognita import model
-from incognita.functions import masks
+from incognita.functions import masks, permute
 from incognita.operators import idpool
 
 FIXTURE_MASKS = ["uudddd", "ldd", "d", "c", "LD", "uxd", "", "uuuuuuuuuuuu"]
@@ -99,3 +99,42 @@ def test_extending_past_the_mask_is_refused_and_up_to_it_is_not(spark):
     assert {r.study_id for r in pool.union(more).collect()} == set("0123456789")
     with pytest.raises(idpool.PoolRequestError):
         idpool.extend(spark, pool, idpool.PoolRequest(n=4, mask="d", secret="b"), 9)
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 10, 26, 100, 676, 1000])
+def test_permutation_is_one_and_equals_plain_python(spark, n):
+    got = {r.id: r.y for r in spark.range(n).select("id", permute.permuted(F.col("id"), n, "key").alias("y")).collect()}
+    assert sorted(got.values()) == list(range(n))
+    assert all(got[i] == permute.permute(i, n, "key") for i in got)
+
+
+def test_permutation_of_many_numbers(spark):
+    n = permute.LIMIT
+    xs = [0, 1, 2**31, 2**53 + 1, n - 1]
+    got = [r.y for r in spark.createDataFrame([(x,) for x in xs], "x bigint").select(permute.permuted(F.col("x"), n, "z").alias("y")).collect()]
+    assert sorted(got) == sorted(permute.permute(x, n, "z") for x in xs)
+
+
+def test_permuted_pools_and_their_extensions(spark):
+    req = idpool.PoolRequest(n=700, mask="ddd", prefix="A.", secret="s", method="permuted")
+    pool = idpool.generate(spark, req)
+    assert "Exchange" not in pool._jdf.queryExecution().executedPlan().toString()
+    more = idpool.extend(spark, pool, idpool.PoolRequest(n=300, mask="ddd", prefix="A.", secret="s", method="permuted"), 702)
+    both = pool.unionByName(more).collect()
+    assert sorted(r.row_no for r in both) == list(range(2, 1002)) and len({r.study_id for r in both}) == 1000
+    assert [r.study_id for r in sorted(both, key=lambda r: r.row_no)][:3] == [f"A.{permute.permute(i, 1000, 's'):03d}" for i in range(3)]
+    with pytest.raises(idpool.PoolRequestError, match="cannot add"):
+        idpool.extend(spark, pool, idpool.PoolRequest(n=301, mask="ddd", prefix="A.", secret="s", method="permuted"), 702)
+    with pytest.raises(idpool.PoolRequestError, match="not the beginning"):
+        idpool.extend(spark, pool, idpool.PoolRequest(n=300, mask="ddd", prefix="A.", secret="other", method="permuted"), 702)
+    with pytest.raises(idpool.PoolRequestError, match="cannot be permuted"):
+        idpool.generate(spark, idpool.PoolRequest(n=3, mask="c" * 12, method="permuted"))
+
+
+def test_all_remaining_ids_can_be_added_whatever_else_the_pool_holds(spark):
+    foreign = spark.range(100).selectExpr("concat('X', id) study_id").unionByName(spark.range(40).selectExpr("lpad(id, 2, '0') study_id")).checkpoint()
+    for secret in ("j", "k", "l"):
+        more = idpool.extend(spark, foreign, idpool.PoolRequest(n=60, mask="dd", secret=secret), 200)
+        assert {r.study_id for r in more.collect()} == {f"{i:02d}" for i in range(40, 100)}
+    with pytest.raises(idpool.PoolRequestError, match="has 40 of the 100"):
+        idpool.extend(spark, foreign, idpool.PoolRequest(n=61, mask="dd", secret="j"), 200)
