@@ -93,7 +93,17 @@ def deidentify(spark: SparkSession, headers: DataFrame, registry_root: str, out_
                log_level: int = model.LOG_NORMAL, inputs: list[str] | None = None,
                screened: DataFrame | None = None) -> RunResult:
     """De-identify the files of a header table. ``inputs`` names them in the launch line;
-    ``screened`` are files (path, root, outcome, message) that were left out before parsing."""
+    ``screened`` are files (path, root, outcome, message) that were left out before parsing. A run that fails leaves a closing line that says so."""
+    try:
+        return _deidentify(spark, headers, registry_root, out_dir, run_id, rules, user, computer, log_level, inputs, screened)
+    except Exception as exc:
+        if store.exists(spark, registry_root):
+            store.append_log(spark, registry_root, [(model.LOG_NORMAL, f"Run {run_id} failed: {type(exc).__name__}")], user, computer)
+        raise
+
+
+def _deidentify(spark: SparkSession, headers: DataFrame, registry_root: str, out_dir: str, run_id: str, rules: Rules, user: str,
+                computer: str, log_level: int, inputs: list[str] | None, screened: DataFrame | None) -> RunResult:
     out_dir = out_dir.rstrip("/")
     headers = ensure_keys(headers)
     registry = open_registry(spark, registry_root)
@@ -115,8 +125,10 @@ def deidentify(spark: SparkSession, headers: DataFrame, registry_root: str, out_
                               F.concat(F.lit("Assigned "), F.col("study_id"), F.lit(" to a new study"),
                                        F.when(F.col("over_pool"), F.lit(" (slot past the declared pool size)"))
                                        .otherwise(F.lit(""))).alias("message"))
-        log = report.audit_log(events, log_level, store.last_seq(spark, registry_root) + 1, user, computer)
-        store.append_log_frame(registry_root, log.withColumn("ts", F.current_timestamp()))
+        if log_level >= model.LOG_NORMAL:
+            start = store.reserve(spark, registry_root, counts["n"] - counts["x"])
+            log = report.audit_log(events, log_level, start, user, computer)
+            store.append_log_frame(registry_root, log.withColumn("ts", F.current_timestamp()))
 
     # Second pass against the committed version: lookups only, no study pass.
     run = _plan(headers, registry, rules, committed=first)

@@ -4,6 +4,7 @@
     <registry>/slots/<folder>/   full slot tables and tables of changed slots
     <registry>/commits/v<N>      one small JSON file per version
     <registry>/audit_log/        append-only log
+    <registry>/sequence/s<n>     claimed ranges of audit-log numbers
 
 A version is its commit file: it names a full slot table, the tables of changed
 slots since, and the pool size n. A writer writes its slots to a folder of its
@@ -267,7 +268,39 @@ def _commit(spark: SparkSession, registry: Registry, base: str | None, change: s
 
 # ---- audit log ---------------------------------------------------------------
 
+#: Numbers passed over for a claim whose writer died before it wrote how many it took.
+LOST_CLAIM = 1 << 32
+
+
+def reserve(spark: SparkSession, root: str, n: int) -> int:
+    """Take ``n`` audit-log numbers that nobody else gets; returns the first.
+
+    A range is claimed by creating ``sequence/s<first>`` with its length, which
+    fails if another writer was first; the next range begins behind the last one.
+    Only the newest claim is opened, the log itself is not read.
+    """
+    folder = _path(root, "sequence")
+    while True:
+        first = _next_number(spark, root, folder)
+        if _create_new(spark, f"{folder}/s{first:020d}", json.dumps({"n": int(n)})):
+            return first
+
+
+def _next_number(spark: SparkSession, root: str, folder: str) -> int:
+    claims = {}
+    if exists(spark, folder):
+        fs, p = _fs(spark, folder)
+        names = {s.getPath().getName(): s.getPath() for s in fs.listStatus(p)}
+        claims = {int(m.group(1)): path for name, path in names.items() if (m := re.fullmatch(r"s(\d+)", name))}
+    if not claims:  # a new log, or one from before numbers were claimed
+        return last_seq(spark, root) + 1
+    last = max(claims)
+    content = _content(spark, claims[last])
+    return last + (content["n"] if content else LOST_CLAIM)
+
+
 def last_seq(spark: SparkSession, root: str) -> int:
+    """Last number in the log, by a scan of it."""
     path = _path(root, "audit_log")
     if not exists(spark, path):
         return 0
@@ -276,9 +309,9 @@ def last_seq(spark: SparkSession, root: str) -> int:
 
 def append_log(spark: SparkSession, root: str, entries: list[tuple[int, str]], user: str = "",
                computer: str = "") -> None:
-    """Append run-level log lines (level, message) after the last sequence number."""
-    last = last_seq(spark, root)
-    rows = [(last + i + 1, lvl, msg, user, computer) for i, (lvl, msg) in enumerate(entries)]
+    """Append run-level log lines (level, message) with numbers of their own."""
+    first = reserve(spark, root, len(entries))
+    rows = [(first + i, lvl, msg, user, computer) for i, (lvl, msg) in enumerate(entries)]
     df = spark.createDataFrame(rows, "seq bigint, level int, activity string, user string, computer string")
     df = df.select("seq", F.current_timestamp().alias("ts"), "level", "activity", "user", "computer")
     df.coalesce(1).write.mode("append").parquet(_path(root, "audit_log"))

@@ -103,3 +103,14 @@ def test_stream_many_micro_batches(spark, scratch):
     assert per_uid.groupBy("uid").agg(F.countDistinct("study_id").alias("n")).where("n > 1").count() == 0
     assigned = reg.slots.where(F.col("patient_id").isNotNull()).count()
     assert assigned == written.select("study_id").distinct().count()
+
+
+def test_a_failed_run_leaves_a_closing_line(spark, scratch):
+    import pytest
+
+    jobs.create_study(spark, f"{scratch}/reg", "t", "pi", idpool.PoolRequest(n=3, mask="d", secret="t"))
+    bad = fx.headers(spark, SF_SMALL).withColumn("elements", F.raise_error(F.lit("broken table")).cast(fx.headers(spark, SF_SMALL).schema["elements"].dataType))
+    with pytest.raises(Exception, match="broken table"):
+        jobs.deidentify(spark, bad, f"{scratch}/reg", f"{scratch}/out", "r1")
+    log = [r.activity for r in spark.read.parquet(f"{scratch}/reg/audit_log").orderBy("seq").collect()]
+    assert log[-1].startswith("Run r1 failed") and not any("ompleted" in x for x in log)

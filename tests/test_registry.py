@@ -109,3 +109,26 @@ def test_prune_keeps_latest_versions(spark, scratch):
     assert again.version == 4 and again.slots.count() == r.slots.count()
     with pytest.raises(ValueError):
         store.prune_versions(spark, scratch + "/reg", keep=0)
+
+
+def test_log_numbers_are_claimed_once(spark, scratch):
+    from concurrent.futures import ThreadPoolExecutor
+
+    root = f"{scratch}/reg"
+    with ThreadPoolExecutor(6) as pool:
+        firsts = list(pool.map(lambda i: (store.reserve(spark, root, 1 + i % 3), 1 + i % 3), range(24)))
+    taken = sorted(x for first, n in firsts for x in range(first, first + n))
+    assert taken == list(range(1, len(taken) + 1))
+    # a claim whose writer died before it wrote its length is passed over
+    open(f"{root}/sequence/s{taken[-1] + 1:020d}", "w").close()
+    assert store.reserve(spark, root, 2) == taken[-1] + 1 + store.LOST_CLAIM
+
+
+def test_numbers_go_on_behind_an_old_log_and_the_log_is_not_scanned_again(spark, scratch, monkeypatch):
+    root = f"{scratch}/reg"
+    rows = spark.createDataFrame([(7, 1, "old")], "seq bigint, level int, activity string").selectExpr("seq", "current_timestamp() ts", "level", "activity", "'' user", "'' computer")
+    store.append_log_frame(root, rows)
+    store.append_log(spark, root, [(1, "a"), (1, "b")])
+    monkeypatch.setattr(store, "last_seq", None)
+    store.append_log(spark, root, [(1, "c")])
+    assert [(r.seq, r.activity) for r in spark.read.parquet(f"{root}/audit_log").orderBy("seq").collect()] == [(7, "old"), (8, "a"), (9, "b"), (10, "c")]
