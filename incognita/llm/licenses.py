@@ -35,24 +35,26 @@ SENTENCES = [
     ("copyright", "(copyright|(c)|©){holder}"),
     ("all-rights", "all rights reserved"),
     ("spdx", "spdx-license-identifier: {id}"),
-    ("apache-under", "licensed under the apache license, version 2.0"),
+    ("apache-under", "{subject}licensed under the apache license, version 2.0"),
     ("apache-under-the", "licensed under the apache license, version 2.0 (the \"license\")"),
     ("apache-not-use", "you may not use this file except in compliance with the license"),
     ("apache-copy", "you may obtain a copy of the license at {url}"),
     ("apache-as-is", "unless required by applicable law or agreed to in writing, software distributed under the license is distributed on an \"as is\" basis, without warranties or conditions of any kind, either express or implied"),
     ("apache-see", "see the license for the specific language governing permissions and limitations under the license"),
-    ("mit-released", "(released|licensed|distributed|available|provided) under the (terms of the )?mit license"),
+    ("mit-released", "{subject}(released|licensed|distributed|available|provided) under the (terms of the )?mit license"),
     ("mit-grant", "permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"software\"), to deal in the software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the software, and to permit persons to whom the software is furnished to do so, subject to the following conditions"),
     ("mit-notice", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
     ("mit-as-is", "the software is provided \"as is\", without warranty of any kind, express or implied, including but not limited to the warranties of merchantability, fitness for a particular purpose and noninfringement"),
     ("mit-liable", "in no event shall the authors or copyright holders be liable for any claim, damages or other liability, whether in an action of contract, tort or otherwise, arising from, out of or in connection with the software or the use or other dealings in the software"),
+    ("json-good", "the software shall be used for good, not evil"),
     ("isc-grant", "permission to use, copy, modify, and(/or)? distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies"),
     ("isc-as-is", "the software is provided \"as is\" and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness"),
     ("bsd-grant", "redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
     ("bsd-source", "redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer"),
     ("bsd-binary", "redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution"),
     ("bsd-endorse", "neither the name of {holder} nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
-    ("bsd-under", "(released|licensed|distributed) under the (terms of the )?({n}-clause )?bsd license"),
+    ("bsd-advert", "all advertising materials mentioning features or use of this software must display the following acknowledgement: this product includes software developed by {holder}"),
+    ("bsd-under", "{subject}(released|licensed|distributed) under the (terms of the )?({n}-clause )?bsd license"),
     ("gpl2-work", "(this work|this file|this program|it) is licensed under the gnu general public license, version 2"),
     ("gpl3-work", "(this work|this file|this program|it) is licensed under the gnu general public license, version 3"),
     ("gpl2-later", "(this program|this file) is free software; you can redistribute it and/or modify it under the terms of the gnu general public license as published by the free software foundation; either version 2 of the license, or (at your option) any later version"),
@@ -73,13 +75,16 @@ SENTENCES = [
     ("unlicense", "this is free and unencumbered software released into the public domain"),
     ("public-domain", "this (work|file|software) is (hereby )?(in|released into|placed in) the public domain"),
 ]
-_PARTS = {"holder": ".{0,200}", "url": r"\S{1,200}", "id": r"[a-z0-9.+():\- ]+", "n": "[0-9]", "version": r"[0-9]+(\.[0-9]+)?"}
+_PARTS = {"holder": ".{0,200}", "url": r"\S{1,200}", "id": r"[a-z0-9.+():\- ]+", "n": "[0-9]", "version": r"[0-9]+(\.[0-9]+)?",
+          "subject": "(?:(?:this|the) (?:software|project|program|work|file|code|library|package) is |it is )?"}
 
 # Rules in order; the licence, then its sentences in sequence ("a|b" allows either).
 RULES = [
     ("Apache-2.0", ["apache-under|apache-under-the", "apache-not-use", "apache-copy", "apache-as-is", "apache-see"]),
+    ("JSON", ["mit-grant", "mit-notice", "json-good", "mit-as-is", "mit-liable"]),
     ("MIT", ["mit-grant", "mit-notice", "mit-as-is", "mit-liable"]),
     ("MIT", ["mit-grant", "mit-notice", "mit-as-is"]),
+    ("BSD-4-Clause", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-advert", "bsd-endorse"]),
     ("BSD-3-Clause", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse"]),
     ("BSD-2-Clause", ["bsd-grant", "bsd-source", "bsd-binary"]),
     ("ISC", ["isc-grant", "isc-as-is"]),
@@ -141,6 +146,10 @@ _END = re.compile(r"[.;:!?]+(?=\s|$)|\n[ \t/*#;%>|\-]*\n|\n(?=[ \t/*#;%>|\-]*(?:
 _COMMENT = re.compile(r"(?m)^[ \t]*(?:/\*+|\*+/|\*+|//+|#+|;+|%+|--+|>+|<!--|\|)?[ \t]*|[ \t]*(?:\*+/|-->)[ \t]*$")
 
 
+#: Characters that a known sentence spans at most.
+SPAN = 4000
+_BLACK = re.compile(r"\S")
+
 #: The number or sign of a list item.
 _ITEM = re.compile(r"^(?:\(?[0-9]{1,2}[.)]|\(?[a-z][.)]|-) (?=.)")
 
@@ -194,10 +203,11 @@ def identify(text: str) -> list[tuple[str | None, int, int]]:
 def _between(text: str, begin: int, stop: int) -> list[tuple[str | None, int, int]]:
     """Up to three pieces at : ; . are tried as one sentence, longest first; then the lines in them."""
     parts, out, i = [(begin + a, begin + b) for a, b in sentences(text[begin:stop])], [], 0
+    cache: dict[int, tuple[int, str, bool]] = {}
     may = [any(t in text[a:b].lower() for t in TRIGGERS) for a, b in parts]
     while i < len(parts):
         for n in (3, 2, 1):
-            if i + n <= len(parts) and any(may[i:i + n]) and parts[i + n - 1][1] - parts[i][0] < 4000:
+            if i + n <= len(parts) and any(may[i:i + n]) and parts[i + n - 1][1] - parts[i][0] < SPAN:
                 a, b = parts[i][0], parts[i + n - 1][1]
                 name = known(normal(text[a:b]))
                 if name == "copyright" and "\n" in text[a:b].strip():
@@ -207,7 +217,7 @@ def _between(text: str, begin: int, stop: int) -> list[tuple[str | None, int, in
                     i += n
                     break
         else:
-            got = _in_lines(text, parts[i:i + 3]) if any(may[i:i + 3]) else None
+            got = _in_lines(text, parts[i:i + 3], cache) if any(may[i:i + 3]) else None
             if got is None:
                 out.append((None, *parts[i]))
                 i += 1
@@ -220,38 +230,75 @@ def _between(text: str, begin: int, stop: int) -> list[tuple[str | None, int, in
                 i += 1
             if i < len(parts) and parts[i][0] < b:  # the rest of a piece whose first lines are taken
                 parts[i] = (b, parts[i][1])
-                may[i] = any(t in text[b:parts[i][1]].lower() for t in TRIGGERS)
+                may[i] = parts[i][1] - b > SPAN or any(t in text[b:parts[i][1]].lower() for t in TRIGGERS)
     return out
 
 
-def _in_lines(text: str, parts: list[tuple[int, int]]) -> tuple[str, int, int] | None:
-    """The first, then longest known sentence that fills whole lines and begins in the first of the pieces."""
-    if "\n" not in text[parts[0][0]:parts[-1][1]].strip():
-        return None
-    lines, n = [], 0
-    for k, (a, b) in enumerate(parts):
-        n += b - a
-        if k and n > 4000:
+def _lines_of(text: str, begin: int, stop: int, cache: dict[int, tuple[int, str, bool]]) -> list[tuple[int, int, str]]:
+    """(begin, stop, plain form) of the lines that hold something; each is made plain once."""
+    out, at = [], begin
+    while at < stop:
+        line = cache.get(at)
+        if line is None or line[0] > stop:
+            end = text.find("\n", at, stop)
+            end = stop if end < 0 else end + 1
+            line = cache[at] = (end, plain(text[at:end]), bool(text[at:end].strip()))
+        if line[2]:
+            out.append((at, line[0], line[1]))
+        at = line[0]
+    return out
+
+
+def _in_lines(text: str, parts: list[tuple[int, int]], cache: dict[int, tuple[int, str, bool]]) -> tuple[str, int, int] | None:
+    """The first, then longest known sentence that fills whole lines and begins in the first of the pieces.
+
+    The first piece is walked in stretches of lines, each seen with the lines that
+    follow it, so the time until a find grows with the text before it.
+    """
+    begin, stop = parts[0]
+    last = stop
+    for a, b in parts[1:]:
+        if b - stop > SPAN:
             break
-        for m in re.finditer(r"[^\n]*(?:\n|\Z)", text[a:b]):
-            if m[0].strip():
-                lines.append((k, a + m.start(), a + m.end(), plain(m[0])))
-    joined = "\n".join(line[3] for line in lines)
-    begins, ends, at = [], {}, 0
-    for k, a, b, line in lines:
-        if not k:
-            begins.append((at, a))
-        at += len(line)
-        ends[at] = b
-        at += 1
-    for at, a in begins:
-        found = [(m.end(), name) for name, pattern in _LINES if (m := pattern.match(joined, at)) and m.end() in ends]
-        if found:
-            end, name = max(found, key=lambda f: f[0])
-            return name, a, ends[end]
+        last = b
+    m = _BLACK.search(text, begin, last)
+    first = text.find("\n", m.start(), last) if m else -1
+    if first < 0 or not _BLACK.search(text, first, last):
+        return None
+    ends = [b for _, b in parts if b <= last]
+    while begin < stop:
+        reach = _line_end(text, begin + SPAN // 8, stop)          # begins of this stretch
+        seen = reach if reach < stop else last
+        if reach < stop:
+            seen = _line_end(text, reach + SPAN, stop)
+            seen = seen if seen < stop else last
+        lines, at = [], begin
+        for end in [e for e in ends if begin < e < seen] + [seen]:  # a piece's end also ends a line
+            lines += _lines_of(text, at, end, cache)
+            at = end
+        joined = "\n".join(line for _, _, line in lines)
+        begins, stops, at = [], {}, 0
+        for a, b, line in lines:
+            if a < reach:
+                begins.append((at, a))
+            at += len(line)
+            stops[at] = b
+            at += 1
+        for at, a in begins:
+            found = [(m.end(), name) for name, pattern in _LINES if (m := pattern.match(joined, at)) and m.end() in stops]
+            if found:
+                end, name = max(found, key=lambda f: f[0])
+                return name, a, stops[end]
+        begin = reach
     return None
 
 
+def _line_end(text: str, at: int, stop: int) -> int:
+    """The end of the line at a place, ``stop`` at most."""
+    end = text.find("\n", min(at, stop), stop)
+    return stop if end < 0 else end + 1
+
+
 def known(sentence: str) -> str | None:
     for name, pattern in _KNOWN:
         if pattern.fullmatch(sentence):
@@ -259,18 +306,25 @@ def known(sentence: str) -> str | None:
     return None
 
 
+#: Unknown sentences that may stand between two of a rule.
+GAP = 3
+
+
 def match(names: list[str | None]) -> tuple[list[tuple[str, list[int]]], list[int]]:
     """((licence, places of its sentences) in order of place, places that no rule took)."""
     free = [n is not None and n != "copyright" for n in names]
     rest = [i for i, n in enumerate(names) if n is not None and n != "copyright"]
-    found = []
+    found, present = [], {names[i] for i in rest}
     for licence, sequence in RULES:
         wanted = [s.split("|") for s in sequence]
+        if not all(present.intersection(w) for w in wanted):
+            continue
         k = 0
         while k + len(wanted) <= len(rest):
             at = rest[k:k + len(wanted)]
+            near = all(sum(names[i] is None for i in range(x + 1, y)) <= GAP for x, y in zip(at, at[1:], strict=False))
             # in sequence: nothing but copyright lines and the like may stand between, and no sentence that another rule took
-            if all(free[i] and names[i] in w for i, w in zip(at, wanted, strict=True)) and all(free[i] for i in range(at[0], at[-1] + 1) if names[i] is not None and names[i] != "copyright"):
+            if near and all(free[i] and names[i] in w for i, w in zip(at, wanted, strict=True)) and all(free[i] for i in range(at[0], at[-1] + 1) if names[i] is not None and names[i] != "copyright"):
                 found.append((licence, at))
                 for i in at:
                     free[i] = False
@@ -286,7 +340,10 @@ def scan_text(text: str | None) -> dict:
         return {"licences": [], "sentences": [], "left": [], "spdx": []}
     parts = identify(text)
     found, left = match([p[0] for p in parts])
-    return {"licences": list(dict.fromkeys(f[0] for f in found)), "sentences": [{"id": n, "begin": a, "stop": b} for n, a, b in parts if n is not None], "left": [parts[i][0] for i in left],
+    names = list(dict.fromkeys(f[0] for f in found))
+    if len(names) > 1:  # "all rights reserved" beside a licence grants nothing and takes nothing back
+        names = [n for n in names if n != "proprietary"]
+    return {"licences": names, "sentences": [{"id": n, "begin": a, "stop": b} for n, a, b in parts if n is not None], "left": [parts[i][0] for i in left],
             "spdx": list(dict.fromkeys(x for m in _TAG.finditer(text) for x in re.findall(r"[^\s()]+", m["expression"]) if x.upper() not in ("AND", "OR", "WITH")))}
 
 

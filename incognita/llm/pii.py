@@ -136,8 +136,31 @@ def _digits(form: str) -> str:
     return re.sub("[^0-9]", "", form)
 
 
+#: Characters of a value that are permuted as one number; longer values go block by block.
+BLOCK = 64
+
+
 def _mixed(form: str, permute, kind: str, back: bool) -> str:
-    """Permute letters and digits within their kinds of characters, at their places."""
+    """Permute letters and digits within their kinds of characters, at their places.
+
+    A value longer than ``BLOCK`` is permuted in blocks, from the front and then
+    from the end; each block's tweak is a digest of the blocks before it as they
+    were, so every block depends on the whole value and time grows with its length.
+    """
+    if len(form) <= BLOCK:
+        return _block(form, permute, kind, back)
+    blocks = [form[i:i + BLOCK] for i in range(0, len(form), BLOCK)]
+    for turn in (1, 0) if back else (0, 1):
+        order = range(len(blocks)) if turn == 0 else range(len(blocks) - 1, -1, -1)
+        chain = hashlib.blake2b(f"{kind}/{turn}/{len(form)}".encode())
+        for i in order:
+            was, new = blocks[i], _block(blocks[i], permute, f"{kind}/{chain.hexdigest()[:32]}", back)
+            chain.update((new if back else was).encode())
+            blocks[i] = new
+    return "".join(blocks)
+
+
+def _block(form: str, permute, kind: str, back: bool) -> str:
     bases = [(ord("0"), 10) if "0" <= c <= "9" else (ord("a"), 26) if "a" <= c <= "z" else (ord("A"), 26) if "A" <= c <= "Z" else (ord(c), 1) for c in form]
     x, n = 0, 1
     for c, (low, size) in zip(form, bases, strict=True):

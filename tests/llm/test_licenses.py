@@ -156,3 +156,38 @@ def test_lines_without_an_end_sign_and_tags_before_code(text, want, spdx):
 def test_the_query_reports_spdx_identifiers(spark):
     df = spark.createDataFrame([(1, "// SPDX-License-Identifier: MIT\n#include <stdio.h>\n"), (2, None)], "doc_id bigint, text string")
     assert {(r.doc_id, tuple(r.licences), tuple(r.spdx)) for r in L.licences(df).collect()} == {(1, ("SPDX",), ("MIT",)), (2, (), ())}
+
+
+def test_time_grows_with_the_lines():
+    import time
+
+    L.scan_text("Released under the MIT License\n" * 100)
+    took = []
+    for n in (2000, 8000):
+        begin = time.process_time()
+        got = L.scan_text("Released under the MIT License\n" * n)
+        took.append(time.process_time() - begin)
+        assert got["licences"] == ["MIT"] and len(got["sentences"]) == n
+    assert took[1] < 8 * took[0]
+
+
+def test_neighbours_are_told_apart():
+    mit = dict(L.SENTENCES)
+    parts = lambda *names: ". ".join(mit[n].replace("{holder}", "the author") for n in names) + "."
+    bsd = ("bsd-grant", "bsd-source", "bsd-binary")
+    assert L.scan_text("Copyright 2001 X. All rights reserved.\n" + parts(*bsd, "bsd-advert", "bsd-endorse"))["licences"] == ["BSD-4-Clause"]
+    assert L.scan_text(parts(*bsd, "bsd-endorse"))["licences"] == ["BSD-3-Clause"]
+    assert L.scan_text(parts("mit-grant", "mit-notice", "json-good", "mit-as-is", "mit-liable"))["licences"] == ["JSON"]
+    assert L.scan_text(parts("mit-grant", "mit-notice", "mit-as-is", "mit-liable"))["licences"] == ["MIT"]
+    assert L.scan_text("All rights reserved.")["licences"] == ["proprietary"]
+
+
+def test_parts_far_apart_are_no_licence():
+    mit = dict(L.SENTENCES)
+    between = "This sentence has nothing to do with it. " * 2000
+    assert L.scan_text(mit["mit-grant"] + ". " + mit["mit-notice"] + ". " + between + mit["mit-as-is"] + ". " + mit["mit-liable"] + ".")["licences"] == []
+
+
+@pytest.mark.parametrize("text", ["This software is licensed under the MIT License.", "The code is released under the MIT license.", "It is distributed under the terms of the MIT License"])
+def test_who_is_licensed_may_be_said(text):
+    assert L.scan_text(text)["licences"] == ["MIT"]

@@ -1,3 +1,4 @@
+import random
 import re
 
 import pytest
@@ -132,3 +133,23 @@ def test_what_is_not_valid_does_not_hide_what_follows():
     change = P.Pseudonyms(KEY)
     new, found = change.replace("1234 4041 8949 7460 8795")
     assert [f[0] for f in found] == ["card"] and new == "1234 " + change.replace("4041 8949 7460 8795")[0]
+
+
+@pytest.mark.parametrize("n", [63, 64, 65, 129, 3100, 10_000, 1_000_000])
+def test_secrets_of_any_length(n):
+    rng = random.Random(n)
+    value = "".join(rng.choices("abcXYZ019-_/+", k=n))
+    p = P.Pseudonyms(b"k")
+    new = P._mixed(value, p.permute, "secret", False)
+    assert P._mixed(new, p.permute, "secret", True) == value and new != value and len(new) == n
+    assert all((a.isdigit(), a.isupper(), a.islower()) == (b.isdigit(), b.isupper(), b.islower()) for a, b in zip(value[:5000], new[:5000]))
+    if n > 64:  # every block depends on the whole value
+        other = P._mixed(value[:-1] + ("a" if value[-1] != "a" else "b"), p.permute, "secret", False)
+        assert other[:20] != new[:20]
+
+
+def test_long_secrets_in_texts(spark):
+    token = "".join(random.Random(1).choices("abcdefXYZ0123", k=10_000))
+    rows = [(1, f"token={token} and mail a.b@example.org"), (2, f"TOKEN: '{token}'")]
+    got = {r.doc_id: r for r in P.pseudonyms(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert len(got) == 2 and all(token not in str(r) for r in got.values())
