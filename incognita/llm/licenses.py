@@ -340,9 +340,11 @@ def scan_text(text: str | None) -> dict:
         return {"licences": [], "sentences": [], "left": [], "spdx": []}
     parts = identify(text)
     found, left = match([p[0] for p in parts])
-    names = list(dict.fromkeys(f[0] for f in found))
-    if len(names) > 1:  # "all rights reserved" beside a licence grants nothing and takes nothing back
-        names = [n for n in names if n != "proprietary"]
+    noticed = [n for n, *_ in parts]
+    claims = [f for f in found if f[0] == "proprietary" and not (f[1][0] and noticed[f[1][0] - 1] == "copyright")]
+    # "all rights reserved" that ends a copyright line says nothing beside a licence
+    others = [f for f in found if f[0] != "proprietary"]
+    names = list(dict.fromkeys(f[0] for f in found if not others or f[0] != "proprietary" or f in claims))
     return {"licences": names, "sentences": [{"id": n, "begin": a, "stop": b} for n, a, b in parts if n is not None], "left": [parts[i][0] for i in left],
             "spdx": list(dict.fromkeys(x for m in _TAG.finditer(text) for x in re.findall(r"[^\s()]+", m["expression"]) if x.upper() not in ("AND", "OR", "WITH")))}
 
