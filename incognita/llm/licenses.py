@@ -115,7 +115,7 @@ RULES = [
 ]
 
 # Every known sentence holds one of these.
-TRIGGERS = ["licens", "copyright", "(c)", "©", "rights reserved", "permission", "warrant", "redistribut", "public domain", "the mpl", "in no event shall"]
+TRIGGERS = ["licens", "copyright", "(c)", "©", "rights reserved", "permission", "warrant", "redistribut", "public domain", "the mpl", "in no event shall", "used for good", "advertising materials"]
 
 
 def _regex(form: str) -> str:

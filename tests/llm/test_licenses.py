@@ -95,7 +95,7 @@ def test_every_sentence_is_known_as_itself_and_holds_a_trigger():
 
 def _expand(form):
     """Two forms of a sentence: with the first and with the last of its choices."""
-    values = {"holder": " 2020 the holder", "url": "https://example.org/x", "id": "mit", "n": "3", "version": "4.0"}
+    values = {"holder": " 2020 the holder", "url": "https://example.org/x", "id": "mit", "n": "3", "version": "4.0", "subject": "this software is "}
     for pick in (0, -1):
         text = form
         while m := re.search(r"\(((?:\(c\)|[^()|]|\([^()]*\))*(?:\|(?:\(c\)|[^()|])*)+|[^()|]*(?=\)\?))\)(\??)", text):
