@@ -53,7 +53,7 @@ SENTENCES = [
     ("bsd-source", "redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer"),
     ("bsd-binary", "redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution"),
     ("bsd-endorse", "neither the name of {holder} nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
-    ("bsd-advert", "all advertising materials mentioning features or use of this software must display the following acknowledgement: this product includes software developed by {holder}"),
+    ("bsd-advert", "all advertising materials mentioning features or use of this software must display the following acknowledgement: this product includes software developed by {org}"),
     ("bsd-under", "{subject}(released|licensed|distributed) under the (terms of the )?({n}-clause )?bsd license"),
     ("gpl2-work", "(this work|this file|this program|it) is licensed under the gnu general public license, version 2"),
     ("gpl3-work", "(this work|this file|this program|it) is licensed under the gnu general public license, version 3"),
@@ -75,7 +75,7 @@ SENTENCES = [
     ("unlicense", "this is free and unencumbered software released into the public domain"),
     ("public-domain", "this (work|file|software) is (hereby )?(in|released into|placed in) the public domain"),
 ]
-_PARTS = {"holder": ".{0,200}", "url": r"\S{1,200}", "id": r"[a-z0-9.+():\- ]+", "n": "[0-9]", "version": r"[0-9]+(\.[0-9]+)?",
+_PARTS = {"holder": ".{0,200}", "org": "[^.]{0,200}", "url": r"\S{1,200}", "id": r"[a-z0-9.+():\- ]+", "n": "[0-9]", "version": r"[0-9]+(\.[0-9]+)?",
           "subject": "(?:(?:this|the) (?:software|project|program|work|file|code|library|package) is |it is )?"}
 
 # Rules in order; the licence, then its sentences in sequence ("a|b" allows either).

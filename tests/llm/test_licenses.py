@@ -95,7 +95,7 @@ def test_every_sentence_is_known_as_itself_and_holds_a_trigger():
 
 def _expand(form):
     """Two forms of a sentence: with the first and with the last of its choices."""
-    values = {"holder": " 2020 the holder", "url": "https://example.org/x", "id": "mit", "n": "3", "version": "4.0", "subject": "this software is "}
+    values = {"holder": " 2020 the holder", "url": "https://example.org/x", "id": "mit", "n": "3", "version": "4.0", "subject": "this software is ", "org": "the organization"}
     for pick in (0, -1):
         text = form
         while m := re.search(r"\(((?:\(c\)|[^()|]|\([^()]*\))*(?:\|(?:\(c\)|[^()|])*)+|[^()|]*(?=\)\?))\)(\??)", text):
@@ -173,7 +173,7 @@ def test_time_grows_with_the_lines():
 
 def test_neighbours_are_told_apart():
     mit = dict(L.SENTENCES)
-    parts = lambda *names: ". ".join(mit[n].replace("{holder}", "the author") for n in names) + "."
+    parts = lambda *names: ". ".join(mit[n].replace("{holder}", "the author").replace("{org}", "the author") for n in names) + "."
     bsd = ("bsd-grant", "bsd-source", "bsd-binary")
     assert L.scan_text("Copyright 2001 X. All rights reserved.\n" + parts(*bsd, "bsd-advert", "bsd-endorse"))["licences"] == ["BSD-4-Clause"]
     assert L.scan_text(parts(*bsd, "bsd-endorse"))["licences"] == ["BSD-3-Clause"]
