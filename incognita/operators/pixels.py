@@ -24,20 +24,43 @@ def _rows(side: str) -> Column:
     return F.ceil(F.size(side) / _columns(side)).cast("int")
 
 
+def _pixel(side: str, r: Column, c: Column) -> Column:
+    return F.when(c < _columns(side), F.get(F.col(side), (r * _columns(side) + c).cast("int")))
+
+
+def _numbers(n: Column) -> Column:
+    """0 .. n - 1."""
+    return F.when(n > 0, F.sequence(F.lit(0), n.cast("int") - 1)).otherwise(F.array().cast("array<int>"))
+
+
+def _same_width() -> Column:
+    return _columns("a") == _columns("b")
+
+
+def _wide() -> Column:
+    return F.greatest(_columns("a"), _columns("b"))
+
+
+def _longest() -> Column:
+    return F.when(F.col("a").isNotNull() & F.col("b").isNotNull(), F.greatest(F.size("a"), F.size("b")))
+
+
+def _grid() -> Column:
+    """Numbers, row-major, of the cells of the grid that covers images of unequal width."""
+    return _numbers(F.greatest(_rows("a"), _rows("b")) * _wide())
+
+
 def _cells() -> Column:
     """(i, r, c, a, b) structs of the pixels; i counts row-major on the grid that covers both images."""
-    wide = F.greatest(_columns("a"), _columns("b"))
+    wide = _wide()
     equal = F.transform(F.arrays_zip("a", "b"), lambda ab, i: F.struct(
         i.cast("bigint").alias("i"), F.floor(i / wide).cast("bigint").alias("r"), (i % wide).cast("bigint").alias("c"),
         ab["a"].alias("a"), ab["b"].alias("b")))
 
-    def pixel(side: str, r: Column, c: Column) -> Column:
-        return F.when(c < _columns(side), F.get(F.col(side), (r * _columns(side) + c).cast("int")))
-
     def cell(i: Column) -> Column:
         r, c = F.floor(i / wide), i % wide
         return F.struct(i.cast("bigint").alias("i"), r.cast("bigint").alias("r"), c.cast("bigint").alias("c"),
-                        pixel("a", r, c).alias("a"), pixel("b", r, c).alias("b"))
+                        _pixel("a", r, c).alias("a"), _pixel("b", r, c).alias("b"))
 
     n = F.greatest(_rows("a"), _rows("b")) * wide
     grid = F.filter(F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), cell), lambda x: x["a"].isNotNull() | x["b"].isNotNull())
@@ -56,7 +79,20 @@ def _equality() -> list[Column]:
 
 
 def _statistics() -> list[Column]:
-    return [F.size(_cells()).cast("bigint").alias("n_pixels"), F.size(_mismatches()).cast("bigint").alias("n_mismatch"),
+    """Counts from array sizes; cells are only built for images of unequal width, pixels only compared where the arrays differ."""
+    def held(i: Column) -> Column:
+        r, c = F.floor(i / _wide()), i % _wide()
+        return _pixel("a", r, c).isNotNull() | _pixel("b", r, c).isNotNull()
+
+    def differs(i: Column) -> Column:
+        r, c = F.floor(i / _wide()), i % _wide()
+        return ~_pixel("a", r, c).eqNullSafe(_pixel("b", r, c))
+
+    unequal = F.size(F.filter(F.zip_with("a", "b", lambda x, y: ~x.eqNullSafe(y)), lambda x: x))
+    cells = F.when(_same_width(), _longest()).otherwise(F.size(F.filter(_grid(), held)))
+    wrong = (F.when(_same_width() & (F.col("a") == F.col("b")), F.lit(0)).when(_same_width(), unequal)
+             .otherwise(F.size(F.filter(_grid(), differs))))
+    return [cells.cast("bigint").alias("n_pixels"), wrong.cast("bigint").alias("n_mismatch"),
             *[f(side).alias(f"{name}_{side}") for side in ("a", "b") for name, f in (("min", F.array_min), ("max", F.array_max))]]
 
 
