@@ -27,6 +27,7 @@ from incognita.session import ensure_checkpoint_dir
 from incognita.sources import buckets
 from incognita.sources import files as raw_files
 from incognita.sources import fixtures as fx
+from incognita.sources import processed
 from incognita.sources import registry as registry_store
 from incognita.sources.tables import read_table
 
@@ -236,6 +237,18 @@ def q_incremental_assign(spark, sf_dir):
     return a1.select(*cols, F.lit(1).alias("run")).unionByName(a2.select(*cols, F.lit(2).alias("run")))
 
 
+@query
+def q_incremental_files(spark, sf_dir):
+    """What a rerun takes: files of after the cutoff, and earlier ones that changed since (every seventh user's)."""
+    headers = fx.headers(spark, sf_dir)
+    rules = processed.rules_digest(scrub_ops.DEFAULT_RULES)
+    old = F.regexp_extract("path", r"/p(\d+)/", 1).cast("bigint") % 7 == 0
+    done = headers.where(F.col("mtime") < F.lit(INCREMENTAL_CUTOFF).cast("timestamp")).select(
+        "path", F.when(old, F.col("mtime") - F.expr("interval 1 hour")).otherwise(F.col("mtime")).alias("mtime"), F.lit(rules).alias("rules"),
+        F.lit("2024-02-01").cast("timestamp").alias("recorded_at"), F.lit("r1").alias("run_id"))
+    return processed.todo(headers, done, rules)
+
+
 def _bucket_registry(spark, sf_dir) -> buckets.BucketRegistry:
     """The fixture registry in buckets, in a folder of its own."""
     root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/registry-{uuid.uuid4().hex}"

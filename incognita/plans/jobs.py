@@ -28,7 +28,7 @@ from incognita.operators.scrub import DEFAULT_RULES, Rules
 from incognita.plans import deidentify as deid
 from incognita.sources import buckets
 from incognita.sources import files as raw_files
-from incognita.sources import output
+from incognita.sources import output, processed
 from incognita.sources import registry as store
 from incognita.sources.headers import ensure_keys, write_header_table
 
@@ -91,11 +91,13 @@ def _plan(headers: DataFrame, registry: store.Registry | buckets.BucketRegistry,
 def deidentify(spark: SparkSession, headers: DataFrame, registry_root: str, out_dir: str, run_id: str,
                rules: Rules = DEFAULT_RULES, user: str = "", computer: str = "",
                log_level: int = model.LOG_NORMAL, inputs: list[str] | None = None,
-               screened: DataFrame | None = None) -> RunResult:
+               screened: DataFrame | None = None, only_changed: bool = False) -> RunResult:
     """De-identify the files of a header table. ``inputs`` names them in the launch line;
-    ``screened`` are files (path, root, outcome, message) that were left out before parsing. A run that fails leaves a closing line that says so."""
+    ``screened`` are files (path, root, outcome, message) that were left out before parsing.
+    ``only_changed`` leaves out files that another run finished in this version
+    under these rules. A run that fails leaves a closing line that says so."""
     try:
-        return _deidentify(spark, headers, registry_root, out_dir, run_id, rules, user, computer, log_level, inputs, screened)
+        return _deidentify(spark, headers, registry_root, out_dir, run_id, rules, user, computer, log_level, inputs, screened, only_changed)
     except Exception as exc:
         if store.exists(spark, registry_root):
             store.append_log(spark, registry_root, [(model.LOG_NORMAL, f"Run {run_id} failed: {type(exc).__name__}")], user, computer)
@@ -103,9 +105,13 @@ def deidentify(spark: SparkSession, headers: DataFrame, registry_root: str, out_
 
 
 def _deidentify(spark: SparkSession, headers: DataFrame, registry_root: str, out_dir: str, run_id: str, rules: Rules, user: str,
-                computer: str, log_level: int, inputs: list[str] | None, screened: DataFrame | None) -> RunResult:
+                computer: str, log_level: int, inputs: list[str] | None, screened: DataFrame | None, only_changed: bool) -> RunResult:
     out_dir = out_dir.rstrip("/")
     headers = ensure_keys(headers)
+    digest = processed.rules_digest(rules)
+    done = processed.read(spark, out_dir) if only_changed else None
+    if done is not None:
+        headers = processed.only_todo(headers, done.where(F.col("run_id") != run_id), digest)
     registry = open_registry(spark, registry_root)
     in_buckets = isinstance(registry, buckets.BucketRegistry)
     store.append_log(spark, registry_root,
@@ -139,6 +145,8 @@ def _deidentify(spark: SparkSession, headers: DataFrame, registry_root: str, out
     (outcomes.withColumn("run_id", F.lit(run_id))
      .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy("run_id").parquet(f"{out_dir}/outcomes"))
+    finished = run.outcomes.where(F.col("outcome") != screen.EXHAUSTED).select("path", "mtime")
+    processed.record(out_dir, finished, digest, run_id)
     rep = [r.asDict() for r in deid.run_report(
         output.read_outcomes(spark, out_dir).where(F.col("run_id") == run_id)).collect()]  # one row per root
     output.remove_stale(spark, out_dir, run_id, [r["root"] for r in rep if not r["is_total"] and r["n_anonymised"]])

@@ -413,6 +413,10 @@ oracle("incremental_assign", """
 SELECT study_uid, CAST(row_no AS BIGINT) AS row_no, study_id, 1 AS run FROM inc_a1
 UNION ALL SELECT study_uid, CAST(row_no AS BIGINT), study_id, 2 FROM inc_a2""", "inc_a1", "inc_a2")
 
+oracle("incremental_files", """
+SELECT path, CASE WHEN ts < TIMESTAMP '2024-01-16 00:00:00' THEN 'changed' ELSE 'new' END AS status
+FROM inst WHERE ts >= TIMESTAMP '2024-01-16 00:00:00' OR user_id % 7 = 0""", "inst")
+
 oracle("registry_buckets", """
 SELECT study_uid, CAST(row_no AS BIGINT) AS row_no, study_id, 1 AS run FROM inc_a1
 UNION ALL SELECT study_uid, CAST(row_no AS BIGINT), study_id, 2 FROM inc_a2""", "inc_a1", "inc_a2")
