@@ -328,3 +328,26 @@ def load(spark: SparkSession, root: str) -> BucketRegistry:
     front = spark.read.parquet(store._path(root, "study")).first().asDict()
     front["n_study_ids"] = newest[1]["n_study_ids"]
     return BucketRegistry(spark, root, front, newest[0], newest[1])
+
+
+def prune(spark: SparkSession, root: str, keep: int = 10) -> list[int]:
+    """Delete all but the newest ``keep`` versions (keep >= 1) and the index folders that only they use; returns the versions.
+
+    Explicit and opt-in, as old versions are the registry's history. Commit files
+    go first, so no version is left without its files; folders that no commit file
+    names stay, as a writer may be at work on one.
+    """
+    if keep < 1:
+        raise ValueError("keep must be at least 1: the latest version is never deleted")
+    contents = {v: c for v, path in store._listed(spark, root).items() if (c := store._content(spark, path))}
+    doomed = sorted(contents)[:-keep]
+
+    def folders(versions: list[int]) -> set[tuple[str, str]]:
+        return {(t, e[0]) for v in versions for t, held in contents[v]["tables"].items() for es in held.values() for e in es}
+
+    unused = folders(doomed) - folders([v for v in contents if v not in doomed])
+    for v in doomed:
+        store._delete(spark, store._path(root, f"commits/v{v:010d}"))
+    for table, folder in sorted(unused):
+        store._delete(spark, store._path(root, f"index/{table}/{folder}"))
+    return doomed

@@ -1,5 +1,6 @@
 """Registry in hash buckets: equal to the plain one, and reading only what a batch touches."""
 
+import os
 import random
 
 import numpy as np
@@ -124,3 +125,20 @@ def test_empty_batch(spark, scratch):
     buckets.create(spark, f"{scratch}/reg", "t", "pi", slots(spark, 5), 5)
     r = jobs.deidentify(spark, files(spark, ["a"]).limit(0), f"{scratch}/reg", f"{scratch}/out", "r0")
     assert r.new_studies == 0 and r.registry_version == 1
+
+
+def test_pruning_keeps_what_the_newest_version_reads(spark, scratch, monkeypatch):
+    monkeypatch.setattr(buckets, "FANOUT", 2)
+    r = buckets.create(spark, f"{scratch}/reg", "t", "pi", slots(spark, 20, (2,)), 20, buckets=1, segment_rows=8)
+    for i in range(3):
+        r = r.commit(assigned(spark, [(f"u{i}", 3 + i, f"ID{1 + i:06d}")]))
+    before = set(os.listdir(f"{scratch}/reg/index/by_uid"))
+    assert buckets.prune(spark, f"{scratch}/reg", keep=1) == [1, 2, 3]
+    after = set(os.listdir(f"{scratch}/reg/index/by_uid"))
+    assert after < before and store.versions(spark, f"{scratch}/reg") == [4]
+    now = buckets.load(spark, f"{scratch}/reg")
+    keys = spark.createDataFrame([("u0",), ("u1",), ("u2",), ("old2",)], "study_uid string")
+    assert {x.study_uid: x.row_no for x in now.known(keys).collect()} == {"u0": 3, "u1": 4, "u2": 5, "old2": 2}
+    assert now.commit(assigned(spark, [("u3", 6, "ID000004")])).version == 5
+    with pytest.raises(ValueError):
+        buckets.prune(spark, f"{scratch}/reg", keep=0)
