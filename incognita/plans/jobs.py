@@ -8,7 +8,8 @@ De-identification commits the registry before it writes any output:
   4. re-plan against N+1: every study is known, files get IDs by lookup
   5. write de-identified headers partitioned by (root, run_id) with dynamic
      partition overwrite, so a rerun or a replayed batch replaces, never duplicates
-  6. write the outcome table and append the audit log
+  6. write the outcome table, commit the output (its rows are current from here on)
+     and append the audit log
 
 If the job dies after 3, the rerun finds the studies in the registry and
 reuses their IDs; if it dies before 3, nothing was assigned.
@@ -145,11 +146,12 @@ def _deidentify(spark: SparkSession, headers: DataFrame, registry_root: str, out
     (outcomes.withColumn("run_id", F.lit(run_id))
      .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy("run_id").parquet(f"{out_dir}/outcomes"))
-    finished = run.outcomes.where(F.col("outcome") != screen.EXHAUSTED).select("path", "mtime")
-    processed.record(out_dir, finished, digest, run_id)
     rep = [r.asDict() for r in deid.run_report(
         output.read_outcomes(spark, out_dir).where(F.col("run_id") == run_id)).collect()]  # one row per root
     output.remove_stale(spark, out_dir, run_id, [r["root"] for r in rep if not r["is_total"] and r["n_anonymised"]])
+    output.commit(spark, out_dir, run_id)
+    finished = run.outcomes.where(F.col("outcome") != screen.EXHAUSTED).select("path", "mtime")
+    processed.record(out_dir, finished, digest, run_id)
     total = next((r for r in rep if r["is_total"]), {})
     store.append_log(spark, registry_root, [(model.LOG_NORMAL, model.MSG_COMPLETED.format(
         ok=total.get("n_anonymised", 0), failed=total.get("n_exhausted", 0)))], user, computer)

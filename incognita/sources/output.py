@@ -2,8 +2,8 @@
 
 Partition values are read with their schema, so that a root ``007`` stays text.
 A file that several runs wrote has one current version: that of the run that
-wrote it last. A rerun under the same run_id replaces its partitions and removes
-those it no longer makes.
+was committed last (``sources/manifest.py``). A rerun under the same run_id replaces
+its partitions and removes those it no longer makes.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from incognita import model
+from incognita.sources import manifest
 from incognita.sources import registry as store
 
 OUTPUT = T.StructType([
@@ -61,13 +62,24 @@ def remove_stale(spark: SparkSession, out_dir: str, run_id: str, roots: list[str
     return gone
 
 
+def _rows(spark: SparkSession, out_dir: str) -> DataFrame:
+    return spark.read.schema(OUTPUT).parquet(f"{out_dir.rstrip('/')}/headers")
+
+
+def commit(spark: SparkSession, out_dir: str, run_id: str) -> manifest.Version | None:
+    """Make what a run wrote current, in place of the same files' earlier versions."""
+    if not store.exists(spark, f"{out_dir.rstrip('/')}/headers"):
+        return None  # no run has written a file yet
+    return manifest.commit(spark, _rows(spark, out_dir), out_dir.rstrip("/"), run_id)
+
+
 def read(spark: SparkSession, out_dir: str, current: bool = True) -> DataFrame:
     """The output table; ``current`` keeps each file's last version only."""
-    rows = spark.read.schema(OUTPUT).parquet(f"{out_dir.rstrip('/')}/headers")
+    rows = _rows(spark, out_dir)
     if not current:
         return rows
-    last = rows.groupBy("path").agg(F.max(F.struct("written_at", "run_id")).alias("l")).select("path", "l.run_id")
-    return rows.join(last, ["path", "run_id"]).select(*rows.columns)
+    version = manifest.newest(spark, out_dir.rstrip("/"))
+    return rows.limit(0) if version is None else manifest.current(spark, rows, out_dir.rstrip("/"), version)
 
 
 def read_outcomes(spark: SparkSession, out_dir: str) -> DataFrame:

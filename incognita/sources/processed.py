@@ -2,7 +2,7 @@
 
     <out_dir>/processed/run_id=<run>/   path, mtime, rules
 
-A run records its files after its output and outcomes are written, so a run that
+A run records its files after its output is committed, so a run that
 died is done again. A file is up to date if the last run that recorded it saw the
 same modification time and the same rules; files that found no free study ID
 are not recorded and come again.
