@@ -89,6 +89,19 @@ PIXEL_PAIRS = T.StructType([
     T.StructField("b_cols", T.IntegerType(), True),
 ])
 
+# Squares of an image's pixel grid, for images larger than a row or of several frames.
+TILES = T.StructType([
+    T.StructField("pair_id", T.LongType()),
+    T.StructField("frame", T.IntegerType()),
+    T.StructField("tile_row", T.IntegerType()),
+    T.StructField("tile_col", T.IntegerType()),
+    T.StructField("edge", T.IntegerType()),
+    T.StructField("n_rows", T.IntegerType()),   # of the frame, as its header says
+    T.StructField("n_cols", T.IntegerType()),
+    T.StructField("width", T.IntegerType()),    # of this tile
+    T.StructField("pixels", T.ArrayType(T.IntegerType())),
+])
+
 SLOT_VALUE_COLUMNS = ["patient_name", "patient_id", "accession_number",
                       "study_date", "study_time", "study_uid", "study_description"]
 

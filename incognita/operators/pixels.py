@@ -96,12 +96,23 @@ def _statistics() -> list[Column]:
             *[f(side).alias(f"{name}_{side}") for side in ("a", "b") for name, f in (("min", F.array_min), ("max", F.array_max))]]
 
 
+def statistics(pairs: DataFrame, *carried: str) -> DataFrame:
+    """Counts, minima and maxima of each row's two images, beside ``carried`` columns."""
+    return pairs.select(*carried, *_statistics())
+
+
+def differing(pairs: DataFrame, *carried: str) -> DataFrame:
+    """One row per differing pixel of each row's two images, beside ``carried`` columns: i, r, c, a, b."""
+    same = F.col("a").eqNullSafe(F.col("b")) & (_columns("a") == _columns("b"))
+    return pairs.where(~same).select(*carried, F.explode(_mismatches()).alias("x")).select(*carried, "x.*")
+
+
 def pixel_equal(pairs: DataFrame) -> DataFrame:
     return pairs.select("pair_id", *_equality())
 
 
 def pixel_stats(pairs: DataFrame) -> DataFrame:
-    return pairs.select("pair_id", *_statistics())
+    return statistics(pairs, "pair_id")
 
 
 def pixel_compare(pairs: DataFrame) -> DataFrame:
@@ -111,5 +122,4 @@ def pixel_compare(pairs: DataFrame) -> DataFrame:
 
 def pixel_diff(pairs: DataFrame) -> DataFrame:
     """One row per differing pixel: pair_id, i, r, c, a, b."""
-    same = F.col("a").eqNullSafe(F.col("b")) & (_columns("a") == _columns("b"))
-    return pairs.where(~same).select("pair_id", F.explode(_mismatches()).alias("x")).select("pair_id", "x.*")
+    return differing(pairs, "pair_id")

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from incognita import model
 from incognita.functions import masks
 from incognita.functions.tags import explode_elements, top_value
-from incognita.operators import dump, idpool, patch, pixels, report, screen
+from incognita.operators import dump, idpool, patch, pixels, report, screen, tiles
 from incognita.operators import registry_ops as reg
 from incognita.operators import scrub as scrub_ops
 from incognita.operators.scrub import output_path
@@ -27,7 +27,7 @@ from incognita.session import ensure_checkpoint_dir
 from incognita.sources import buckets
 from incognita.sources import files as raw_files
 from incognita.sources import fixtures as fx
-from incognita.sources import processed
+from incognita.sources import output, processed
 from incognita.sources import registry as registry_store
 from incognita.sources.tables import read_table
 
@@ -249,6 +249,19 @@ def q_incremental_files(spark, sf_dir):
     return processed.todo(headers, done, rules)
 
 
+@query
+def q_output_current(spark, sf_dir):
+    """Current versions after three committed runs: early files, every seventh user's and later ones, and the first run's again for one root."""
+    out = f"{ensure_checkpoint_dir(spark).rstrip('/')}/output-{uuid.uuid4().hex}"
+    files = fx.headers(spark, sf_dir).select("path", output_path().alias("out_path"), F.col("study_uid").alias("study_id"), "elements", "root", "mtime")
+    early = F.col("mtime") < F.lit(INCREMENTAL_CUTOFF).cast("timestamp")
+    seventh = F.regexp_extract("path", r"/p(\d+)/", 1).cast("bigint") % 7 == 0
+    for run_id, taken in (("r1", early), ("r2", ~early | seventh), ("r3", early & (F.col("root") == "root1"))):
+        output.write(out, files.where(taken).drop("mtime"), run_id)
+        output.commit(spark, out, run_id)
+    return output.read(spark, out).select("path", "out_path", "run_id", F.size("elements").cast("bigint").alias("n_elements"))
+
+
 def _bucket_registry(spark, sf_dir) -> buckets.BucketRegistry:
     """The fixture registry in buckets, in a folder of its own."""
     root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/registry-{uuid.uuid4().hex}"
@@ -435,6 +448,26 @@ def q_pixel_equal(spark, sf_dir):
     return pixels.pixel_equal(fx.pixel_pairs(spark, sf_dir))
 
 
+#: Uneven in the fixture's widths of 8 and 12, so that tiles at the edges are cut short.
+QUERY_EDGE = 5
+
+
+def _tiles(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    pairs = fx.pixel_pairs(spark, sf_dir)
+    return tuple(tiles.cut(pairs.select("pair_id", F.col(s).alias("pixels"), F.col(s + "_rows").alias("n_rows"), F.col(s + "_cols").alias("n_cols")), QUERY_EDGE)
+                 for s in ("a", "b"))
+
+
+@query
+def q_pixel_stats_tiled(spark, sf_dir):
+    return tiles.tile_stats(*_tiles(spark, sf_dir))
+
+
+@query
+def q_pixel_diff_tiled(spark, sf_dir):
+    return tiles.tile_diff(*_tiles(spark, sf_dir)).drop("frame")
+
+
 # ---- tag edits, header dump, audit log, report -------------------------------
 
 @query

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from incognita import model
-from incognita.operators import dump, idpool, patch, pixels, report, screen
+from incognita.operators import dump, idpool, patch, pixels, report, screen, tiles
 from incognita.operators import registry_ops as reg
 from incognita.operators.scrub import DEFAULT_RULES, Rules
 from incognita.plans import deidentify as deid
@@ -206,6 +206,19 @@ def compare_pixels(spark: SparkSession, pairs_dir: str, out_dir: str) -> dict:
     out_dir = out_dir.rstrip("/")
     pixels.pixel_compare(pairs).write.mode("overwrite").parquet(f"{out_dir}/stats")
     pixels.pixel_diff(pairs).write.mode("overwrite").parquet(f"{out_dir}/diff")
+    return _pixel_counts(spark, out_dir)
+
+
+def compare_tiles(spark: SparkSession, before_dir: str, after_dir: str, out_dir: str) -> dict:
+    """Compare two stored tile tables (``operators.tiles.cut``): statistics by pair and the pixels that differ."""
+    before, after = (spark.read.schema(model.TILES).parquet(d) for d in (before_dir, after_dir))
+    out_dir = out_dir.rstrip("/")
+    tiles.tile_stats(before, after).write.mode("overwrite").parquet(f"{out_dir}/stats")
+    tiles.tile_diff(before, after).write.mode("overwrite").parquet(f"{out_dir}/diff")
+    return _pixel_counts(spark, out_dir)
+
+
+def _pixel_counts(spark: SparkSession, out_dir: str) -> dict:
     r = spark.read.parquet(f"{out_dir}/stats").agg(F.count(F.lit(1)).alias("n_pairs"), F.count_if("pixels_equal").alias("n_equal"),
                                                     F.sum("n_mismatch").alias("n_mismatch")).first()
     return {k: int(r[k] or 0) for k in ("n_pairs", "n_equal", "n_mismatch")}

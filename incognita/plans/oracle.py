@@ -417,6 +417,12 @@ oracle("incremental_files", """
 SELECT path, CASE WHEN ts < TIMESTAMP '2024-01-16 00:00:00' THEN 'changed' ELSE 'new' END AS status
 FROM inst WHERE ts >= TIMESTAMP '2024-01-16 00:00:00' OR user_id % 7 = 0""", "inst")
 
+oracle("output_current", """
+SELECT i.path, i.root || '-anon' || substr(i.path, length(i.root) + 1) AS out_path,
+  CASE WHEN i.ts < TIMESTAMP '2024-01-16 00:00:00' AND i.root = 'root1' THEN 'r3'
+    WHEN i.ts >= TIMESTAMP '2024-01-16 00:00:00' OR i.user_id % 7 = 0 THEN 'r2' ELSE 'r1' END AS run_id, e.n_elements
+FROM inst i JOIN (SELECT path, CAST(count(*) AS BIGINT) AS n_elements FROM elements GROUP BY path) e ON e.path = i.path""", "inst", "elements")
+
 oracle("registry_buckets", """
 SELECT study_uid, CAST(row_no AS BIGINT) AS row_no, study_id, 1 AS run FROM inc_a1
 UNION ALL SELECT study_uid, CAST(row_no AS BIGINT), study_id, 2 FROM inc_a2""", "inc_a1", "inc_a2")
@@ -574,6 +580,16 @@ SELECT pair_id, any_value(w) = 8 AS header_shape_equal, any_value(w) = 8 AS arra
   any_value(w) = 8 AND bool_and(a = b) AS pixels_equal
 FROM pix_b GROUP BY pair_id""", "pix_b")
 
+oracle("pixel_stats_tiled", """
+SELECT p.*, e.header_shape_equal, e.array_shape_equal, e.pixels_equal
+FROM (SELECT pair_id, CAST(count(*) AS BIGINT) AS n_pixels, CAST(count(*) FILTER (WHERE a IS DISTINCT FROM b) AS BIGINT) AS n_mismatch,
+    min(a) AS min_a, max(a) AS max_a, min(b) AS min_b, max(b) AS max_b FROM pix GROUP BY pair_id) p
+JOIN (SELECT pair_id, any_value(w) = 8 AS header_shape_equal, any_value(w) = 8 AS array_shape_equal, any_value(w) = 8 AND bool_and(a = b) AS pixels_equal
+  FROM pix_b GROUP BY pair_id) e ON e.pair_id = p.pair_id""", "pix", "pix_b")
+
+oracle("pixel_diff_tiled", """
+SELECT pair_id, CAST(r AS BIGINT) AS r, CAST(c AS BIGINT) AS c, a, b FROM pix WHERE a IS DISTINCT FROM b""", "pix")
+
 # ---- tag edits, dump, log, report --------------------------------------------------
 cte("patches", """
   SELECT concat('P', c_custkey) AS patient_id,
