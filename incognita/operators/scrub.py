@@ -45,13 +45,15 @@ def replace_by_vr(elements: Column | str, replacements: dict[str, str] | None =
     if not replacements:
         return col(elements)
 
-    def rewrite(e):
-        v = None
-        for vr, new in replacements.items():
-            v = (F.when(e["vr"] == vr, F.lit(new)) if v is None else v.when(e["vr"] == vr, F.lit(new)))
-        return element(e["pos"], e["path_tags"], e["keyword"], e["vr"], v.otherwise(e["value"]))
+    return F.transform(col(elements), lambda e: element(e["pos"], e["path_tags"], e["keyword"], e["vr"], vr_value(e, replacements)))
 
-    return F.transform(col(elements), rewrite)
+
+def vr_value(e: Column, replacements: dict[str, str]) -> Column:
+    """An element's value, or that of its VR if the VR is listed."""
+    v = None
+    for vr, new in replacements.items():
+        v = (F.when(e["vr"] == vr, F.lit(new)) if v is None else v.when(e["vr"] == vr, F.lit(new)))
+    return e["value"] if v is None else v.otherwise(e["value"])
 
 
 def _sql_str(v: str) -> str:
@@ -100,26 +102,29 @@ def upsert_top_level(elements: Column | str, fixed: list[model.Fixed],
 class Rules:
     """A scrub rule table. Defaults reproduce the reference's hard-coded rules.
 
-    Applied in this order: private removal, value-type replacement, group-mask
-    removal (curves), top-level upserts, tag removal (request attributes).
+    Applied in this order: path rules, private removal, value-type replacement, group-mask
+    removal (curves), top-level upserts, tag removal (request attributes). A path
+    rule names an element by the tags from the top level down, whatever the item numbers:
+    its new value (which the value types leave alone), or None to remove it with all below.
     """
     drop_private: bool = True
     vr_values: dict = field(default_factory=lambda: dict(model.VR_REPLACEMENTS))
     group_masks: tuple = ((model.CURVE_GROUP_MASK, model.CURVE_GROUP_VALUE),)
     fixed: tuple = tuple(model.FIXED_ASSIGNMENTS)
     drop_tags: tuple = (model.REQUEST_ATTRIBUTES_SEQUENCE,)
+    paths: tuple = ()  # (tag path, value or None); the first rule of a path counts
 
     @staticmethod
     def from_rows(rows) -> "Rules":
         """Build rules from rows of a small rule table.
 
         Each row has ``action`` in {drop_private, set_vr, drop_group, upsert,
-        drop_tag} and the fields it needs: ``vr``, ``value``, ``tag``,
-        ``mask``, ``keyword``. An upsert value of ``<study_id>`` or
+        drop_tag, set_path, drop_path} and the fields it needs: ``vr``, ``value``, ``tag``,
+        ``mask``, ``keyword``, ``path`` (tags joined by "/"). An upsert value of ``<study_id>`` or
         ``<patient_name>`` takes the file's assigned ID or the run's patient
-        name. The table is configuration (tens of rows).
+        name. The table is configuration (up to thousands of rows).
         """
-        priv, vr_values, masks, fixed, tags = False, {}, [], [], []
+        priv, vr_values, masks, fixed, tags, paths = False, {}, [], [], [], []
         for r in rows:
             d = r.asDict() if hasattr(r, "asDict") else dict(r)
             a = d["action"]
@@ -133,9 +138,11 @@ class Rules:
                 fixed.append(model.Fixed(d["keyword"], int(d["tag"]), d["vr"], d.get("value") or ""))
             elif a == "drop_tag":
                 tags.append(int(d["tag"]))
+            elif a in ("set_path", "drop_path"):
+                paths.append((tuple(int(t) for t in d["path"].split("/")), (d.get("value") or "") if a == "set_path" else None))
             else:
                 raise ValueError(f"unknown scrub action: {a}")
-        return Rules(priv, vr_values, tuple(masks), tuple(fixed), tuple(tags))
+        return Rules(priv, vr_values, tuple(masks), tuple(fixed), tuple(tags), tuple(paths))
 
 
 DEFAULT_RULES = Rules()
@@ -143,6 +150,53 @@ DEFAULT_RULES = Rules()
 REFERENCE_LITERAL_RULES = Rules(drop_tags=())
 
 
+def _path_key(path_tags: Column) -> Column:
+    return F.array_join(path_tags.cast("array<string>"), "/")
+
+
+def _path_tables(paths) -> tuple[list[str], dict[str, str]]:
+    """Keys of the paths to remove and values of those to set."""
+    first: dict[str, str | None] = {}
+    for path, value in paths:
+        first.setdefault("/".join(str(t) for t in path), value)
+    return [k for k, v in first.items() if v is None], {k: v for k, v in first.items() if v is not None}
+
+
+def drop_paths(elements: Column | str, paths: list[str]) -> Column:
+    """Remove the elements of some paths and all below them.
+
+    A path's beginnings are looked up in one hash set, and only those as deep as a rule.
+    """
+    if not paths:
+        return col(elements)
+    depths = sorted({p.count("/") + 1 for p in paths})
+
+    def named(e):
+        c = F.lit(False)
+        for d in depths:
+            c = c | ((F.size(e["path_tags"]) >= d) & _path_key(F.slice(e["path_tags"], 1, d)).isin([p for p in paths if p.count("/") + 1 == d]))
+        return c
+
+    return F.filter(col(elements), lambda e: ~named(e))
+
+
+def set_paths(elements: Column | str, values: dict[str, str], otherwise=lambda e: e["value"]) -> Column:
+    """Set the value of the elements of some paths; the others get ``otherwise``.
+
+    A hash set tells the paths without a rule, so the values are searched for the few that have one.
+    """
+    table = F.expr("map(" + ", ".join(f"{_sql_str(k)}, {_sql_str(v)}" for k, v in values.items()) + ")") if values else None
+
+    def rewrite(e):
+        value = otherwise(e)
+        if values:
+            key = _path_key(e["path_tags"])
+            value = F.when(key.isin(list(values)), F.element_at(table, key)).otherwise(value)
+        return element(e["pos"], e["path_tags"], e["keyword"], e["vr"], value)
+
+    return F.transform(col(elements), rewrite)
+
+
 def scrub(elements: Column | str, study_id: Column | None = None, patient_name: Column | None = None,
           rules: Rules = DEFAULT_RULES) -> Column:
     """The full element scrub for one file, fused into one filter and one transform.
@@ -175,7 +229,9 @@ def scrub(elements: Column | str, study_id: Column | None = None, patient_name:
             c = c & ~e["path_tags"][0].isin(*fixed_tags)
         return c
 
-    out = replace_by_vr(F.filter(col(elements), keep), rules.vr_values)
+    gone, values = _path_tables(rules.paths)
+    kept = F.filter(drop_paths(elements, gone), keep)
+    out = set_paths(kept, values, lambda e: vr_value(e, rules.vr_values)) if values else replace_by_vr(kept, rules.vr_values)
     if not fixed:
         return out
     return F.sort_array(F.concat(out, fixed_elements(fixed, study_id, patient_name)))
@@ -186,10 +242,11 @@ def scrub_stepwise(elements: Column | str, study_id: Column | None = None, patie
     """The same scrub as ``scrub``, one rule at a time (the specification)."""
     study_id = F.lit(model.DEFAULT_PATIENT_ID) if study_id is None else study_id
     patient_name = F.lit(model.DEFAULT_PATIENT_NAME) if patient_name is None else patient_name
-    out = col(elements)
+    gone, values = _path_tables(rules.paths)
+    out = drop_paths(elements, gone)
     if rules.drop_private:
         out = drop_private(out)
-    out = replace_by_vr(out, rules.vr_values)
+    out = set_paths(replace_by_vr(out, rules.vr_values), values)
     for mask, value in rules.group_masks:
         out = drop_group_mask(out, mask, value)
     out = upsert_top_level(out, list(rules.fixed), study_id, patient_name)

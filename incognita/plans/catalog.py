@@ -575,3 +575,20 @@ def q_deidentify_rules(spark, sf_dir):
     headers = fx.headers(spark, sf_dir)
     run = deid.plan(headers, fx.pool(spark, sf_dir), _front(spark, sf_dir), rules=rules)
     return explode_elements(run.output, "path", "out_path", "study_id")
+
+
+def path_rule_table(spark: SparkSession) -> DataFrame:
+    """The default rules and rules for nested elements. Configuration."""
+    rows = [(*r, None) for r in literal_rule_table(spark).collect()]  # config rows
+    rows += [("drop_tag", None, None, model.REQUEST_ATTRIBUTES_SEQUENCE, None, None, None),
+             ("set_path", None, "19000101", None, None, None, "528656/524320"), ("drop_path", None, None, None, None, None, "528656/2097165"),
+             ("set_path", None, "gone", None, None, None, "1358954512"), ("drop_path", None, None, None, None, None, "528656/2097165/1")]
+    return spark.createDataFrame(rows, "action string, vr string, value string, tag bigint, mask bigint, keyword string, path string")
+
+
+@query
+def q_deidentify_paths(spark, sf_dir):
+    """Full de-identification by the default rules and rules for elements inside sequences."""
+    rules = scrub_ops.Rules.from_rows(path_rule_table(spark).collect())  # config rows
+    run = deid.plan(fx.headers(spark, sf_dir), fx.pool(spark, sf_dir), _front(spark, sf_dir), rules=rules)
+    return explode_elements(run.output, "path", "out_path", "study_id")

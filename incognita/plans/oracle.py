@@ -252,6 +252,12 @@ def oracle(name: str, final: str, *needs: str) -> None:
 
 oracle("deidentify", f"SELECT path, out_path, study_id, {ELEMENT_COLS} FROM deid_elements", "deid_elements")
 
+oracle("deidentify_paths", f"""
+SELECT path, out_path, study_id, {ELEMENT_COLS} FROM (
+  SELECT * REPLACE (CASE WHEN top_tag = 528656 AND item = 0 AND tag = 524320 THEN '19000101'
+      WHEN top_tag = 1358954512 AND item = -1 THEN 'gone' ELSE value END AS value)
+  FROM deid_elements WHERE NOT (top_tag = 528656 AND item = 0 AND tag = 2097165)) t""", "deid_elements")
+
 # ---- scan, screening ---------------------------------------------------------
 oracle("scan_inventory", """
 SELECT root, CAST(count(*) AS BIGINT) AS n_files,

@@ -135,3 +135,27 @@ def test_fused_scrub_equals_stepwise(hdr, rules):
     a = elements_of(hdr.select(S.scrub("elements", F.lit("ID1"), F.lit("N"), rules).alias("elements")))
     b = elements_of(hdr.select(S.scrub_stepwise("elements", F.lit("ID1"), F.lit("N"), rules).alias("elements")))
     assert a == b
+
+
+def test_path_rules_match_nested_elements_and_equal_the_steps(spark):
+    rules = S.Rules(paths=(((528656, 524320), "19000101"), ((528656, 524320), "later rules of a path do not count"),
+                               ((528656, 2097165), None), ((999, 5), None), ((777,), "set"), ((524320,), "it's \\ kept")),
+                        fixed=(), drop_tags=())
+    rows = [([528656], [528656], "SQ", ""), ([528656, 0, 524320], [528656, 524320], "DA", "20240101"), ([528656, 1, 524320], [528656, 524320], "DA", "20240102"),
+            ([528656, 0, 2097165], [528656, 2097165], "SQ", ""), ([528656, 0, 2097165, 0, 8], [528656, 2097165, 8], "LO", "below"),
+            ([524320], [524320], "DA", "20240103"), ([888, 0, 524320], [888, 524320], "DA", "20240104"), ([778], [778], "LO", "stays")]
+    df = spark.createDataFrame([([(p, t, "", vr, v) for p, t, vr, v in rows],), ([],), (None,)],
+                               "elements array<struct<pos:array<bigint>,path_tags:array<bigint>,keyword:string,vr:string,value:string>>")
+    got = df.select(S.scrub("elements", rules=rules).alias("a"), S.scrub_stepwise("elements", rules=rules).alias("b")).collect()
+    assert [r.a for r in got] == [r.b for r in got] and got[1].a == [] and got[2].a is None
+    assert [(list(e.pos), e.value) for e in got[0].a] == [
+        ([528656], ""), ([528656, 0, 524320], "19000101"), ([528656, 1, 524320], "19000101"), ([524320], "it's \\ kept"),
+        ([888, 0, 524320], ""), ([778], "stays")]
+
+
+def test_thousands_of_path_rules_are_looked_up_by_hash(spark):
+    many = S.Rules(paths=tuple(((131_072 + 2 * i, 7), None if i % 2 else str(i)) for i in range(2000)))
+    df = spark.range(3).select(F.expr("array(named_struct('pos', array(131080L, 0L, 7L), 'path_tags', array(131080L, 7L), 'keyword', '', 'vr', 'LO', 'value', 'x'))").alias("elements"))
+    out = df.select(S.scrub("elements", rules=many).alias("e"))
+    assert "INSET" in out._jdf.queryExecution().optimizedPlan().toString()
+    assert all([x.value for x in r.e if x.pos[0] == 131080] == ["4"] for r in out.collect())
