@@ -95,7 +95,9 @@ def assign(docs: DataFrame, shards: int = 8, epsilon: float | None = None, key:
     bytes_ = F.coalesce(raw(text), F.lit(b""))
     rows = docs.select(col(key).alias("doc_id"), (F.octet_length(bytes_) + F.lit(1)).cast("bigint").alias("size"), F.crc32(bytes_).alias("text_crc32"),
                        F.shiftrightunsigned(F.xxhash64(col(key)), 48).cast("int").alias("cell"))
-    kept = stored(rows.coalesce(MAX_PARTITIONS))
+    kept = stored(rows)
+    if kept.rdd.getNumPartitions() > MAX_PARTITIONS:  # the small rows are merged, never the scan of the texts
+        kept = stored(kept.coalesce(MAX_PARTITIONS))
     counts = {r[0]: r[1] for r in kept.groupBy("cell").count().collect()}  # 65,536 rows at most
     nodes = ring(shards)
     dealt = walk(counts, nodes, capacities(sum(counts.values()), shards, epsilon))

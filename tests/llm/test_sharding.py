@@ -59,3 +59,20 @@ def test_limited_movement(spark):
     assert (b.home_shard.reindex(a.index)[moved_home] == 8).all()
     assert (a.shard != b.shard.reindex(a.index)).mean() < 0.25
     assert (a.shard != a.home_shard).mean() < 0.1 and a.shard.value_counts().max() <= 2750
+
+
+def test_the_scan_keeps_its_partitions_and_small_rows_are_merged(spark, monkeypatch):
+    monkeypatch.setattr(S, "MAX_PARTITIONS", 3)
+    seen = []
+    real = S.stored
+
+    def noted(df):
+        out = real(df)
+        seen.append(out.rdd.getNumPartitions())
+        return out
+
+    monkeypatch.setattr(S, "stored", noted)
+    df = spark.range(0, 3000, 1, 20).selectExpr("id doc_id", "cast(id % 50 as string) text")
+    rows = S.assign(df, 8).select("doc_id", "size", "text_crc32", "shard", "slot").collect()
+    assert seen[0] == 20 and seen[1] <= 3
+    check(rows, [(r.doc_id, r.text) for r in df.collect()])
