@@ -378,7 +378,7 @@ def q_reidentify_after_extend(spark, sf_dir):
     """Extend that registry, assign, commit, and name the patient of every file from the committed slots."""
     slots, n = fx.over_pool(spark, sf_dir)
     slots = slots.unionByName(idpool.empty_slots(_extension(spark, sf_dir)))
-    headers, front = fx.headers(spark, sf_dir), {**_front(spark, sf_dir), "n_study_ids": n}
+    headers, front = fx.derived_headers(spark, sf_dir), {**_front(spark, sf_dir), "n_study_ids": n}
     run = deid.plan(headers, slots, front)
     committed = reg.commit(slots, run.assignments, bound=run.n_studies).checkpoint()
     after = deid.plan(headers, committed, front, committed=run)
