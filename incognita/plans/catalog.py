@@ -277,7 +277,7 @@ def _bucket_registry(spark, sf_dir) -> buckets.BucketRegistry:
 @query
 def q_registry_buckets(spark, sf_dir):
     """The two runs of ``incremental_assign`` against a stored registry in buckets, committed in between."""
-    headers = fx.headers(spark, sf_dir)
+    headers = fx.derived_headers(spark, sf_dir)
     early = headers.where(F.col("mtime") < F.lit(INCREMENTAL_CUTOFF).cast("timestamp"))
     registry = _bucket_registry(spark, sf_dir)
     out = []
