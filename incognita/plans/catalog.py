@@ -258,7 +258,7 @@ def q_incremental_files(spark, sf_dir):
 def q_output_current(spark, sf_dir):
     """Current versions after three committed runs: early files, every seventh user's and later ones, and the first run's again for one root."""
     out = f"{ensure_checkpoint_dir(spark).rstrip('/')}/output-{uuid.uuid4().hex}"
-    files = fx.headers(spark, sf_dir).select("path", output_path().alias("out_path"), F.col("study_uid").alias("study_id"), "elements", "root", "mtime")
+    files = fx.derived_headers(spark, sf_dir).select("path", output_path().alias("out_path"), F.col("study_uid").alias("study_id"), "elements", "root", "mtime")
     early = F.col("mtime") < F.lit(INCREMENTAL_CUTOFF).cast("timestamp")
     seventh = F.regexp_extract("path", r"/p(\d+)/", 1).cast("bigint") % 7 == 0
     for run_id, taken in (("r1", early), ("r2", ~early | seventh), ("r3", early & (F.col("root") == "root1"))):

@@ -136,7 +136,7 @@ def _commit(spark: SparkSession, rows: DataFrame, out_dir: str, run_id: str) ->
     before = last.runs if last else [{"run_id": r, "live": True} for r in _first_runs(rows, run_id)]
     order = [r["run_id"] for r in before if r["run_id"] != run_id] + [run_id]
     if last is None or len(order) == len(before):  # not told yet, or this run's earlier rows are gone
-        vectors = _bitmaps(_replaced(rows, order))
+        vectors = _bitmaps(_replaced(rows, order)) if len(order) > 1 else None  # a first run replaces nothing
         counts = {r["run_id"]: r["n"] for r in rows.where(F.col("run_id").isin(order)).groupBy("run_id").agg(F.count(F.lit(1)).alias("n")).collect()}
     else:
         vectors = _bitmaps(_replaced_by(spark, rows, run_id, last.live)) if last.live else None
