@@ -22,7 +22,7 @@ MSG_NO_UID = " -No studyUID"
 def file_name(path: Column | str) -> Column:
     """Last path component, for '/' or '\\' separators."""
     p = F.col(path) if isinstance(path, str) else path
-    return F.regexp_extract(p, r"([^/\\]*)$", 1)
+    return F.substring_index(F.translate(p, "\\", "/"), "/", -1)  # compiled; a pattern is tried from every character on
 
 
 def parent_dir(path: Column | str) -> Column:
