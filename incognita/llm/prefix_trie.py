@@ -76,8 +76,8 @@ def rebuilt(turns: DataFrame, every: int = 20, heads: int = 4) -> tuple[DataFram
     numbered = consecutive_index(turns, ["c", "turn", "t1", "t2"], name="idx").withColumn("block", F.floor(F.col("idx") / SPREAD))
     own = numbered.groupBy("c").agg(F.min("idx").alias("first"), F.count(F.lit(1)).alias("n"))
     own = own.withColumn("base", F.col("c") - F.pmod("c", F.lit(every))).withColumn("h", (F.crc32(F.col("c").cast("string")) % heads).cast("int"))
-    own = stored(own)
-    based = own.join(own.select(F.col("c").alias("base"), F.col("n").alias("base_n")), "base", "left")  # ``every`` rows a base at most
+    base_n = F.max(F.when(F.col("c") == F.col("base"), F.col("n"))).over(Window.partitionBy("base"))  # ``every`` rows a base at most
+    based = own.withColumn("base_n", base_n)
     m = F.least(F.col("h"), F.coalesce("base_n", _zero())).cast("int")
     convs = stored(based.withColumn("m", m).withColumn("len", (F.col("m") + F.greatest(F.col("n") - F.col("h"), _zero())).cast("int")))
     spread = convs.withColumn("block", F.explode(F.sequence(F.floor(F.col("first") / SPREAD), F.floor((F.col("first") + F.col("n") - 1) / SPREAD))))
@@ -99,7 +99,7 @@ def _hash(item: Column) -> Column:
 
 
 def path_blocks(turns: DataFrame, height: int) -> DataFrame:
-    """(c, k, len, items, ids): a conversation's turns at depths k * height + 1 to (k + 1) * height, with the names of these nodes after that above them."""
+    """(c, k, len, items, ids): a conversation's turns (d, words) at depths k * height + 1 to (k + 1) * height, with the names of these nodes after that above them."""
     items = F.sort_array(F.collect_list(F.struct("d", "t1", "t2", "words")))
     blocks = turns.groupBy("c", F.floor((F.col("d") - 1) / height).alias("k")).agg(items.alias("items"), F.max("len").alias("len"))
     whole = F.aggregate("items", F.struct(_zero().alias("a"), _zero().alias("b")), lambda acc, it: _xor(acc, _hash(it)))
@@ -115,7 +115,8 @@ def path_blocks(turns: DataFrame, height: int) -> DataFrame:
     above = inner.join(outer, ["c", "s"]).select("c", "k", F.struct(F.col("a").bitwiseXOR(F.col("oa")).alias("a"), F.col("b").bitwiseXOR(F.col("ob")).alias("b")).alias("p"))
     named = short.withColumn("p", F.struct(_zero().alias("a"), _zero().alias("b"))).unionByName(long.join(above, ["c", "k"]))
     ids = F.aggregate("items", F.array("p"), lambda acc, it: F.concat(acc, F.array(_xor(F.element_at(acc, -1), _hash(it)))))
-    return named.select("c", "k", "len", "items", ids.alias("ids"))
+    said = F.transform("items", lambda it: F.struct(it["d"].alias("d"), it["words"].alias("words")))
+    return stored(named.select("c", "k", "len", said.alias("items"), ids.alias("ids")))  # read by all that follows, at every level
 
 
 def trie(convs: DataFrame, blocks: DataFrame) -> DataFrame:
@@ -147,7 +148,8 @@ def rollup(nodes: DataFrame, floors: DataFrame, height: int = HEIGHT) -> DataFra
 
     ``nodes`` has (a, b, depth, leaves, saved, above), one row a node; ``floors``
     the conversations' paths over the nodes on the floors of the bands:
-    (c, k, a, b), k = depth / height.
+    (c, k, a, b), k = depth / height. What a level hands to another is stored, so
+    that no level's plan holds that of another.
     """
     on_floor = F.col("depth") % height == 0
     me, n = F.struct("a", "b"), F.size("above")
@@ -159,6 +161,7 @@ def rollup(nodes: DataFrame, floors: DataFrame, height: int = HEIGHT) -> DataFra
     if (nodes.agg(F.max("depth")).first()[0] or 0) < height:
         return sums
     # the band roots hold the totals of their bands: a trie of their own
+    floors = stored(floors)
     level = ancestors(floors, height).join(sums.select("a", "b", "leaves", "saved"), ["a", "b"])
     level = stored(level)
     higher = floors.where(F.col("k") % height == 0).withColumn("k", (F.col("k") / height).cast("bigint"))
@@ -169,7 +172,7 @@ def rollup(nodes: DataFrame, floors: DataFrame, height: int = HEIGHT) -> DataFra
     floor = nodes.where(on_floor).select("a", "b")
     # a floor's own total replaces its band's; its children are counted already
     replaced = sums.join(floor, ["a", "b"], "left_semi").select("a", "b", _zero().alias("leaves"), _zero().alias("saved"), "kids")
-    return _summed(sums.join(floor, ["a", "b"], "left_anti").unionByName(replaced).unionByName(done.withColumn("kids", _zero())).unionByName(inside))
+    return stored(_summed(sums.join(floor, ["a", "b"], "left_anti").unionByName(replaced).unionByName(done.withColumn("kids", _zero())).unionByName(inside)))
 
 
 def ancestors(path: DataFrame, height: int) -> DataFrame:
@@ -269,7 +272,7 @@ def prefix_trie(convs: DataFrame, height: int = HEIGHT, every: int = 20, heads:
     n_nodes = nodes.count()
     floors = blocks.select("c", F.col("k").alias("k"), F.col("ids")[0].alias("id")).unionByName(
         blocks.where(F.size("items") == height).select("c", (F.col("k") + 1).alias("k"), F.element_at("ids", -1).alias("id"))).distinct().select("c", "k", "id.a", "id.b")
-    totals = stored(rollup(nodes, floors, height))
+    totals = rollup(nodes, floors, height)
     last = F.element_at("items", -1)["d"] == F.col("len")
     ends = blocks.where(last).select(F.element_at("ids", -1).alias("id"), "c").select("id.a", "id.b", "c").unionByName(
         each.where("len = 0").select(_zero().alias("a"), _zero().alias("b"), "c"))

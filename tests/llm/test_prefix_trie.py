@@ -90,3 +90,26 @@ def test_hot_parents_are_found(spark, monkeypatch):
     assert got.count() == 20_001 and got.where("depth = 1 and parent_conv_id = 0").count() == 20_000
     check(spark, rows)
     assert sum(want.values()) > 60
+
+
+def test_no_plan_holds_that_of_another_level(spark, monkeypatch):
+    sizes, stored = [], P.stored
+
+    def size(df):
+        return str(df._jdf.queryExecution().optimizedPlan().toString()).count("\n")
+
+    def seen(df):
+        sizes.append(size(df))
+        return stored(df)
+
+    def largest(depth):
+        rows = [(c, t, "user", "x" if t < 2 else f"x{c}") for c in (0, 20) for t in range(depth)]
+        sizes.clear()
+        out = P.prefix_trie(spark.createDataFrame(rows, "conv_id bigint, turn int, role string, text string"), height=3)
+        assert collections.Counter(map(tuple, out.select(*COLS).collect())) == brute(rows)
+        return max(*sizes, size(out))
+
+    monkeypatch.setattr(P, "stored", seen)
+    two_levels, four_levels = largest(4), largest(30)
+    assert four_levels <= two_levels  # a level more is a step more, not a larger plan
+    assert four_levels < 100
