@@ -109,3 +109,19 @@ def test_network_keeps_its_arrays():
     want = net.forward(padded, at[:700])[1][np.arange(700), padded[at[:700]]]
     assert np.allclose(net.seen(padded, at[:700]), want, atol=1e-6)
     assert [id(x) for x in net.kept] == kept
+
+
+def test_near_files_are_read_without_threads(scratch, monkeypatch):
+    monkeypatch.setattr(listing, "SLOW", 10)
+    for i in range(40):
+        with open(f"{scratch}/f{i}", "wb") as f:
+            f.write(bytes(128) + b"DICM"[:i % 5] + b"x" * (i % 3))
+        os.utime(f"{scratch}/f{i}", ns=(0, 1_700_000_000_123_456_789 + i * 333_333_333))
+    os.makedirs(f"{scratch}/d")
+    store, paths = listing.Store(scratch), [f"{scratch}/f{i}" for i in range(40)]
+    assert store.heads([*paths, f"{scratch}/none"], None) == [*((b"DICM"[:i % 5] + b"x" * (i % 3))[:4].decode() for i in range(40)), None]
+    reader = listing.FolderReader({"roots": json.dumps([scratch]), "partitions": "2"})
+    got = {r["path"]: r for p in reader.partitions() for b in reader.read(p) for r in b.to_pylist()}
+    assert sorted(got) == sorted(paths)
+    assert all(r["mtime"] == datetime.datetime.fromtimestamp(os.stat(path).st_mtime, datetime.timezone.utc) for path, r in got.items())
+    assert all((got[path]["magic"] is None) == (not listing.wanted(path, got[path]["length"])) for path in paths)
